@@ -41,13 +41,13 @@ BROADCAST_IDS = 1_000_000  # ids of 8 bytes
 
 
 def _sets(part: pa.RecordBatch, n: int) -> list[np.ndarray]:
-    """Sorted codes of each row's set: 8 bits for the words' length, long first, then 56 bits of hash."""
+    """Sorted codes of each row's set: 7 bits for the length of the words, long first, then 56 bits of hash."""
     w = Words(part.column("text"), NONSPACE)
     at, h = w.windows(n)
     counts, out = w.counts(), []
     size = (w.end - w.start).astype(np.int64)
     total = np.concatenate(([0], np.cumsum(size)))
-    code = (h >> np.uint64(8)) | ((255 - np.minimum(total[at + n] - total[at], 255)).astype(np.uint64) << np.uint64(56))
+    code = (h >> np.uint64(8)) | ((127 - np.minimum(total[at + n] - total[at], 127)).astype(np.uint64) << np.uint64(56))
     bounds = np.searchsorted(at, w.first)
     for r, c in enumerate(counts):
         if c >= n:
@@ -56,8 +56,8 @@ def _sets(part: pa.RecordBatch, n: int) -> list[np.ndarray]:
             whole = np.uint64(c)
             for x in w.hash[w.first[r] : w.first[r + 1]]:
                 whole = mix64(np.array([whole]) * np.uint64(31) + x)[0]
-            length = min(255, int(total[w.first[r + 1]] - total[w.first[r]]))
-            out.append(np.array([(whole >> np.uint64(8)) | (np.uint64(255 - length) << np.uint64(56))], dtype=np.uint64))
+            length = min(127, int(total[w.first[r + 1]] - total[w.first[r]]))
+            out.append(np.array([(whole >> np.uint64(8)) | (np.uint64(127 - length) << np.uint64(56))], dtype=np.uint64))
         else:
             out.append(np.zeros(0, dtype=np.uint64))
     return out
@@ -167,69 +167,94 @@ class SignatureTree:
         return self.order[a[ok]], self.order[b[ok]]
 
 
-def _by_cell(batches):
-    """Record batches of whole cells, from batches in the order of ``cell``."""
+def _whole_cells(batches):
+    """Tables of whole cells, from batches in the order of ``cell``."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         cells = batch.column("cell").to_numpy()
-        if not len(cells):
+        change = np.flatnonzero(cells[1:] != cells[:-1]) + 1
+        if held and len(cells) and held[-1].column("cell")[-1].as_py() != cells[0]:
+            change = np.concatenate(([0], change))
+        if not len(change):  # the last cell goes on
+            held.append(batch)
             continue
-        at = 0
-        for end in [*(np.flatnonzero(cells[1:] != cells[:-1]) + 1), len(cells)]:
-            if held and held[0].column("cell")[0].as_py() != cells[at]:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(at, end - at))
-            at = end
+        cut = int(change[-1])
+        yield pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks()
+        held = [batch.slice(cut)]
     if held:
-        yield pa.Table.from_batches(held)
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _leaf_cells(cell: np.ndarray, n: np.ndarray, bm: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one cell each, of cells that are one leaf, by the same bounds as in a tree."""
+    out: tuple[list, list] = ([], [])
+    for d in range(1, LEAF):
+        a = np.flatnonzero(cell[:-d] == cell[d:]) if len(cell) > d else np.zeros(0, np.int64)
+        if not len(a):
+            break
+        b = a + d
+        ok = np.minimum(n[a], n[b]) * den >= num * np.maximum(n[a], n[b])
+        a, b = a[ok], b[ok]
+        most = np.minimum(n[a] - _bits(bm[a] & ~bm[b]), n[b] - _bits(bm[b] & ~bm[a]))
+        ok = most * (num + den) >= num * (n[a] + n[b])
+        out[0].append(a[ok])
+        out[1].append(b[ok])
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
 
 
 def _traverse(num: int, den: int, first: bool):
     def run(batches):
-        out_a: list = []
-        out_b: list = []
-        more: list = []
-        known: set = set()
-
-        def flush():
-            return pa.RecordBatch.from_arrays([pa.array(out_a + [None] * len(more), pa.int64()), pa.array(out_b + [None] * len(more), pa.int64()), pa.array([None] * len(out_a) + [c for c, _ in more], pa.int64()), pa.array([None] * len(out_a) + [k for _, k in more], pa.int64())], ["a", "b", "cell", "cursor"])
-
-        for cell in _by_cell(batches):
-            if cell.num_rows < 2:
+        for table in _whole_cells(batches):
+            if not table.num_rows:
                 continue
-            cell = cell.combine_chunks()
-            fp, n, comp = (cell.column(c).to_numpy() for c in ("fp", "n", "comp"))
-            bm = np.frombuffer(b"".join(cell.column("bm").to_pylist()), dtype=np.uint64).reshape(len(fp), -1)
-            tree = SignatureTree(n, bm, comp)
-            todo = [(k, k) for k in range(len(tree.levels[0][0]))] if first else list(zip(*tree.leaf_pairs(num, den), strict=True))
-            cursor, width = int(cell.column("cursor")[0].as_py()), len(tree.levels[0][0])
-            made = 0
-            for i, j in todo:
-                if int(i) * width + int(j) < cursor:
-                    continue
-                if not first and made > QUOTA * len(fp):
-                    more.append((cell.column("cell")[0].as_py(), int(i) * width + int(j)))
-                    break
-                a, b = tree.pairs(int(i), int(j), num, den)
-                made += len(a)
-                for x, y in zip(fp[a].tolist(), fp[b].tolist(), strict=True):
-                    pair = (x, y) if x < y else (y, x)
-                    if pair not in known:
-                        known.add(pair)
-                        out_a.append(pair[0])
-                        out_b.append(pair[1])
-            if len(known) > 50_000 or len(more) > 10_000:
-                yield flush()
-                out_a, out_b, more, known = [], [], [], set()
-        if out_a or more:
-            yield flush()
+            cells, fp, n, comp, cursors = (table.column(c).to_numpy() for c in ("cell", "fp", "n", "comp", "cursor"))
+            bm = np.frombuffer(b"".join(table.column("bm").to_pylist()), dtype=np.uint64).reshape(len(fp), -1)
+            begin = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
+            size = np.diff(np.append(begin, len(cells)))
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            more: list[tuple[int, int]] = []
+            if first:
+                small = np.flatnonzero(np.repeat(size <= LEAF, size))
+                a, b = _leaf_cells(cells[small], n[small], bm[small], num, den)
+                found.append((fp[small[a]], fp[small[b]]))
+            for k in np.flatnonzero(size > LEAF):
+                at = slice(begin[k], begin[k] + size[k])
+                own = fp[at]
+                tree = SignatureTree(n[at], bm[at], comp[at])
+                width, cursor, made = len(tree.levels[0][0]), int(cursors[begin[k]]), 0
+                for i, j in [(x, x) for x in range(width)] if first else zip(*(x.tolist() for x in tree.leaf_pairs(num, den)), strict=True):
+                    if i * width + j < cursor:
+                        continue
+                    if not first and made > QUOTA * len(own):
+                        more.append((int(cells[begin[k]]), i * width + j))
+                        break
+                    a, b = tree.pairs(i, j, num, den)
+                    made += len(a)
+                    found.append((own[a], own[b]))
+            a, b = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+            a, b = np.minimum(a, b), np.maximum(a, b)
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(a)]
+            a, b = a[new], b[new]
+            pad = [None] * len(more)
+            yield pa.RecordBatch.from_arrays([pa.array(a.tolist() + pad, pa.int64()), pa.array(b.tolist() + pad, pa.int64()), pa.array([None] * len(a) + [c for c, _ in more], pa.int64()), pa.array([None] * len(a) + [k for _, k in more], pa.int64())], ["a", "b", "cell", "cursor"])
 
     return run
 
 
 def _verified(spark: SparkSession, rows: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs whose exact sets reach the threshold."""
+    """The pairs whose exact sets reach the threshold.
+
+    First their first codes alone are compared: up to the smaller of the two last ones, a code that one side
+    lacks is surely not in its set.
+    """
+    own = lambda side, x: classes.select(F.col("fp").alias(side), F.col("n").alias(f"n{x}"), F.col("prefix").alias(x))
+    near = pairs.join(own("a", "x"), "a").join(own("b", "y"), "b").withColumn("last", F.least(F.element_at("x", -1), F.element_at("y", -1)))
+    upto = lambda x: F.filter(x, lambda c: c <= F.col("last"))
+    misses = F.size(F.array_except(upto("x"), F.col("y"))) + F.size(F.array_except(upto("y"), F.col("x")))
+    most = F.col("nx") + F.col("ny") - misses  # twice the largest overlap
+    pairs = stored(spark, near.where(most * (num + den) >= 2 * num * (F.col("nx") + F.col("ny"))).select("a", "b"))
     asked = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
     asked = stored(spark, classes.join(asked, "fp").select("fp", "rep_key"))
     known = asked.withColumnRenamed("rep_key", "row_key")
