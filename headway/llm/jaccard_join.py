@@ -6,15 +6,15 @@
    their first n - ceil(t * n) + 1 codes; codes that only one class has there are dropped, and the others
    are the cells of the join.  A cell of over ``BLOCK`` classes becomes cells for all pairs of its
    blocks, which bounds what a task holds.
-3. In a cell a signature tree is built over the classes in the order of size and bitmap: its nodes hold
-   the OR and the AND of their bitmaps and their range of sizes.  A dual traversal descends from the pair
-   (root, root) and prunes a node pair if its maximum possible overlap (sizes, less bits that one side
-   surely has and the other surely lacks) can't reach the threshold.
-4. The first round takes the pairs inside the leaves; what survives is verified on the exact sets.  The
-   components of the links found are then known to the tree: a node pair inside one component is
-   pruned.  Later rounds take all other leaf pairs, up to ``QUOTA`` pairs a class and round, from where
-   the cell stopped, until no cell has any left.  So no link between components is lost, and a large
-   group of near copies costs about as many pairs as it has classes, not their square.
+3. In a cell a signature tree is built over the classes in the order of size and bitmap of first codes: its
+   nodes hold the OR and the AND of their bitmaps and their range of sizes.  A dual traversal descends from
+   the pair (root, root) and prunes a node pair if its maximum possible overlap (sizes, less bits that one
+   side surely has and the other surely lacks) can't reach the threshold.
+4. The first round takes the pairs inside the leaves of a random order of each cell; what survives is verified
+   on the exact sets.  The components of the links found are then known to the trees: a node pair
+   inside one component is pruned.  Later rounds take all other leaf pairs, up to ``QUOTA`` pairs a class
+   and round, from where the cell stopped, until no cell has any left.  So no link between components
+   is lost, and a large group of near copies costs about as many pairs as it has classes, not their square.
 
 Edge cases: a text of fewer words than a shingle has the whole word sequence as its one shingle; null texts
 and texts without words have an empty set and link with nothing; repeated rows are one class; rows with
@@ -33,10 +33,11 @@ from headway.llm.shared import shuffle_width, stored, text_rows
 from headway.llm.textvec import NONSPACE, Words, chunks, mix64
 
 BITS = 512
+WHOLE = 250  # sets of up to so many codes have all of them in their bitmaps, larger ones their first codes
 LEAF = 16
 FANOUT = 4
 BLOCK = 2000
-QUOTA = 16
+QUOTA = 100
 BROADCAST_IDS = 1_000_000  # ids of 8 bytes
 
 
@@ -63,9 +64,17 @@ def _sets(part: pa.RecordBatch, n: int) -> list[np.ndarray]:
     return out
 
 
-def _bitmap(codes: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, dtype=bool)
-    bits[(mix64(codes) % np.uint64(BITS)).astype(np.int64)] = True
+def _part(n: int) -> int:
+    """How many of n first codes the second half of a bitmap has."""
+    return max(1, n // 2)
+
+
+def _bitmap(codes: np.ndarray, part: int) -> bytes:
+    """Two bitmaps, of all codes and of the first ``part``: at least ``BITS`` bits each, at least 4 for each code, a power of two."""
+    at = (mix64(codes) % np.uint64(max(BITS, 1 << int(4 * len(codes) - 1).bit_length()))).astype(np.int64)
+    bits = np.zeros((2, max(BITS, 1 << int(4 * len(codes) - 1).bit_length())), dtype=bool)
+    bits[0, at] = True
+    bits[1, at[:part]] = True
     return np.packbits(bits).tobytes()
 
 
@@ -90,7 +99,7 @@ def _digest(n: int, num: int, den: int):
                 size = [len(s) for s in sets]
                 fp = [_fingerprint(s) for s in sets]
                 prefix = [_signed(s[: len(s) - -(-len(s) * num // den) + 1]) if len(s) else np.zeros(0, np.int64) for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size, pa.int64()), pa.array(fp, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array([_bitmap(s) if len(s) else None for s in sets], pa.binary())], ["doc_id", "n", "fp", "prefix", "bm"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size, pa.int64()), pa.array(fp, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array([(_bitmap(s, len(s)) if len(s) <= WHOLE else _bitmap(p.view(np.uint64), _part(len(p)))) if len(p) else None for s, p in zip(sets, prefix, strict=True)], pa.binary())], ["doc_id", "n", "fp", "prefix", "bm"])
 
     return run
 
@@ -112,14 +121,66 @@ def _bits(x: np.ndarray) -> np.ndarray:
     return _POP[x.view(np.uint16)].sum(axis=-1, dtype=np.int32)
 
 
+class Bitmaps:
+    """Pairs of bitmaps of different widths; wider ones are folded to the other's width by OR."""
+
+    def __init__(self, raw: list[bytes]) -> None:
+        self.raw = raw
+        self.width = np.fromiter(map(len, raw), np.int64, len(raw)) // 2
+        self.known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def folded(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row of each in the table, table of both bitmaps in 64-bit words) of all that are as wide or wider."""
+        if width not in self.known:
+            place, parts, done = np.full(len(self.raw), -1), [], 0
+            for w in np.unique(self.width[self.width >= width]):
+                rows = np.flatnonzero(self.width == w)
+                m = np.frombuffer(b"".join([self.raw[i] for i in rows]), dtype=np.uint64).reshape(len(rows), 2, -1, width // 8)
+                parts.append(np.bitwise_or.reduce(m, axis=2))
+                place[rows] = done + np.arange(len(rows))
+                done += len(rows)
+            self.known[width] = place, np.concatenate(parts)
+        return self.known[width]
+
+    def misses(self, x: np.ndarray, y: np.ndarray, half: int = 0) -> np.ndarray:
+        """Bits of x (of its first or second bitmap) that y's first one lacks, pair by pair."""
+        out, width = np.zeros(len(x), dtype=np.int64), np.minimum(self.width[x], self.width[y])
+        for w in np.unique(width):
+            at = np.flatnonzero(width == w)
+            place, m = self.folded(int(w))
+            out[at] = _bits(m[place[x[at]], half] & ~m[place[y[at]], 0])
+        return out
+
+
+def _near(n: np.ndarray, maps: Bitmaps, last: np.ndarray, mid: np.ndarray, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Pairs that can reach the threshold by their sizes and bitmaps.
+
+    The first bitmap holds all codes of its set up to ``last``, the second all up to ``mid``.  So a bit of x's first
+    one that y's lacks is a code that y lacks, if x's last code is the smaller; and a bit of y's second one
+    that x's first lacks is a code that x lacks, if y's mid code isn't above x's last.
+    """
+    fits = np.minimum(n[a], n[b]) * den >= num * np.maximum(n[a], n[b])
+    at = np.flatnonzero(fits)
+    a, b = a[at], b[at]
+    x, y = np.where(last[a] <= last[b], a, b), np.where(last[a] <= last[b], b, a)
+    most = np.minimum(n[x] - maps.misses(x, y), n[y])
+    back = np.flatnonzero(mid[y] <= last[x])
+    most[back] = np.minimum(most[back], n[y[back]] - maps.misses(y[back], x[back], 1))
+    fits[at] = most * (num + den) >= num * (n[a] + n[b])
+    return fits
+
+
 class SignatureTree:
     """Levels from leaves to root; ``lo``, ``hi``: sizes; ``any``, ``all``: OR and AND of bitmaps; ``comp``: -1 if mixed."""
 
-    def __init__(self, n: np.ndarray, bm: np.ndarray, comp: np.ndarray) -> None:
+    def __init__(self, n: np.ndarray, raw: list[bytes], last: np.ndarray, mid: np.ndarray, comp: np.ndarray) -> None:
+        place, m = Bitmaps(raw).folded(BITS // 8)
+        bm = m[place, 0]
         self.order = np.lexsort((*bm.T[:2], n))
-        self.n, self.bm, self.comp = n[self.order], bm[self.order], comp[self.order]
+        self.n, self.maps, self.last, self.mid, self.comp = n[self.order], Bitmaps([raw[i] for i in self.order]), last[self.order], mid[self.order], comp[self.order]
+        bm = bm[self.order]
         self.levels = []
-        lo, hi, some, every, uniform = self.n, self.n, self.bm, self.bm, self.comp
+        lo, hi, some, every, uniform = self.n, self.n, bm, bm, self.comp
         step = LEAF
         while not self.levels or len(lo) > 1:
             at = np.arange(0, len(lo), step)
@@ -134,13 +195,14 @@ class SignatureTree:
     def _open(self, level: int, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
         """Node pairs that may hold a link between components."""
         lo, hi, some, every, uniform = self.levels[level]
-        most = np.minimum(hi[i] - _bits(every[i] & ~some[j]), hi[j] - _bits(every[j] & ~some[i]))
+        # one of the two bounds holds, whichever side has the smaller last code
+        most = np.maximum(hi[i] - _bits(every[i] & ~some[j]), hi[j] - _bits(every[j] & ~some[i]))
         most = np.minimum(most, np.minimum(hi[i], hi[j]))
         inside = (uniform[i] == uniform[j]) & (uniform[i] != np.iinfo(np.int64).min)
         return ~inside & (most * (num + den) >= num * (lo[i] + lo[j]))
 
     def leaf_pairs(self, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of different leaves that survive the dual traversal, in a fixed order."""
+        """Pairs of leaves (a leaf and itself too) that survive the dual traversal, in a fixed order."""
         i = j = np.zeros(1, dtype=np.int64)
         for level in range(len(self.levels) - 1, -1, -1):
             ok = self._open(level, i, j, num, den)
@@ -153,17 +215,15 @@ class SignatureTree:
                 ok = (a < size) & (b < size) & (a <= b)
                 i, j = a[ok], b[ok]
         order = np.lexsort((j, i))
-        i, j = i[order], j[order]
-        return i[i != j], j[i != j]
+        return i[order], j[order]
 
     def pairs(self, i: int, j: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
         """Members of two leaves (or one) whose bound reaches the threshold."""
         a, b = np.meshgrid(np.arange(i * LEAF, min(len(self.n), (i + 1) * LEAF)), np.arange(j * LEAF, min(len(self.n), (j + 1) * LEAF)), indexing="ij")
         a, b = a.ravel(), b.ravel()
-        ok = (a < b) & (self.comp[a] != self.comp[b]) & (np.minimum(self.n[a], self.n[b]) * den >= num * np.maximum(self.n[a], self.n[b]))
+        ok = (a < b) & (self.comp[a] != self.comp[b])
         a, b = a[ok], b[ok]
-        most = np.minimum(self.n[a] - _bits(self.bm[a] & ~self.bm[b]), self.n[b] - _bits(self.bm[b] & ~self.bm[a]))
-        ok = most * (num + den) >= num * (self.n[a] + self.n[b])
+        ok = _near(self.n, self.maps, self.last, self.mid, a, b, num, den)
         return self.order[a[ok]], self.order[b[ok]]
 
 
@@ -185,20 +245,16 @@ def _whole_cells(batches):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _leaf_cells(cell: np.ndarray, n: np.ndarray, bm: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of one cell each, of cells that are one leaf, by the same bounds as in a tree."""
+def _leaf_cells(cell: np.ndarray, n: np.ndarray, maps: Bitmaps, last: np.ndarray, mid: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one leaf each, by the same bounds as in a tree; rows of a leaf are neighbours."""
     out: tuple[list, list] = ([], [])
     for d in range(1, LEAF):
         a = np.flatnonzero(cell[:-d] == cell[d:]) if len(cell) > d else np.zeros(0, np.int64)
         if not len(a):
             break
-        b = a + d
-        ok = np.minimum(n[a], n[b]) * den >= num * np.maximum(n[a], n[b])
-        a, b = a[ok], b[ok]
-        most = np.minimum(n[a] - _bits(bm[a] & ~bm[b]), n[b] - _bits(bm[b] & ~bm[a]))
-        ok = most * (num + den) >= num * (n[a] + n[b])
+        ok = _near(n, maps, last, mid, a, a + d, num, den)
         out[0].append(a[ok])
-        out[1].append(b[ok])
+        out[1].append(a[ok] + d)
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
 
 
@@ -207,25 +263,27 @@ def _traverse(num: int, den: int, first: bool):
         for table in _whole_cells(batches):
             if not table.num_rows:
                 continue
-            cells, fp, n, comp, cursors = (table.column(c).to_numpy() for c in ("cell", "fp", "n", "comp", "cursor"))
-            bm = np.frombuffer(b"".join(table.column("bm").to_pylist()), dtype=np.uint64).reshape(len(fp), -1)
+            cells, fp, n, last, mid, comp, cursors = (table.column(c).to_numpy() for c in ("cell", "fp", "n", "last", "mid", "comp", "cursor"))
+            raw = table.column("bm").to_pylist()
             begin = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
             size = np.diff(np.append(begin, len(cells)))
             found: list[tuple[np.ndarray, np.ndarray]] = []
             more: list[tuple[int, int]] = []
-            if first:
-                small = np.flatnonzero(np.repeat(size <= LEAF, size))
-                a, b = _leaf_cells(cells[small], n[small], bm[small], num, den)
-                found.append((fp[small[a]], fp[small[b]]))
-            for k in np.flatnonzero(size > LEAF):
+            if first:  # leaves of a random order, another one in each cell, so that together they join a large group
+                own = np.repeat(np.arange(len(begin)), size)
+                order = np.lexsort((mix64(fp.view(np.uint64) ^ mix64(cells.view(np.uint64))), own))
+                leaf = own * (1 << 32) + (np.arange(len(cells)) - begin[own]) // LEAF
+                a, b = _leaf_cells(leaf, n[order], Bitmaps([raw[i] for i in order]), last[order], mid[order], num, den)
+                found.append((fp[order[a]], fp[order[b]]))
+            for k in [] if first else np.flatnonzero(size > LEAF):
                 at = slice(begin[k], begin[k] + size[k])
                 own = fp[at]
-                tree = SignatureTree(n[at], bm[at], comp[at])
+                tree = SignatureTree(n[at], raw[at], last[at], mid[at], comp[at])
                 width, cursor, made = len(tree.levels[0][0]), int(cursors[begin[k]]), 0
-                for i, j in [(x, x) for x in range(width)] if first else zip(*(x.tolist() for x in tree.leaf_pairs(num, den)), strict=True):
+                for i, j in zip(*(x.tolist() for x in tree.leaf_pairs(num, den)), strict=True):
                     if i * width + j < cursor:
                         continue
-                    if not first and made > QUOTA * len(own):
+                    if made > QUOTA * len(own):
                         more.append((int(cells[begin[k]]), i * width + j))
                         break
                     a, b = tree.pairs(i, j, num, den)
@@ -244,17 +302,7 @@ def _traverse(num: int, den: int, first: bool):
 
 
 def _verified(spark: SparkSession, rows: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs whose exact sets reach the threshold.
-
-    First their first codes alone are compared: up to the smaller of the two last ones, a code that one side
-    lacks is surely not in its set.
-    """
-    own = lambda side, x: classes.select(F.col("fp").alias(side), F.col("n").alias(f"n{x}"), F.col("prefix").alias(x))
-    near = pairs.join(own("a", "x"), "a").join(own("b", "y"), "b").withColumn("last", F.least(F.element_at("x", -1), F.element_at("y", -1)))
-    upto = lambda x: F.filter(x, lambda c: c <= F.col("last"))
-    misses = F.size(F.array_except(upto("x"), F.col("y"))) + F.size(F.array_except(upto("y"), F.col("x")))
-    most = F.col("nx") + F.col("ny") - misses  # twice the largest overlap
-    pairs = stored(spark, near.where(most * (num + den) >= 2 * num * (F.col("nx") + F.col("ny"))).select("a", "b"))
+    """The pairs whose exact sets reach the threshold."""
     asked = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
     asked = stored(spark, classes.join(asked, "fp").select("fp", "rep_key"))
     known = asked.withColumnRenamed("rep_key", "row_key")
@@ -262,8 +310,8 @@ def _verified(spark: SparkSession, rows: DataFrame, classes: DataFrame, pairs: D
         known = F.broadcast(known)
     sets = rows.where("text is not null").withColumn("row_key", F.xxhash64("text")).join(known, "row_key").select("fp", "text")
     sets = stored(spark, sets.mapInArrow(_codes(n), "fp long, codes array<long>").dropDuplicates(["fp"]))
-    one = pairs.join(sets.select(F.col("fp").alias("a"), F.col("codes").alias("x")), "a")
-    both = one.join(sets.select(F.col("fp").alias("b"), F.col("codes").alias("y")), "b")
+    one = pairs.join(sets.select(F.col("fp").alias("a"), F.col("codes").alias("x")).hint("merge"), "a")
+    both = one.join(sets.select(F.col("fp").alias("b"), F.col("codes").alias("y")).hint("merge"), "b")
     same = F.size(F.array_intersect("x", "y"))
     return both.where(same * (num + den) >= num * (F.size("x") + F.size("y"))).select("a", "b")
 
@@ -280,7 +328,7 @@ def groups(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den:
     members = cells.join(shared, "code").withColumn("m", F.ceil(F.col("size") / block).cast("int")).withColumn("i", F.pmod(F.xxhash64("fp"), F.col("m")).cast("int"))
     members = members.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     members = members.select("fp", F.xxhash64("code", F.least("i", "j"), F.greatest("i", "j")).alias("cell"))
-    cells = stored(spark, members.join(classes.select("fp", "n", "bm"), "fp").withColumn("cursor", F.lit(0).cast("long")))
+    cells = stored(spark, members.join(classes.select("fp", "n", "bm", F.when(F.col("n") <= WHOLE, (1 << 63) - 1).otherwise(F.element_at("prefix", -1)).alias("last"), F.when(F.col("n") <= WHOLE, (1 << 63) - 1).otherwise(F.element_at("prefix", F.greatest(F.lit(1), F.floor(F.size("prefix") / 2).cast("int")))).alias("mid")), "fp").withColumn("cursor", F.lit(0).cast("long")))
     width = shuffle_width(spark)
 
     def traverse(part: DataFrame, first: bool) -> DataFrame:

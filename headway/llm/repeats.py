@@ -245,7 +245,7 @@ def spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, *, id_col:
     texts = text_rows(docs, id_col, text_col).where("text is not null").select(F.xxhash64("text").alias("row_key"), "text")
     raw = stored(spark, texts.mapInArrow(_anchors(length, gram), _RAW))
     shared = raw.groupBy("anchor").agg(F.count("*").alias("places"), (F.min("whole") != F.max("whole")).alias("mixed")).where("places > 1").select("anchor", "mixed")
-    several = stored(spark, raw.join(stored(spark, shared), "anchor"))
+    several = stored(spark, raw.join(stored(spark, shared).hint("merge"), "anchor"))
     cover = F.col("start") + F.col("windows") - 1 + length
     alike = several.where("not mixed").select("row_key", "start", cover.alias("end"))
     place = F.struct("row_key", "start")
@@ -257,7 +257,7 @@ def spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, *, id_col:
     asked = stored(spark, asked)
     if asked.count() <= BROADCAST_ROWS:
         texts = texts.join(F.broadcast(asked.select("row_key")), "row_key", "left_semi")
-    segments = stored(spark, texts.dropDuplicates(["row_key"]).join(asked, "row_key").select("text", "asked").mapInArrow(_cut, "anchor long, whole long, copies long, windows int, place int, bytes binary, start int"))
+    segments = stored(spark, texts.dropDuplicates(["row_key"]).join(asked.hint("merge"), "row_key").select("text", "asked").mapInArrow(_cut, "anchor long, whole long, copies long, windows int, place int, bytes binary, start int"))
     keyed, settled = _split(spark, segments, length, gram, hot)
     dealt = keyed.repartition(shuffle_width(spark), "key").sortWithinPartitions("key")
     found = dealt.mapInArrow(_collections(length, gram), "anchor long, whole long, start int, end int")
@@ -298,5 +298,5 @@ def report(spark: SparkSession, docs: DataFrame, length: int = LENGTH, *, id_col
     cuts = stored(spark, spans(spark, docs, length, id_col=id_col, text_col=text_col, **options))
     rows = text_rows(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    both = rows.withColumn("row_key", F.xxhash64("text")).join(cuts, "row_key", "left").select("doc_id", "text", "cuts")
+    both = rows.withColumn("row_key", F.xxhash64("text")).join(cuts.hint("merge"), "row_key", "left").select("doc_id", "text", "cuts")
     return both.mapInArrow(_kept, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
