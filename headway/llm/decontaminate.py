@@ -176,6 +176,7 @@ def _cut(table, column: str):
 def remove(spark: SparkSession, docs: DataFrame, bench: DataFrame, n: int = 10, *, drop_documents: bool = True, text_col: str = "text", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """docs without contaminated documents, or (``drop_documents=False``) without the hit spans."""
     columns = docs.columns
+    docs, text_col = docs.toDF(*[f"c{i}" for i in range(len(columns))]), f"c{columns.index(text_col)}"  # any names will do
     windows = benchmark_windows(bench, n)
     total = windows.count()
     blocks = 1 if total <= block_windows else 2 * total // block_windows + 1
@@ -186,4 +187,4 @@ def remove(spark: SparkSession, docs: DataFrame, bench: DataFrame, n: int = 10,
         out = out.mapInArrow(_cut(spark.sparkContext.broadcast(_table(part)), text_col), kinds).withColumn("_any", F.col("_any") | F.col("_hit")).drop("_hit")
         if drop_documents:
             out = out.where(~F.col("_any"))
-    return out.select(*[F.col(f"`{c}`") for c in columns])
+    return out.drop("_any").toDF(*columns)
