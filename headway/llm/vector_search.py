@@ -39,7 +39,7 @@ def integer_vectors(vectors: DataFrame, scale: int = 1024, id_col: str = "vec_id
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), v.alias("x")).where(F.col("vec_id").isNotNull() & (F.size("x") > 0))
     finite = F.forall("x", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     small = F.forall("x", lambda x: F.abs(x) < float((1 << 24) // scale))
-    checked = F.when(~finite, F.lit(None)).when(small, F.transform("x", lambda x: F.floor(x * scale).cast("int"))).otherwise(F.raise_error(F.lit("a scaled component is 2**24 or more")))
+    checked = F.when(~F.coalesce(finite, F.lit(False)), F.lit(None)).when(small, F.transform("x", lambda x: F.floor(x * scale).cast("int"))).otherwise(F.raise_error(F.lit("a scaled component is 2**24 or more")))
     return rows.select("vec_id", checked.alias("v")).where("v is not null")
 
 
