@@ -4,17 +4,18 @@
    here on, so copies are never compared.
 2. Codes have a common order, long words first.  Two sets that reach the threshold must share one of
    their first n - ceil(t * n) + 1 codes; codes that only one class has there are dropped, and the others
-   are the cells of the join.  A cell of over ``BLOCK`` classes becomes cells for all pairs of its
-   blocks, which bounds what a task holds.
-3. In a cell a signature tree is built over the classes in the order of size and bitmap of first codes: its
-   nodes hold the OR and the AND of their bitmaps and their range of sizes.  A dual traversal descends from
-   the pair (root, root) and prunes a node pair if its maximum possible overlap (sizes, less bits that one
+   are the cells of the join.  Of cells with the same classes one stays.  A cell of over ``BLOCK`` classes becomes
+   cells for all pairs of its blocks, which bounds what a task holds.
+3. In a cell a signature tree is built over the classes in the order of size and bitmap: its nodes hold the OR
+   and the AND of their members' bitmaps and their range of sizes.  A dual traversal descends from the
+   pair (root, root) and prunes a node pair if its maximum possible overlap (sizes, less bits that one
    side surely has and the other surely lacks) can't reach the threshold.
-4. The first round takes the pairs inside the leaves of a random order of each cell; what survives is verified
-   on the exact sets.  The components of the links found are then known to the trees: a node pair
-   inside one component is pruned.  Later rounds take all other leaf pairs, up to ``QUOTA`` pairs a class
-   and round, from where the cell stopped, until no cell has any left.  So no link between components
-   is lost, and a large group of near copies costs about as many pairs as it has classes, not their square.
+4. The first round takes a few neighbours in a random order of each cell; what survives is verified on the exact
+   sets.  The components of the links found are then known to the trees: a node pair inside one
+   component is pruned, and cells of one component are left out.  Later rounds take all other leaf pairs,
+   up to ``QUOTA`` pairs a class and round, from where the cell stopped, until no cell has any left.  So no link
+   between components is lost, and a large group of near copies costs about as many pairs as it has
+   classes, not their square.
 
 Edge cases: a text of fewer words than a shingle has the whole word sequence as its one shingle; null texts
 and texts without words have an empty set and link with nothing; repeated rows are one class; rows with
@@ -33,8 +34,9 @@ from headway.llm.shared import shuffle_width, stored, text_rows
 from headway.llm.textvec import NONSPACE, Words, chunks, mix64
 
 BITS = 512
-WHOLE = 250  # sets of up to so many codes have all of them in their bitmaps, larger ones their first codes
 LEAF = 16
+NEIGHBOURS = 2  # in round one; cells of one more class are done then
+HELD = 8_000_000  # bytes of bitmaps compared at once
 FANOUT = 4
 BLOCK = 2000
 QUOTA = 100
@@ -64,17 +66,10 @@ def _sets(part: pa.RecordBatch, n: int) -> list[np.ndarray]:
     return out
 
 
-def _part(n: int) -> int:
-    """How many of n first codes the second half of a bitmap has."""
-    return max(1, n // 2)
-
-
-def _bitmap(codes: np.ndarray, part: int) -> bytes:
-    """Two bitmaps, of all codes and of the first ``part``: at least ``BITS`` bits each, at least 4 for each code, a power of two."""
-    at = (mix64(codes) % np.uint64(max(BITS, 1 << int(4 * len(codes) - 1).bit_length()))).astype(np.int64)
-    bits = np.zeros((2, max(BITS, 1 << int(4 * len(codes) - 1).bit_length())), dtype=bool)
-    bits[0, at] = True
-    bits[1, at[:part]] = True
+def _bitmap(codes: np.ndarray) -> bytes:
+    """At least ``BITS`` bits and at least 4 for each code, a power of two."""
+    bits = np.zeros(max(BITS, 1 << int(4 * len(codes) - 1).bit_length()), dtype=bool)
+    bits[(mix64(codes) % np.uint64(len(bits))).astype(np.int64)] = True
     return np.packbits(bits).tobytes()
 
 
@@ -99,7 +94,8 @@ def _digest(n: int, num: int, den: int):
                 size = [len(s) for s in sets]
                 fp = [_fingerprint(s) for s in sets]
                 prefix = [_signed(s[: len(s) - -(-len(s) * num // den) + 1]) if len(s) else np.zeros(0, np.int64) for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size, pa.int64()), pa.array(fp, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array([(_bitmap(s, len(s)) if len(s) <= WHOLE else _bitmap(p.view(np.uint64), _part(len(p)))) if len(p) else None for s, p in zip(sets, prefix, strict=True)], pa.binary())], ["doc_id", "n", "fp", "prefix", "bm"])
+                bm = [_bitmap(s) if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size, pa.int64()), pa.array(fp, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bm, pa.binary())], ["doc_id", "n", "fp", "prefix", "bm"])
 
     return run
 
@@ -114,70 +110,61 @@ def _codes(n: int):
     return run
 
 
-_POP = np.array([bin(i).count("1") for i in range(1 << 16)], dtype=np.uint8)
-
-
 def _bits(x: np.ndarray) -> np.ndarray:
-    return _POP[x.view(np.uint16)].sum(axis=-1, dtype=np.int32)
+    return np.bitwise_count(x).sum(axis=-1, dtype=np.int64)
 
 
 class Bitmaps:
-    """Pairs of bitmaps of different widths; wider ones are folded to the other's width by OR."""
+    """Bitmaps of different widths; wider ones are folded to the other's width by OR."""
 
     def __init__(self, raw: list[bytes]) -> None:
         self.raw = raw
-        self.width = np.fromiter(map(len, raw), np.int64, len(raw)) // 2
+        self.width = np.fromiter(map(len, raw), np.int64, len(raw))
         self.known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def folded(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """(row of each in the table, table of both bitmaps in 64-bit words) of all that are as wide or wider."""
+        """(row of each in the table, table of 64-bit words) of all that are as wide or wider."""
         if width not in self.known:
             place, parts, done = np.full(len(self.raw), -1), [], 0
             for w in np.unique(self.width[self.width >= width]):
                 rows = np.flatnonzero(self.width == w)
-                m = np.frombuffer(b"".join([self.raw[i] for i in rows]), dtype=np.uint64).reshape(len(rows), 2, -1, width // 8)
-                parts.append(np.bitwise_or.reduce(m, axis=2))
+                m = np.frombuffer(b"".join([self.raw[i] for i in rows]), dtype=np.uint64).reshape(len(rows), -1, width // 8)
+                parts.append(np.bitwise_or.reduce(m, axis=1))
                 place[rows] = done + np.arange(len(rows))
                 done += len(rows)
             self.known[width] = place, np.concatenate(parts)
         return self.known[width]
 
-    def misses(self, x: np.ndarray, y: np.ndarray, half: int = 0) -> np.ndarray:
-        """Bits of x (of its first or second bitmap) that y's first one lacks, pair by pair."""
-        out, width = np.zeros(len(x), dtype=np.int64), np.minimum(self.width[x], self.width[y])
+    def misses(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pair by pair: bits of x that y lacks, and bits of y that x lacks."""
+        out, width = np.zeros((2, len(x)), dtype=np.int64), np.minimum(self.width[x], self.width[y])
         for w in np.unique(width):
-            at = np.flatnonzero(width == w)
             place, m = self.folded(int(w))
-            out[at] = _bits(m[place[x[at]], half] & ~m[place[y[at]], 0])
-        return out
+            rows = np.flatnonzero(width == w)
+            for at in np.array_split(rows, -(-len(rows) * int(w) // HELD)):
+                p, q = m[place[x[at]]], m[place[y[at]]]
+                out[0, at], out[1, at] = _bits(p & ~q), _bits(q & ~p)
+        return out[0], out[1]
 
 
-def _near(n: np.ndarray, maps: Bitmaps, last: np.ndarray, mid: np.ndarray, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Pairs that can reach the threshold by their sizes and bitmaps.
-
-    The first bitmap holds all codes of its set up to ``last``, the second all up to ``mid``.  So a bit of x's first
-    one that y's lacks is a code that y lacks, if x's last code is the smaller; and a bit of y's second one
-    that x's first lacks is a code that x lacks, if y's mid code isn't above x's last.
-    """
+def _near(n: np.ndarray, maps: Bitmaps, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Pairs that can reach the threshold by their sizes and bitmaps: a bit that the other lacks is a code that it lacks."""
     fits = np.minimum(n[a], n[b]) * den >= num * np.maximum(n[a], n[b])
     at = np.flatnonzero(fits)
     a, b = a[at], b[at]
-    x, y = np.where(last[a] <= last[b], a, b), np.where(last[a] <= last[b], b, a)
-    most = np.minimum(n[x] - maps.misses(x, y), n[y])
-    back = np.flatnonzero(mid[y] <= last[x])
-    most[back] = np.minimum(most[back], n[y[back]] - maps.misses(y[back], x[back], 1))
-    fits[at] = most * (num + den) >= num * (n[a] + n[b])
+    one, other = maps.misses(a, b)
+    fits[at] = np.minimum(n[a] - one, n[b] - other) * (num + den) >= num * (n[a] + n[b])
     return fits
 
 
 class SignatureTree:
     """Levels from leaves to root; ``lo``, ``hi``: sizes; ``any``, ``all``: OR and AND of bitmaps; ``comp``: -1 if mixed."""
 
-    def __init__(self, n: np.ndarray, raw: list[bytes], last: np.ndarray, mid: np.ndarray, comp: np.ndarray) -> None:
+    def __init__(self, n: np.ndarray, raw: list[bytes], comp: np.ndarray, blk: np.ndarray) -> None:
         place, m = Bitmaps(raw).folded(BITS // 8)
-        bm = m[place, 0]
+        bm = m[place]
         self.order = np.lexsort((*bm.T[:2], n))
-        self.n, self.maps, self.last, self.mid, self.comp = n[self.order], Bitmaps([raw[i] for i in self.order]), last[self.order], mid[self.order], comp[self.order]
+        self.n, self.maps, self.comp, self.blk = n[self.order], Bitmaps([raw[i] for i in self.order]), comp[self.order], blk[self.order]
         bm = bm[self.order]
         self.levels = []
         lo, hi, some, every, uniform = self.n, self.n, bm, bm, self.comp
@@ -195,9 +182,7 @@ class SignatureTree:
     def _open(self, level: int, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
         """Node pairs that may hold a link between components."""
         lo, hi, some, every, uniform = self.levels[level]
-        # one of the two bounds holds, whichever side has the smaller last code
-        most = np.maximum(hi[i] - _bits(every[i] & ~some[j]), hi[j] - _bits(every[j] & ~some[i]))
-        most = np.minimum(most, np.minimum(hi[i], hi[j]))
+        most = np.minimum(hi[i] - _bits(every[i] & ~some[j]), hi[j] - _bits(every[j] & ~some[i]))
         inside = (uniform[i] == uniform[j]) & (uniform[i] != np.iinfo(np.int64).min)
         return ~inside & (most * (num + den) >= num * (lo[i] + lo[j]))
 
@@ -217,13 +202,18 @@ class SignatureTree:
         order = np.lexsort((j, i))
         return i[order], j[order]
 
-    def pairs(self, i: int, j: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-        """Members of two leaves (or one) whose bound reaches the threshold."""
-        a, b = np.meshgrid(np.arange(i * LEAF, min(len(self.n), (i + 1) * LEAF)), np.arange(j * LEAF, min(len(self.n), (j + 1) * LEAF)), indexing="ij")
-        a, b = a.ravel(), b.ravel()
-        ok = (a < b) & (self.comp[a] != self.comp[b])
+    def pairs(self, i: np.ndarray, j: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+        """Members of the leaf pairs whose bound reaches the threshold; of two blocks, only pairs across."""
+        at = np.arange(LEAF)
+        a = (i[:, None, None] * LEAF + at[None, :, None] + 0 * at[None, None, :]).ravel()
+        b = (j[:, None, None] * LEAF + at[None, None, :] + 0 * at[None, :, None]).ravel()
+        ok = (a < b) & (b < len(self.n))
+        a, b = a[ok], b[ok]
+        ok = self.comp[a] != self.comp[b]
+        if self.blk.min() != self.blk.max():
+            ok &= self.blk[a] != self.blk[b]
         a, b = a[ok], b[ok]
-        ok = _near(self.n, self.maps, self.last, self.mid, a, b, num, den)
+        ok = _near(self.n, self.maps, a, b, num, den)
         return self.order[a[ok]], self.order[b[ok]]
 
 
@@ -245,17 +235,15 @@ def _whole_cells(batches):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _leaf_cells(cell: np.ndarray, n: np.ndarray, maps: Bitmaps, last: np.ndarray, mid: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of one leaf each, by the same bounds as in a tree; rows of a leaf are neighbours."""
+def _neighbours(cell: np.ndarray, most: int, n: np.ndarray, maps: Bitmaps, comp: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of up to ``most`` rows apart in a cell, by the same bounds as in a tree; rows of a cell are neighbours."""
     out: tuple[list, list] = ([], [])
-    for d in range(1, LEAF):
-        a = np.flatnonzero(cell[:-d] == cell[d:]) if len(cell) > d else np.zeros(0, np.int64)
-        if not len(a):
-            break
-        ok = _near(n, maps, last, mid, a, a + d, num, den)
+    for d in range(1, most + 1):
+        a = np.flatnonzero((cell[:-d] == cell[d:]) & (comp[:-d] != comp[d:])) if len(cell) > d else np.zeros(0, np.int64)
+        ok = _near(n, maps, a, a + d, num, den)
         out[0].append(a[ok])
         out[1].append(a[ok] + d)
-    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
+    return tuple(np.concatenate(x) for x in out)
 
 
 def _traverse(num: int, den: int, first: bool):
@@ -263,32 +251,36 @@ def _traverse(num: int, den: int, first: bool):
         for table in _whole_cells(batches):
             if not table.num_rows:
                 continue
-            cells, fp, n, last, mid, comp, cursors = (table.column(c).to_numpy() for c in ("cell", "fp", "n", "last", "mid", "comp", "cursor"))
+            cells, fp, n, comp, blk, cursors = (table.column(c).to_numpy() for c in ("cell", "fp", "n", "comp", "blk", "cursor"))
             raw = table.column("bm").to_pylist()
             begin = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
             size = np.diff(np.append(begin, len(cells)))
+            own = np.repeat(np.arange(len(begin)), size)
             found: list[tuple[np.ndarray, np.ndarray]] = []
             more: list[tuple[int, int]] = []
-            if first:  # leaves of a random order, another one in each cell, so that together they join a large group
-                own = np.repeat(np.arange(len(begin)), size)
+            if first:  # another random order in each cell, so that together they join a large group
                 order = np.lexsort((mix64(fp.view(np.uint64) ^ mix64(cells.view(np.uint64))), own))
-                leaf = own * (1 << 32) + (np.arange(len(cells)) - begin[own]) // LEAF
-                a, b = _leaf_cells(leaf, n[order], Bitmaps([raw[i] for i in order]), last[order], mid[order], num, den)
+            else:  # cells of a leaf's size have no tree
+                order = np.flatnonzero((size <= LEAF)[own])
+            if len(order):
+                a, b = _neighbours(own[order], NEIGHBOURS if first else LEAF - 1, n[order], Bitmaps([raw[i] for i in order]), comp[order], num, den)
                 found.append((fp[order[a]], fp[order[b]]))
             for k in [] if first else np.flatnonzero(size > LEAF):
                 at = slice(begin[k], begin[k] + size[k])
-                own = fp[at]
-                tree = SignatureTree(n[at], raw[at], last[at], mid[at], comp[at])
-                width, cursor, made = len(tree.levels[0][0]), int(cursors[begin[k]]), 0
-                for i, j in zip(*(x.tolist() for x in tree.leaf_pairs(num, den)), strict=True):
-                    if i * width + j < cursor:
-                        continue
-                    if made > QUOTA * len(own):
-                        more.append((int(cells[begin[k]]), i * width + j))
+                mine = fp[at]
+                tree = SignatureTree(n[at], raw[at], comp[at], blk[at])
+                width, made = len(tree.levels[0][0]), 0
+                i, j = tree.leaf_pairs(num, den)
+                place = i * width + j
+                go = int(np.searchsorted(place, cursors[begin[k]]))
+                while go < len(i):
+                    if made > QUOTA * len(mine):
+                        more.append((int(cells[begin[k]]), int(place[go])))
                         break
-                    a, b = tree.pairs(i, j, num, den)
+                    a, b = tree.pairs(i[go : go + 256], j[go : go + 256], num, den)
                     made += len(a)
-                    found.append((own[a], own[b]))
+                    found.append((mine[a], mine[b]))
+                    go += 256
             a, b = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
             a, b = np.minimum(a, b), np.maximum(a, b)
             order = np.lexsort((b, a))
@@ -304,11 +296,11 @@ def _traverse(num: int, den: int, first: bool):
 def _verified(spark: SparkSession, rows: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs whose exact sets reach the threshold."""
     asked = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    asked = stored(spark, classes.join(asked, "fp").select("fp", "rep_key"))
+    asked = stored(spark, classes.join(asked, "fp").select("fp", "rep_key", F.col("key_id").alias("row_id")))
     known = asked.withColumnRenamed("rep_key", "row_key")
     if asked.count() <= BROADCAST_IDS:
         known = F.broadcast(known)
-    sets = rows.where("text is not null").withColumn("row_key", F.xxhash64("text")).join(known, "row_key").select("fp", "text")
+    sets = rows.where("text is not null").withColumn("row_key", F.xxhash64("text")).join(known, "row_key").where(F.col("doc_id").eqNullSafe(F.col("row_id"))).select("fp", "text")
     sets = stored(spark, sets.mapInArrow(_codes(n), "fp long, codes array<long>").dropDuplicates(["fp"]))
     one = pairs.join(sets.select(F.col("fp").alias("a"), F.col("codes").alias("x")).hint("merge"), "a")
     both = one.join(sets.select(F.col("fp").alias("b"), F.col("codes").alias("y")).hint("merge"), "b")
@@ -321,28 +313,37 @@ def groups(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den:
     rows = text_rows(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
     digests = stored(spark, rows.withColumn("row_key", F.xxhash64("text")).mapInArrow(_with_key(_digest(n, num, den)), f"doc_id {kind}, row_key long, n long, fp long, prefix array<long>, bm binary"))
-    classes = digests.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("row_key").alias("rep_key"), F.first("n").alias("n"), F.min(F.struct("row_key", "prefix", "bm")).alias("own"))
-    classes = stored(spark, classes.select("fp", "rep", "rep_key", "n", "own.prefix", "own.bm"))
+    classes = digests.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("row_key").alias("rep_key"), F.first("n").alias("n"), F.min(F.struct("row_key", "doc_id", "prefix", "bm")).alias("own"))
+    classes = stored(spark, classes.select("fp", "rep", "rep_key", F.col("own.doc_id").alias("key_id"), "n", "own.prefix", "own.bm"))
     cells = classes.select("fp", F.explode_outer("prefix").alias("code"))
-    shared = stored(spark, cells.groupBy("code").agg(F.count("*").alias("size")).where("size > 1"))
-    members = cells.join(shared, "code").withColumn("m", F.ceil(F.col("size") / block).cast("int")).withColumn("i", F.pmod(F.xxhash64("fp"), F.col("m")).cast("int"))
-    members = members.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    members = members.select("fp", F.xxhash64("code", F.least("i", "j"), F.greatest("i", "j")).alias("cell"))
-    cells = stored(spark, members.join(classes.select("fp", "n", "bm", F.when(F.col("n") <= WHOLE, (1 << 63) - 1).otherwise(F.element_at("prefix", -1)).alias("last"), F.when(F.col("n") <= WHOLE, (1 << 63) - 1).otherwise(F.element_at("prefix", F.greatest(F.lit(1), F.floor(F.size("prefix") / 2).cast("int")))).alias("mid")), "fp").withColumn("cursor", F.lit(0).cast("long")))
+    shared = cells.groupBy("code").agg(F.count("*").alias("size")).where("size > 1")
+    members = stored(spark, cells.join(stored(spark, shared), "code").select("fp", "code", "size"))
+    # of cells with the same classes, by count and two hashes of them, one stays
+    stamps = members.groupBy("code", "size").agg(F.bit_xor(F.xxhash64("fp")).alias("x"), F.sum(F.xxhash64("fp", F.lit(1)).bitwiseAND((1 << 32) - 1)).alias("y"))
+    kept = stored(spark, stamps.groupBy("size", "x", "y").agg(F.min("code").alias("code")).select("code"))
+    members = members.join(kept, "code").withColumn("m", F.ceil(F.col("size") / block).cast("int")).withColumn("blk", F.pmod(F.xxhash64("fp", "code"), F.col("m")).cast("int"))
+    members = stored(spark, members)
+    maps = classes.select("fp", "n", "bm")
     width = shuffle_width(spark)
 
     def traverse(part: DataFrame, first: bool) -> DataFrame:
-        dealt = part.repartition(width, "cell").sortWithinPartitions("cell", "fp")
+        dealt = part.join(maps, "fp").repartition(width, "cell").sortWithinPartitions("cell", "fp")
         return stored(spark, dealt.mapInArrow(_traverse(num, den, first), "a long, b long, cell long, cursor long"))
 
-    pairs = traverse(cells.withColumn("comp", F.col("fp")), True).select("a", "b").distinct()
-    links = stored(spark, _verified(spark, rows, classes, stored(spark, pairs), n, num, den))
+    start = members.select("fp", F.col("fp").alias("comp"), F.xxhash64("code", "blk").alias("cell"), "blk", F.lit(0).cast("long").alias("cursor"))
+    pairs = stored(spark, traverse(start, True).select("a", "b").distinct())
+    links = stored(spark, _verified(spark, rows, classes, pairs, n, num, den))
     comps = stored(spark, components(spark, links))
-    large = cells.groupBy("cell").count().where(F.col("count") > LEAF).select("cell")
-    todo = stored(spark, cells.join(large, "cell"))
+
+    def named_by(part: DataFrame) -> DataFrame:
+        return part.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("component", "fp")).drop("component")
+
+    now = stored(spark, named_by(members.where((F.col("size") > NEIGHBOURS + 1) | (F.col("m") > 1))))
+    mixed = now.groupBy("code").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("code")
+    todo = now.join(mixed, "code").drop("comp").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    todo = stored(spark, todo.select("fp", F.xxhash64("code", F.least("blk", "other"), F.greatest("blk", "other")).alias("cell"), "blk", F.lit(0).cast("long").alias("cursor")))
     while not todo.isEmpty():
-        known = todo.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("component", "fp")).drop("component")
-        found = traverse(known, False)
+        found = traverse(named_by(todo), False)
         pairs = stored(spark, found.where("a is not null").select("a", "b").distinct())
         if not pairs.isEmpty():
             links = links.unionByName(stored(spark, _verified(spark, rows, classes, pairs, n, num, den)))
