@@ -4,13 +4,15 @@
    here on, so copies are never compared.
 2. Codes have a common order, long words first.  Two sets that reach the threshold must share one of
    their first n - ceil(t * n) + 1 codes; codes that only one class has there are dropped, and the others
-   are the cells of the join.  Of cells with the same classes one stays.  A cell of over ``BLOCK`` classes becomes
+   are split by size: as linked sets differ in size by the threshold at most, each two neighbouring steps of a
+   scale of sizes are a cell of the join.  Of cells with the same classes one stays.  A cell of over ``BLOCK`` classes becomes
    cells for all pairs of its blocks, which bounds what a task holds.
 3. In a cell a signature tree is built over the classes in the order of size and bitmap: its nodes hold the OR
    and the AND of their members' bitmaps and their range of sizes.  A dual traversal descends from the
    pair (root, root) and prunes a node pair if its maximum possible overlap (sizes, less bits that one
    side surely has and the other surely lacks) can't reach the threshold.
-4. The first round takes a few neighbours in a random order of each cell; what survives is verified on the exact
+4. The first round takes a few neighbours in the order of bitmaps of each cell, read from another place in
+   each, so that like sets meet; what survives is verified on the exact
    sets.  The components of the links found are then known to the trees: a node pair inside one
    component is pruned, and cells of one component are left out.  Later rounds take all other leaf pairs,
    up to ``QUOTA`` pairs a class and round, from where the cell stopped, until no cell has any left.  So no link
@@ -24,6 +26,8 @@ null id take part, the smallest non-null id names the component; other columns a
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -258,8 +262,10 @@ def _traverse(num: int, den: int, first: bool):
             own = np.repeat(np.arange(len(begin)), size)
             found: list[tuple[np.ndarray, np.ndarray]] = []
             more: list[tuple[int, int]] = []
-            if first:  # another random order in each cell, so that together they join a large group
-                order = np.lexsort((mix64(fp.view(np.uint64) ^ mix64(cells.view(np.uint64))), own))
+            if first:  # another order in each cell, so that together they join a large group
+                place, m = Bitmaps(raw).folded(BITS // 8)
+                turn = (mix64(cells.view(np.uint64))[:, None] + np.arange(m.shape[1], dtype=np.uint64)) % np.uint64(m.shape[1])
+                order = np.lexsort((*np.take_along_axis(m[place], turn.astype(np.int64), 1).T, own))
             else:  # cells of a leaf's size have no tree
                 order = np.flatnonzero((size <= LEAF)[own])
             if len(order):
@@ -315,13 +321,15 @@ def groups(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den:
     digests = stored(spark, rows.withColumn("row_key", F.xxhash64("text")).mapInArrow(_with_key(_digest(n, num, den)), f"doc_id {kind}, row_key long, n long, fp long, prefix array<long>, bm binary"))
     classes = digests.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("row_key").alias("rep_key"), F.first("n").alias("n"), F.min(F.struct("row_key", "doc_id", "prefix", "bm")).alias("own"))
     classes = stored(spark, classes.select("fp", "rep", "rep_key", F.col("own.doc_id").alias("key_id"), "n", "own.prefix", "own.bm"))
-    cells = classes.select("fp", F.explode_outer("prefix").alias("code"))
+    scale = 1.001 * max(0.01, math.log(den / num))  # sets whose sizes allow a link are at most one step apart
+    cells = classes.select("fp", F.floor(F.log("n") / scale).alias("step"), F.explode_outer("prefix").alias("code"))
     shared = cells.groupBy("code").agg(F.count("*").alias("size")).where("size > 1")
-    members = stored(spark, cells.join(stored(spark, shared), "code").select("fp", "code", "size"))
+    sized = cells.join(stored(spark, shared).select("code"), "code").withColumn("step", F.explode(F.array("step", F.col("step") - 1)))
+    sized = stored(spark, sized.select("fp", F.xxhash64("code", "step").alias("code")))
     # of cells with the same classes, by count and two hashes of them, one stays
-    stamps = members.groupBy("code", "size").agg(F.bit_xor(F.xxhash64("fp")).alias("x"), F.sum(F.xxhash64("fp", F.lit(1)).bitwiseAND((1 << 32) - 1)).alias("y"))
-    kept = stored(spark, stamps.groupBy("size", "x", "y").agg(F.min("code").alias("code")).select("code"))
-    members = members.join(kept, "code").withColumn("m", F.ceil(F.col("size") / block).cast("int")).withColumn("blk", F.pmod(F.xxhash64("fp", "code"), F.col("m")).cast("int"))
+    stamps = sized.groupBy("code").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.sum(F.xxhash64("fp", F.lit(1)).bitwiseAND((1 << 32) - 1)).alias("y")).where("size > 1")
+    kept = stored(spark, stamps.groupBy("size", "x", "y").agg(F.min("code").alias("code")).select("code", "size"))
+    members = sized.join(kept, "code").withColumn("m", F.ceil(F.col("size") / block).cast("int")).withColumn("blk", F.pmod(F.xxhash64("fp", "code"), F.col("m")).cast("int"))
     members = stored(spark, members)
     maps = classes.select("fp", "n", "bm")
     width = shuffle_width(spark)
