@@ -214,8 +214,10 @@ def fit(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_co
     z, n = np.zeros((1 << BITS, len(langs))), np.zeros((1 << BITS, len(langs)))
     sent = spark.sparkContext.broadcast(idf)
     for epoch in range(EPOCHS):
-        shares = sample.where(F.col("part") % 5 != 0).repartition(WORKERS, "part").select("text", "lang")
-        out = shares.mapInArrow(_train(sent, langs, spark.sparkContext.broadcast((z, n)), epoch), "seen long, z binary, n binary").collect()  # a state a worker
+        shares = sample.where(F.col("part") % 5 != 0).repartition(WORKERS, F.floor(F.col("part") / 5)).select("text", "lang")
+        state = spark.sparkContext.broadcast((z, n))
+        out = shares.mapInArrow(_train(sent, langs, state, epoch), "seen long, z binary, n binary").collect()  # at most WORKERS states
+        state.destroy()
         seen = sum(r.seen for r in out)
         if not seen:
             break
@@ -224,6 +226,8 @@ def fit(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_co
     weights = (_State(z, n).weights() * idf[:, None]).T.astype(np.float32).copy()
     raw = spark.sparkContext.broadcast((weights, langs, 1.0))
     scored = sample.where(F.col("part") % 5 == 0).select("text", "lang").mapInArrow(_calibration(raw), "y int, s array<double>").collect()  # a part of the bounded sample
+    sent.destroy()
+    raw.destroy()
     return Model(weights, langs, _temperature(scored))
 
 
