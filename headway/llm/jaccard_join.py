@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headway.llm.components import components
-from headway.llm.shared import shuffle_width, stored, text_rows
+from headway.llm.shared import drop_stored, shuffle_width, stored, text_rows
 from headway.llm.textvec import NONSPACE, Words, chunks, mix64
 
 BITS = 512
@@ -71,8 +71,8 @@ def _sets(part: pa.RecordBatch, n: int) -> list[np.ndarray]:
 
 
 def _bitmap(codes: np.ndarray) -> bytes:
-    """At least ``BITS`` bits and at least 4 for each code, a power of two."""
-    bits = np.zeros(max(BITS, 1 << int(4 * len(codes) - 1).bit_length()), dtype=bool)
+    """At least ``BITS`` bits and at least one for each code, a power of two: enough to refute most sets that miss the threshold."""
+    bits = np.zeros(max(BITS, 1 << int(len(codes) - 1).bit_length()), dtype=bool)
     bits[(mix64(codes) % np.uint64(len(bits))).astype(np.int64)] = True
     return np.packbits(bits).tobytes()
 
@@ -300,7 +300,7 @@ def _traverse(num: int, den: int, first: bool):
 
 
 def _verified(spark: SparkSession, rows: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs whose exact sets reach the threshold."""
+    """The pairs whose exact sets reach the threshold, stored."""
     asked = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
     asked = stored(spark, classes.join(asked, "fp").select("fp", "rep_key", F.col("key_id").alias("row_id")))
     known = asked.withColumnRenamed("rep_key", "row_key")
@@ -311,7 +311,10 @@ def _verified(spark: SparkSession, rows: DataFrame, classes: DataFrame, pairs: D
     one = pairs.join(sets.select(F.col("fp").alias("a"), F.col("codes").alias("x")).hint("merge"), "a")
     both = one.join(sets.select(F.col("fp").alias("b"), F.col("codes").alias("y")).hint("merge"), "b")
     same = F.size(F.array_intersect("x", "y"))
-    return both.where(same * (num + den) >= num * (F.size("x") + F.size("y"))).select("a", "b")
+    links = stored(spark, both.where(same * (num + den) >= num * (F.size("x") + F.size("y"))).select("a", "b"))
+    for done in (asked, sets):
+        drop_stored(spark, done)
+    return links
 
 
 def groups(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, *, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -324,13 +327,16 @@ def groups(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den:
     scale = 1.001 * max(0.01, math.log(den / num))  # sets whose sizes allow a link are at most one step apart
     cells = classes.select("fp", F.floor(F.log("n") / scale).alias("step"), F.explode_outer("prefix").alias("code"))
     shared = cells.groupBy("code").agg(F.count("*").alias("size")).where("size > 1")
-    sized = cells.join(stored(spark, shared).select("code"), "code").withColumn("step", F.explode(F.array("step", F.col("step") - 1)))
+    shared = stored(spark, shared.select("code"))
+    sized = cells.join(shared, "code").withColumn("step", F.explode(F.array("step", F.col("step") - 1)))
     sized = stored(spark, sized.select("fp", F.xxhash64("code", "step").alias("code")))
     # of cells with the same classes, by count and two hashes of them, one stays
     stamps = sized.groupBy("code").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.sum(F.xxhash64("fp", F.lit(1)).bitwiseAND((1 << 32) - 1)).alias("y")).where("size > 1")
     kept = stored(spark, stamps.groupBy("size", "x", "y").agg(F.min("code").alias("code")).select("code", "size"))
     members = sized.join(kept, "code").withColumn("m", F.ceil(F.col("size") / block).cast("int")).withColumn("blk", F.pmod(F.xxhash64("fp", "code"), F.col("m")).cast("int"))
     members = stored(spark, members)
+    for done in (shared, sized, kept):
+        drop_stored(spark, done)
     maps = classes.select("fp", "n", "bm")
     width = shuffle_width(spark)
 
@@ -340,7 +346,7 @@ def groups(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den:
 
     start = members.select("fp", F.col("fp").alias("comp"), F.xxhash64("code", "blk").alias("cell"), "blk", F.lit(0).cast("long").alias("cursor"))
     pairs = stored(spark, traverse(start, True).select("a", "b").distinct())
-    links = stored(spark, _verified(spark, rows, classes, pairs, n, num, den))
+    links = _verified(spark, rows, classes, pairs, n, num, den)
     comps = stored(spark, components(spark, links))
 
     def named_by(part: DataFrame) -> DataFrame:
@@ -350,11 +356,13 @@ def groups(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den:
     mixed = now.groupBy("code").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("code")
     todo = now.join(mixed, "code").drop("comp").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     todo = stored(spark, todo.select("fp", F.xxhash64("code", F.least("blk", "other"), F.greatest("blk", "other")).alias("cell"), "blk", F.lit(0).cast("long").alias("cursor")))
+    for done in (members, now, pairs):
+        drop_stored(spark, done)
     while not todo.isEmpty():
         found = traverse(named_by(todo), False)
         pairs = stored(spark, found.where("a is not null").select("a", "b").distinct())
         if not pairs.isEmpty():
-            links = links.unionByName(stored(spark, _verified(spark, rows, classes, pairs, n, num, den)))
+            links = links.unionByName(_verified(spark, rows, classes, pairs, n, num, den))
             comps = stored(spark, components(spark, links))
         left = found.where("cell is not null").select("cell", "cursor")
         todo = stored(spark, todo.drop("cursor").join(left, "cell"))
