@@ -362,8 +362,9 @@ def groups(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den:
         found = traverse(named_by(todo), False)
         pairs = stored(spark, found.where("a is not null").select("a", "b").distinct())
         if not pairs.isEmpty():
-            links = links.unionByName(_verified(spark, rows, classes, pairs, n, num, den))
-            comps = stored(spark, components(spark, links))
+            links = _verified(spark, rows, classes, pairs, n, num, den)
+            known = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))  # stands for all links before
+            comps = stored(spark, components(spark, known.unionByName(links)))
         left = found.where("cell is not null").select("cell", "cursor")
         todo = stored(spark, todo.drop("cursor").join(left, "cell"))
     named = classes.select("fp", "rep").join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
