@@ -41,13 +41,20 @@ def valid_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
 def best_match(requests: DataFrame, history: DataFrame) -> DataFrame:
     """For each request the history of its stop (and line, if it names one) nearest to its hour and day.
 
-    An exact (hour, day) first, then the nearest hour; ties by line, day, hour.
+    An exact (hour, day) first, then the nearest hour; ties by line, day, hour.  Requests of equal stop, line,
+    hour and day have the same match, so history is searched once for each of these.
     """
-    h = history.select(F.col("stop_id").alias("h_stop"), F.col("line_id").alias("h_line"), F.col("hour_of_day").alias("h_hour"), F.col("day_of_week").alias("h_dow"), *[c for c in history.columns if c not in ("stop_id", "line_id", "hour_of_day", "day_of_week")])
-    both = requests.join(h, (F.col("stop_id") == F.col("h_stop")) & (F.col("line_id").isNull() | (F.col("line_id") == F.col("h_line"))), "left")
-    exact = (F.col("h_hour") == F.col("hour_of_day")) & (F.col("h_dow") == F.col("day_of_week"))
-    order = Window.partitionBy("request_id").orderBy(F.coalesce(exact, F.lit(False)).desc(), F.abs(F.col("h_hour") - F.col("hour_of_day")).asc_nulls_last(), "h_line", "h_dow", "h_hour")
-    return both.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "h_stop")
+    keys = ("stop_id", "line_id", "hour_of_day", "day_of_week")
+    h = history.select(F.col("stop_id").alias("h_stop"), F.col("line_id").alias("h_line"), F.col("hour_of_day").alias("h_hour"), F.col("day_of_week").alias("h_dow"), *[c for c in history.columns if c not in keys])
+    asked = requests.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    both = asked.join(h, (F.col("_stop_id") == F.col("h_stop")) & (F.col("_line_id").isNull() | (F.col("_line_id") == F.col("h_line"))), "left")
+    exact = (F.col("h_hour") == F.col("_hour_of_day")) & (F.col("h_dow") == F.col("_day_of_week"))
+    order = Window.partitionBy(*[f"_{k}" for k in keys]).orderBy(F.coalesce(exact, F.lit(False)).desc(), F.abs(F.col("h_hour") - F.col("_hour_of_day")).asc_nulls_last(), "h_line", "h_dow", "h_hour")
+    best = both.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "h_stop")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return requests.join(best, same, "left").drop(*[f"_{k}" for k in keys])
 
 
 def combined(requests: DataFrame, online: DataFrame, history: DataFrame, both_known: bool = False) -> DataFrame:

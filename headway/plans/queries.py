@@ -313,7 +313,7 @@ def online_features_latest(s, d):
 
 
 def _requests(s, d):
-    return src.table(s, d, "orders").where("o_orderkey % 4 = 0").selectExpr("o_orderkey as request_id", "cast(o_custkey % 50 as string) as vehicle_id", "concat('S', cast(o_orderkey % 6 as string)) as stop_id", "case when o_orderkey % 3 = 0 then null when o_orderkey % 3 = 1 then 'view' else 'error' end as line_id", "cast(o_orderkey % 24 as int) as hour_of_day", "cast(o_orderkey % 7 as int) as day_of_week")
+    return src.table(s, d, "orders").selectExpr("o_orderkey as request_id", "cast(o_custkey % 50 as string) as vehicle_id", "concat('S', cast(o_orderkey % 6 as string)) as stop_id", "case when o_orderkey % 3 = 0 then null when o_orderkey % 3 = 1 then 'view' else 'error' end as line_id", "cast(o_orderkey % 24 as int) as hour_of_day", "cast(o_orderkey % 7 as int) as day_of_week")
 
 
 _MATCH = """SELECT request_id, vehicle_id, r.line_id, m.line_id AS h_line, m.hour_of_day AS h_hour, m.day_of_week AS h_dow, historical_arrival_count, historical_avg_delay, m.stop_id IS NOT NULL AS offline_available FROM requests r LEFT JOIN stop_metrics m ON r.stop_id = m.stop_id AND (r.line_id IS NULL OR r.line_id = m.line_id)
