@@ -313,7 +313,7 @@ def online_features_latest(s, d):
 
 
 def _requests(s, d):
-    return src.table(s, d, "orders").selectExpr("o_orderkey as request_id", "cast(o_custkey % 50 as string) as vehicle_id", "concat('S', cast(o_orderkey % 6 as string)) as stop_id", "case when o_orderkey % 3 = 0 then null when o_orderkey % 3 = 1 then 'view' else 'error' end as line_id", "cast(o_orderkey % 24 as int) as hour_of_day", "cast(o_orderkey % 7 as int) as day_of_week")
+    return src.table(s, d, "orders").selectExpr("o_orderkey as request_id", "cast(o_custkey % 50 as string) as vehicle_id", "concat('S', cast(o_orderkey % 6 as string)) as stop_id", "case when o_orderkey % 3 = 0 then null when o_orderkey % 3 = 1 then 'view' else 'error' end as line_id", "cast(o_orderkey % 24 as int) as hour_of_day", "cast(o_orderkey % 7 as int) as day_of_week", "cast(o_orderdate as timestamp) as request_time")
 
 
 _MATCH = """SELECT request_id, vehicle_id, r.line_id, m.line_id AS h_line, m.hour_of_day AS h_hour, m.day_of_week AS h_dow, historical_arrival_count, historical_avg_delay, m.stop_id IS NOT NULL AS offline_available FROM requests r LEFT JOIN stop_metrics m ON r.stop_id = m.stop_id AND (r.line_id IS NULL OR r.line_id = m.line_id)
@@ -327,17 +327,13 @@ def offline_best_match(s, d):
 
 @query(f"""SELECT request_id, m.vehicle_id, coalesce(f.d, 0) AS current_delay, coalesce(f.s, 0.0) AS current_speed, coalesce(f.z, false) AS is_stopped, coalesce(f.sd, 0) AS stopped_duration_ms, round(coalesce(historical_avg_delay, 0.0), 6) AS historical_avg_delay, coalesce(historical_arrival_count, 0) AS historical_arrival_count FROM ({_MATCH}) m LEFT JOIN online o ON m.vehicle_id = o.vehicle_id""", "requests", "stop_metrics", "online")
 def feature_vector(s, d):
-    requests = _requests(s, d).withColumn("request_time", F.lit(None).cast("timestamp"))
-    # requests that name no line keep it open, as history of any line will do
-    online = features.online_latest(_enriched(s, d)).withColumn("line_id", F.lit(None).cast("string"))
-    v = features.vector(features.combined(requests, online, _metrics(s, d)))
+    v = features.vector(features.combined(_requests(s, d), features.online_latest(_enriched(s, d)), _metrics(s, d)))
     return r6(v.select("request_id", "vehicle_id", "current_delay", "current_speed", "is_stopped", "stopped_duration_ms", "historical_avg_delay", "historical_arrival_count"), "historical_avg_delay")
 
 
 @query("SELECT count(*) AS requests, round(avg(CASE WHEN o.vehicle_id IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS online_hit_rate, round(avg(CASE WHEN offline_available THEN 1.0 ELSE 0.0 END), 6) AS offline_hit_rate FROM (" + _MATCH + ") m LEFT JOIN online o ON m.vehicle_id = o.vehicle_id", "requests", "stop_metrics", "online")
 def feature_hit_rates(s, d):
-    online = features.online_latest(_enriched(s, d)).withColumn("line_id", F.lit(None).cast("string"))
-    both = features.combined(_requests(s, d).withColumn("request_time", F.lit(None).cast("timestamp")), online, _metrics(s, d))
+    both = features.combined(_requests(s, d), features.online_latest(_enriched(s, d)), _metrics(s, d))
     return r6(features.hit_rates(both), "online_hit_rate", "offline_hit_rate")
 
 

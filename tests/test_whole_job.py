@@ -1,7 +1,10 @@
 """Registered queries do the whole job: compared with SQL or brute force of their own."""
 
+import datetime
+
 import duckdb
 
+from headway.operators import features
 from headway.plans import queries as q
 
 SF = "/root/testdata/sf0.001"
@@ -31,3 +34,21 @@ def test_every_order_is_a_request(spark):
     assert same(q.offline_best_match(spark, SF), best) == n
     assert q.feature_vector(spark, SF).select("request_id").distinct().count() == n
     assert q.feature_hit_rates(spark, SF).first().requests == n
+
+
+def test_missing_line_is_the_vehicles(spark):
+    live = "(SELECT r.* REPLACE (coalesce(r.line_id, f.l) AS line_id), o.vehicle_id IS NOT NULL AS online, f FROM asked r LEFT JOIN online o ON r.vehicle_id = o.vehicle_id)"
+    best = BEST.format(live)
+    vector = f"SELECT request_id, vehicle_id, coalesce(f.d, 0) AS current_delay, coalesce(f.s, 0.0) AS current_speed, coalesce(f.z, false) AS is_stopped, coalesce(f.sd, 0) AS stopped_duration_ms, round(coalesce(historical_avg_delay, 0.0), 6) AS historical_avg_delay, coalesce(historical_arrival_count, 0) AS historical_arrival_count FROM ({best})"
+    assert same(q.feature_vector(spark, SF), vector) > 0
+    rates = f"SELECT count(*) AS requests, round(avg(CAST(online AS INT)), 6) AS online_hit_rate, round(avg(CAST(found AS INT)), 6) AS offline_hit_rate FROM ({best})"
+    assert same(q.feature_hit_rates(spark, SF), rates) == 1
+
+
+def test_stop_hour_and_day_default(spark):
+    sunday = datetime.datetime(2026, 1, 4, 9, 30)
+    requests = spark.createDataFrame([(1, "v", None, None, None, None, sunday), (2, "v", "B", None, 5, 1, sunday), (3, "w", None, None, None, None, sunday)], "request_id int, vehicle_id string, stop_id string, line_id string, hour_of_day int, day_of_week int, request_time timestamp")
+    online = spark.createDataFrame([("v", "l", "A", 60.0, 24.0)], "vehicle_id string, line_id string, next_stop_id string, latitude double, longitude double")
+    history = spark.createDataFrame([("A", "l", 9, 0, 10), ("A", "l", 9, 1, 11), ("A", "k", 9, 0, 12), ("B", "l", 7, 1, 13), ("B", "k", 5, 1, 14)], "stop_id string, line_id string, hour_of_day int, day_of_week int, n int")
+    out = features.combined(requests, online, history.withColumns({"latitude": features.F.lit(0.0), "longitude": features.F.lit(0.0)})).orderBy("request_id").collect()
+    assert [(r.online_available, r.offline_available, r.n) for r in out] == [(True, True, 10), (True, True, 13), (False, False, None)]
