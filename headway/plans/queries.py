@@ -406,9 +406,9 @@ def regression_metrics(s, d):
 def delay_model(s, d):
     """Train on four fifths of the stop mart, score the rest; no SQL form."""
     perf = _perf(s, d).withColumn("label_delay", F.col("delay_seconds"))
-    rows, used = ml.prepare(perf, "label_delay", ("latitude", "longitude", "hour_of_day", "day_of_week", "historical_avg_delay", "historical_arrival_count", "speed_ms"))
+    rows, used = ml.prepare(perf, "label_delay")
     fit, test = ml.split(rows)
-    return ml.gate(ml.metrics(ml.score(ml.train(fit, used, trees=5, depth=4), test, used)))
+    return ml.gate(ml.metrics(ml.score(ml.train(fit, used), test, used)))
 
 
 @query("SELECT 'latitude' AS column, count(*) FILTER (latitude IS NULL) AS failures FROM telemetry UNION ALL SELECT 'next_stop_id', count(*) FILTER (next_stop_id IS NULL) FROM telemetry UNION ALL SELECT 'vehicle_id', 0 FROM telemetry GROUP BY 1", "telemetry")

@@ -4,7 +4,7 @@ import datetime
 
 import duckdb
 
-from headway.operators import features
+from headway.operators import features, ml
 from headway.plans import queries as q
 
 SF = "/root/testdata/sf0.001"
@@ -52,3 +52,13 @@ def test_stop_hour_and_day_default(spark):
     history = spark.createDataFrame([("A", "l", 9, 0, 10), ("A", "l", 9, 1, 11), ("A", "k", 9, 0, 12), ("B", "l", 7, 1, 13), ("B", "k", 5, 1, 14)], "stop_id string, line_id string, hour_of_day int, day_of_week int, n int")
     out = features.combined(requests, online, history.withColumns({"latitude": features.F.lit(0.0), "longitude": features.F.lit(0.0)})).orderBy("request_id").collect()
     assert [(r.online_available, r.offline_available, r.n) for r in out] == [(True, True, 10), (True, True, 13), (False, False, None)]
+
+
+def test_delay_model_is_the_whole_model(spark, monkeypatch):
+    made, train = [], ml.train
+    monkeypatch.setattr(ml, "train", lambda rows, used, *a, **b: made.append((used, train(rows, used, *a, **b))) or made[-1][1])
+    q.delay_model(spark, SF)
+    (used, model), = made
+    gbt = model.stages[-1]
+    assert (gbt.getNumTrees, gbt.getMaxDepth(), gbt.getStepSize()) == (100, 6, 0.1)
+    assert used == list(ml.FEATURES) and gbt.numFeatures == len(ml.FEATURES)
