@@ -4,7 +4,7 @@ Base spans, leftmost non-overlapping by kind: ``assign`` (a credential's name, a
 ``access`` (access key ids) and ``hex`` (long hexadecimal runs); see the patterns below.
 
 The method adds spans of kind ``random``.  Candidates are runs of 20 or more characters of base-64
-alphabets.  Each gets the smallest encoding that holds it (hexadecimal, base 32, base 64) and a battery
+alphabets, with their padding.  Each gets the smallest encoding that holds it (hexadecimal, base 32, base 64) and a battery
 of tests of its symbols for uniform randomness: chi-squared for the alphabet, Wald-Wolfowitz runs about
 the alphabet's middle, and serial correlation at lag 1.  A candidate that fails any of them at
 ``ALPHA / 3`` is structured text and goes.  What remains is tested against the opposite hypothesis,
@@ -29,7 +29,7 @@ from headway.llm.shared import text_rows
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,6}"  # signs only as padding: a name before a sign is no part of its value
 KINDS = ("assign", "access", "hex", "random")
 ALPHA = 0.003
 FDR = 0.01
