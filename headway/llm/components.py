@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headway.llm.shared import stored
+from headway.llm.shared import drop_stored, stored
 
 
 def _stamp(edges: DataFrame):
@@ -13,7 +13,7 @@ def _stamp(edges: DataFrame):
 
 
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
-    """(node, component) of every linked node of (a, b); a component is named by its smallest node.
+    """(node, component), stored, of every linked node of (a, b); a component is named by its smallest node.
 
     Every step keeps the components and shortens paths to the smallest node; a hub's links are joined
     to one row, so that a skewed join can split them.  Ends when a round changes nothing.
@@ -24,12 +24,16 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = stored(spark, large)
+        large, old = stored(spark, large), edges
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(down.select("u", F.col("m").alias("v"))).distinct()
         edges = stored(spark, small)
+        for done in (old, large):
+            drop_stored(spark, done)
         now = _stamp(edges)
         if now == before:
             break
         before = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = stored(spark, edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))
+    drop_stored(spark, edges)
+    return out

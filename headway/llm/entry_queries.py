@@ -32,7 +32,7 @@ def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.groups(spark, _read(spark, sf_dir, "documents"), 3, 90, 100).drop("class_key")
+    return jaccard_join.groups(spark, _read(spark, sf_dir, "documents"), 3, 90, 100).drop("row_key", "group_key")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

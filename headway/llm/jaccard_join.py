@@ -5,23 +5,26 @@
 2. Codes have a common order, long words first.  Two sets that reach the threshold must share one of
    their first n - ceil(t * n) + 1 codes; codes that only one class has there are dropped, and the others
    are split by size: as linked sets differ in size by the threshold at most, each two neighbouring steps of a
-   scale of sizes are a cell of the join.  Of cells with the same classes one stays.  A cell of over ``BLOCK`` classes becomes
-   cells for all pairs of its blocks, which bounds what a task holds.
+   scale of sizes are a cell of the join.  Of cells with the same classes one stays.
 3. In a cell a signature tree is built over the classes in the order of size and bitmap: its nodes hold the OR
    and the AND of their members' bitmaps and their range of sizes.  A dual traversal descends from the
    pair (root, root) and prunes a node pair if its maximum possible overlap (sizes, less bits that one
-   side surely has and the other surely lacks) can't reach the threshold.
-4. The first round takes a few neighbours in the order of bitmaps of each cell, read from another place in
-   each, so that like sets meet; what survives is verified on the exact
-   sets.  The components of the links found are then known to the trees: a node pair inside one
-   component is pruned, and cells of one component are left out.  Later rounds take all other leaf pairs,
-   up to ``QUOTA`` pairs a class and round, from where the cell stopped, until no cell has any left.  So no link
-   between components is lost, and a large group of near copies costs about as many pairs as it has
-   classes, not their square.
+   side surely has and the other surely lacks) can't reach the threshold.  A pair of classes belongs to the cell of
+   the first code that both share and of the smaller size step, so no other cell looks at it.
+4. The traversal names the classes that have a possible partner in the cell, never the pairs.  Only their exact
+   sets are dealt to the cell again, where links are settled class by class: one expansion counts the codes
+   that a class shares with all others, a class inside a component that is known is not expanded against
+   it, and links that join nothing new are left out.  A cell of k classes gives k - 1 links at most, and no
+   link between different components is lost.
+5. A cell of over ``BLOCK`` classes (or ``BLOCK_CODES`` codes) is cut into blocks at random, ``MIXES`` times over,
+   so that a large group of near copies becomes one component whatever block its members are in.  A second round
+   takes all pairs of blocks of the cells that still have several components; inside a component it compares
+   nothing.
 
 Edge cases: a text of fewer words than a shingle has the whole word sequence as its one shingle; null texts
 and texts without words have an empty set and link with nothing; repeated rows are one class; rows with
-null id take part, the smallest non-null id names the component; other columns are ignored.
+null id take part, the smallest non-null id names the component; an empty table gives an empty result; texts of
+any length are taken whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,16 +38,18 @@ from pyspark.sql import functions as F
 
 from headway.llm.components import components
 from headway.llm.shared import drop_stored, shuffle_width, stored, text_rows
-from headway.llm.textvec import NONSPACE, Words, chunks, mix64
+from headway.llm.textvec import NONSPACE, Words, chunks, member, mix64
 
 BITS = 512
+BITS_PER_CODE = 4
+NODE_BYTES = 1024  # of a tree's bitmaps, at most
 LEAF = 16
-NEIGHBOURS = 2  # in round one; cells of one more class are done then
 HELD = 8_000_000  # bytes of bitmaps compared at once
 FANOUT = 4
 BLOCK = 2000
-QUOTA = 100
-BROADCAST_IDS = 1_000_000  # ids of 8 bytes
+BLOCK_CODES = 4_000_000
+MIXES = 2
+BROADCAST_IDS = 1_000_000  # rows of 24 bytes
 
 
 def _sets(part: pa.RecordBatch, n: int) -> list[np.ndarray]:
@@ -71,8 +76,8 @@ def _sets(part: pa.RecordBatch, n: int) -> list[np.ndarray]:
 
 
 def _bitmap(codes: np.ndarray) -> bytes:
-    """At least ``BITS`` bits and at least one for each code, a power of two: enough to refute most sets that miss the threshold."""
-    bits = np.zeros(max(BITS, 1 << int(len(codes) - 1).bit_length()), dtype=bool)
+    """At least ``BITS`` bits and ``BITS_PER_CODE`` for each code, a power of two: enough to refute most sets that miss the threshold."""
+    bits = np.zeros(max(BITS, 1 << int(BITS_PER_CODE * len(codes) - 1).bit_length()), dtype=bool)
     bits[(mix64(codes) % np.uint64(len(bits))).astype(np.int64)] = True
     return np.packbits(bits).tobytes()
 
@@ -162,13 +167,14 @@ def _near(n: np.ndarray, maps: Bitmaps, a: np.ndarray, b: np.ndarray, num: int,
 
 
 class SignatureTree:
-    """Levels from leaves to root; ``lo``, ``hi``: sizes; ``any``, ``all``: OR and AND of bitmaps; ``comp``: -1 if mixed."""
+    """Levels from leaves to root; ``lo``, ``hi``: sizes; ``any``, ``all``: OR and AND of bitmaps; ``comp``: a mark if mixed."""
 
     def __init__(self, n: np.ndarray, raw: list[bytes], comp: np.ndarray, blk: np.ndarray) -> None:
-        place, m = Bitmaps(raw).folded(BITS // 8)
+        place, m = Bitmaps(raw).folded(min(NODE_BYTES, min(map(len, raw))))
         bm = m[place]
         self.order = np.lexsort((*bm.T[:2], n))
         self.n, self.maps, self.comp, self.blk = n[self.order], Bitmaps([raw[i] for i in self.order]), comp[self.order], blk[self.order]
+        self.two = self.blk.min() != self.blk.max()
         bm = bm[self.order]
         self.levels = []
         lo, hi, some, every, uniform = self.n, self.n, bm, bm, self.comp
@@ -203,22 +209,34 @@ class SignatureTree:
                 b = (j[:, None, None] * FANOUT + child[None, None, :] + 0 * child[None, :, None]).ravel()
                 ok = (a < size) & (b < size) & (a <= b)
                 i, j = a[ok], b[ok]
-        order = np.lexsort((j, i))
+        order = np.lexsort((j, i, i != j))  # a leaf with itself first: like sets are neighbours
         return i[order], j[order]
 
-    def pairs(self, i: np.ndarray, j: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-        """Members of the leaf pairs whose bound reaches the threshold; of two blocks, only pairs across."""
-        at = np.arange(LEAF)
-        a = (i[:, None, None] * LEAF + at[None, :, None] + 0 * at[None, None, :]).ravel()
-        b = (j[:, None, None] * LEAF + at[None, None, :] + 0 * at[None, :, None]).ravel()
-        ok = (a < b) & (b < len(self.n))
-        a, b = a[ok], b[ok]
-        ok = self.comp[a] != self.comp[b]
-        if self.blk.min() != self.blk.max():
-            ok &= self.blk[a] != self.blk[b]
-        a, b = a[ok], b[ok]
-        ok = _near(self.n, self.maps, a, b, num, den)
-        return self.order[a[ok]], self.order[b[ok]]
+    def partners(self, num: int, den: int, own) -> np.ndarray:
+        """Marks the classes with a possible partner; ``own`` tells which pairs (a, b) the cell has to look at."""
+        marked = np.zeros(len(self.n), dtype=bool)
+        i, j = self.leaf_pairs(num, den)
+        width, at = -(-len(self.n) // LEAF), np.arange(LEAF)
+        for go in range(0, len(i), 256):
+            full = np.logical_and.reduceat(marked, np.arange(0, len(marked), LEAF))[:width]
+            p, q = i[go : go + 256], j[go : go + 256]
+            todo = ~(full[p] & full[q])
+            p, q = p[todo], q[todo]
+            a = (p[:, None, None] * LEAF + at[None, :, None] + 0 * at[None, None, :]).ravel()
+            b = (q[:, None, None] * LEAF + at[None, None, :] + 0 * at[None, :, None]).ravel()
+            ok = (a < b) & (b < len(self.n))
+            a, b = a[ok], b[ok]
+            ok = (self.comp[a] != self.comp[b]) & ~(marked[a] & marked[b])
+            if self.two:
+                ok &= self.blk[a] != self.blk[b]
+            a, b = a[ok], b[ok]
+            ok = _near(self.n, self.maps, a, b, num, den)
+            a, b = a[ok], b[ok]
+            ok = own(self.order[a], self.order[b])
+            marked[a[ok]] = marked[b[ok]] = True
+        out = np.zeros(len(self.n), dtype=bool)
+        out[self.order] = marked
+        return out
 
 
 def _whole_cells(batches):
@@ -239,139 +257,200 @@ def _whole_cells(batches):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _neighbours(cell: np.ndarray, most: int, n: np.ndarray, maps: Bitmaps, comp: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of up to ``most`` rows apart in a cell, by the same bounds as in a tree; rows of a cell are neighbours."""
-    out: tuple[list, list] = ([], [])
-    for d in range(1, most + 1):
-        a = np.flatnonzero((cell[:-d] == cell[d:]) & (comp[:-d] != comp[d:])) if len(cell) > d else np.zeros(0, np.int64)
-        ok = _near(n, maps, a, a + d, num, den)
-        out[0].append(a[ok])
-        out[1].append(a[ok] + d)
-    return tuple(np.concatenate(x) for x in out)
+class _Lower:
+    """Shared first codes of each row that come before its cell's code."""
 
+    def __init__(self, codes: pa.Array, code: np.ndarray) -> None:
+        offsets, flat = codes.offsets.to_numpy(), codes.values.to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(code)), np.diff(offsets))
+        flat = flat[offsets[0] : offsets[-1]]
+        before = flat < code[row]
+        self.flat, row = flat[before].view(np.uint64), row[before]
+        self.first = np.searchsorted(row, np.arange(len(code) + 1))
+        self.keys = np.sort(mix64(self.flat ^ mix64(row.astype(np.uint64))))
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Pairs of rows without a common code before the cell's."""
+        size = self.first[a + 1] - self.first[a]
+        owner = np.repeat(np.arange(len(a)), size)
+        at = np.arange(len(owner)) + np.repeat(self.first[a] - np.cumsum(size) + size, size)
+        common = member(mix64(self.flat[at] ^ mix64(b[owner].astype(np.uint64))), self.keys) >= 0
+        return np.bincount(owner[common], minlength=len(a)) == 0
+
+
+def _candidates(num: int, den: int):
+    """(cell, fp) of the classes that may have a partner in the cell."""
 
-def _traverse(num: int, den: int, first: bool):
     def run(batches):
         for table in _whole_cells(batches):
             if not table.num_rows:
                 continue
-            cells, fp, n, comp, blk, cursors = (table.column(c).to_numpy() for c in ("cell", "fp", "n", "comp", "blk", "cursor"))
-            raw = table.column("bm").to_pylist()
+            cells, code, fp, n, comp, blk = (table.column(c).to_numpy() for c in ("cell", "code", "fp", "n", "comp", "blk"))
+            home, multi = (table.column(c).to_numpy(zero_copy_only=False) for c in ("home", "multi"))
+            raw, codes = table.column("bm").to_pylist(), table.column("codes")
+            lower = _Lower(codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes, code)
             begin = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
             size = np.diff(np.append(begin, len(cells)))
-            own = np.repeat(np.arange(len(begin)), size)
-            found: list[tuple[np.ndarray, np.ndarray]] = []
-            more: list[tuple[int, int]] = []
-            if first:  # another order in each cell, so that together they join a large group
-                place, m = Bitmaps(raw).folded(BITS // 8)
-                turn = (mix64(cells.view(np.uint64))[:, None] + np.arange(m.shape[1], dtype=np.uint64)) % np.uint64(m.shape[1])
-                order = np.lexsort((*np.take_along_axis(m[place], turn.astype(np.int64), 1).T, own))
-            else:  # cells of a leaf's size have no tree
-                order = np.flatnonzero((size <= LEAF)[own])
-            if len(order):
-                a, b = _neighbours(own[order], NEIGHBOURS if first else LEAF - 1, n[order], Bitmaps([raw[i] for i in order]), comp[order], num, den)
-                found.append((fp[order[a]], fp[order[b]]))
-            for k in [] if first else np.flatnonzero(size > LEAF):
+            number = np.repeat(np.arange(len(begin)), size)
+
+            def own(a, b, home=home, multi=multi, lower=lower):
+                ok = multi[a] | home[a] | home[b]
+                at = np.flatnonzero(ok & ~multi[a])
+                ok[at] = ok[at] & lower.apart(a[at], b[at])
+                return ok
+
+            marked = np.zeros(len(cells), dtype=bool)
+            few = np.flatnonzero((size <= LEAF)[number])  # cells of a leaf's size have no tree
+            maps = Bitmaps([raw[i] for i in few])
+            for d in range(1, int(size[size <= LEAF].max(initial=0))):
+                a = np.flatnonzero(number[few[:-d]] == number[few[d:]]) if len(few) > d else np.zeros(0, np.int64)
+                p, q = few[a], few[a + d]
+                ok = (comp[p] != comp[q]) & ((blk[p] != blk[q]) | ~multi[p] | ~two_blocks(blk, begin, size, number)[p])
+                a, p, q = a[ok], p[ok], q[ok]
+                ok = _near(n[few], maps, a, a + d, num, den)
+                p, q = p[ok], q[ok]
+                ok = own(p, q)
+                marked[p[ok]] = marked[q[ok]] = True
+            for k in np.flatnonzero(size > LEAF):
                 at = slice(begin[k], begin[k] + size[k])
-                mine = fp[at]
                 tree = SignatureTree(n[at], raw[at], comp[at], blk[at])
-                width, made = len(tree.levels[0][0]), 0
-                i, j = tree.leaf_pairs(num, den)
-                place = i * width + j
-                go = int(np.searchsorted(place, cursors[begin[k]]))
-                while go < len(i):
-                    if made > QUOTA * len(mine):
-                        more.append((int(cells[begin[k]]), int(place[go])))
-                        break
-                    a, b = tree.pairs(i[go : go + 256], j[go : go + 256], num, den)
-                    made += len(a)
-                    found.append((mine[a], mine[b]))
-                    go += 256
-            a, b = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-            a, b = np.minimum(a, b), np.maximum(a, b)
-            order = np.lexsort((b, a))
-            a, b = a[order], b[order]
-            new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(a)]
-            a, b = a[new], b[new]
-            pad = [None] * len(more)
-            yield pa.RecordBatch.from_arrays([pa.array(a.tolist() + pad, pa.int64()), pa.array(b.tolist() + pad, pa.int64()), pa.array([None] * len(a) + [c for c, _ in more], pa.int64()), pa.array([None] * len(a) + [k for _, k in more], pa.int64())], ["a", "b", "cell", "cursor"])
+                marked[at] = tree.partners(num, den, lambda a, b, base=begin[k], own=own: own(a + base, b + base))
+            yield pa.RecordBatch.from_arrays([pa.array(cells[marked]), pa.array(fp[marked]), pa.array(comp[marked])], ["cell", "fp", "comp"])
 
     return run
 
 
-def _verified(spark: SparkSession, rows: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs whose exact sets reach the threshold, stored."""
-    asked = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    asked = stored(spark, classes.join(asked, "fp").select("fp", "rep_key", F.col("key_id").alias("row_id")))
-    known = asked.withColumnRenamed("rep_key", "row_key")
-    if asked.count() <= BROADCAST_IDS:
-        known = F.broadcast(known)
-    sets = rows.where("text is not null").withColumn("row_key", F.xxhash64("text")).join(known, "row_key").where(F.col("doc_id").eqNullSafe(F.col("row_id"))).select("fp", "text")
-    sets = stored(spark, sets.mapInArrow(_codes(n), "fp long, codes array<long>").dropDuplicates(["fp"]))
-    one = pairs.join(sets.select(F.col("fp").alias("a"), F.col("codes").alias("x")).hint("merge"), "a")
-    both = one.join(sets.select(F.col("fp").alias("b"), F.col("codes").alias("y")).hint("merge"), "b")
-    same = F.size(F.array_intersect("x", "y"))
-    links = stored(spark, both.where(same * (num + den) >= num * (F.size("x") + F.size("y"))).select("a", "b"))
-    for done in (asked, sets):
-        drop_stored(spark, done)
-    return links
+def two_blocks(blk: np.ndarray, begin: np.ndarray, size: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Rows of cells that hold two blocks."""
+    return (np.minimum.reduceat(blk, begin) != np.maximum.reduceat(blk, begin))[number]
+
+
+def cell_links(sets: list[np.ndarray], comp: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Links between different components that join all members which can be joined; at most members - 1.
+
+    A member is expanded by counting its codes' places in all others; what is in the component that is left at
+    last needs no expansion.
+    """
+    k = len(sets)
+    n = np.array([len(s) for s in sets], dtype=np.int64)
+    _, label = np.unique(comp, return_inverse=True)
+    if k == 2:
+        same = len(np.intersect1d(*sets, assume_unique=True))
+        return [(0, 1)] if label[0] != label[1] and same * (num + den) >= num * n.sum() else []
+    owner = np.repeat(np.arange(k), n)
+    _, ids, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = (count > 1)[ids]
+    owner, ids = owner[often], ids[often]
+    first = np.searchsorted(owner, np.arange(k + 1))
+    order = np.argsort(ids, kind="stable")
+    holder, start = owner[order], np.concatenate(([0], np.cumsum(np.bincount(ids, minlength=len(count)))))
+    open_, out = np.ones(k, dtype=bool), []
+    while True:
+        left = np.bincount(label[open_], minlength=k)
+        some = left[label]
+        v = int(np.argmin(np.where(open_, some, k + 1)))
+        if not open_[v] or some[v] == open_.sum():  # what is left is one component
+            return out
+        open_[v] = False
+        mine = ids[first[v] : first[v + 1]]
+        span = start[mine + 1] - start[mine]
+        at = np.arange(int(span.sum())) + np.repeat(start[mine] - np.cumsum(span) + span, span)
+        same = np.bincount(holder[at], minlength=k)
+        linked = np.flatnonzero((same * (num + den) >= num * (n + n[v])) & (label != label[v]))
+        for u in linked:
+            if label[u] != label[v]:
+                out.append((v, int(u)))
+                label[label == label[u]] = label[v]
+
+
+def _links(num: int, den: int):
+    def run(batches):
+        for table in _whole_cells(batches):
+            if not table.num_rows:
+                continue
+            cells, fp, comp = (table.column(c).to_numpy() for c in ("cell", "fp", "comp"))
+            codes = table.column("codes").combine_chunks()
+            codes = codes.chunk(0) if isinstance(codes, pa.ChunkedArray) else codes
+            offsets, flat = codes.offsets.to_numpy(), codes.values.to_numpy(zero_copy_only=False)
+            begin = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
+            a, b = [], []
+            for s, e in zip(begin, np.append(begin[1:], len(cells)), strict=True):
+                for x, y in cell_links([flat[offsets[i] : offsets[i + 1]] for i in range(s, e)], comp[s:e], num, den) if e - s > 1 else ():
+                    a.append(fp[s + x])
+                    b.append(fp[s + y])
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b) if a else [], pa.int64()), pa.array(np.maximum(a, b) if a else [], pa.int64())], ["a", "b"])
+
+    return run
 
 
 def groups(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, *, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_key of every document, at a similarity of num / den or more."""
-    rows = text_rows(docs, id_col, text_col)
+    """doc_id, row_key (hash of the text), n_shingles, component_id, group_key of every document, at a similarity of num / den or more.
+
+    ``group_key`` is one value for each component, also where ids are null or repeat; null without words.
+    """
+    rows = text_rows(docs, id_col, text_col).withColumn("row_key", F.xxhash64("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    digests = stored(spark, rows.withColumn("row_key", F.xxhash64("text")).mapInArrow(_with_key(_digest(n, num, den)), f"doc_id {kind}, row_key long, n long, fp long, prefix array<long>, bm binary"))
-    classes = digests.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("row_key").alias("rep_key"), F.first("n").alias("n"), F.min(F.struct("row_key", "doc_id", "prefix", "bm")).alias("own"))
-    classes = stored(spark, classes.select("fp", "rep", "rep_key", F.col("own.doc_id").alias("key_id"), "n", "own.prefix", "own.bm"))
+    width = shuffle_width(spark)
+    digests = stored(spark, rows.mapInArrow(_with_key(_digest(n, num, den)), f"doc_id {kind}, row_key long, n long, fp long, prefix array<long>, bm binary"))
+    place = F.struct("row_key", F.xxhash64("doc_id").alias("id_hash"), "prefix", "bm")
+    classes = digests.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min(place).alias("own"))
+    classes = stored(spark, classes.select("fp", "rep", "n", "own.*"))
+    ids = stored(spark, digests.select("doc_id", "row_key", "n", "fp"))
+    drop_stored(spark, digests)
     scale = 1.001 * max(0.01, math.log(den / num))  # sets whose sizes allow a link are at most one step apart
-    cells = classes.select("fp", F.floor(F.log("n") / scale).alias("step"), F.explode_outer("prefix").alias("code"))
-    shared = cells.groupBy("code").agg(F.count("*").alias("size")).where("size > 1")
-    shared = stored(spark, shared.select("code"))
-    sized = cells.join(shared, "code").withColumn("step", F.explode(F.array("step", F.col("step") - 1)))
-    sized = stored(spark, sized.select("fp", F.xxhash64("code", "step").alias("code")))
-    # of cells with the same classes, by count and two hashes of them, one stays
-    stamps = sized.groupBy("code").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.sum(F.xxhash64("fp", F.lit(1)).bitwiseAND((1 << 32) - 1)).alias("y")).where("size > 1")
-    kept = stored(spark, stamps.groupBy("size", "x", "y").agg(F.min("code").alias("code")).select("code", "size"))
-    members = sized.join(kept, "code").withColumn("m", F.ceil(F.col("size") / block).cast("int")).withColumn("blk", F.pmod(F.xxhash64("fp", "code"), F.col("m")).cast("int"))
-    members = stored(spark, members)
-    for done in (shared, sized, kept):
+    cells = classes.select("fp", "n", F.floor(F.log("n") / scale).cast("int").alias("step"), F.explode_outer("prefix").alias("code"))
+    shared = stored(spark, cells.groupBy("code").agg(F.count("*").alias("size")).where("size > 1").select("code"))
+    cells = stored(spark, cells.join(shared, "code"))
+    maps = stored(spark, classes.select("fp", "n", "bm").join(cells.groupBy("fp").agg(F.array_sort(F.collect_list("code")).alias("codes")), "fp"))  # a class's own codes
+    sized = cells.select("fp", "n", "code", F.explode(F.array(F.struct("step", F.lit(True).alias("home")), F.struct((F.col("step") - 1).alias("step"), F.lit(False).alias("home")))).alias("s")).select("fp", "n", "code", "s.*")
+    # of cells with the same classes, by count and two hashes of them, the first stays
+    stamps = sized.groupBy("code", "step").agg(F.count("*").alias("size"), F.sum("n").alias("held"), F.max("home").alias("home"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.sum(F.xxhash64("fp", F.lit(1)).bitwiseAND((1 << 32) - 1)).alias("y")).where("size > 1 and home")
+    parts = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("held") / BLOCK_CODES)).cast("int")
+    kept = stored(spark, stamps.groupBy("size", "x", "y", "step").agg(F.min("code").alias("code"), F.first("held").alias("held")).select("code", "step", parts.alias("m")))
+    members = stored(spark, sized.join(kept, ["code", "step"]).select("fp", "code", "step", "home", "m"))
+    for done in (shared, cells, kept):
         drop_stored(spark, done)
-    maps = classes.select("fp", "n", "bm")
-    width = shuffle_width(spark)
-
-    def traverse(part: DataFrame, first: bool) -> DataFrame:
-        dealt = part.join(maps, "fp").repartition(width, "cell").sortWithinPartitions("cell", "fp")
-        return stored(spark, dealt.mapInArrow(_traverse(num, den, first), "a long, b long, cell long, cursor long"))
-
-    start = members.select("fp", F.col("fp").alias("comp"), F.xxhash64("code", "blk").alias("cell"), "blk", F.lit(0).cast("long").alias("cursor"))
-    pairs = stored(spark, traverse(start, True).select("a", "b").distinct())
-    links = _verified(spark, rows, classes, pairs, n, num, den)
-    comps = stored(spark, components(spark, links))
 
-    def named_by(part: DataFrame) -> DataFrame:
-        return part.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("component", "fp")).drop("component")
+    def block_of(seed) -> F.Column:
+        return F.pmod(F.xxhash64("fp", "code", seed), F.col("m")).cast("int")
 
-    now = stored(spark, named_by(members.where((F.col("size") > NEIGHBOURS + 1) | (F.col("m") > 1))))
-    mixed = now.groupBy("code").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("code")
-    todo = now.join(mixed, "code").drop("comp").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    todo = stored(spark, todo.select("fp", F.xxhash64("code", F.least("blk", "other"), F.greatest("blk", "other")).alias("cell"), "blk", F.lit(0).cast("long").alias("cursor")))
-    for done in (members, now, pairs):
-        drop_stored(spark, done)
-    while not todo.isEmpty():
-        found = traverse(named_by(todo), False)
-        pairs = stored(spark, found.where("a is not null").select("a", "b").distinct())
-        if not pairs.isEmpty():
-            links = _verified(spark, rows, classes, pairs, n, num, den)
-            known = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))  # stands for all links before
-            comps = stored(spark, components(spark, known.unionByName(links)))
-        left = found.where("cell is not null").select("cell", "cursor")
-        todo = stored(spark, todo.drop("cursor").join(left, "cell"))
+    def found(part: DataFrame) -> DataFrame:
+        """Links of the cells in ``part`` (cell, fp, code, home, multi, blk, comp)."""
+        dealt = part.join(maps, "fp").repartition(width, "cell").sortWithinPartitions("cell", "fp")
+        likely = stored(spark, dealt.mapInArrow(_candidates(num, den), "cell long, fp long, comp long"))
+        asked = stored(spark, classes.join(likely.select("fp").distinct(), "fp").select("fp", F.col("row_key").alias("own_key"), F.col("id_hash")))
+        known = F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked
+        texts = rows.where("text is not null").join(known, F.col("row_key") == F.col("own_key")).where(F.xxhash64("doc_id") == F.col("id_hash")).select("fp", "text")
+        sets = stored(spark, texts.mapInArrow(_codes(n), "fp long, codes array<long>").dropDuplicates(["fp"]))
+        exact = likely.join(sets.hint("merge"), "fp").repartition(width, "cell").sortWithinPartitions("cell", "fp")
+        links = stored(spark, exact.mapInArrow(_links(num, den), "a long, b long").distinct())
+        for done in (likely, asked, sets):
+            drop_stored(spark, done)
+        return links
+
+    multi = F.col("m") > 1
+    mixes = members.withColumn("seed", F.explode(F.when(multi, F.array(*[F.lit(i) for i in range(MIXES)])).otherwise(F.array(F.lit(0)))))
+    start = mixes.select("fp", F.col("fp").alias("comp"), F.xxhash64("code", "step", "seed", block_of("seed")).alias("cell"), "code", "home", multi.alias("multi"), F.lit(0).alias("blk"))
+    links = found(start)
+    comps = components(spark, links)
+    drop_stored(spark, links)
+    large = members.where(multi).join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("component", "fp")).drop("component")
+    large = stored(spark, large.withColumn("blk", block_of(F.lit(0))))
+    mixed = large.groupBy("code", "step").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("code", "step")
+    pairs = large.join(mixed, ["code", "step"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).where("other <> blk")
+    todo = stored(spark, pairs.select("fp", "comp", F.xxhash64("code", "step", F.least("blk", "other"), F.greatest("blk", "other"), F.lit("two")).alias("cell"), "code", "home", F.lit(True).alias("multi"), "blk"))
+    if not todo.isEmpty():
+        more = found(todo)
+        known = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))  # stands for all links before
+        comps = components(spark, known.unionByName(more))
+        drop_stored(spark, more)
     named = classes.select("fp", "rep").join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     smallest = stored(spark, named.groupBy("component").agg(F.min("rep").alias("component_id")))
-    of_class = stored(spark, named.join(smallest, "component").select("fp", "component_id"))
-    out = digests.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("fp")).alias("fp")).join(of_class, "fp", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("fp").alias("class_key"))
+    of_class = stored(spark, named.join(smallest, "component").select("fp", "component_id", F.col("component").alias("group_key")))
+    for done in (classes, maps, members, large, todo, smallest):
+        drop_stored(spark, done)
+    out = ids.withColumn("fp", F.when(F.col("n") > 0, F.col("fp"))).join(of_class, "fp", "left")
+    return out.select("doc_id", "row_key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "group_key")
 
 
 def _with_key(digest):
@@ -390,7 +469,21 @@ def _with_key(digest):
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the document of smallest id of each component; ids must be unique."""
-    found = groups(spark, docs, n, num, den, id_col=id_col, text_col=text_col)
-    gone = stored(spark, found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(id_col)))
-    return docs.join(gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs with one document of each component: that of the smallest id (null last), then text hash.
+
+    Rows of equal id and text count once.  Rows without words are in no component; they all stay.
+    """
+    found = stored(spark, groups(spark, docs, n, num, den, id_col=id_col, text_col=text_col))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")
+    linked = found.where("n_shingles > 0")
+    best = linked.groupBy("group_key").agg(F.min(order).alias("best"))
+    gone = linked.join(best, "group_key").where(order != F.col("best")).select("doc_id", "row_key").distinct()
+    again = linked.groupBy("doc_id", "row_key").count().where("count > 1").select("doc_id", "row_key")
+    gone, again = stored(spark, gone.withColumnsRenamed({"doc_id": "_gone_id", "row_key": "_gone_key"})), stored(spark, again)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("row_key"))
+    kept = packed.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.col("row_key") == F.col("_gone_key")), "left_anti")
+    if not again.isEmpty():
+        twice = again.withColumnsRenamed({"doc_id": "_id", "row_key": "_key"})
+        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_key"))
+        kept = kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "row_key"]))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
