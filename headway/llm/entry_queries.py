@@ -4,16 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headway.llm import decontaminate, jaccard_join, language_id, licenses, line_runs, mixing, repeats, secret_scan, token_counts, vector_search
 
-#: Where the public tokenizers are; a parameter, as the files are not part of this repository.
-MODEL_PATH = public_tokenizers.path("piece_bpe_32k.model")
-
-
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -46,11 +41,13 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(_read(spark, sf_dir, "documents"), MODEL_PATH, 4096)
+    import public_tokenizers  # where the vocabularies are; they are no part of this repository
+
+    return token_counts.count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), 4096)
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.report(secret_scan.scan(_read(spark, sf_dir, "documents")))
+    return secret_scan.report(secret_scan.scan(spark, _read(spark, sf_dir, "documents")))
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
