@@ -24,7 +24,8 @@ together.  The columns stay in memory, as a batch is bounded; there are no exter
 
 Edge cases: null text is empty; texts under ``length`` bytes keep all; strings never cross documents; overlapping
 occurrences in one document count; rows with equal id and text are separate documents, all of them repeated;
-an empty text's digest is that of no bytes; other columns are ignored.
+an empty text's digest is that of no bytes; an empty table gives an empty result; null ids are kept; texts of any
+length are taken whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headway.llm.shared import shuffle_width, stored, text_rows
+from headway.llm.shared import drop_stored, maximal_runs, shuffle_width, stored, text_rows
 from headway.llm.textvec import chunks, mix64, prefix_sums, runs, span_hash, utf8
 
 LENGTH = 400
@@ -98,7 +99,7 @@ def _stretches(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     return [row, s - offsets[row], e - s + 1, p - s, h[p], mix64(span_hash(sums, s, e + length) + (p - s).astype(np.uint64))]
 
 
-_RAW = "row_key long, start int, windows int, place int, anchor long, whole long"
+_RAW = "row_key struct<a:long,b:long>, start int, windows int, place int, anchor long, whole long"
 
 
 def _anchors(length: int, gram: int):
@@ -211,6 +212,11 @@ def _collections(length: int, gram: int):
     return run
 
 
+def _text_key(text: str) -> Column:
+    """128 bits that stand for a text."""
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit("second"), text).alias("b"))
+
+
 _PARTS = ["anchor", "whole", "copies", "windows", "place", "bytes", "start"]
 
 
@@ -240,12 +246,12 @@ def _split(spark: SparkSession, segments: DataFrame, length: int, gram: int, hot
 def spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, *, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(row_key, cuts) of each distinct text with repeated strings; cuts: maximal (start, end) in bytes, ordered.
 
-    ``row_key`` is the hash of the text.
+    ``row_key`` is a hash of the text, in 128 bits.
     """
-    texts = text_rows(docs, id_col, text_col).where("text is not null").select(F.xxhash64("text").alias("row_key"), "text")
+    texts = text_rows(docs, id_col, text_col).where("text is not null").select(_text_key("text").alias("row_key"), "text")
     raw = stored(spark, texts.mapInArrow(_anchors(length, gram), _RAW))
-    shared = raw.groupBy("anchor").agg(F.count("*").alias("places"), (F.min("whole") != F.max("whole")).alias("mixed")).where("places > 1").select("anchor", "mixed")
-    several = stored(spark, raw.join(stored(spark, shared).hint("merge"), "anchor"))
+    shared = stored(spark, raw.groupBy("anchor").agg(F.count("*").alias("places"), (F.min("whole") != F.max("whole")).alias("mixed")).where("places > 1").select("anchor", "mixed"))
+    several = stored(spark, raw.join(shared.hint("merge"), "anchor"))
     cover = F.col("start") + F.col("windows") - 1 + length
     alike = several.where("not mixed").select("row_key", "start", cover.alias("end"))
     place = F.struct("row_key", "start")
@@ -264,16 +270,12 @@ def spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, *, id_col:
     if settled is not None:
         found = found.unionByName(settled)
     single = found.join(kinds.select("anchor", "whole", "row_key"), ["anchor", "whole"]).select("row_key", "start", "end")
-    every = stored(spark, alike.unionByName(whole).unionByName(single).distinct())
-    merged = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("start", "end"))),
-        F.array().cast("array<struct<start:int,end:int>>"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]),
-            F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end")))),
-        ).otherwise(F.concat(acc, F.array(x))),
-    )
-    return every.groupBy("row_key").agg(merged.alias("cuts"))  # a group is one text
+    every = alike.unionByName(whole).unionByName(single).distinct()
+    cuts = maximal_runs(every, ("row_key",)).groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts"))  # a group is one text
+    cuts = stored(spark, cuts)
+    for done in (raw, shared, several, kinds, asked, segments):
+        drop_stored(spark, done)
+    return cuts
 
 
 def _kept(batches):
@@ -295,8 +297,8 @@ def _kept(batches):
 
 def report(spark: SparkSession, docs: DataFrame, length: int = LENGTH, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
-    cuts = stored(spark, spans(spark, docs, length, id_col=id_col, text_col=text_col, **options))
+    cuts = spans(spark, docs, length, id_col=id_col, text_col=text_col, **options)
     rows = text_rows(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    both = rows.withColumn("row_key", F.xxhash64("text")).join(cuts.hint("merge"), "row_key", "left").select("doc_id", "text", "cuts")
+    both = rows.withColumn("row_key", _text_key("text")).join(cuts.hint("merge"), "row_key", "left").select("doc_id", "text", "cuts")
     return both.mapInArrow(_kept, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
