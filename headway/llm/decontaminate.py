@@ -1,8 +1,9 @@
 """Benchmark decontamination: a broadcast hash set of the benchmark's normalised word n-grams.
 
 The benchmark side is hashed by Spark into windows of ``n`` words (an item of fewer words is one
-window of its own length).  Windows are taken in blocks of at most ``BLOCK_WINDOWS``, so that what is
-broadcast has a proven bound; a larger benchmark takes more passes.  Each pass scans the documents'
+window of its own length).  Windows are taken in blocks of about ``BLOCK_WINDOWS`` windows and ``BLOCK_BYTES`` bytes
+at most, counted before anything is collected, so that what is broadcast has a proven bound; a larger benchmark
+takes more passes.  Each pass scans the documents'
 words once, tests window hashes in the set, verifies every hit word by word, and marks the words of
 all occurrences.
 
@@ -20,10 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headway.llm.shared import stored, text_rows
+from headway.llm.shared import maximal_runs, stored, text_rows
 from headway.llm.textvec import Sieve, Words, chunks, runs
 
-BLOCK_WINDOWS = 1_000_000
+BLOCK_WINDOWS = 200_000
+BLOCK_BYTES = 32_000_000
 _WINDOW = "item string, n int, hash long, words binary"
 _HITS = "n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
 
@@ -104,30 +106,20 @@ def _table(rows) -> dict:
     return out
 
 
-def _union_spans(spans, n_hit: bool = False):
-    """Spans of several passes merged into maximal ones."""
-    ordered = F.array_sort(spans)
-    kind = "array<struct<start:int,end:int>>"
-    return F.aggregate(
-        ordered,
-        F.array().cast(kind),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]),
-            F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end")))),
-        ).otherwise(F.concat(acc, F.array(x))),
-    )
+def _blocks(spark: SparkSession, bench: DataFrame, n: int, block_windows: int) -> tuple[DataFrame, int]:
+    """(stored windows, number of blocks): by count and by bytes of words and items."""
+    windows = stored(spark, benchmark_windows(bench, n))
+    size = windows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("words") + F.coalesce(F.octet_length("item"), F.lit(0))), F.lit(0)).alias("bytes")).first()
+    return windows, 1 if size.n <= block_windows and size.bytes <= BLOCK_BYTES else 2 * max(size.n // block_windows, size.bytes // BLOCK_BYTES) + 1
 
 
 def scan(spark: SparkSession, docs: DataFrame, bench: DataFrame, n: int = 10, *, id_col: str = "doc_id", text_col: str = "text", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted), spans (word positions) of every document."""
     rows = text_rows(docs, id_col, text_col)
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {_HITS}"
-    windows = benchmark_windows(bench, n)
-    head = windows.limit(block_windows + 1).collect()  # at most one block
-    if len(head) <= block_windows:
-        return rows.mapInArrow(_scan(spark.sparkContext.broadcast(_table(head))), schema)
-    windows = stored(spark, windows)
-    blocks = 2 * windows.count() // block_windows + 1
+    windows, blocks = _blocks(spark, bench, n, block_windows)
+    if blocks == 1:
+        return rows.mapInArrow(_scan(spark.sparkContext.broadcast(_table(windows.collect()))), schema)  # one block
     rows = rows.withColumn("row_key", F.xxhash64("doc_id", "text"))
     found = None
     for b in range(blocks):
@@ -135,11 +127,15 @@ def scan(spark: SparkSession, docs: DataFrame, bench: DataFrame, n: int = 10, *,
         one = rows.mapInArrow(_scan(spark.sparkContext.broadcast(_table(part))), schema.replace("n_words", "row_key long, n_words"))
         found = one if found is None else found.unionByName(one)
     copies = rows.groupBy("doc_id", "row_key").agg(F.count("*").alias("copies"))
-    merged = found.groupBy("doc_id", "row_key").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), _union_spans(F.flatten(F.collect_set("spans"))).alias("spans"))
-    hits = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    found, keys = stored(spark, found), ("doc_id", "row_key")
+    sets = found.groupBy(*keys).agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    runs_ = maximal_runs(found.select(*keys, F.explode("spans").alias("s")).select(*keys, "s.*"), keys)
+    cuts = runs_.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"), F.sum(F.col("end") - F.col("start")).cast("long").alias("n_hit"))  # a group is one text
+    same = F.col("s.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("s.row_key") == F.col("t.row_key"))
+    merged = sets.alias("s").join(cuts.alias("t"), same, "left").select("s.*", F.coalesce("t.n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("t.spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"))
     key = F.col("c.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("c.row_key") == F.col("m.row_key"))
     both = copies.alias("c").join(merged.alias("m"), key).select("m.*", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy"))
-    return both.select("doc_id", "n_words", hits.alias("n_hit"), "items", "spans")
+    return both.select("doc_id", "n_words", "n_hit", "items", "spans")
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -177,9 +173,7 @@ def remove(spark: SparkSession, docs: DataFrame, bench: DataFrame, n: int = 10,
     """docs without contaminated documents, or (``drop_documents=False``) without the hit spans."""
     columns = docs.columns
     docs, text_col = docs.toDF(*[f"c{i}" for i in range(len(columns))]), f"c{columns.index(text_col)}"  # any names will do
-    windows = benchmark_windows(bench, n)
-    total = windows.count()
-    blocks = 1 if total <= block_windows else 2 * total // block_windows + 1
+    windows, blocks = _blocks(spark, bench, n, block_windows)
     out = docs.withColumn("_any", F.lit(False))
     for b in range(blocks):
         part = windows.where(F.pmod(F.xxhash64("hash", "words"), F.lit(blocks)) == b).collect()
