@@ -12,8 +12,8 @@ starts of a chunk together through the transition table, so that its cost follow
 starts, not the number of templates.
 
 Edge cases: null and empty texts have no words, no places, empty labels and score 0; places of
-different phrases or of one phrase may overlap and all count; repeated rows give repeated results;
-other columns are ignored.  ``score`` is the largest share of a template's mandatory words that a scan
+different phrases or of one phrase may overlap and all count; repeated rows give repeated results; null ids are
+kept; an empty table gives an empty result; texts of any length are scanned whole; other columns are ignored.  ``score`` is the largest share of a template's mandatory words that a scan
 got through from some start: 1.0 where a template is accepted.
 """
 
@@ -138,13 +138,20 @@ class Automaton:
         self.final = np.array([bool(x) for x in self.accepts])
 
     def classes(self, w: Words) -> np.ndarray:
+        """The class of each word; words found by hash are compared byte by byte, all at once."""
         own = Words(pa.array([" ".join(self.vocabulary)]))
         order = np.argsort(own.hash)
         at = member(w.hash, own.hash[order])
         out = np.where(at >= 0, order[at], len(self.vocabulary))
-        for i in np.flatnonzero(at >= 0):  # rare: equal hashes of other words
-            if w.text(int(i), 1).decode() != self.vocabulary[out[i]]:
-                out[i] = len(self.vocabulary)
+        known = np.flatnonzero(at >= 0)
+        size = w.end[known] - w.start[known]
+        same = size == (own.end - own.start)[out[known]]
+        known, size = known[same], size[same]
+        out[np.setdiff1d(np.flatnonzero(at >= 0), known, assume_unique=True)] = len(self.vocabulary)
+        owner = np.repeat(np.arange(len(known)), size)
+        inside = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+        other = w.data[w.start[known][owner] + inside] != own.data[own.start[out[known]][owner] + inside]
+        out[known[np.unique(owner[other])]] = len(self.vocabulary)
         return out
 
     def matches(self, w: Words, cls: np.ndarray) -> tuple[list[tuple[int, int, int]], np.ndarray]:
