@@ -3,18 +3,23 @@
 * Features: the code point n-grams (n in ``ORDERS``) of the lower-cased text between two blanks, hashed
   to 2**``BITS`` buckets; weight: share of the text's n-grams times inverse document frequency, which
   is counted over every training document.
-* Training: at most about ``max_train`` labelled documents, chosen by a hash of their id; follow the
-  regularised leader with elastic-net penalties, ``EPOCHS`` rounds.  In a round each of ``WORKERS`` tasks
-  goes over its own share from the common state; the states are averaged.
+* Languages: the ``MAX_LANGS`` most frequent ones over all training documents (ties by name).
+* Training: at most about ``max_train`` labelled documents, an equal share for each language (``LEAST_ROWS`` at
+  least, all of a rarer one), chosen by a hash of their id; follow the regularised leader with elastic-net
+  penalties, ``EPOCHS`` rounds.  In a round each of ``WORKERS`` tasks goes over its own share from the common
+  state, in an order that hangs on the id; the states are averaged.
 * Calibration: one temperature for all classes, which minimises the log loss of a fifth of the sample
   that training did not see.
+* Acceptance: a document is rejected if its score lies nearer to chance (one over the number of languages) than to the
+  score that all but a thousandth of the calibration rows reach.
 
 Training rows are those whose crc32 of the id's text, modulo ``folds``, is not ``held_out``; language,
 source and id are never inputs of a prediction.
 
 Edge cases: null text and text without a letter are ``und`` with score 0; so is every text if nothing can
 be learned; rows with null language or null id are predicted, not learned from; ties go to the first
-language by code point; repeated rows give repeated results; other columns are ignored.
+language by code point; repeated rows give repeated results; an empty table gives an empty result; texts of any
+length are taken whole; other columns are ignored by the prediction and kept by ``accepted``.
 """
 
 from __future__ import annotations
@@ -24,12 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headway.llm.shared import stored
+from headway.llm.shared import drop_stored, stored
 from headway.llm.textvec import chunks
 
 BITS = 15
 ORDERS = (1, 2, 3)
 WORKERS = 6
+LEAST_ROWS = 50
 EPOCHS = 3
 MAX_TRAIN = 12_000
 MAX_LANGS = 300
@@ -174,6 +180,15 @@ def _calibration(model):
     return run
 
 
+def _floor(rows, temperature: float, missed: float = 0.001) -> float:
+    """Half way from chance to the score that all but ``missed`` of the rows reach."""
+    if not rows:
+        return 0.0
+    x = np.array([r.s for r in rows]) / temperature
+    p = np.exp(x - x.max(axis=1, keepdims=True))
+    return (1 / p.shape[1] + float(np.quantile((p / p.sum(axis=1, keepdims=True)).max(axis=1), missed))) / 2
+
+
 def _temperature(rows) -> float:
     if not rows:
         return 1.0
@@ -189,8 +204,10 @@ def _temperature(rows) -> float:
 
 
 class Model:
-    def __init__(self, weights, langs: list[str], temperature: float) -> None:
-        self.weights, self.langs, self.temperature = weights, langs, temperature
+    """``floor``: the score under which a document's language counts as unknown."""
+
+    def __init__(self, weights, langs: list[str], temperature: float, floor: float = 0.0) -> None:
+        self.weights, self.langs, self.temperature, self.floor = weights, langs, temperature, floor
 
 
 def fit(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train: int = MAX_TRAIN, folds: int = 4, fold: int = 2) -> Model:
@@ -204,17 +221,18 @@ def fit(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_co
     for r in counts:
         df[r.bucket] = r.n if r.bucket >= 0 else df[r.bucket]
     idf = np.log((1 + n_docs) / (1 + df)) + 1
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < int(min(1.0, max_train / n_docs) * (1 << 30))
-    sample = stored(spark, labelled.where(draw).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5 * WORKERS)).cast("int")))
-    langs = [r.lang for r in sample.select("lang").distinct().orderBy("lang").limit(MAX_LANGS + 1).collect()]
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    common = labelled.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MAX_LANGS).collect()
+    langs = sorted(r.lang for r in common)
+    share = max(LEAST_ROWS, max_train // max(1, len(langs)))
+    drawn = spark.createDataFrame([(r.lang, int(min(1.0, share / r["count"]) * (1 << 30))) for r in common], "lang string, most long")
+    sample = labelled.join(F.broadcast(drawn), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < F.col("most"))  # MAX_LANGS rows
+    sample = stored(spark, sample.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5 * WORKERS)).cast("int")))
     if not langs:
         return Model(np.zeros((0, 1 << BITS), np.float32), [], 1.0)
     z, n = np.zeros((1 << BITS, len(langs))), np.zeros((1 << BITS, len(langs)))
     sent = spark.sparkContext.broadcast(idf)
     for epoch in range(EPOCHS):
-        shares = sample.where(F.col("part") % 5 != 0).repartition(WORKERS, F.floor(F.col("part") / 5)).select("text", "lang")
+        shares = sample.where(F.col("part") % 5 != 0).repartition(WORKERS, F.floor(F.col("part") / 5)).sortWithinPartitions(F.xxhash64("doc_id", F.lit("order")), "doc_id", "text", "lang").select("text", "lang")
         state = spark.sparkContext.broadcast((z, n))
         out = shares.mapInArrow(_train(sent, langs, state, epoch), "seen long, z binary, n binary").collect()  # at most WORKERS states
         state.destroy()
@@ -228,7 +246,9 @@ def fit(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_co
     scored = sample.where(F.col("part") % 5 == 0).select("text", "lang").mapInArrow(_calibration(raw), "y int, s array<double>").collect()  # a part of the bounded sample
     sent.destroy()
     raw.destroy()
-    return Model(weights, langs, _temperature(scored))
+    temperature = _temperature(scored)
+    drop_stored(spark, sample)
+    return Model(weights, langs, temperature, _floor(scored, temperature))
 
 
 def predict(spark: SparkSession, docs: DataFrame, model: Model, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -240,9 +260,9 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model, *, text_col: str
     return rows.mapInArrow(_predict(spark.sparkContext.broadcast((model.weights, model.langs, model.temperature))), f"{kinds}, lang_pred string, score double")
 
 
-def accepted(spark: SparkSession, docs: DataFrame, model: Model, *, text_col: str = "text", least: float = 0.0) -> DataFrame:
-    """docs without those whose language can't be told (``und``) or has a score under ``least``."""
-    columns = docs.columns
+def accepted(spark: SparkSession, docs: DataFrame, model: Model, *, text_col: str = "text", least: float | None = None) -> DataFrame:
+    """docs without those whose language can't be told (``und``) or has a score under ``least`` (the model's floor by default)."""
+    columns, least = docs.columns, model.floor if least is None else least
     if not model.langs:
         return docs.limit(0)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
