@@ -11,8 +11,10 @@
    pair (root, root) and prunes a node pair if its maximum possible overlap (sizes, less bits that one
    side surely has and the other surely lacks) can't reach the threshold.  A pair of classes belongs to the cell of
    the first code that both share and of the smaller size step, so no other cell looks at it.
-4. The traversal names the classes that have a possible partner in the cell, never the pairs.  Only their exact
-   sets are dealt to the cell again, where links are settled class by class: one expansion counts the codes
+4. The traversal names the classes that have a possible partner in the cell, never the pairs.  It runs twice:
+   with bitmaps of a quarter of the code space, which refute unrelated sets at a few bytes each, and, for what
+   they leave, with bitmaps of whole sets.  Only the exact
+   sets of what is left then are dealt to the cell again, where links are settled class by class: one expansion counts the codes
    that a class shares with all others, a class inside a component that is known is not expanded against
    it, and links that join nothing new are left out.  A cell of k classes gives k - 1 links at most, and no
    link between different components is lost.
@@ -40,8 +42,9 @@ from headway.llm.components import components
 from headway.llm.shared import drop_stored, shuffle_width, stored, text_rows
 from headway.llm.textvec import NONSPACE, Words, chunks, member, mix64
 
-BITS = 512
+BITS = 128
 BITS_PER_CODE = 4
+SLICE = 2  # bits: the first bitmaps hold one code of 2 ** SLICE
 NODE_BYTES = 1024  # of a tree's bitmaps, at most
 LEAF = 16
 HELD = 8_000_000  # bytes of bitmaps compared at once
@@ -75,13 +78,20 @@ def _sets(part: pa.RecordBatch, n: int) -> list[np.ndarray]:
     return out
 
 
-def _bitmap(codes: np.ndarray) -> bytes:
-    """At least ``BITS`` bits and ``BITS_PER_CODE`` for each code, a power of two: enough to refute most sets that miss the threshold."""
-    bits = np.zeros(max(BITS, 1 << int(BITS_PER_CODE * len(codes) - 1).bit_length()), dtype=bool)
+def _bitmap(codes: np.ndarray, n: int) -> bytes:
+    """Bits of some codes: at least ``BITS``, and at least n, a power of two."""
+    bits = np.zeros(max(BITS, 1 << int(n - 1).bit_length()), dtype=bool)
     bits[(mix64(codes) % np.uint64(len(bits))).astype(np.int64)] = True
     return np.packbits(bits).tobytes()
 
 
+def _bitmaps(codes: np.ndarray) -> tuple[bytes, bytes]:
+    """The bitmap of a slice of the code space, the same for all sets, and that of all codes: a bit that another
+    set's bitmap lacks is a code that it lacks."""
+    some = codes[mix64(codes + np.uint64(1)) >> np.uint64(64 - SLICE) == 0]
+    return _bitmap(some, BITS_PER_CODE * len(codes) >> SLICE), _bitmap(codes, BITS_PER_CODE * len(codes))
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
@@ -103,8 +113,8 @@ def _digest(n: int, num: int, den: int):
                 size = [len(s) for s in sets]
                 fp = [_fingerprint(s) for s in sets]
                 prefix = [_signed(s[: len(s) - -(-len(s) * num // den) + 1]) if len(s) else np.zeros(0, np.int64) for s in sets]
-                bm = [_bitmap(s) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size, pa.int64()), pa.array(fp, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bm, pa.binary())], ["doc_id", "n", "fp", "prefix", "bm"])
+                both = [_bitmaps(s) if len(s) else (None, None) for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size, pa.int64()), pa.array(fp, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), *(pa.array([x[k] for x in both], pa.binary()) for k in (0, 1))], ["doc_id", "n", "fp", "prefix", "part_bm", "bm"])
 
     return run
 
@@ -257,6 +267,16 @@ def _whole_cells(batches):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+#: What a class's row in a cell holds: without ``multi``, the cell is one block; ``home``: its own size step.
+_ROW = {"cell": "long", "code": "long", "fp": "long", "comp": "long", "blk": "int", "home": "boolean", "multi": "boolean"}
+
+
+def _one(column) -> pa.Array:
+    """A column as one array."""
+    column = column.combine_chunks()
+    return column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+
+
 class _Lower:
     """Shared first codes of each row that come before its cell's code."""
 
@@ -278,8 +298,8 @@ class _Lower:
         return np.bincount(owner[common], minlength=len(a)) == 0
 
 
-def _candidates(num: int, den: int):
-    """(cell, fp) of the classes that may have a partner in the cell."""
+def _candidates(num: int, den: int, first: bool):
+    """The rows of the classes that may have a partner in the cell; without ``first``, pairs of an earlier shared code don't count."""
 
     def run(batches):
         for table in _whole_cells(batches):
@@ -287,16 +307,17 @@ def _candidates(num: int, den: int):
                 continue
             cells, code, fp, n, comp, blk = (table.column(c).to_numpy() for c in ("cell", "code", "fp", "n", "comp", "blk"))
             home, multi = (table.column(c).to_numpy(zero_copy_only=False) for c in ("home", "multi"))
-            raw, codes = table.column("bm").to_pylist(), table.column("codes")
-            lower = _Lower(codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes, code)
+            raw = table.column("bm").to_pylist()
+            lower = None if first else _Lower(_one(table.column("codes")), code)
             begin = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
             size = np.diff(np.append(begin, len(cells)))
             number = np.repeat(np.arange(len(begin)), size)
 
             def own(a, b, home=home, multi=multi, lower=lower):
                 ok = multi[a] | home[a] | home[b]
-                at = np.flatnonzero(ok & ~multi[a])
-                ok[at] = ok[at] & lower.apart(a[at], b[at])
+                if lower is not None:
+                    at = np.flatnonzero(ok & ~multi[a])
+                    ok[at] = lower.apart(a[at], b[at])
                 return ok
 
             marked = np.zeros(len(cells), dtype=bool)
@@ -315,7 +336,8 @@ def _candidates(num: int, den: int):
                 at = slice(begin[k], begin[k] + size[k])
                 tree = SignatureTree(n[at], raw[at], comp[at], blk[at])
                 marked[at] = tree.partners(num, den, lambda a, b, base=begin[k], own=own: own(a + base, b + base))
-            yield pa.RecordBatch.from_arrays([pa.array(cells[marked]), pa.array(fp[marked]), pa.array(comp[marked])], ["cell", "fp", "comp"])
+            at = pa.array(np.flatnonzero(marked))
+            yield pa.RecordBatch.from_arrays([_one(table.column(c)).take(at) for c in _ROW], list(_ROW))
 
     return run
 
@@ -369,8 +391,7 @@ def _links(num: int, den: int):
             if not table.num_rows:
                 continue
             cells, fp, comp = (table.column(c).to_numpy() for c in ("cell", "fp", "comp"))
-            codes = table.column("codes").combine_chunks()
-            codes = codes.chunk(0) if isinstance(codes, pa.ChunkedArray) else codes
+            codes = _one(table.column("codes"))
             offsets, flat = codes.offsets.to_numpy(), codes.values.to_numpy(zero_copy_only=False)
             begin = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
             a, b = [], []
@@ -391,40 +412,44 @@ def groups(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den:
     rows = text_rows(docs, id_col, text_col).withColumn("row_key", F.xxhash64("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     width = shuffle_width(spark)
-    digests = stored(spark, rows.mapInArrow(_with_key(_digest(n, num, den)), f"doc_id {kind}, row_key long, n long, fp long, prefix array<long>, bm binary"))
-    place = F.struct("row_key", F.xxhash64("doc_id").alias("id_hash"), "prefix", "bm")
+    digests = stored(spark, rows.mapInArrow(_with_key(_digest(n, num, den)), f"doc_id {kind}, row_key long, n long, fp long, prefix array<long>, part_bm binary, bm binary"))
+    place = F.struct("row_key", F.xxhash64("doc_id").alias("id_hash"), "prefix", "part_bm", "bm")
     classes = digests.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min(place).alias("own"))
     classes = stored(spark, classes.select("fp", "rep", "n", "own.*"))
     ids = stored(spark, digests.select("doc_id", "row_key", "n", "fp"))
     drop_stored(spark, digests)
     scale = 1.001 * max(0.01, math.log(den / num))  # sets whose sizes allow a link are at most one step apart
-    cells = classes.select("fp", "n", F.floor(F.log("n") / scale).cast("int").alias("step"), F.explode_outer("prefix").alias("code"))
+    cells = classes.select("fp", F.floor(F.log("n") / scale).cast("int").alias("step"), F.explode_outer("prefix").alias("code"))
     shared = stored(spark, cells.groupBy("code").agg(F.count("*").alias("size")).where("size > 1").select("code"))
     cells = stored(spark, cells.join(shared, "code"))
-    maps = stored(spark, classes.select("fp", "n", "bm").join(cells.groupBy("fp").agg(F.array_sort(F.collect_list("code")).alias("codes")), "fp"))  # a class's own codes
-    sized = cells.select("fp", "n", "code", F.explode(F.array(F.struct("step", F.lit(True).alias("home")), F.struct((F.col("step") - 1).alias("step"), F.lit(False).alias("home")))).alias("s")).select("fp", "n", "code", "s.*")
+    sized = cells.select("fp", "code", F.explode(F.array(F.struct("step", F.lit(True).alias("home")), F.struct((F.col("step") - 1).alias("step"), F.lit(False).alias("home")))).alias("s")).select("fp", "code", "s.*")
     # of cells with the same classes, by count and two hashes of them, the first stays
-    stamps = sized.groupBy("code", "step").agg(F.count("*").alias("size"), F.sum("n").alias("held"), F.max("home").alias("home"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.sum(F.xxhash64("fp", F.lit(1)).bitwiseAND((1 << 32) - 1)).alias("y")).where("size > 1 and home")
-    parts = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("held") / BLOCK_CODES)).cast("int")
-    kept = stored(spark, stamps.groupBy("size", "x", "y", "step").agg(F.min("code").alias("code"), F.first("held").alias("held")).select("code", "step", parts.alias("m")))
+    stamps = sized.groupBy("code", "step").agg(F.count("*").alias("size"), F.max("home").alias("home"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.sum(F.xxhash64("fp", F.lit(1)).bitwiseAND((1 << 32) - 1)).alias("y")).where("size > 1 and home")
+    held = F.col("size") * F.exp((F.col("step") + 2) * scale)  # codes, at most
+    parts = F.greatest(F.ceil(F.col("size") / block), F.ceil(held / BLOCK_CODES)).cast("int")
+    kept = stored(spark, stamps.groupBy("size", "x", "y", "step").agg(F.min("code").alias("code")).select("code", "step", parts.alias("m")))
     members = stored(spark, sized.join(kept, ["code", "step"]).select("fp", "code", "step", "home", "m"))
-    for done in (shared, cells, kept):
+    for done in (shared, kept):
         drop_stored(spark, done)
+    some, whole = classes.select("fp", "n", F.col("part_bm").alias("bm")), classes.select("fp", "n", "bm")
+    row = ", ".join(f"{c} {t}" for c, t in _ROW.items())
 
     def block_of(seed) -> F.Column:
         return F.pmod(F.xxhash64("fp", "code", seed), F.col("m")).cast("int")
 
     def found(part: DataFrame) -> DataFrame:
         """Links of the cells in ``part`` (cell, fp, code, home, multi, blk, comp)."""
-        dealt = part.join(maps, "fp").repartition(width, "cell").sortWithinPartitions("cell", "fp")
-        likely = stored(spark, dealt.mapInArrow(_candidates(num, den), "cell long, fp long, comp long"))
+        in_cells = lambda df: df.repartition(width, "cell").sortWithinPartitions("cell", "fp")
+        maybe = stored(spark, in_cells(part.join(some, "fp")).mapInArrow(_candidates(num, den, True), row))
+        own = cells.join(maybe.select("fp").distinct(), "fp").groupBy("fp").agg(F.array_sort(F.collect_list("code")).alias("codes"))  # a class's first codes
+        likely = in_cells(maybe.join(whole.join(own, "fp"), "fp")).mapInArrow(_candidates(num, den, False), row)
+        likely = stored(spark, likely.select("cell", "fp", "comp"))
         asked = stored(spark, classes.join(likely.select("fp").distinct(), "fp").select("fp", F.col("row_key").alias("own_key"), F.col("id_hash")))
         known = F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked
         texts = rows.where("text is not null").join(known, F.col("row_key") == F.col("own_key")).where(F.xxhash64("doc_id") == F.col("id_hash")).select("fp", "text")
         sets = stored(spark, texts.mapInArrow(_codes(n), "fp long, codes array<long>").dropDuplicates(["fp"]))
-        exact = likely.join(sets.hint("merge"), "fp").repartition(width, "cell").sortWithinPartitions("cell", "fp")
-        links = stored(spark, exact.mapInArrow(_links(num, den), "a long, b long").distinct())
-        for done in (likely, asked, sets):
+        links = stored(spark, in_cells(likely.join(sets.hint("merge"), "fp")).mapInArrow(_links(num, den), "a long, b long").distinct())
+        for done in (maybe, likely, asked, sets):
             drop_stored(spark, done)
         return links
 
@@ -447,7 +472,7 @@ def groups(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den:
     named = classes.select("fp", "rep").join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     smallest = stored(spark, named.groupBy("component").agg(F.min("rep").alias("component_id")))
     of_class = stored(spark, named.join(smallest, "component").select("fp", "component_id", F.col("component").alias("group_key")))
-    for done in (classes, maps, members, large, todo, smallest):
+    for done in (classes, cells, members, large, todo, smallest):
         drop_stored(spark, done)
     out = ids.withColumn("fp", F.when(F.col("n") > 0, F.col("fp"))).join(of_class, "fp", "left")
     return out.select("doc_id", "row_key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "group_key")
