@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,9 +27,11 @@ def session(master: str | None = None, app: str = "headway", **conf: str) -> Spa
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path below the shared checkpoint folder; a local one only where none is set, as in tests."""
+    """A new path below the shared checkpoint folder; a local one only where none is set and Spark runs in one process, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
