@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from headway.config import DEFAULT, Config
-from headway.functions.columns import four_decimals
+from headway.functions.columns import four_decimals, parse_bool
 
 #: Keys of a feature vector with their defaults.
-VECTOR = {"current_delay": 0, "delay_trend": 0.0, "current_speed": 0.0, "speed_trend": 0.0, "is_stopped": False, "stopped_duration_ms": 0, "latitude": 0.0, "longitude": 0.0, "historical_avg_delay": 0.0, "historical_stddev_delay": 0.0, "avg_dwell_time_ms": 0.0, "historical_arrival_count": 0, "feature_age_ms": -1}
+VECTOR = {"current_delay": 0, "delay_trend": 0.0, "current_speed": 0.0, "speed_trend": 0.0, "is_stopped": 0, "stopped_duration_ms": 0, "latitude": 0.0, "longitude": 0.0, "historical_avg_delay": 0.0, "historical_stddev_delay": 0.0, "avg_dwell_time_ms": 0.0, "historical_arrival_count": 0, "feature_age_ms": -1}
 
 
 def online_latest(enriched: DataFrame) -> DataFrame:
@@ -24,17 +23,24 @@ def alive(online: DataFrame, now_ms: int, c: Config = DEFAULT) -> DataFrame:
     return online.withColumn("feature_age_ms", F.coalesce(F.lit(now_ms) - F.col("updated_at"), F.lit(-1))).where(F.col("feature_age_ms") <= c.feature_ttl_ms)
 
 
+def active(online: DataFrame, now_ms: int, first: int = 50, c: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """(the first vehicles with unexpired features, by id; their number in all)."""
+    rows = alive(online, now_ms, c)
+    return rows.orderBy("vehicle_id").limit(first), rows.agg(F.count("*").alias("active_vehicles"))
+
+
 def parse_hash(rows: DataFrame) -> DataFrame:
     """Text records of the online store with aliases, defaults and ages, given ``now_ms``."""
     has = lambda *names: [F.col(n) for n in names if n in rows.columns]
     num = lambda t, d, *names: F.coalesce(*[x.try_cast(t) for x in has(*names)], F.lit(d))
     text = lambda x: F.when(~F.col(x).isin("None", ""), F.col(x))
     updated = num("long", 0, "updated_at", "event_time_ms")
-    return rows.select("vehicle_id", text("line_id").alias("line_id"), num("int", 0, "current_delay", "delay").alias("current_delay"), num("double", 0.0, "delay_trend").alias("delay_trend"), num("double", 0.0, "current_speed", "speed").alias("current_speed"), num("double", 0.0, "speed_trend").alias("speed_trend"), (F.lower("is_stopped") == "true").alias("is_stopped"), num("long", 0, "stopped_duration_ms").alias("stopped_duration_ms"), num("double", 0.0, "latitude").alias("latitude"), num("double", 0.0, "longitude").alias("longitude"), text("next_stop_id").alias("next_stop_id"), updated.alias("updated_at"), F.when(updated > 0, F.col("now_ms") - updated).otherwise(-1).alias("feature_age_ms"))
+    return rows.select("vehicle_id", text("line_id").alias("line_id"), num("int", 0, "current_delay", "delay").alias("current_delay"), num("double", 0.0, "delay_trend").alias("delay_trend"), num("double", 0.0, "current_speed", "speed").alias("current_speed"), num("double", 0.0, "speed_trend").alias("speed_trend"), parse_bool(F.col("is_stopped")).alias("is_stopped"), num("long", 0, "stopped_duration_ms").alias("stopped_duration_ms"), num("double", 0.0, "latitude").alias("latitude"), num("double", 0.0, "longitude").alias("longitude"), text("next_stop_id").alias("next_stop_id"), updated.alias("updated_at"), F.when(updated > 0, F.col("now_ms") - updated).otherwise(-1).alias("feature_age_ms"))
 
 
-def valid_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    ok = F.coalesce(F.col("hour_of_day").between(0, 23), F.lit(True)) & F.coalesce(F.col("day_of_week").between(0, 7), F.lit(True))
+def valid_requests(requests: DataFrame, last_day: int = 7) -> tuple[DataFrame, DataFrame]:
+    """(requests in bounds, the others); days go to 7 in lookups, to 6 in predictions."""
+    ok = F.coalesce(F.col("hour_of_day").between(0, 23), F.lit(True)) & F.coalesce(F.col("day_of_week").between(0, last_day), F.lit(True))
     return requests.where(ok), requests.where(~ok)
 
 
@@ -42,15 +48,23 @@ def best_match(requests: DataFrame, history: DataFrame) -> DataFrame:
     """For each request the history of its stop (and line, if it names one) nearest to its hour and day.
 
     An exact (hour, day) first, then the nearest hour; ties by line, day, hour.  Requests of equal stop, line,
-    hour and day have the same match, so history is searched once for each of these.
+    hour and day have the same match, so history is searched once for each of these: a stop's history (hours and
+    days of its lines) is one array, and the match its least entry in that order.
     """
-    keys = ("stop_id", "line_id", "hour_of_day", "day_of_week")
-    h = history.select(F.col("stop_id").alias("h_stop"), F.col("line_id").alias("h_line"), F.col("hour_of_day").alias("h_hour"), F.col("day_of_week").alias("h_dow"), *[c for c in history.columns if c not in keys])
+    keys, own = ("stop_id", "line_id", "hour_of_day", "day_of_week"), {"line_id": "h_line", "day_of_week": "h_dow", "hour_of_day": "h_hour"}
+    rest = [c for c in history.columns if c not in keys]
+    entry = F.struct(*[F.col(c).alias(n) for c, n in own.items()], *rest)
+    of_line = F.explode(F.array_distinct(F.array(F.lit(None).cast("string"), F.col("line_id").cast("string"))))  # for requests without and with a line
+    by_stop = history.select(F.col("stop_id").alias("h_stop"), of_line.alias("of_line"), entry.alias("h")).groupBy("h_stop", "of_line").agg(F.collect_list("h").alias("entries"))
     asked = requests.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
-    both = asked.join(h, (F.col("_stop_id") == F.col("h_stop")) & (F.col("_line_id").isNull() | (F.col("_line_id") == F.col("h_line"))), "left")
-    exact = (F.col("h_hour") == F.col("_hour_of_day")) & (F.col("h_dow") == F.col("_day_of_week"))
-    order = Window.partitionBy(*[f"_{k}" for k in keys]).orderBy(F.coalesce(exact, F.lit(False)).desc(), F.abs(F.col("h_hour") - F.col("_hour_of_day")).asc_nulls_last(), "h_line", "h_dow", "h_hour")
-    best = both.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "h_stop")
+    both = asked.join(by_stop, (F.col("_stop_id") == F.col("h_stop")) & F.col("_line_id").eqNullSafe(F.col("of_line")), "left")
+
+    def ranked(h: Column) -> Column:
+        exact = F.coalesce((h["h_hour"] == F.col("_hour_of_day")) & (h["h_dow"] == F.col("_day_of_week")), F.lit(False))
+        away = F.abs(h["h_hour"] - F.col("_hour_of_day"))
+        return F.struct((~exact).alias("a"), away.isNull().alias("b"), away.alias("c"), h.alias("h"))
+
+    best = both.withColumn("h", F.array_min(F.transform("entries", ranked))["h"]).select(*[f"_{k}" for k in keys], *[F.col("h")[n].alias(n) for n in (*own.values(), *rest)])
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
@@ -72,7 +86,9 @@ def combined(requests: DataFrame, online: DataFrame, history: DataFrame, both_kn
 
 
 def vector(rows: DataFrame) -> DataFrame:
-    """14 keys, vehicle first; a latitude of 0.0 takes the stop's place."""
+    """14 keys, vehicle first; a latitude of 0.0 takes the stop's place; ``is_stopped`` is 1 or 0."""
+    if "is_stopped" in rows.columns:
+        rows = rows.withColumn("is_stopped", F.col("is_stopped").cast("int"))
     have = {k: F.coalesce(F.col(k) if k in rows.columns else F.lit(None), F.lit(v)) for k, v in VECTOR.items()}
     nowhere = have["latitude"] == 0.0
     for k, s in (("latitude", "stop_latitude"), ("longitude", "stop_longitude")):

@@ -58,6 +58,18 @@ def stop_performance(stop_events: DataFrame, stops: DataFrame, c: Config = DEFAU
     return sums.join(named, "stop_id", "left")
 
 
+#: Decimals of gold figures as the tables hold them.
+GOLD_DECIMALS = {"avg_delay_seconds": 2, "avg_speed_kmh": 2, "door_open_rate": 4, "on_time_percentage": 2, "historical_avg_delay": 2, "avg_dwell_time_ms": 0}
+
+
+def for_gold(df: DataFrame) -> DataFrame:
+    """A gold table's figures as they are written.
+
+    They are rounded to eight places before, so that the order in which a mean was summed can't decide a half.
+    """
+    return df.withColumns({c: F.round(F.round(F.col(c).cast("double"), 8), n) for c, n in GOLD_DECIMALS.items() if c in df.columns})
+
+
 def distinct_by(rows: DataFrame, key: str) -> DataFrame:
     """One row of each key: the least, so that reruns agree."""
     rest = [x for x in rows.columns if x != key]

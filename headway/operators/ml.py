@@ -6,7 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.pipeline import Pipeline
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headway.config import DEFAULT, Config
@@ -44,14 +44,20 @@ def train(rows: DataFrame, features: list[str], trees: int = 100, depth: int = 6
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), gbt]).fit(rows)
 
 
-def importances(model: PipelineModel, features: list[str]) -> dict[str, float]:
-    return dict(zip(features, model.stages[-1].featureImportances.toArray().tolist(), strict=True))
+def importances(spark: SparkSession, model: PipelineModel, features: list[str]) -> DataFrame:
+    """(feature, importance) of a trained model."""
+    return spark.createDataFrame(list(zip(features, model.stages[-1].featureImportances.toArray().tolist(), strict=True)), "feature string, importance double")
 
 
 def mean_predictor(rows: DataFrame) -> float:
     return rows.agg(F.avg("label")).first()[0] or 0.0
 
 
+def train_or_mean(rows: DataFrame, features: list[str], **options) -> PipelineModel | float:
+    """A model, or the labels' mean where there are too few rows to learn from."""
+    return train(rows, features, **options) if mature(rows) else mean_predictor(rows)
+
+
 def metrics(scored: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     y, p = F.col(label), F.col(prediction)
     sse, sst = F.sum((y - p) * (y - p)), F.sum(y * y) - F.sum(y) * F.sum(y) / F.count(y)
@@ -62,8 +68,10 @@ def gate(found: DataFrame, r2: float = 0.75, mae: float = 120.0) -> DataFrame:
     return found.withColumn("passed", (F.col("r2") >= r2) & (F.col("mae") <= mae))
 
 
-def score(model: PipelineModel | None, rows: DataFrame, features: list[str]) -> DataFrame:
-    """Predictions to one decimal; missing features are 0; without a model the current delay stands in."""
+def score(model: PipelineModel | float | None, rows: DataFrame, features: list[str]) -> DataFrame:
+    """Predictions to one decimal; missing features are 0; a number stands for a mean; without a model the current delay stands in."""
+    if isinstance(model, float):
+        return rows.withColumn("prediction", F.round(F.lit(model), 1))
     if model is None:
         return rows.withColumn("prediction", F.round(F.coalesce(F.col("current_delay").cast("double"), F.lit(0.0)), 1))
     full = rows.withColumns({f: F.coalesce(F.col(f).cast("double") if f in rows.columns else F.lit(None), F.lit(0.0)) for f in features})

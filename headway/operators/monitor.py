@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from headway.config import DEFAULT, Config
 from headway.functions.columns import cumulative_histogram
@@ -16,7 +17,7 @@ SLOS = (("inference_latency", "p99_latency_ms", 50.0, "lt"), ("feature_freshness
 
 def reconcile(stream: DataFrame, batch: DataFrame, name: str, date: str, c: Config = DEFAULT) -> DataFrame:
     """Row counts of a date in two tables; without source rows the difference is 100 % and fails."""
-    n = lambda df, alias: df.agg(F.count_if(F.col("date") == F.lit(date).cast("date")).alias(alias))
+    n = lambda df, alias: df.where(F.col("date") == F.lit(date).cast("date")).agg(F.count("*").alias(alias))
     diff = F.abs(F.col("stream_count") - F.col("batch_count"))
     pct = F.when(F.col("stream_count") > 0, diff * 100.0 / F.col("stream_count")).otherwise(100.0)
     counts = n(stream, "stream_count").join(n(batch, "batch_count"), F.lit(True))  # one row each
@@ -33,10 +34,41 @@ def long_form(df: DataFrame, features: list[str]) -> DataFrame:
     return df.select(pairs.alias("p")).select("p.feature", "p.x").where("x is not null and not isnan(x)")
 
 
+def _steps(x: Column) -> Column:
+    """A step function that never falls: 32 steps between powers of two."""
+    size = F.floor(F.log2(F.abs(x)) * 32) + 40_000
+    return F.when(x > 0, size).when(x < 0, -size).otherwise(F.lit(0)).cast("long")
+
+
+def quantiles(rows: DataFrame, shares: list[float]) -> DataFrame:
+    """(feature, q: array of exact quantiles, interpolated, n, lo, hi) of long-form rows.
+
+    One pass counts rows by steps of x, a second one the distinct values in the steps that hold a quantile.
+    """
+    steps = rows.groupBy("feature", _steps(F.col("x")).alias("step")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    order = Window.partitionBy("feature").orderBy("step")  # a feature's steps
+    steps = steps.withColumns({"upto": F.sum("n").over(order), "total": F.sum("n").over(Window.partitionBy("feature"))})
+    at = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("p")) for i, p in enumerate(shares)]))
+    place = (F.col("total") - 1) * F.col("s.p")
+    asked = steps.select("*", at.alias("s")).select("*", F.explode(F.array_distinct(F.array(F.floor(place), F.ceil(place)))).alias("rank")).where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
+    held = asked.groupBy("feature", "step").agg(F.collect_set("rank").alias("ranks"), F.first(F.col("upto") - F.col("n")).alias("before"))
+    values = rows.withColumn("step", _steps(F.col("x"))).join(held, ["feature", "step"]).groupBy("feature", "step", "x").agg(F.count("*").alias("n"), F.first("ranks").alias("ranks"), F.first("before").alias("before"))
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("feature", "step").orderBy("x"))  # the distinct values of one step
+    found = values.withColumn("upto", upto).select("feature", "x", F.explode(F.filter("ranks", lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n")))).alias("rank"))
+    by_rank = found.groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct("rank", "x"))).alias("x"))  # two a quantile at most
+
+    def value(p: float) -> Column:
+        spot = (F.col("total") - 1) * p
+        low, high = F.col("x")[F.floor(spot)], F.col("x")[F.ceil(spot)]
+        return low + (high - low) * (spot - F.floor(spot))
+
+    sums = steps.groupBy("feature").agg(F.first("total").alias("total"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return sums.join(by_rank, "feature").select("feature", F.array(*[value(p) for p in shares]).alias("q"), F.col("total").alias("n"), "lo", "hi")
+
+
 def psi(baseline: DataFrame, current: DataFrame, bins: int = 10, eps: float = 1e-4) -> DataFrame:
     """Population stability index of each feature of two long-form samples; 0 where one is empty."""
-    at = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    base = baseline.groupBy("feature").agg(F.percentile("x", at).alias("edges"), F.count("*").alias("n_base"), F.min("x").alias("b_lo"), F.max("x").alias("b_hi"))
+    base = quantiles(baseline, [i / bins for i in range(bins + 1)]).select("feature", F.col("q").alias("edges"), F.col("n").alias("n_base"), F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"))
     now = current.groupBy("feature").agg(F.count("*").alias("n_cur"), F.min("x").alias("c_lo"), F.max("x").alias("c_hi"))
     edges = base.join(now, "feature", "full").withColumn("inner", F.slice("edges", 2, bins - 1))
     tagged = baseline.withColumn("base", F.lit(1)).unionByName(current.withColumn("base", F.lit(0)))
@@ -88,8 +120,15 @@ def latency_histogram(rows: DataFrame, column: str, bounds: list[float]) -> Data
 
 
 def latency_summary(rows: DataFrame, column: str) -> DataFrame:
-    p = F.percentile(column, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return rows.agg(p.alias("p"), F.max(column).alias("max")).select(F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"), F.col("p")[2].alias("p99"), "max")
+    q = quantiles(rows.select(F.lit(column).alias("feature"), F.col(column).cast("double").alias("x")).where("x is not null"), [0.5, 0.95, 0.99])
+    return q.select(F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"), F.col("q")[2].alias("p99"), F.col("hi").alias("max"))
+
+
+def latency_windows(rows: DataFrame, ts: str, column: str, width: str = "1 minute") -> DataFrame:
+    """Median and 99th percentile of each window, and rows a second."""
+    seconds = F.unix_micros("w.end") - F.unix_micros("w.start")
+    q = rows.groupBy(F.window(ts, width).alias("w")).agg(F.percentile(column, F.array(F.lit(0.5), F.lit(0.99))).alias("q"), F.count("*").alias("n"))  # a window's distinct values
+    return q.select(F.col("w.start").alias("window_start"), F.col("q")[0].alias("p50"), F.col("q")[1].alias("p99"), "n", (F.col("n") * 1e6 / seconds).alias("per_second"))
 
 
 def windowed(rows: DataFrame, ts: str, width: str, *aggs, slide: str | None = None) -> DataFrame:
@@ -104,11 +143,22 @@ def freshness(rows: DataFrame, ts: str, now: str, warn_h: float = 12, error_h: f
 
 
 def presence(tables: dict[str, DataFrame], date: str) -> DataFrame:
-    """Whether each table has rows of a date."""
-    parts = [df.agg(F.count_if(F.col("date") == F.lit(date).cast("date")).alias("n")).select(F.lit(t).alias("table_name"), (F.col("n") > 0).alias("present")) for t, df in tables.items()]
+    """Whether each table has rows of a date; a table is read up to the first one, other partitions not at all."""
+    day = lambda df: df.where(F.col("date") == F.lit(date).cast("date")).limit(1)
+    parts = [day(df).agg(F.count("*").alias("n")).select(F.lit(t).alias("table_name"), (F.col("n") > 0).alias("present")) for t, df in tables.items()]
     return reduce(DataFrame.unionByName, parts)
 
 
+def audited(audits: DataFrame, date: str) -> DataFrame:
+    """Number of reconciliation rows of a date, and how many of them failed."""
+    return audits.where(F.col("date") == F.lit(date).cast("date")).agg(F.count("*").alias("audits"), F.count_if(~F.col("passed")).alias("failed"))
+
+
+def samples(df: DataFrame, columns: list[str], order: str, n: int = 3) -> DataFrame:
+    """A few rows for an audit, the first by ``order``, without the columns that it doesn't look at."""
+    return df.select(*columns).orderBy(order).limit(n)
+
+
 def topic_volume(rows: DataFrame) -> DataFrame:
     by = rows.groupBy("kafka_partition").agg((F.max("kafka_offset") - F.min("kafka_offset") + 1).alias("n"))
     return by.agg(F.sum("n").alias("messages"))

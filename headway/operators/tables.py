@@ -74,28 +74,68 @@ def expired(df: DataFrame, days: int, base_date: str) -> DataFrame:
     return df.where(F.col("date") < F.date_sub(F.lit(base_date).cast("date"), days))
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, if it is there."""
+    p, fs = _file_system(spark, path)
+    fs.delete(p, True)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder."""
+    p, fs = _file_system(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()] if fs.exists(p) else []
+
+
 def apply_retention(spark: SparkSession, path: str, days: int, base_date: str) -> list[str]:
     """Drops the expired partitions' folders; returns their dates."""
     table = read(spark, path)
     if table is None:
         return []
     gone = sorted(str(r.date) for r in expired(table.select("date"), days, base_date).distinct().collect())
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     for date in gone:
-        p = fs_path(f"{path}/date={date}")
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        drop(spark, f"{path}/date={date}")
     return gone
 
 
-def compact(spark: SparkSession, path: str, date: str, files: int = 1) -> None:
-    rows = spark.read.parquet(path).where(F.col("date") == F.lit(date).cast("date"))
+def compact(spark: SparkSession, path: str, date: str, files: int = 1) -> bool:
+    """One date's rows as ``files`` files; nothing happens without rows."""
+    table = read(spark, path)
+    if table is None:
+        return False
+    rows = table.where(F.col("date") == F.lit(date).cast("date"))
+    if rows.isEmpty():
+        return False
     overwrite(rows.repartition(files), path)
+    return True
 
 
-def maintain(spark: SparkSession, root: str, base_date: str, layers: dict[str, list[str]], actions: tuple[str, ...] = ("retention",)) -> dict[str, list[str]]:
-    """Retention by layer; layers: tables of each layer below root."""
-    days = dict(DEFAULT.retention_days)
-    return {f"{layer}/{t}": apply_retention(spark, f"{root}/{layer}/{t}", days[layer], base_date) for layer, tables in layers.items() for t in tables if "retention" in actions}
+#: Actions of the maintenance job, by layer.
+ACTIONS = {"bronze": ("retention", "compaction"), "silver": ("retention", "compaction"), "gold": ("retention", "compaction"), "warehouse": ("retention",)}
+
+
+def maintain(spark: SparkSession, root: str, base_date: str, layers: dict[str, list[str]], only: tuple[str, ...] | None = None) -> dict[str, dict[str, list[str]]]:
+    """The actions of each layer's tables (``only``: those alone): dates that each was applied to.
+
+    Retention drops expired dates, compaction rewrites the base date's files as one.
+    """
+    days, done = dict(DEFAULT.retention_days), {}
+    for layer, names in layers.items():
+        for t in names:
+            path, own = f"{root}/{layer}/{t}", {}
+            for action in ACTIONS[layer]:
+                if only is not None and action not in only:
+                    continue
+                if action == "retention":
+                    own[action] = apply_retention(spark, path, days[layer], base_date)
+                elif action == "compaction":
+                    own[action] = [base_date] if compact(spark, path, base_date) else []
+            done[f"{layer}/{t}"] = own
+    return done
 
 
 def materialise(df: DataFrame, name: str, as_view: bool = False) -> None:

@@ -5,23 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from headway.functions.columns import epoch_ms
+from headway.functions.columns import cumulative_histogram, epoch_ms
 
 #: Fields of a message with their types; the first three must be there.
 FIELDS = {"veh": "bigint", "tst": "string", "tsi": "bigint", "desi": "string", "dir": "string", "oper": "int", "spd": "double", "hdg": "int", "lat": "double", "long": "double", "dl": "int", "drst": "int", "odo": "bigint", "line": "int", "start": "string", "stop": "int", "route": "string"}
 REQUIRED = ("veh", "tst", "tsi")
 #: Inclusive ranges of telemetry, in the order of checking.
 RANGES = {"latitude": (59, 61), "longitude": (23, 26), "speed_ms": (0, 40), "heading": (0, 360), "delay_seconds": (-600, 7200), "door_status": (0, 1), "direction_id": (1, 2)}
+#: Bounds in seconds of the ingest latency histogram.
+LATENCY_BUCKETS = [0.1, 0.5, 1, 2, 5, 10, 30]
 _KINDS = {"bigint": "BIGINT", "int": "BIGINT", "double": "DOUBLE|BIGINT|DECIMAL.*", "string": "STRING"}
 
 
-def _typed(f: str) -> Column:
-    return F.try_variant_get("vp", f"$.{f}", FIELDS[f]).alias(f)
-
-
 def _mistyped(f: str) -> Column:
     """There, not null, and of another JSON type than declared."""
-    kind = F.schema_of_variant(F.try_variant_get("vp", f"$.{f}", "variant"))
+    kind = F.schema_of_variant(f"v_{f}")
     return F.coalesce(~kind.rlike(f"^({_KINDS[FIELDS[f]]}|VOID)$"), F.lit(False))
 
 
@@ -31,7 +29,9 @@ def classify(raw: DataFrame, line: str | None = None) -> DataFrame:
     rows = raw.withColumn("v", v).withColumn("vp", F.try_variant_get("v", "$.VP", "variant"))
     kind = F.schema_of_variant("v")
     rows = rows.withColumns({"is_object": F.coalesce(kind.startswith("OBJECT"), F.lit(False)), "vp_empty": F.col("vp").isNull() | F.coalesce(F.schema_of_variant("vp").isin("VOID", "OBJECT<>"), F.lit(True))})
-    rows = rows.withColumns({f: _typed(f) for f in FIELDS})
+    # the message is searched once for each field; its value and its type come from what was found
+    rows = rows.withColumns({f"v_{f}": F.try_variant_get("vp", f"$.{f}", "variant") for f in FIELDS})
+    rows = rows.withColumns({f: F.try_variant_get(f"v_{f}", "$", t) for f, t in FIELDS.items()})
     rows = rows.withColumn("wrong", F.coalesce(*[F.when(_mistyped(f) | (F.col(f).isNull() if f in REQUIRED else F.lit(False)), F.lit(f)) for f in FIELDS]))
     ts = F.try_to_timestamp("tst")
     rows = rows.withColumns({
@@ -43,7 +43,7 @@ def classify(raw: DataFrame, line: str | None = None) -> DataFrame:
     bad_dir = F.coalesce(F.nullif("dir", F.lit("")).isNotNull() & F.expr("try_cast(dir as int)").isNull(), F.lit(False))
     filtered = F.lit(False) if line is None else ~F.col("desi").eqNullSafe(F.lit(line))
     reason = F.when(F.col("v").isNull(), "corrupt_json").when(~F.col("is_object"), "runtime_error").when(F.col("vp_empty"), "missing_vp_wrapper").when(filtered, "filtered").when(F.col("wrong").isNotNull(), "contract_violation").when(F.col("lat").isNull() | F.col("long").isNull(), "gps_dropout").when(bad_dir, "runtime_error").when(off.isNotNull(), "contract_violation")
-    return rows.withColumn("reason", reason).withColumn("error_field", F.when(F.col("reason") == "contract_violation", F.coalesce("wrong", off))).drop("v", "vp", "wrong", "is_object", "vp_empty", *FIELDS)
+    return rows.withColumn("reason", reason).withColumn("error_field", F.when(F.col("reason") == "contract_violation", F.coalesce("wrong", off))).drop("v", "vp", "wrong", "is_object", "vp_empty", *FIELDS, *[f"v_{f}" for f in FIELDS])
 
 
 TELEMETRY = ["vehicle_id", "timestamp", "latitude", "longitude", "speed_ms", "heading", "delay_seconds", "door_status", "odometer", "next_stop_id", "route_id", "line_id", "direction_id", "operator_id", "journey_start", "event_time_ms"]
@@ -56,6 +56,13 @@ def split(classified: DataFrame) -> tuple[DataFrame, DataFrame]:
     return classified.where("reason is null").select(*TELEMETRY), letters
 
 
+def ingest_latency(rows: DataFrame, received: str = "received_at", event: str = "timestamp") -> DataFrame:
+    """Histogram of the seconds from event to receipt, where receipt is later."""
+    late = (F.unix_micros(received) - F.unix_micros(event)) / 1e6
+    hist = rows.select(late.alias("s")).where("s > 0").agg(cumulative_histogram(F.col("s"), LATENCY_BUCKETS).alias("h"))
+    return hist.select(F.explode("h").alias("b")).select(F.col("b.le").cast("string").alias("le"), F.col("b.n").alias("n"))
+
+
 def counters(classified: DataFrame) -> DataFrame:
     return classified.groupBy(F.coalesce("reason", F.lit("valid")).alias("reason")).count()
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from headway.config import DEFAULT, Config
 from headway.functions.columns import clean_id, delay_category_mart, hours_between, in_geofence, kmh, ratio, surrogate_key
@@ -42,9 +41,9 @@ def journeys(stg: DataFrame, c: Config = DEFAULT) -> DataFrame:
 
 
 def stop_performance(stg: DataFrame, metrics: DataFrame, target_date: str | None = None) -> DataFrame:
-    """Stopped events with history; where there is none, windows over the events themselves stand in.
+    """Stopped events with history; where there is none, counts and means of the events themselves stand in.
 
-    Metrics are summed to the join's grain first, so that no event comes out twice.
+    The events are summed once by stop, line, date and hour, and both sets of figures come from these sums. Metrics are summed to the join's grain first, so that no event comes out twice.
     """
     rows = stg.where(F.col("is_stopped") & F.col("next_stop_id").isNotNull())
     if target_date:
@@ -52,12 +51,27 @@ def stop_performance(stg: DataFrame, metrics: DataFrame, target_date: str | None
     rows = rows.withColumns({"stop_id": clean_id(F.col("next_stop_id")), "line_id": clean_id(F.col("line_id")), "hour_of_day": F.hour("event_time"), "day_of_week": F.dayofweek("event_time") - 1, "event_date": F.to_date("event_time")})
     n = F.sum("historical_arrival_count")
     past = metrics.groupBy("stop_id", "line_id", "hour_of_day").agg(n.alias("past_count"), F.try_divide(F.sum(F.col("historical_avg_delay") * F.col("historical_arrival_count")), n).alias("past_delay"), F.avg("avg_dwell_time_ms").alias("past_dwell"))
-    by_stop, by_hour = Window.partitionBy("stop_id", "line_id", "event_date"), Window.partitionBy("stop_id", "line_id", "hour_of_day")
-    d = F.col("delay_seconds")
-    return rows.join(past, ["stop_id", "line_id", "hour_of_day"], "left").withColumns({
-        "historical_arrival_count": F.coalesce("past_count", F.count("*").over(by_stop)), "historical_avg_delay": F.coalesce("past_delay", F.avg(d).over(by_hour)), "delay_category": delay_category_mart(d),
-        "historical_stddev_delay": F.stddev_pop(d).over(by_hour), "historical_on_time_pct": F.sum(F.when(d <= DEFAULT.on_time_seconds, 1).otherwise(0)).over(by_hour) * 100.0 / F.count("*").over(by_hour), "avg_dwell_time_ms": F.coalesce("past_dwell", F.lit(0.0)),
-    }).drop("past_count", "past_delay", "past_dwell")
+    d, late = F.col("delay_seconds"), F.col("delay_seconds") > DEFAULT.on_time_seconds
+    stats = rows.groupBy("stop_id", "line_id", "event_date", "hour_of_day").agg(F.count("*").alias("n"), F.count(d).alias("known"), F.sum(d.cast("double")).alias("total"), F.sum(d.cast("double") * d).alias("squares"), F.count_if(late | d.isNull()).alias("late"))
+    known, total = F.sum("known"), F.sum("total")
+    by_hour = stats.groupBy("stop_id", "line_id", "hour_of_day").agg(
+        F.try_divide(total, known).alias("own_delay"), F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.sum("squares") - F.try_divide(total * total, known), known))).alias("historical_stddev_delay"),
+        ((F.sum("n") - F.sum("late")) * 100.0 / F.sum("n")).alias("historical_on_time_pct"),
+    )
+    by_stop = stats.groupBy("stop_id", "line_id", "event_date").agg(F.sum("n").alias("own_count"))
+
+    def with_(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
+        """A left join that takes null for a value; the keys stay once."""
+        other, same = right.withColumnsRenamed({k: f"_{k}" for k in keys}), F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        return left.join(other, same, "left").drop(*[f"_{k}" for k in keys])
+
+    hours = by_hour.join(past, ["stop_id", "line_id", "hour_of_day"], "left")
+    both = with_(with_(rows, hours, "stop_id", "line_id", "hour_of_day"), by_stop, "stop_id", "line_id", "event_date")
+    return both.withColumns({
+        "historical_arrival_count": F.coalesce("past_count", "own_count"), "historical_avg_delay": F.coalesce("past_delay", "own_delay"), "delay_category": delay_category_mart(d), "avg_dwell_time_ms": F.coalesce("past_dwell", F.lit(0.0)),
+    }).drop("past_count", "past_delay", "past_dwell", "own_count", "own_delay")
 
 
 def mart_daily_performance(j: DataFrame) -> DataFrame:

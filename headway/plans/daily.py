@@ -1,16 +1,41 @@
-"""The daily run: bronze to warehouse copies, silver, reconciliation, gold, marts, retention, drift, decision."""
+"""The daily run: bronze to warehouse copies, silver, reconciliation, gold, marts, maintenance, drift, decision, training."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headway.operators import lakehouse, monitor, tables, warehouse
+from headway.operators import lakehouse, ml, monitor, tables, warehouse
 from headway.sources.connectors import not_empty, table_on
 
+LAYERS = {"bronze": ["enriched", "stop_events"], "silver": ["enriched", "stop_events"], "gold": ["daily_metrics", "hourly_metrics", "stop_performance"], "warehouse": ["enriched", "stop_events"]}
+DRIFT = ["delay_seconds", "speed_ms", "distance_since_last_m"]
 
-def run(spark: SparkSession, root: str, date: str, stops: DataFrame, lines: DataFrame) -> DataFrame:
-    """Runs a date over ``root``/bronze and returns the retraining decision; every step can run again."""
+
+def _marts(spark: SparkSession, root: str, date: str, stops: DataFrame, lines: DataFrame) -> None:
+    """Snapshots of the dimensions, and both marts; the stop mart's key has to be unique."""
+    for name, rows, key, checked in (("stops", stops, "stop_id", ["stop_name", "stop_lat", "stop_lon", "zone_id", "stop_code"]), ("lines", lines, "line_id", ["line_name", "line_type", "operator_name"])):
+        path = f"{root}/snapshots/{name}"
+        versions = warehouse.snapshot(tables.read(spark, f"{path}/now"), rows, key, checked, date)
+        tables.overwrite(versions, f"{path}/next", partitioned=False)  # a table can't be read and overwritten at once
+        tables.overwrite(spark.read.parquet(f"{path}/next"), f"{path}/now", partitioned=False)
+    stg = warehouse.stg_enriched(table_on(spark, f"{root}/warehouse/enriched"))
+    tables.overwrite(stg, f"{root}/staging/enriched")
+    stg = table_on(spark, f"{root}/staging/enriched")
+    tables.overwrite(lakehouse.for_gold(warehouse.mart_daily_performance(warehouse.journeys(stg))), f"{root}/marts/daily_performance", partitioned=False)
+    perf = warehouse.stop_performance(stg, warehouse.stg_stop_metrics(table_on(spark, f"{root}/gold/stop_performance")))
+    tables.overwrite(perf.drop("date"), f"{root}/marts/stop_performance", partitioned=False)
+    snapshot = lambda name: spark.read.parquet(f"{root}/snapshots/{name}/now")
+    mart = warehouse.mart_stop_arrivals(spark.read.parquet(f"{root}/marts/stop_performance"), warehouse.dim_stops(snapshot("stops"), stg), warehouse.dim_lines(snapshot("lines")))
+    tables.overwrite(mart, f"{root}/marts/stop_arrivals", partitioned=False)
+    monitor.enforce(monitor.duplicates(spark.read.parquet(f"{root}/marts/stop_arrivals"), ["feature_id"]), "stop_arrivals_key", store=f"{root}/checks")
+
+
+def run(spark: SparkSession, root: str, date: str, stops: DataFrame, lines: DataFrame, trees: int = 100, dry_run: bool = True) -> DataFrame:
+    """Runs a date over ``root``/bronze and returns the retraining decision; every step can run again.
+
+    Unless ``dry_run``, a decision to retrain trains the delay model on the stop mart, if there are arrivals enough.
+    """
     enriched = not_empty(table_on(spark, f"{root}/bronze/enriched", date), "bronze enriched")
     events = table_on(spark, f"{root}/bronze/stop_events", date)
     for name, df in (("enriched", enriched), ("stop_events", events)):
@@ -21,15 +46,31 @@ def run(spark: SparkSession, root: str, date: str, stops: DataFrame, lines: Data
     monitor.audit(monitor.reconcile(enriched, silver, "enriched", date), f"{root}/audit/reconciliation")
     tables.overwrite(lakehouse.stop_metadata(stops), f"{root}/gold/stops", partitioned=False)
     tables.overwrite(lakehouse.line_metadata(lines), f"{root}/gold/lines", partitioned=False)
-    tables.upsert_merge(spark, lakehouse.daily_metrics(silver), f"{root}/gold/daily_metrics", ["line_id", "date"])
-    tables.overwrite(lakehouse.hourly_metrics(silver), f"{root}/gold/hourly_metrics")
+    tables.upsert_merge(spark, lakehouse.for_gold(lakehouse.daily_metrics(silver)), f"{root}/gold/daily_metrics", ["line_id", "date"])
+    tables.overwrite(lakehouse.for_gold(lakehouse.hourly_metrics(silver)), f"{root}/gold/hourly_metrics")
     performance = lakehouse.stop_performance(arrivals, stops).withColumn("date", F.lit(date).cast("date"))
-    tables.overwrite(performance, f"{root}/gold/stop_performance")
-    stg = warehouse.stg_enriched(table_on(spark, f"{root}/warehouse/enriched"))
-    tables.overwrite(warehouse.mart_daily_performance(warehouse.journeys(stg)), f"{root}/marts/daily_performance", partitioned=False)
-    tables.maintain(spark, root, date, {"bronze": ["enriched", "stop_events"], "silver": ["enriched", "stop_events"], "gold": ["daily_metrics", "hourly_metrics", "stop_performance"], "warehouse": ["enriched", "stop_events"]})
+    tables.overwrite(lakehouse.for_gold(performance), f"{root}/gold/stop_performance")
+    _marts(spark, root, date, stops, lines)
+    tables.maintain(spark, root, date, LAYERS)
     base, current = monitor.drift_windows(table_on(spark, f"{root}/warehouse/enriched"), "kafka_timestamp", f"{date} 23:59:59")
-    names = ["delay_seconds", "speed_ms", "distance_since_last_m"]
-    drift = monitor.psi(monitor.long_form(base, names), monitor.long_form(current, names))
-    drift.write.mode("overwrite").json(f"{root}/monitoring/drift/date={date}")
-    return monitor.retrain_decision(drift)
+    drift = monitor.psi(monitor.long_form(base, DRIFT), monitor.long_form(current, DRIFT))
+    report = f"{root}/monitoring/drift/date={date}"
+    drift.agg(F.map_from_entries(F.collect_list(F.struct("feature", "psi"))).alias("m")).select("m").write.mode("overwrite").json(report)  # one entry a feature
+    decision = monitor.retrain_decision(drift, dry_run)
+    if not dry_run and decision.first().retrain:
+        retrain(spark, root, trees)
+    return decision
+
+
+def retrain(spark: SparkSession, root: str, trees: int = 100) -> DataFrame | None:
+    """Trains on four fifths of the stop mart's events, keeps model and gated metrics; None with too few arrivals."""
+    rows, used = ml.prepare(spark.read.parquet(f"{root}/marts/stop_performance").withColumn("target", F.col("delay_seconds")), "target")
+    if not ml.mature(rows):
+        return None
+    fit, test = ml.split(rows)
+    model = ml.train(fit, used, trees)
+    model.write().overwrite().save(f"{root}/models/delay")
+    ml.importances(spark, model, used).write.mode("overwrite").json(f"{root}/models/importances")
+    found = ml.gate(ml.metrics(ml.score(model, test, used)))
+    found.write.mode("overwrite").json(f"{root}/models/metrics")
+    return found

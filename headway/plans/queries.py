@@ -54,10 +54,13 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
       SELECT next_stop_id, 'Stop ' || next_stop_id, avg(latitude), avg(longitude), 'Unmapped', next_stop_id, TIMESTAMP '1970-01-01' FROM stg WHERE next_stop_id IS NOT NULL AND next_stop_id NOT IN (SELECT stop_id FROM stops) GROUP BY next_stop_id""", ("stops", "stg")),
     "predictions": ("SELECT o_orderkey AS request_id, CAST(o_custkey AS VARCHAR) AS vehicle_id, CAST(o_orderkey % 600 AS DOUBLE) AS prod, CAST(o_orderkey % 600 + o_custkey % 150 AS DOUBLE) AS shadow, CAST((o_orderkey * 7) % 650 AS DOUBLE) AS actual, CAST(o_custkey % 97 AS DOUBLE) AS latency_ms FROM orders", ()),
     "large": ("SELECT CAST(l_suppkey AS VARCHAR) AS line_id, CAST(l_partkey % 500 AS VARCHAR) AS stop_id, CAST(l_shipdate AS DATE) AS date, CAST(date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS INT) * 10 AS delay_seconds, CAST(l_quantity AS DOUBLE) AS speed_ms, l_orderkey * 10 + l_linenumber AS kafka_offset FROM lineitem JOIN orders ON l_orderkey = o_orderkey", ()),
-    "raw": ("""SELECT event_id, ts, k, CASE WHEN k = 1 THEN 'corrupt_json' WHEN k = 2 THEN 'missing_vp_wrapper' WHEN k = 6 THEN 'contract_violation' WHEN k = 3 THEN 'gps_dropout' WHEN k = 4 THEN 'runtime_error' WHEN k = 5 THEN 'contract_violation' ELSE 'valid' END AS reason
+    "raw": ("""SELECT * EXCLUDE (value), CASE WHEN k = 1 THEN '{broken' WHEN k = 2 THEN '{"XX":1}' ELSE '{"VP":{"veh":' || CASE WHEN k = 6 THEN '"abc"' ELSE CAST(user_id AS VARCHAR) END || ',"tst":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z","tsi":1,"desi":"' || event_type || '","dir":"' || CASE WHEN k = 4 THEN 'x' ELSE CAST(user_id % 2 + 1 AS VARCHAR) END
+      || '","lat":' || CASE WHEN k = 3 THEN 'null' ELSE '60.' || lpad(CAST(k AS VARCHAR), 2, '0') END || ',"long":24.9,"spd":' || CASE WHEN k = 5 THEN '100' WHEN k = 7 THEN 'null' ELSE CAST(k % 40 AS VARCHAR) END || '}}' END AS value,
+      CASE WHEN k = 1 THEN 'corrupt_json' WHEN k = 2 THEN 'missing_vp_wrapper' WHEN k = 6 THEN 'contract_violation' WHEN k = 3 THEN 'gps_dropout' WHEN k = 4 THEN 'runtime_error' WHEN k = 5 THEN 'contract_violation' ELSE 'valid' END AS reason
       FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)""", ()),
     "online": ("SELECT vehicle_id, arg_max(struct_pack(l := line_id, d := delay_seconds, dt := delay_trend, s := speed_ms, st := speed_trend, z := is_stopped, sd := stopped_duration_ms, la := latitude, lo := longitude, n := trim(next_stop_id), u := event_time_ms), kafka_offset) AS f FROM enriched GROUP BY 1", ("enriched",)),
-    "requests": ("SELECT o_orderkey AS request_id, CAST(o_custkey % 50 AS VARCHAR) AS vehicle_id, 'S' || CAST(o_orderkey % 6 AS VARCHAR) AS stop_id, CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 3 = 1 THEN 'view' ELSE 'error' END AS line_id, CAST(o_orderkey % 24 AS INT) AS hour_of_day, CAST(o_orderkey % 7 AS INT) AS day_of_week FROM orders WHERE o_orderkey % 4 = 0", ()),
+    "requests": ("SELECT o_orderkey AS request_id, CAST(o_custkey % 50 AS VARCHAR) AS vehicle_id, CASE WHEN o_orderkey % 11 > 0 THEN 'S' || CAST(o_orderkey % 6 AS VARCHAR) END AS stop_id, CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 3 = 1 THEN 'view' ELSE 'error' END AS line_id, CASE WHEN o_orderkey % 13 > 0 THEN CAST(o_orderkey % 24 AS INT) END AS hour_of_day, CASE WHEN o_orderkey % 17 > 0 THEN CAST(o_orderkey % 7 AS INT) END AS day_of_week, CAST(o_orderdate AS TIMESTAMP) AS request_time FROM orders", ()),
+    "live": ("SELECT r.* REPLACE (coalesce(r.stop_id, f.n) AS stop_id, coalesce(r.line_id, f.l) AS line_id, coalesce(r.hour_of_day, hour(r.request_time)) AS hour_of_day, coalesce(r.day_of_week, dayofweek(r.request_time)) AS day_of_week), o.vehicle_id IS NOT NULL AS online_available, f FROM requests r LEFT JOIN online o ON r.vehicle_id = o.vehicle_id", ("requests", "online")),
 }
 
 
@@ -158,9 +161,38 @@ def gold_stop_performance(s, d):
     return r6(_metrics(s, d), "historical_avg_delay")
 
 
-@query("SELECT stop_id, stop_name, stop_lat AS latitude, stop_lon AS longitude FROM stops", "stops")
+def _rounded(x: str, n: int, name: str) -> str:
+    """As the gold tables round: half away from zero, on eight places."""
+    return f"CAST(round(CAST({x} AS DECIMAL(28, 8)), {n}) AS DOUBLE) AS {name}"
+
+
+@query(f"SELECT line_id, date, count(*) AS total_events, {_rounded('avg(delay_seconds)', 2, 'avg_delay_seconds')}, {_rounded('avg(speed_kmh)', 2, 'avg_speed_kmh')}, {_rounded('avg(CAST(door_status AS DOUBLE))', 4, 'door_open_rate')}, count(*) FILTER (delay_seconds <= 60) AS on_time_count, {_rounded('count(*) FILTER (delay_seconds <= 60) * 100.0::DOUBLE / count(*)', 2, 'on_time_percentage')} FROM silver GROUP BY 1, 2", "silver")
+def gold_daily_table(s, d):
+    """Daily metrics as the gold table holds them."""
+    return lakehouse.for_gold(lakehouse.daily_metrics(_silver(s, d)))
+
+
+@query(f"SELECT line_id, date, CAST(hour((timestamp AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Helsinki') AS INT) AS hour, count(*) AS total_events, {_rounded('avg(delay_seconds)', 2, 'avg_delay_seconds')}, {_rounded('avg(speed_kmh)', 2, 'avg_speed_kmh')} FROM silver GROUP BY 1, 2, 3", "silver")
+def gold_hourly_table(s, d):
+    return lakehouse.for_gold(lakehouse.hourly_metrics(_silver(s, d)))
+
+
+@query(f"SELECT m.stop_id, line_id, CAST(hour_of_day AS INT) AS hour_of_day, CAST(day_of_week AS INT) AS day_of_week, historical_arrival_count, {_rounded('historical_avg_delay', 2, 'historical_avg_delay')}, {_rounded('avg_dwell_time_ms', 0, 'avg_dwell_time_ms')}, s.stop_lat AS latitude, s.stop_lon AS longitude, s.stop_name FROM stop_metrics m LEFT JOIN stops s ON m.stop_id = s.stop_id", "stop_metrics", "stops")
+def gold_stop_table(s, d):
+    return lakehouse.for_gold(_metrics(s, d))
+
+
+@query("SELECT trim(i) AS stop_id, n AS stop_name, la AS latitude, lo AS longitude FROM (SELECT CASE WHEN p_partkey % 97 = 0 THEN ' ' ELSE ' P' || CAST(p_partkey // 3 AS VARCHAR) || ' ' END AS i, p_name AS n, 60.0::DOUBLE + p_size * 0.01::DOUBLE AS la, 24.9::DOUBLE AS lo FROM part) WHERE trim(i) <> '' QUALIFY row_number() OVER (PARTITION BY trim(i) ORDER BY n, la, lo) = 1")
 def gold_stop_metadata(s, d):
-    return lakehouse.stop_metadata(src.stops(s, d))
+    """Parts as raw stops: three rows a stop, padded ids, some of them empty."""
+    raw = src.table(s, d, "part").selectExpr("case when p_partkey % 97 = 0 then ' ' else concat(' P', cast(p_partkey div 3 as string), ' ') end as stop_id", "p_name as stop_name", "60.0D + p_size * 0.01D as stop_lat", "24.9D as stop_lon")
+    return lakehouse.stop_metadata(raw)
+
+
+@query("SELECT trim(i) AS line_id, n AS line_name, t AS line_type, o AS operator_name FROM (SELECT ' L' || CAST(c_custkey // 4 AS VARCHAR) AS i, c_name AS n, c_mktsegment AS t, CAST(c_nationkey AS VARCHAR) AS o FROM customer) QUALIFY row_number() OVER (PARTITION BY trim(i) ORDER BY n, t, o) = 1")
+def gold_line_metadata(s, d):
+    """Customers as raw lines, four rows a line."""
+    return lakehouse.line_metadata(src.table(s, d, "customer").selectExpr("concat(' L', cast(c_custkey div 4 as string)) as line_id", "c_name as line_name", "c_mktsegment as line_type", "cast(c_nationkey as string) as operator_name"))
 
 
 @query("SELECT kafka_offset, round(delay_trend, 6) AS delay_trend, round(speed_trend, 6) AS speed_trend FROM enriched", "enriched")
@@ -219,13 +251,14 @@ def dim_stops_discovery(s, d):
     return r6(_dim_stops(s, d).select("stop_id", "stop_name", "stop_lat", "stop_lon", "zone_id", "stop_code", F.to_date("valid_from").alias("valid_from")), "stop_lat", "stop_lon")
 
 
-@query("""WITH old AS (SELECT n_nationkey AS id, n_name AS name, n_regionkey AS region FROM nation WHERE n_nationkey < 20), new AS (SELECT n_nationkey AS id, CASE WHEN n_nationkey % 4 = 0 THEN 'new ' || n_name ELSE n_name END AS name, n_regionkey AS region FROM nation WHERE n_nationkey >= 5)
+@query("""WITH old AS (SELECT c_custkey AS id, c_name AS name, c_mktsegment AS region FROM customer WHERE c_custkey % 5 > 0), new AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN 'new ' || c_name ELSE c_name END AS name, c_mktsegment AS region FROM customer WHERE c_custkey % 7 > 0)
   SELECT o.id, o.name, o.region, DATE '2026-01-01' AS valid_from, CASE WHEN n.id IS NULL OR n.name <> o.name THEN DATE '2026-01-02' END AS valid_to FROM old o LEFT JOIN new n ON o.id = n.id
   UNION ALL SELECT n.id, n.name, n.region, DATE '2026-01-02', NULL FROM new n LEFT JOIN old o ON o.id = n.id WHERE o.id IS NULL OR o.name <> n.name""")
 def scd2_snapshot(s, d):
-    n = src.table(s, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
-    one = warehouse.snapshot(None, n.where("id < 20"), "id", ["name", "region"], "2026-01-01")
-    changed = n.where("id >= 5").withColumn("name", F.when(F.col("id") % 4 == 0, F.concat(F.lit("new "), "name")).otherwise(F.col("name")))
+    """Two states of all customers: a fifth comes new, a seventh goes, a quarter changes its name."""
+    c = src.table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("region"))
+    one = warehouse.snapshot(None, c.where("id % 5 > 0"), "id", ["name", "region"], "2026-01-01")
+    changed = c.where("id % 7 > 0").withColumn("name", F.when(F.col("id") % 4 == 0, F.concat(F.lit("new "), "name")).otherwise(F.col("name")))
     two = warehouse.snapshot(one, changed, "id", ["name", "region"], "2026-01-02")
     return two.withColumns({"valid_from": F.to_date("valid_from"), "valid_to": F.to_date("valid_to")})
 
@@ -235,11 +268,12 @@ def mart_daily_performance(s, d):
     return r6(warehouse.mart_daily_performance(warehouse.journeys(_stg(s, d))), "avg_delay_seconds", "avg_speed_kmh", "on_time_percentage", "total_distance_km")
 
 
-@query("""SELECT md5(vehicle_id || '-' || p.stop_id || '-' || p.line_id || '-' || CAST(event_time_ms AS VARCHAR)) AS feature_id, p.stop_id, p.line_id, event_date, CAST(hour_of_day AS INT) AS hour_of_day, delay_category, historical_arrival_count, round(historical_avg_delay, 6) AS historical_avg_delay, stop_name, zone_id, coalesce(line_name, 'Line: ' || p.line_id) AS line_name, coalesce(line_type, 'Unknown') AS line_type, kafka_offset
+@query("""SELECT md5(vehicle_id || '-' || p.stop_id || '-' || p.line_id || '-' || CAST(event_time_ms AS VARCHAR)) AS feature_id, p.stop_id, p.line_id, event_date, CAST(hour_of_day AS INT) AS hour_of_day, CAST(day_of_week AS INT) AS day_of_week, delay_category, historical_arrival_count, round(historical_avg_delay, 6) AS historical_avg_delay, round(historical_stddev_delay, 6) AS historical_stddev_delay, round(historical_on_time_pct, 6) AS historical_on_time_pct, round(avg_dwell_time_ms, 6) AS avg_dwell_time_ms,
+  round(stop_lat, 6) AS stop_lat, round(stop_lon, 6) AS stop_lon, stop_name, zone_id, stop_code, coalesce(line_name, 'Line: ' || p.line_id) AS line_name, coalesce(line_type, 'Unknown') AS line_type, epoch_us(ingestion_time) // 1000 AS ingestion_ms, kafka_partition, kafka_offset
   FROM perf p JOIN dim_stops s ON p.stop_id = s.stop_id LEFT JOIN lines l ON p.line_id = l.line_id""", "perf", "dim_stops", "lines")
 def mart_stop_arrivals(s, d):
     m = warehouse.mart_stop_arrivals(_perf(s, d), _dim_stops(s, d), _dim_lines(s, d))
-    return r6(m.select("feature_id", "stop_id", "line_id", "event_date", "hour_of_day", "delay_category", "historical_arrival_count", "historical_avg_delay", "stop_name", "zone_id", "line_name", "line_type", "kafka_offset"), "historical_avg_delay")
+    return r6(m.withColumn("ingestion_ms", F.unix_millis("ingestion_time")).drop("ingestion_time"), "historical_avg_delay", "historical_stddev_delay", "historical_on_time_pct", "avg_dwell_time_ms", "stop_lat", "stop_lon")
 
 
 @query("SELECT vehicle_id, event_time_ms, kafka_offset, date FROM telemetry QUALIFY row_number() OVER (PARTITION BY vehicle_id, date, event_time_ms ORDER BY kafka_offset DESC) = 1", "telemetry")
@@ -280,15 +314,37 @@ def ingest_reasons(s, d):
     return validate.counters(validate.classify(src.raw_messages(s, d)))
 
 
-@query("SELECT k, reason, count(*) AS n FROM raw WHERE reason NOT IN ('valid', 'missing_vp_wrapper') GROUP BY 1, 2", "raw")
+@query("SELECT md5(value) AS payload_md5, reason AS error_message, CASE k WHEN 6 THEN 'veh' WHEN 5 THEN 'speed_ms' END AS error_field, 'raw' AS topic, count(*) AS n FROM raw WHERE reason NOT IN ('valid', 'missing_vp_wrapper') GROUP BY 1, 2, 3, 4", "raw")
 def dead_letters(s, d):
-    c = validate.classify(src.raw_messages(s, d))
-    return c.where("reason is not null and reason <> 'missing_vp_wrapper'").groupBy("k", "reason").agg(F.count("*").alias("n"))
+    letters = validate.split(validate.classify(src.raw_messages(s, d)))[1]
+    return letters.groupBy(F.md5("raw_payload").alias("payload_md5"), "error_message", "error_field", "topic").agg(F.count("*").alias("n"))
 
 
-@query("SELECT CAST(user_id AS VARCHAR) AS vehicle_id, epoch_us(e.ts) // 1000 AS event_time_ms, event_type AS line_id, CASE WHEN r.k = 7 THEN NULL ELSE CAST(r.k % 40 AS DOUBLE) END AS speed_ms, CAST(user_id % 2 + 1 AS INT) AS direction_id FROM events e JOIN raw r USING (event_id) WHERE reason = 'valid'", "raw")
+@query("""SELECT CAST(user_id AS VARCHAR) AS vehicle_id, epoch_us(ts) // 1000 AS timestamp_ms, round(60 + k / 100.0::DOUBLE, 6) AS latitude, 24.9::DOUBLE AS longitude, CASE WHEN k = 7 THEN NULL ELSE CAST(k % 40 AS DOUBLE) END AS speed_ms, CAST(NULL AS INT) AS heading, CAST(NULL AS INT) AS delay_seconds, CAST(NULL AS INT) AS door_status, CAST(NULL AS BIGINT) AS odometer,
+  CAST(NULL AS VARCHAR) AS next_stop_id, CAST(NULL AS VARCHAR) AS route_id, event_type AS line_id, CAST(user_id % 2 + 1 AS INT) AS direction_id, 0 AS operator_id, CAST(NULL AS VARCHAR) AS journey_start, epoch_us(ts) // 1000 AS event_time_ms FROM raw WHERE reason = 'valid'""", "raw")
 def ingest_valid(s, d):
-    return validate.split(validate.classify(src.raw_messages(s, d)))[0].select("vehicle_id", "event_time_ms", "line_id", "speed_ms", "direction_id")
+    good = validate.split(validate.classify(src.raw_messages(s, d)))[0]
+    return r6(good.withColumn("timestamp_ms", F.unix_millis("timestamp")).drop("timestamp"), "latitude")
+
+
+@query("SELECT reason, count(*) AS count FROM (SELECT CASE WHEN k IN (1, 2) THEN reason WHEN event_type <> 'click' THEN 'filtered' ELSE reason END AS reason FROM raw) GROUP BY 1", "raw")
+def ingest_one_line(s, d):
+    """Ingest that follows one line: messages of other lines are counted, not kept."""
+    return validate.counters(validate.classify(src.raw_messages(s, d), line="click"))
+
+
+@query("SELECT event_id, k NOT IN (1, 2, 6) AS valid, CASE WHEN k = 6 THEN 'veh' END AS error_field FROM raw", "raw")
+def schema_conformance(s, d):
+    """The inner part of messages against a declared schema: valid, and the first field in error."""
+    inner = src.raw_messages(s, d).withColumn("value", F.get_json_object("value", "$.VP"))
+    return validate.conforms(inner, "veh bigint, tst string, desi string, spd double, lat double", ("veh", "tst", "desi")).select("event_id", "valid", "error_field")
+
+
+@query("""SELECT b.le, (SELECT count(*) FROM raw WHERE k - 20 > 0 AND (k - 20) / 10.0::DOUBLE <= b.x) AS n FROM (VALUES ('0.1', 0.1::DOUBLE), ('0.5', 0.5), ('1.0', 1), ('2.0', 2), ('5.0', 5), ('10.0', 10), ('30.0', 30), ('Infinity', 1e300)) AS b(le, x)""", "raw")
+def ingest_latency(s, d):
+    """Receipt from 2 seconds before to 8 seconds after the event."""
+    rows = src.raw_messages(s, d).select(F.col("ts").alias("timestamp"), (F.col("ts") + F.make_dt_interval(secs=((F.col("k") - 20) / 10).cast("decimal(18,6)"))).alias("received_at"))
+    return validate.ingest_latency(rows)
 
 
 @query("SELECT b.le, (SELECT count(*) FROM predictions WHERE latency_ms <= b.x) AS n, (SELECT sum(latency_ms) FROM predictions) AS total FROM (VALUES ('1.0', 1.0), ('5.0', 5.0), ('10.0', 10.0), ('50.0', 50.0), ('Infinity', 1e300)) AS b(le, x)", "predictions")
@@ -313,30 +369,78 @@ def online_features_latest(s, d):
 
 
 def _requests(s, d):
-    return src.table(s, d, "orders").selectExpr("o_orderkey as request_id", "cast(o_custkey % 50 as string) as vehicle_id", "concat('S', cast(o_orderkey % 6 as string)) as stop_id", "case when o_orderkey % 3 = 0 then null when o_orderkey % 3 = 1 then 'view' else 'error' end as line_id", "cast(o_orderkey % 24 as int) as hour_of_day", "cast(o_orderkey % 7 as int) as day_of_week", "cast(o_orderdate as timestamp) as request_time")
+    return src.table(s, d, "orders").selectExpr("o_orderkey as request_id", "cast(o_custkey % 50 as string) as vehicle_id", "case when o_orderkey % 11 > 0 then concat('S', cast(o_orderkey % 6 as string)) end as stop_id", "case when o_orderkey % 3 = 0 then null when o_orderkey % 3 = 1 then 'view' else 'error' end as line_id", "case when o_orderkey % 13 > 0 then cast(o_orderkey % 24 as int) end as hour_of_day", "case when o_orderkey % 17 > 0 then cast(o_orderkey % 7 as int) end as day_of_week", "cast(o_orderdate as timestamp) as request_time")
 
 
-_MATCH = """SELECT request_id, vehicle_id, r.line_id, m.line_id AS h_line, m.hour_of_day AS h_hour, m.day_of_week AS h_dow, historical_arrival_count, historical_avg_delay, m.stop_id IS NOT NULL AS offline_available FROM requests r LEFT JOIN stop_metrics m ON r.stop_id = m.stop_id AND (r.line_id IS NULL OR r.line_id = m.line_id)
+def _match(requests: str) -> str:
+    return f"""SELECT r.*, m.line_id AS h_line, m.hour_of_day AS h_hour, m.day_of_week AS h_dow, historical_arrival_count, historical_avg_delay, avg_dwell_time_ms, s.stop_lat, s.stop_lon, m.stop_id IS NOT NULL AS offline_available FROM {requests} r LEFT JOIN stop_metrics m ON r.stop_id = m.stop_id AND (r.line_id IS NULL OR r.line_id = m.line_id) LEFT JOIN stops s ON m.stop_id = s.stop_id
   QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY coalesce(m.hour_of_day = r.hour_of_day AND m.day_of_week = r.day_of_week, false) DESC, abs(m.hour_of_day - r.hour_of_day) NULLS LAST, m.line_id NULLS FIRST, m.day_of_week NULLS FIRST, m.hour_of_day NULLS FIRST) = 1"""
 
 
-@query(f"SELECT request_id, h_line, CAST(h_hour AS INT) AS h_hour, CAST(h_dow AS INT) AS h_dow, historical_arrival_count, round(historical_avg_delay, 6) AS historical_avg_delay FROM ({_MATCH})", "requests", "stop_metrics")
+@query(f"SELECT request_id, h_line, CAST(h_hour AS INT) AS h_hour, CAST(h_dow AS INT) AS h_dow, historical_arrival_count, round(historical_avg_delay, 6) AS historical_avg_delay FROM ({_match('requests')})", "requests", "stop_metrics", "stops")
 def offline_best_match(s, d):
     return r6(features.best_match(_requests(s, d), _metrics(s, d)).select("request_id", "h_line", "h_hour", "h_dow", "historical_arrival_count", "historical_avg_delay"), "historical_avg_delay")
 
 
-@query(f"""SELECT request_id, m.vehicle_id, coalesce(f.d, 0) AS current_delay, coalesce(f.s, 0.0) AS current_speed, coalesce(f.z, false) AS is_stopped, coalesce(f.sd, 0) AS stopped_duration_ms, round(coalesce(historical_avg_delay, 0.0), 6) AS historical_avg_delay, coalesce(historical_arrival_count, 0) AS historical_arrival_count FROM ({_MATCH}) m LEFT JOIN online o ON m.vehicle_id = o.vehicle_id""", "requests", "stop_metrics", "online")
+_VECTOR_SQL = """SELECT request_id, vehicle_id, coalesce(f.d, 0) AS current_delay, coalesce(CAST(printf('%.4f', f.dt) AS DOUBLE), 0.0) AS delay_trend, coalesce(f.s, 0.0) AS current_speed, coalesce(CAST(printf('%.4f', f.st) AS DOUBLE), 0.0) AS speed_trend, CAST(coalesce(f.z, false) AS INT) AS is_stopped, coalesce(f.sd, 0) AS stopped_duration_ms,
+  round(CASE WHEN coalesce(f.la, 0.0) = 0.0 THEN coalesce(stop_lat, 0.0) ELSE f.la END, 6) AS latitude, round(CASE WHEN coalesce(f.la, 0.0) = 0.0 THEN coalesce(stop_lon, 0.0) ELSE coalesce(f.lo, 0.0) END, 6) AS longitude,
+  round(coalesce(historical_avg_delay, 0.0), 6) AS historical_avg_delay, 0.0::DOUBLE AS historical_stddev_delay, coalesce(avg_dwell_time_ms, 0.0) AS avg_dwell_time_ms, coalesce(historical_arrival_count, 0) AS historical_arrival_count, -1 AS feature_age_ms FROM ({})"""
+
+
+def _vector(rows):
+    return r6(features.vector(rows), "current_speed", "latitude", "longitude", "historical_avg_delay", "historical_stddev_delay", "avg_dwell_time_ms")
+
+
+@query(_VECTOR_SQL.format(_match("live")), "live", "stop_metrics", "stops")
 def feature_vector(s, d):
-    v = features.vector(features.combined(_requests(s, d), features.online_latest(_enriched(s, d)), _metrics(s, d)))
-    return r6(v.select("request_id", "vehicle_id", "current_delay", "current_speed", "is_stopped", "stopped_duration_ms", "historical_avg_delay", "historical_arrival_count"), "historical_avg_delay")
+    """All keys; stop, line, hour and day of a request default to the vehicle's and the request's."""
+    return _vector(features.combined(_requests(s, d), features.online_latest(_enriched(s, d)), _metrics(s, d)))
+
 
+@query(_VECTOR_SQL.format(_match("(SELECT * REPLACE (CASE WHEN line_id IS NOT NULL THEN stop_id END AS stop_id) FROM live)")), "live", "stop_metrics", "stops")
+def feature_vector_serving(s, d):
+    """The serving variant: history only where stop and line are known."""
+    online = features.online_latest(_enriched(s, d))
+    return _vector(features.combined(_requests(s, d), online, _metrics(s, d), both_known=True))
 
-@query("SELECT count(*) AS requests, round(avg(CASE WHEN o.vehicle_id IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS online_hit_rate, round(avg(CASE WHEN offline_available THEN 1.0 ELSE 0.0 END), 6) AS offline_hit_rate FROM (" + _MATCH + ") m LEFT JOIN online o ON m.vehicle_id = o.vehicle_id", "requests", "stop_metrics", "online")
+
+@query("SELECT count(*) AS requests, round(avg(CAST(online_available AS INT)), 6) AS online_hit_rate, round(avg(CAST(offline_available AS INT)), 6) AS offline_hit_rate FROM (" + _match("live") + ")", "live", "stop_metrics", "stops")
 def feature_hit_rates(s, d):
     both = features.combined(_requests(s, d), features.online_latest(_enriched(s, d)), _metrics(s, d))
     return r6(features.hit_rates(both), "online_hit_rate", "offline_hit_rate")
 
 
+@query("""SELECT vehicle_id, CASE WHEN event_time_ms % 5 > 0 THEN line_id END AS line_id, CASE WHEN event_time_ms % 7 > 0 THEN delay_seconds ELSE 0 END AS current_delay, CASE WHEN event_time_ms % 3 = 0 THEN speed_ms ELSE 0.0 END AS current_speed, kafka_offset % 2 = 0 AS is_stopped, trim(next_stop_id) AS next_stop_id, event_time_ms AS updated_at, 2000000000000 - event_time_ms AS feature_age_ms FROM telemetry""", "telemetry")
+def online_record_parse(s, d):
+    """Text records of an online store: other names, 'None', text for numbers and booleans."""
+    rows = src.telemetry(s, d).selectExpr("vehicle_id", "case when event_time_ms % 5 > 0 then line_id when event_time_ms % 2 = 0 then 'None' else '' end as line_id", "case when event_time_ms % 7 > 0 then cast(delay_seconds as string) else 'no number' end as delay", "case when event_time_ms % 3 = 0 then cast(speed_ms as string) end as speed", "case when kafka_offset % 2 = 0 then 'TRUE' else 'False' end as is_stopped", "trim(next_stop_id) as next_stop_id", "cast(event_time_ms as string) as event_time_ms", "2000000000000 as now_ms")
+    return features.parse_hash(rows).select("vehicle_id", "line_id", "current_delay", "current_speed", "is_stopped", "next_stop_id", "updated_at", "feature_age_ms")
+
+
+_NOW = "(SELECT max(event_time_ms) + 60000 FROM telemetry)"
+
+
+@query(f"SELECT vehicle_id, f.u AS updated_at, {_NOW} - f.u AS feature_age_ms FROM online WHERE {_NOW} - f.u <= 300000 ORDER BY vehicle_id LIMIT 50", "telemetry", "online")
+def active_vehicle_listing(s, d):
+    """The first 50 vehicles with unexpired features, by id."""
+    now = src.telemetry(s, d).agg(F.max("event_time_ms")).first()[0] + 60_000
+    return features.active(features.online_latest(_enriched(s, d)), now)[0].select("vehicle_id", "updated_at", "feature_age_ms")
+
+
+@query(f"SELECT count(*) AS active_vehicles FROM online WHERE {_NOW} - f.u <= 300000", "telemetry", "online")
+def active_vehicle_count(s, d):
+    now = src.telemetry(s, d).agg(F.max("event_time_ms")).first()[0] + 60_000
+    return features.active(features.online_latest(_enriched(s, d)), now)[1]
+
+
+@query("SELECT request_id, hour_of_day, day_of_week, ok FROM (SELECT request_id, CAST(request_id % 27 AS INT) AS hour_of_day, CAST(request_id % 9 AS INT) AS day_of_week, request_id % 27 <= 23 AND request_id % 9 <= 6 AS ok FROM requests)", "requests")
+def request_bounds(s, d):
+    """Requests of predictions, split by their bounds."""
+    rows = _requests(s, d).select("request_id", (F.col("request_id") % 27).cast("int").alias("hour_of_day"), (F.col("request_id") % 9).cast("int").alias("day_of_week"))
+    good, bad = features.valid_requests(rows, 6)
+    return good.withColumn("ok", F.lit(True)).unionByName(bad.withColumn("ok", F.lit(False)))
+
+
 _DRIFT = """, long AS (SELECT 'delay' AS feature, CAST(delay_seconds AS DOUBLE) AS x, kafka_offset % 3 = 0 AS base FROM telemetry UNION ALL SELECT 'speed', speed_ms, kafka_offset % 3 = 0 OR line_id = 'view' FROM telemetry UNION ALL SELECT 'latitude', latitude, kafka_offset % 3 = 0 FROM telemetry WHERE latitude IS NOT NULL),
   edges AS (SELECT feature, list_slice(quantile_cont(x, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]), 2, 10) AS e FROM long WHERE base GROUP BY 1),
   tot AS (SELECT feature, count(*) FILTER (base) AS nb, count(*) FILTER (NOT base) AS nc FROM long GROUP BY 1),
@@ -411,7 +515,7 @@ def delay_model(s, d):
     return ml.gate(ml.metrics(ml.score(ml.train(fit, used), test, used)))
 
 
-@query("SELECT 'latitude' AS column, count(*) FILTER (latitude IS NULL) AS failures FROM telemetry UNION ALL SELECT 'next_stop_id', count(*) FILTER (next_stop_id IS NULL) FROM telemetry UNION ALL SELECT 'vehicle_id', 0 FROM telemetry GROUP BY 1", "telemetry")
+@query("SELECT 'latitude' AS column, count(*) FILTER (latitude IS NULL) AS failures FROM telemetry UNION ALL SELECT 'next_stop_id', count(*) FILTER (next_stop_id IS NULL) FROM telemetry UNION ALL SELECT 'vehicle_id', count(*) FILTER (vehicle_id IS NULL) FROM telemetry", "telemetry")
 def dq_not_null(s, d):
     return monitor.not_null(src.telemetry(s, d), ["latitude", "next_stop_id", "vehicle_id"])
 
@@ -442,6 +546,53 @@ def topic_volume(s, d):
     return monitor.topic_volume(src.telemetry(s, d))
 
 
+@query("SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS window_start, quantile_cont(latency_ms, 0.5) AS p50, round(quantile_cont(latency_ms, 0.99), 6) AS p99, count(*) AS n, round(count(*) / 60.0::DOUBLE, 6) AS per_second FROM (SELECT ts, value AS latency_ms FROM events) GROUP BY 1")
+def latency_by_minute(s, d):
+    rows = src.table(s, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("latency_ms"))
+    return r6(monitor.latency_windows(rows, "ts", "latency_ms"), "p99", "per_second").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, round(avg(abs(value - user_id % 150)), 6) AS mean_divergence FROM events GROUP BY 1")
+def shadow_divergence(s, d):
+    """Mean difference of two models' predictions in each window of five minutes."""
+    rows = ml.shadow(src.table(s, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("prod"), (F.col("user_id") % 150).cast("double").alias("shadow")))
+    return r6(monitor.windowed(rows, "ts", "5 minutes", F.avg("diff").alias("mean_divergence")), "mean_divergence").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("""WITH g AS (SELECT *, sum(gap) OVER (PARTITION BY vehicle_id ORDER BY kafka_offset) AS session FROM (SELECT *, CASE WHEN event_time_ms - lag(event_time_ms) OVER (PARTITION BY vehicle_id ORDER BY kafka_offset) > 300000 THEN 1 ELSE 0 END AS gap FROM telemetry))
+  SELECT kafka_offset, CAST(session AS BIGINT) AS session, round(delay_seconds - coalesce(avg(delay_seconds) OVER (PARTITION BY vehicle_id, session ORDER BY kafka_offset ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), 0), 6) AS delay_trend, coalesce(event_time_ms - lag(event_time_ms) OVER (PARTITION BY vehicle_id, session ORDER BY kafka_offset), 0) AS time_since_last_ms FROM g""".replace("WITH g AS", "SELECT * FROM (WITH g AS") + ")", "telemetry")
+def enrich_with_expiry(s, d):
+    """Features where a vehicle's state ends after five minutes without an event."""
+    return r6(enrich.enrich(src.telemetry(s, d), ttl=True).select("kafka_offset", "session", "delay_trend", "time_since_last_ms"), "delay_trend")
+
+
+@query("SELECT trim(m.stop_id) AS stop_id, trim(line_id) AS line_id, CAST(hour_of_day AS INT) AS hour_of_day, CAST(day_of_week AS INT) AS day_of_week, historical_arrival_count, round(historical_avg_delay, 6) AS historical_avg_delay, avg_dwell_time_ms, s.stop_lat, s.stop_lon FROM stop_metrics m LEFT JOIN stops s ON m.stop_id = s.stop_id WHERE m.stop_id IS NOT NULL AND line_id IS NOT NULL", "stop_metrics", "stops")
+def stg_stop_metrics(s, d):
+    return r6(warehouse.stg_stop_metrics(_metrics(s, d)).drop("loaded_at"), "historical_avg_delay")
+
+
+@query("SELECT 'baseline' AS part, count(*) AS n, CAST(min(o_orderdate) AS DATE) AS first, CAST(max(o_orderdate) AS DATE) AS last FROM orders WHERE o_orderdate > TIMESTAMP '1997-05-27' AND o_orderdate <= TIMESTAMP '1997-06-01' UNION ALL SELECT 'current', count(*), CAST(min(o_orderdate) AS DATE), CAST(max(o_orderdate) AS DATE) FROM orders WHERE o_orderdate > TIMESTAMP '1997-06-30' AND o_orderdate <= TIMESTAMP '1997-07-01'")
+def drift_samples(s, d):
+    """The windows that drift compares: five days that end 30 days back, and the last day."""
+    rows = src.table(s, d, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp"))
+    parts = zip(("baseline", "current"), monitor.drift_windows(rows, "o_orderdate", "1997-07-01", least=1), strict=True)
+    one, two = (df.agg(F.count("*").alias("n"), F.to_date(F.min("o_orderdate")).alias("first"), F.to_date(F.max("o_orderdate")).alias("last")).select(F.lit(name).alias("part"), "*") for name, df in parts)
+    return one.unionByName(two)
+
+
+@query("SELECT date, count(*) AS audits, count(*) FILTER (NOT passed) AS failed FROM (SELECT date, count(*) FILTER (kafka_offset >= 1000000) * 100.0 / count(*) <= 20 AS passed FROM replayed GROUP BY 1) WHERE date = DATE '2024-01-03' GROUP BY 1", "replayed")
+def audit_presence(s, d):
+    """Reconciliation rows that are there for a date, and the failed ones."""
+    rows = src.with_replays(src.telemetry(s, d)).groupBy("date").agg((F.count_if(F.col("kafka_offset") >= 1_000_000) * 100.0 / F.count("*") <= 20).alias("passed"))
+    return monitor.audited(rows, "2024-01-03").select(F.lit("2024-01-03").cast("date").alias("date"), "*")
+
+
+@query("SELECT vehicle_id, kafka_offset, delay_seconds FROM silver ORDER BY kafka_offset LIMIT 3", "silver")
+def silver_samples(s, d):
+    """The first rows of a table, for an audit by eye."""
+    return monitor.samples(_silver(s, d), ["vehicle_id", "kafka_offset", "delay_seconds"], "kafka_offset")
+
+
 @query("SELECT 'silver' AS table_name, count(*) > 0 AS present FROM silver WHERE date = DATE '2024-01-03' UNION ALL SELECT 'stop_events', count(*) > 0 FROM arrivals WHERE date = DATE '2024-01-03'", "silver", "arrivals")
 def partition_presence(s, d):
     return monitor.presence({"silver": _silver(s, d), "stop_events": _stop_events(s, d)}, "2024-01-03")

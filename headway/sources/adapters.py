@@ -43,6 +43,7 @@ def with_replays(rows: DataFrame) -> DataFrame:
 
 
 def stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three of the telemetry's five stops; the other two are left out so that there are unmapped ones."""
     key = "cast(r_regionkey as string)"
     return table(spark, sf_dir, "region").where("r_regionkey < 3").selectExpr(f"concat('S', {key}) as stop_id", "r_name as stop_name", "60.0D + r_regionkey * 0.1D as stop_lat", "24.9D as stop_lon", "'A' as zone_id", f"concat('H', {key}) as stop_code")
 

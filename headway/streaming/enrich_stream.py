@@ -14,12 +14,12 @@ from pyspark.sql.streaming.query import StreamingQuery
 from headway.config import DEFAULT, Config
 from headway.functions.columns import EARTH_M
 from headway.operators.enrich import arrivals
-from headway.operators.features import online_latest
-from headway.operators.tables import insert_only_merge, overwrite, read
+from headway.operators.features import alive, online_latest
+from headway.operators.tables import drop, folders, insert_only_merge, overwrite, read
 
 _ROW = "vehicle_id string, event_time_ms long, latitude double, longitude double, speed_ms double, heading int, delay_seconds int, door_status int, line_id string, direction_id int, operator_id int, next_stop_id string, kafka_partition int, kafka_offset long, kafka_timestamp timestamp, ingestion_time timestamp, date date"
-OUTPUT = f"{_ROW}, delay_trend double, speed_trend double, distance_since_last_m double, time_since_last_ms long, is_stopped boolean, is_arrival boolean, stopped_duration_ms long, processing_time timestamp"
-_STATE = "delays array<int>, time long, latitude double, longitude double, speed double, stop string, stopped_since long"
+OUTPUT = f"{_ROW}, delay_trend double, speed_trend double, distance_since_last_m double, time_since_last_ms long, is_stopped boolean, is_arrival boolean, stopped_duration_ms long, door_open_duration_ms long, processing_time timestamp"
+_STATE = "delays array<int>, time long, latitude double, longitude double, speed double, stop string, stopped_since long, opened_since long"
 
 
 def _metres(lat1, lon1, lat2, lon2) -> float:
@@ -47,17 +47,19 @@ class VehicleState(StatefulProcessor):
         # a key's rows come in several pieces: order them as a whole
         df = pd.concat(list(rows)).sort_values("kafka_offset", kind="stable", ignore_index=True)
         kept = self.state.get() if self.state.exists() else None
-        delays, time, lat, lon, speed, stop, since = (list(kept[0] or []), *kept[1:]) if kept else ([], None, None, None, None, None, None)
-        out: dict[str, list] = {k: [] for k in ("delay_trend", "speed_trend", "distance_since_last_m", "time_since_last_ms", "is_stopped", "is_arrival", "stopped_duration_ms")}
+        delays, time, lat, lon, speed, stop, since, opened = (list(kept[0] or []), *kept[1:]) if kept else ([], *[None] * 7)
+        out: dict[str, list] = {k: [] for k in ("delay_trend", "speed_trend", "distance_since_last_m", "time_since_last_ms", "is_stopped", "is_arrival", "stopped_duration_ms", "door_open_duration_ms")}
         for r in df.itertuples(index=False):
             d, v, at, y, x, nxt = int(_none(r.delay_seconds) or 0), float(_none(r.speed_ms) or 0.0), int(r.event_time_ms), _none(r.latitude), _none(r.longitude), _none(r.next_stop_id)
             stopped = v < self.c.stop_speed_ms
-            for k, value in zip(out, (d - (sum(delays) / len(delays) if delays else 0.0), 0.0 if speed is None else v - speed, 0.0 if time is None else _metres(lat, lon, y, x), 0 if time is None else at - time, stopped, nxt is not None and stop is not None and nxt != stop, 0 if since is None else at - since), strict=True):
+            for k, value in zip(out, (d - (sum(delays) / len(delays) if delays else 0.0), 0.0 if speed is None else v - speed, 0.0 if time is None else _metres(lat, lon, y, x), 0 if time is None else at - time, stopped, nxt is not None and stop is not None and nxt != stop, 0 if since is None else at - since, 0 if opened is None else at - opened), strict=True):
                 out[k].append(value)
             delays = [*delays, d][-self.c.history :]
             since = (at if since is None else since) if stopped else None
+            door = int(_none(r.door_status) or 0)
+            opened = None if door == 0 else at if opened is None and door == 1 else opened
             time, lat, lon, speed, stop = at, y, x, v, nxt
-        self.state.update((delays, time, lat, lon, speed, stop, since))
+        self.state.update((delays, time, lat, lon, speed, stop, since, opened))
         zero = {c: df[c].fillna(0) for c in ("speed_ms", "delay_seconds", "door_status", "heading")}
         yield df.assign(**zero, **out, processing_time=pd.Timestamp.now("UTC").tz_localize(None))
 
@@ -86,12 +88,22 @@ def _sinks(root: str):
 
 
 def merge_online(spark: SparkSession, batch: DataFrame, path: str, batch_id: int) -> None:
-    """The latest row of each vehicle; written beside the old table, under the batch's number."""
+    """The latest row of each vehicle; written beside the old table, under the batch's number.
+
+    The last two versions stay: a repeated batch starts from the one before it, and readers may still hold that.
+    """
     latest = online_latest(batch)
     old = read(spark, f"{path}/{batch_id - 1}") if batch_id else None
     if old is not None:
         latest = old.join(latest.select("vehicle_id"), "vehicle_id", "left_anti").unionByName(latest)
     overwrite(latest, f"{path}/{batch_id}", partitioned=False)
+    drop(spark, f"{path}/{batch_id - 2}")
+
+
+def online(spark: SparkSession, path: str, now_ms: int, c: Config = DEFAULT) -> DataFrame | None:
+    """The unexpired rows of the newest version, with their age."""
+    versions = [int(v) for v in folders(spark, path) if v.isdigit()]
+    return alive(spark.read.parquet(f"{path}/{max(versions)}"), now_ms, c) if versions else None
 
 
 def run(rows: DataFrame, root: str, checkpoint: str, once: bool = True, c: Config = DEFAULT) -> StreamingQuery:

@@ -60,7 +60,7 @@ def test_stream_is_batch_twin(spark):
     stream = connectors.file_stream(spark, path, used.schema.simpleString()[7:-1].replace(":", " "), 1)
     query = enrich_stream.run(stream, root, scratch(spark))
     assert query.awaitTermination(120)
-    same = ["kafka_offset", "is_stopped", "time_since_last_ms", "stopped_duration_ms", "is_arrival"]
+    same = ["kafka_offset", "is_stopped", "time_since_last_ms", "stopped_duration_ms", "door_open_duration_ms", "is_arrival"]
     near = [F.round(c, 6).alias(c) for c in ("delay_trend", "speed_trend", "distance_since_last_m")]
     batch = enrich.enrich(used)
     assert batch.count() > 900
@@ -156,7 +156,7 @@ def test_training_guards_and_empty_vector(spark):
 @pytest.mark.parametrize("name", sorted(q.ORACLES))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("region", "nation", "orders", "lineitem", "events"):
+    for t in ("region", "nation", "customer", "part", "supplier", "orders", "lineitem", "events"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     result = con.execute(q.ORACLES[name])
     columns = [c[0] for c in result.description]
