@@ -248,6 +248,7 @@ def spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, *, id_col:
 
     ``row_key`` is a hash of the text, in 128 bits.
     """
+    gram = min(gram, length)
     texts = text_rows(docs, id_col, text_col).where("text is not null").select(_text_key("text").alias("row_key"), "text")
     raw = stored(spark, texts.mapInArrow(_anchors(length, gram), _RAW))
     shared = stored(spark, raw.groupBy("anchor").agg(F.count("*").alias("places"), (F.min("whole") != F.max("whole")).alias("mixed")).where("places > 1").select("anchor", "mixed"))
