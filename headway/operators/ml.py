@@ -8,12 +8,17 @@ from pyspark.ml.pipeline import Pipeline
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from headway.config import DEFAULT, Config
 
 FEATURES = ("latitude", "longitude", "hour_of_day", "day_of_week", "historical_avg_delay", "avg_dwell_time_ms", "historical_arrival_count", "delay_trend", "speed_ms")
 
 
+#: What a training job reads of the stop mart.
+TRAINING = ("stop_id", "line_id", "hour_of_day", "day_of_week", "historical_arrival_count", "historical_avg_delay", "avg_dwell_time_ms")
+
+
 class BadTrainingData(Exception):
     """Target or features are missing, or there is too little to learn from."""
 
@@ -29,6 +34,13 @@ def prepare(rows: DataFrame, target: str, features=FEATURES, keep_target: bool =
     return rows.where(F.col(target).isNotNull()).select(*keep, F.col(target).cast("double").alias("label"), *([F.col(target).cast("double").alias(target)] if target in have else [])).fillna(0.0), have
 
 
+def training_set(mart: DataFrame) -> DataFrame:
+    """The mart's training columns; without any row there is nothing to learn from."""
+    if mart.isEmpty():
+        raise BadTrainingData("the mart has no rows")
+    return mart.select(*TRAINING)
+
+
 def split(rows: DataFrame, *keys: str, test_share: float = 0.2) -> tuple[DataFrame, DataFrame]:
     """By hash of the key, so that a row's side never changes."""
     side = F.pmod(F.xxhash64(*(keys or rows.columns)), F.lit(10_000)) < int(test_share * 10_000)
@@ -84,5 +96,11 @@ def shadow(rows: DataFrame, prod: str = "prod", other: str = "shadow", c: Config
     return rows.withColumns({"diff": diff, "agreed": diff <= c.shadow_agree, "divergent": diff > c.shadow_diverge})
 
 
+def running_agreement(compared: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Comparisons and the share that agreed so far, by key."""
+    so_far = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return compared.withColumns({"compared": F.count("*").over(so_far), "agreement_rate": F.avg(F.col("agreed").cast("double")).over(so_far)})
+
+
 def agreement(compared: DataFrame) -> DataFrame:
     return compared.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.col("agreed").cast("double")), F.lit(0.0)).alias("agreement_rate"), F.count_if("divergent").alias("divergent"), F.avg("diff").alias("mean_diff"))

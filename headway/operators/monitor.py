@@ -119,6 +119,16 @@ def latency_histogram(rows: DataFrame, column: str, bounds: list[float]) -> Data
     return hist.select(F.explode("h").alias("b"), "total").select(F.col("b.le").cast("string").alias("le"), F.col("b.n").alias("n"), "total")
 
 
+#: Bounds in seconds of the prediction latency histogram.
+PREDICTION_BUCKETS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5]
+
+
+def prediction_histogram(rows: DataFrame, column: str, labels: list[str], bounds=PREDICTION_BUCKETS) -> DataFrame:
+    """Cumulative counts by bound, and the count in all, of each combination of labels."""
+    hist = rows.groupBy(*labels).agg(cumulative_histogram(F.col(column), bounds).alias("h"), F.count("*").alias("total"))
+    return hist.select(*labels, F.explode("h").alias("b"), "total").select(*labels, F.col("b.le").cast("string").alias("le"), F.col("b.n").alias("n"), "total")
+
+
 def latency_summary(rows: DataFrame, column: str) -> DataFrame:
     q = quantiles(rows.select(F.lit(column).alias("feature"), F.col(column).cast("double").alias("x")).where("x is not null"), [0.5, 0.95, 0.99])
     return q.select(F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"), F.col("q")[2].alias("p99"), F.col("hi").alias("max"))

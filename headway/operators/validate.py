@@ -56,6 +56,17 @@ def split(classified: DataFrame) -> tuple[DataFrame, DataFrame]:
     return classified.where("reason is null").select(*TELEMETRY), letters
 
 
+def route(classified: DataFrame, root: str) -> None:
+    """Appends telemetry and dead letters to their tables; the messages are classified once."""
+    kept = classified.persist()
+    try:
+        good, letters = split(kept)
+        good.withColumn("date", F.to_date("timestamp")).write.mode("append").partitionBy("date").parquet(f"{root}/telemetry")
+        letters.withColumn("date", F.to_date("received_at")).write.mode("append").partitionBy("date").parquet(f"{root}/dead_letters")
+    finally:
+        kept.unpersist()
+
+
 def ingest_latency(rows: DataFrame, received: str = "received_at", event: str = "timestamp") -> DataFrame:
     """Histogram of the seconds from event to receipt, where receipt is later."""
     late = (F.unix_micros(received) - F.unix_micros(event)) / 1e6

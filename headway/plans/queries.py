@@ -215,9 +215,11 @@ def stop_arrivals(s, d):
     return enrich.arrivals(_enriched(s, d)).select("vehicle_id", "stop_id", "line_id", "arrival_time", "delay_at_arrival", "door_status", "kafka_offset")
 
 
-@query("SELECT vehicle_id, event_time_ms, round(speed_kmh, 6) AS speed_kmh, heading, direction_id, operator_id, next_stop_id, is_stopped, kafka_offset FROM stg", "stg")
+@query("SELECT vehicle_id, epoch_us(event_time) // 1000 AS event_ms, event_time_ms, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude, round(speed_ms, 6) AS speed_ms, round(speed_kmh, 6) AS speed_kmh, heading, delay_seconds, door_status, line_id, direction_id, operator_id, next_stop_id, round(distance_since_last_m, 3) AS distance_since_last_m, time_since_last_ms, is_stopped, stopped_duration_ms, kafka_partition, kafka_offset, epoch_us(ingestion_time) // 1000 AS ingestion_ms, date FROM stg", "stg")
 def stg_enriched_geofence(s, d):
-    return r6(_stg(s, d).select("vehicle_id", "event_time_ms", "speed_kmh", "heading", "direction_id", "operator_id", "next_stop_id", "is_stopped", "kafka_offset"), "speed_kmh")
+    """All columns but the trends, which staging turns into text."""
+    rows = _stg(s, d).withColumns({"event_ms": F.unix_millis("event_time"), "ingestion_ms": F.unix_millis("ingestion_time"), "distance_since_last_m": F.round("distance_since_last_m", 3)})
+    return r6(rows.drop("event_time", "ingestion_time", "delay_trend", "speed_trend"), "latitude", "longitude", "speed_ms", "speed_kmh")
 
 
 @query("SELECT kafka_offset, coalesce(latitude BETWEEN 59.9 AND 60.5 AND longitude BETWEEN 24.0 AND 25.5, false) AS in_area, coalesce(latitude BETWEEN 59.9 AND 60.4 AND longitude BETWEEN 24.5 AND 25.2, false) AS in_fence, round(2 * 6371000.0 * atan2(sqrt(h), sqrt(1 - h)), 3) AS centre_m FROM (SELECT *, pow(sin(radians(60.17 - latitude) / 2), 2) + cos(radians(latitude)) * cos(radians(60.17)) * pow(sin(radians(24.94 - longitude) / 2), 2) AS h FROM telemetry)", "telemetry")
@@ -496,6 +498,27 @@ def shadow_agreement(s, d):
     return r6(ml.agreement(ml.shadow(src.predictions(s, d))), "agreement_rate", "mean_diff")
 
 
+@query("SELECT request_id, CAST(count(*) OVER w AS BIGINT) AS compared, round(avg(CASE WHEN abs(prod - shadow) <= 60 THEN 1.0 ELSE 0.0 END) OVER w, 6) AS agreement_rate FROM predictions WINDOW w AS (PARTITION BY vehicle_id ORDER BY request_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", "predictions")
+def shadow_agreement_running(s, d):
+    """The agreement so far after each comparison of a vehicle."""
+    return r6(ml.running_agreement(ml.shadow(src.predictions(s, d)), ["vehicle_id"], "request_id").select("request_id", "compared", "agreement_rate"), "agreement_rate")
+
+
+@query("""SELECT version, status, b.le, count(*) FILTER (x <= b.v) AS n, any_value(total) AS total FROM (SELECT CASE WHEN request_id % 3 = 0 THEN 'v2' ELSE 'v1' END AS version, CASE WHEN request_id % 10 = 0 THEN 'error' ELSE 'success' END AS status, latency_ms / 1000.0::DOUBLE AS x, count(*) OVER (PARTITION BY request_id % 3 = 0, request_id % 10 = 0) AS total FROM predictions) p,
+  (VALUES ('0.005', 0.005::DOUBLE), ('0.01', 0.01), ('0.025', 0.025), ('0.05', 0.05), ('0.1', 0.1), ('0.25', 0.25), ('0.5', 0.5), ('1.0', 1.0), ('2.5', 2.5), ('Infinity', 1e300)) AS b(le, v) GROUP BY 1, 2, 3""", "predictions")
+def prediction_latency(s, d):
+    """Histogram and count of predictions by model version and status."""
+    rows = src.predictions(s, d).select(F.when(F.col("request_id") % 3 == 0, "v2").otherwise("v1").alias("version"), F.when(F.col("request_id") % 10 == 0, "error").otherwise("success").alias("status"), (F.col("latency_ms") / 1000.0).alias("x"))
+    return monitor.prediction_histogram(rows, "x", ["version", "status"])
+
+
+@query("SELECT stop_id, line_id, CAST(hour_of_day AS INT) AS hour_of_day, CAST(day_of_week AS INT) AS day_of_week, historical_arrival_count, round(historical_avg_delay, 6) AS historical_avg_delay, round(avg_dwell_time_ms, 6) AS avg_dwell_time_ms FROM perf JOIN (SELECT stop_id FROM dim_stops) USING (stop_id)", "perf", "dim_stops")
+def training_set(s, d):
+    """The columns of the stop mart that a model is trained on."""
+    mart = warehouse.mart_stop_arrivals(_perf(s, d), _dim_stops(s, d), _dim_lines(s, d))
+    return r6(ml.training_set(mart), "historical_avg_delay", "avg_dwell_time_ms")
+
+
 @query("SELECT quantile_cont(latency_ms, 0.5) AS p50, round(quantile_cont(latency_ms, 0.95), 6) AS p95, round(quantile_cont(latency_ms, 0.99), 6) AS p99, max(latency_ms) AS max FROM predictions", "predictions")
 def latency_percentiles(s, d):
     return r6(monitor.latency_summary(src.predictions(s, d), "latency_ms"), "p95", "p99")

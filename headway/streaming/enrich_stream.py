@@ -124,6 +124,16 @@ def json_sink(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct("*")).alias("value"))
 
 
+def write_topic(rows: DataFrame, key: str, target: dict[str, str], checkpoint: str, form: str = "kafka", once: bool = True) -> StreamingQuery:
+    """A stream's rows as (key, value), dealt by key so that a vehicle's rows keep their order.
+
+    ``form`` is ``kafka`` (target: servers and topic), or a file format (target: path).
+    """
+    out = json_sink(rows, key).repartition("key")
+    writer = out.writeStream.format(form).options(**target).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()
+
+
 def active_vehicles(rows: DataFrame, exact: bool = True) -> DataFrame:
     """Distinct vehicles of the last 60 seconds, every 10 seconds; streams count approximately."""
     n = F.count_distinct("vehicle_id") if exact else F.approx_count_distinct("vehicle_id")

@@ -216,3 +216,41 @@ def test_schema_conformance(spark):
     rows = spark.createDataFrame([('{"a":1,"b":"x"}',), ('{"a":"x"}',), ('{"b":"x"}',), ("{",), ('{"a":2,"b":null}',)], "value string")
     got = [(r.valid, r.error_field) for r in validate.conforms(rows, "a int, b string", ("a",)).collect()]
     assert got == [(True, None), (False, "a"), (False, "a"), (False, None), (True, None)]
+
+
+def test_stream_to_a_topic(spark):
+    landing = raw_file(spark, [("x", 0, i, datetime.datetime(2026, 1, 1)) for i in range(5)])
+    stream = connectors.file_stream(spark, landing, "value string, partition int, offset long, timestamp timestamp")
+    out, checkpoint = scratch(spark), scratch(spark)
+    for _ in range(2):  # a restart sends nothing again
+        assert enrich_stream.write_topic(stream, "offset", {"path": out}, checkpoint, "json").awaitTermination(120)
+        rows = spark.read.json(out).collect()
+        assert sorted(r.key for r in rows) == list("01234") and json.loads(rows[0].value)["partition"] == 0
+
+
+def test_dead_letters_are_written(spark):
+    root = scratch(spark)
+    good = json.dumps({"VP": {"veh": 1, "tst": "2026-01-22T10:00:00Z", "tsi": 1, "lat": 60.1, "long": 24.9}})
+    rows = spark.createDataFrame([(good, "t"), ("{" + "x" * 6000, "t"), ('{"X":1}', "t")], "value string, topic string")
+    validate.route(validate.classify(rows), root)
+    assert spark.read.parquet(f"{root}/telemetry").count() == 1
+    letter = spark.read.parquet(f"{root}/dead_letters").first()
+    assert (letter.error_message, len(letter.raw_payload), letter.topic) == ("corrupt_json", 5000, "t") and letter.received_at
+
+
+def test_overwrite_replaces_the_schema(spark):
+    path = scratch(spark)
+    tables.overwrite(spark.range(3), path, partitioned=False)
+    tables.overwrite(spark.range(2).select(F.col("id").cast("string").alias("other")), path, partitioned=False)
+    assert spark.read.parquet(path).columns == ["other"] and spark.read.parquet(path).count() == 2
+
+
+def test_drift_falls_back_to_a_sample(spark):
+    rows = spark.range(1000).select(F.lit("2026-01-01 12:00:00").cast("timestamp").alias("ts"), "id")
+    base, current = monitor.drift_windows(rows, "ts", "2026-01-01 23:59:59")
+    assert current.count() == 1000 and 400 < base.count() < 600
+
+
+def test_training_set_needs_rows(spark):
+    with pytest.raises(ml.BadTrainingData):
+        ml.training_set(spark.createDataFrame([], ", ".join(f"{c} string" for c in ml.TRAINING)))
