@@ -22,16 +22,36 @@ OUTPUT = f"{_ROW}, delay_trend double, speed_trend double, distance_since_last_m
 _STATE = "delays array<int>, time long, latitude double, longitude double, speed double, stop string, stopped_since long, opened_since long"
 
 
-def _metres(lat1, lon1, lat2, lon2) -> float:
-    if None in (lat1, lon1, lat2, lon2):
-        return 0.0
+def _metres(lat1, lon1, lat2, lon2) -> np.ndarray:
+    """Great-circle metres; 0 where a coordinate is missing."""
     a1, o1, a2, o2 = map(np.radians, (lat1, lon1, lat2, lon2))
     a = np.sin((a2 - a1) / 2) ** 2 + np.cos(a1) * np.cos(a2) * np.sin((o2 - o1) / 2) ** 2
-    return float(2 * EARTH_M * np.arctan2(np.sqrt(a), np.sqrt(1 - a)))
+    return np.nan_to_num(2 * EARTH_M * np.arctan2(np.sqrt(a), np.sqrt(1 - a)))
 
 
-def _none(x):
-    return None if pd.isna(x) else x
+def _none(x: float) -> float | None:
+    return None if np.isnan(x) else x
+
+
+def _before(x: np.ndarray, first) -> np.ndarray:
+    """Each row's value of the row before; ``first`` (null: NaN) for the first row."""
+    return np.concatenate(([np.nan if first is None else first], x[:-1]))
+
+
+def _since(begins: np.ndarray, ends: np.ndarray, at: np.ndarray, carried) -> tuple[np.ndarray, object]:
+    """(milliseconds since the island that a row finds open began, 0 without one; when the one open at last began).
+
+    An island opens at the first of ``begins`` after one of ``ends``; ``carried``: when the one from before began.
+    """
+    n, rows = len(at), np.arange(len(at) + 1)
+    last_end = np.maximum.accumulate(np.concatenate(([-1], np.where(ends, rows[:-1], -1))))  # before each row, and at last
+    opening = np.append(np.where(begins, rows[:-1], n), n)
+    opening = np.minimum.accumulate(opening[::-1])[::-1][last_end + 1]  # the first begin after that end
+    start = np.where(opening < rows, np.append(at, 0)[np.minimum(opening, n)], -1.0)
+    if carried is not None:
+        start = np.where(last_end < 0, float(carried), start)
+    known = start >= 0
+    return np.where(known[:-1], at - start[:-1], 0).astype(np.int64), int(start[-1]) if known[-1] else None
 
 
 class VehicleState(StatefulProcessor):
@@ -44,22 +64,31 @@ class VehicleState(StatefulProcessor):
         self.state = handle.getValueState("vehicle", _STATE, ttlDurationMs=self.c.state_ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # a key's rows come in several pieces: order them as a whole
+        # a key's rows come in several pieces: order them as a whole; all features are array operations
         df = pd.concat(list(rows)).sort_values("kafka_offset", kind="stable", ignore_index=True)
         kept = self.state.get() if self.state.exists() else None
-        delays, time, lat, lon, speed, stop, since, opened = (list(kept[0] or []), *kept[1:]) if kept else ([], *[None] * 7)
-        out: dict[str, list] = {k: [] for k in ("delay_trend", "speed_trend", "distance_since_last_m", "time_since_last_ms", "is_stopped", "is_arrival", "stopped_duration_ms", "door_open_duration_ms")}
-        for r in df.itertuples(index=False):
-            d, v, at, y, x, nxt = int(_none(r.delay_seconds) or 0), float(_none(r.speed_ms) or 0.0), int(r.event_time_ms), _none(r.latitude), _none(r.longitude), _none(r.next_stop_id)
-            stopped = v < self.c.stop_speed_ms
-            for k, value in zip(out, (d - (sum(delays) / len(delays) if delays else 0.0), 0.0 if speed is None else v - speed, 0.0 if time is None else _metres(lat, lon, y, x), 0 if time is None else at - time, stopped, nxt is not None and stop is not None and nxt != stop, 0 if since is None else at - since, 0 if opened is None else at - opened), strict=True):
-                out[k].append(value)
-            delays = [*delays, d][-self.c.history :]
-            since = (at if since is None else since) if stopped else None
-            door = int(_none(r.door_status) or 0)
-            opened = None if door == 0 else at if opened is None and door == 1 else opened
-            time, lat, lon, speed, stop = at, y, x, v, nxt
-        self.state.update((delays, time, lat, lon, speed, stop, since, opened))
+        past, time, lat, lon, speed, stop, since, opened = (list(kept[0] or []), *kept[1:]) if kept else ([], *[None] * 7)
+        num = lambda c: df[c].fillna(0).to_numpy(np.float64)
+        v, at, y, x, doors = num("speed_ms"), df["event_time_ms"].to_numpy(np.int64), df["latitude"].to_numpy(np.float64), df["longitude"].to_numpy(np.float64), num("door_status")
+        delays = np.concatenate((past, num("delay_seconds")))
+        sums, upto = np.concatenate(([0.0], np.cumsum(delays))), np.arange(len(past), len(delays))
+        low = np.maximum(0, upto - self.c.history)
+        nxt = df["next_stop_id"].astype(object).where(df["next_stop_id"].notna(), None)
+        was = [stop, *nxt[:-1]]
+        stopped = v < self.c.stop_speed_ms
+        stopped_ms, since = _since(stopped, ~stopped, at, since)
+        door_ms, opened = _since(doors == 1, doors == 0, at, opened)
+        out = {
+            "delay_trend": delays[len(past) :] - (sums[upto] - sums[low]) / np.maximum(upto - low, 1),
+            "speed_trend": np.nan_to_num(v - _before(v, speed)),
+            "distance_since_last_m": _metres(_before(y, lat), _before(x, lon), y, x),
+            "time_since_last_ms": np.nan_to_num(at - _before(at.astype(np.float64), time)).astype(np.int64),
+            "is_stopped": stopped,
+            "is_arrival": [a is not None and b is not None and a != b for a, b in zip(was, nxt, strict=True)],
+            "stopped_duration_ms": stopped_ms,
+            "door_open_duration_ms": door_ms,
+        }
+        self.state.update(([int(d) for d in delays[-self.c.history :]], int(at[-1]), _none(float(y[-1])), _none(float(x[-1])), float(v[-1]), nxt.iloc[-1], since, opened))
         zero = {c: df[c].fillna(0) for c in ("speed_ms", "delay_seconds", "door_status", "heading")}
         yield df.assign(**zero, **out, processing_time=pd.Timestamp.now("UTC").tz_localize(None))
 
