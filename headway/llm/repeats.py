@@ -41,6 +41,7 @@ from headway.llm.shared import drop_stored, maximal_runs, shuffle_width, stored,
 from headway.llm.textvec import chunks, mix64, prefix_sums, runs, span_hash, utf8
 
 LENGTH = 400
+SHORTER = 256
 GRAM = 64
 BATCH = 8192
 HOT = 8192
@@ -243,13 +244,15 @@ def _split(spark: SparkSession, segments: DataFrame, length: int, gram: int, hot
         level = stored(spark, sides.select(*_PARTS, F.xxhash64("key", content, F.col("bounds.lo") - F.col("lo"), F.col("bounds.hi") - F.col("hi")).alias("key"), F.col("bounds.lo").alias("lo"), F.col("bounds.hi").alias("hi")))
 
 
-def spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, *, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, *, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, hot: int = HOT, only: DataFrame | None = None) -> DataFrame:
     """(row_key, cuts) of each distinct text with repeated strings; cuts: maximal (start, end) in bytes, ordered.
 
-    ``row_key`` is a hash of the text, in 128 bits.
+    ``row_key`` is a hash of the text, in 128 bits.  ``only``: row keys of the texts that can have any.
     """
     gram = min(gram, length)
     texts = text_rows(docs, id_col, text_col).where("text is not null").select(_text_key("text").alias("row_key"), "text")
+    if only is not None:
+        texts = texts.join(only, "row_key", "left_semi")
     raw = stored(spark, texts.mapInArrow(_anchors(length, gram), _RAW))
     shared = stored(spark, raw.groupBy("anchor").agg(F.count("*").alias("places"), (F.min("whole") != F.max("whole")).alias("mixed")).where("places > 1").select("anchor", "mixed"))
     several = stored(spark, raw.join(shared.hint("merge"), "anchor"))
@@ -293,13 +296,22 @@ def _kept(batches):
                 removed.append(sum(c["end"] - c["start"] for c in cuts or ()))
                 count.append(len(cuts or ()))
                 sha.append(digest.hexdigest())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, removed, count)), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, removed, count)), pa.array(sha, pa.string()), part.column("n_repeated")], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated"])
 
 
-def report(spark: SparkSession, docs: DataFrame, length: int = LENGTH, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
-    cuts = spans(spark, docs, length, id_col=id_col, text_col=text_col, **options)
+def report(spark: SparkSession, docs: DataFrame, length: int = LENGTH, shorter: int = SHORTER, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated of every document.
+
+    ``n_repeated``: bytes covered by strings of ``shorter`` bytes that start anywhere else too (about 50 words), which are
+    reported, not removed.  A text without any has no repeated string of ``length`` bytes either, so only the others
+    are searched for these.
+    """
+    names, shorter = {"id_col": id_col, "text_col": text_col}, min(shorter, length)
+    near = spans(spark, docs, shorter, **names, **options)
+    cuts = near if shorter == length else spans(spark, docs, length, **names, **options, only=near.select("row_key"))
+    covered = F.aggregate("cuts", F.lit(0).cast("long"), lambda a, c: a + (c["end"] - c["start"]))
+    known = stored(spark, near.select("row_key", covered.alias("n_repeated")).join(cuts, "row_key", "left"))
     rows = text_rows(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    both = rows.withColumn("row_key", _text_key("text")).join(cuts.hint("merge"), "row_key", "left").select("doc_id", "text", "cuts")
-    return both.mapInArrow(_kept, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    both = rows.withColumn("row_key", _text_key("text")).join(known.hint("merge"), "row_key", "left").select("doc_id", "text", "cuts", F.coalesce("n_repeated", F.lit(0).cast("long")).alias("n_repeated"))
+    return both.mapInArrow(_kept, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long")
