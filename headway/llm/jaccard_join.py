@@ -267,8 +267,8 @@ def _whole_cells(batches):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-#: What a class's row in a cell holds: without ``multi``, the cell is one block; ``home``: its own size step.
-_ROW = {"cell": "long", "code": "long", "fp": "long", "comp": "long", "blk": "int", "home": "boolean", "multi": "boolean"}
+#: What a class's row in a cell holds; ``home``: the cell's size step is its own.
+_ROW = {"cell": "long", "code": "long", "fp": "long", "comp": "long", "blk": "int", "home": "boolean"}
 
 
 def _one(column) -> pa.Array:
@@ -299,34 +299,34 @@ class _Lower:
 
 
 def _candidates(num: int, den: int, first: bool):
-    """The rows of the classes that may have a partner in the cell; without ``first``, pairs of an earlier shared code don't count."""
+    """The rows of the classes that may have a partner in the cell; not ``first``: pairs that share an earlier code don't count."""
 
     def run(batches):
         for table in _whole_cells(batches):
             if not table.num_rows:
                 continue
             cells, code, fp, n, comp, blk = (table.column(c).to_numpy() for c in ("cell", "code", "fp", "n", "comp", "blk"))
-            home, multi = (table.column(c).to_numpy(zero_copy_only=False) for c in ("home", "multi"))
+            home = table.column("home").to_numpy(zero_copy_only=False)
             raw = table.column("bm").to_pylist()
             lower = None if first else _Lower(_one(table.column("codes")), code)
             begin = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
             size = np.diff(np.append(begin, len(cells)))
             number = np.repeat(np.arange(len(begin)), size)
 
-            def own(a, b, home=home, multi=multi, lower=lower):
-                ok = multi[a] | home[a] | home[b]
+            def own(a, b, home=home, lower=lower):
+                ok = home[a] | home[b]
                 if lower is not None:
-                    at = np.flatnonzero(ok & ~multi[a])
+                    at = np.flatnonzero(ok)
                     ok[at] = lower.apart(a[at], b[at])
                 return ok
 
-            marked = np.zeros(len(cells), dtype=bool)
+            marked, two = np.zeros(len(cells), dtype=bool), two_blocks(blk, begin, size, number)
             few = np.flatnonzero((size <= LEAF)[number])  # cells of a leaf's size have no tree
             maps = Bitmaps([raw[i] for i in few])
             for d in range(1, int(size[size <= LEAF].max(initial=0))):
                 a = np.flatnonzero(number[few[:-d]] == number[few[d:]]) if len(few) > d else np.zeros(0, np.int64)
                 p, q = few[a], few[a + d]
-                ok = (comp[p] != comp[q]) & ((blk[p] != blk[q]) | ~multi[p] | ~two_blocks(blk, begin, size, number)[p])
+                ok = (comp[p] != comp[q]) & ((blk[p] != blk[q]) | ~two[p])
                 a, p, q = a[ok], p[ok], q[ok]
                 ok = _near(n[few], maps, a, a + d, num, den)
                 p, q = p[ok], q[ok]
@@ -438,7 +438,7 @@ def groups(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den:
         return F.pmod(F.xxhash64("fp", "code", seed), F.col("m")).cast("int")
 
     def found(part: DataFrame) -> DataFrame:
-        """Links of the cells in ``part`` (cell, fp, code, home, multi, blk, comp)."""
+        """Links of the cells in ``part`` (cell, fp, code, home, blk, comp)."""
         in_cells = lambda df: df.repartition(width, "cell").sortWithinPartitions("cell", "fp")
         maybe = stored(spark, in_cells(part.join(some, "fp")).mapInArrow(_candidates(num, den, True), row))
         own = cells.join(maybe.select("fp").distinct(), "fp").groupBy("fp").agg(F.array_sort(F.collect_list("code")).alias("codes"))  # a class's first codes
@@ -455,7 +455,7 @@ def groups(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den:
 
     multi = F.col("m") > 1
     mixes = members.withColumn("seed", F.explode(F.when(multi, F.array(*[F.lit(i) for i in range(MIXES)])).otherwise(F.array(F.lit(0)))))
-    start = mixes.select("fp", F.col("fp").alias("comp"), F.xxhash64("code", "step", "seed", block_of("seed")).alias("cell"), "code", "home", multi.alias("multi"), F.lit(0).alias("blk"))
+    start = mixes.select("fp", F.col("fp").alias("comp"), F.xxhash64("code", "step", "seed", block_of("seed")).alias("cell"), "code", "home", F.lit(0).alias("blk"))
     links = found(start)
     comps = components(spark, links)
     drop_stored(spark, links)
@@ -463,7 +463,7 @@ def groups(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den:
     large = stored(spark, large.withColumn("blk", block_of(F.lit(0))))
     mixed = large.groupBy("code", "step").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("code", "step")
     pairs = large.join(mixed, ["code", "step"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).where("other <> blk")
-    todo = stored(spark, pairs.select("fp", "comp", F.xxhash64("code", "step", F.least("blk", "other"), F.greatest("blk", "other"), F.lit("two")).alias("cell"), "code", "home", F.lit(True).alias("multi"), "blk"))
+    todo = stored(spark, pairs.select("fp", "comp", F.xxhash64("code", "step", F.least("blk", "other"), F.greatest("blk", "other"), F.lit("two")).alias("cell"), "code", "home", "blk"))
     if not todo.isEmpty():
         more = found(todo)
         known = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))  # stands for all links before
