@@ -28,8 +28,7 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(down.select("u", F.col("m").alias("v"))).distinct()
         edges = stored(spark, small)
-        for done in (old, large):
-            drop_stored(spark, done)
+        drop_stored(spark, old, large)
         now = _stamp(edges)
         if now == before:
             break

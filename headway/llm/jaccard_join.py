@@ -421,7 +421,9 @@ def groups(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den:
     scale = 1.001 * max(0.01, math.log(den / num))  # sets whose sizes allow a link are at most one step apart
     cells = classes.select("fp", F.floor(F.log("n") / scale).cast("int").alias("step"), F.explode_outer("prefix").alias("code"))
     shared = stored(spark, cells.groupBy("code").agg(F.count("*").alias("size")).where("size > 1").select("code"))
+    drop_stored(spark)
     cells = stored(spark, cells.join(shared, "code"))
+    drop_stored(spark, shared)
     sized = cells.select("fp", "code", F.explode(F.array(F.struct("step", F.lit(True).alias("home")), F.struct((F.col("step") - 1).alias("step"), F.lit(False).alias("home")))).alias("s")).select("fp", "code", "s.*")
     # of cells with the same classes, by count and two hashes of them, the first stays
     stamps = sized.groupBy("code", "step").agg(F.count("*").alias("size"), F.max("home").alias("home"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.sum(F.xxhash64("fp", F.lit(1)).bitwiseAND((1 << 32) - 1)).alias("y")).where("size > 1 and home")
@@ -429,8 +431,7 @@ def groups(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den:
     parts = F.greatest(F.ceil(F.col("size") / block), F.ceil(held / BLOCK_CODES)).cast("int")
     kept = stored(spark, stamps.groupBy("size", "x", "y", "step").agg(F.min("code").alias("code")).select("code", "step", parts.alias("m")))
     members = stored(spark, sized.join(kept, ["code", "step"]).select("fp", "code", "step", "home", "m"))
-    for done in (shared, kept):
-        drop_stored(spark, done)
+    drop_stored(spark, kept)
     some, whole = classes.select("fp", "n", F.col("part_bm").alias("bm")), classes.select("fp", "n", "bm")
     row = ", ".join(f"{c} {t}" for c, t in _ROW.items())
 
@@ -449,8 +450,7 @@ def groups(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den:
         texts = rows.where("text is not null").join(known, F.col("row_key") == F.col("own_key")).where(F.xxhash64("doc_id") == F.col("id_hash")).select("fp", "text")
         sets = stored(spark, texts.mapInArrow(_codes(n), "fp long, codes array<long>").dropDuplicates(["fp"]))
         links = stored(spark, in_cells(likely.join(sets.hint("merge"), "fp")).mapInArrow(_links(num, den), "a long, b long").distinct())
-        for done in (maybe, likely, asked, sets):
-            drop_stored(spark, done)
+        drop_stored(spark, maybe, likely, asked, sets)
         return links
 
     multi = F.col("m") > 1
@@ -472,8 +472,7 @@ def groups(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den:
     named = classes.select("fp", "rep").join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     smallest = stored(spark, named.groupBy("component").agg(F.min("rep").alias("component_id")))
     of_class = stored(spark, named.join(smallest, "component").select("fp", "component_id", F.col("component").alias("group_key")))
-    for done in (classes, cells, members, large, todo, smallest):
-        drop_stored(spark, done)
+    drop_stored(spark, classes, cells, members, large, todo, smallest)
     out = ids.withColumn("fp", F.when(F.col("n") > 0, F.col("fp"))).join(of_class, "fp", "left")
     return out.select("doc_id", "row_key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "group_key")
 

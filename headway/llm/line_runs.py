@@ -66,8 +66,7 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WO
     often = often.withColumns({"island": F.col("k") - F.row_number().over(in_doc), "upto": F.sum("words").over(in_doc)})
     whole = F.sum("words").over(Window.partitionBy(*_DOC, "island"))
     out = stored(spark, often.withColumn("whole", whole).where(F.col("whole") >= min_words).drop("whole"))
-    for done in (lines, names):
-        drop_stored(spark, done)
+    drop_stored(spark, lines, names)
     return out
 
 

@@ -277,8 +277,7 @@ def spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, *, id_col:
     every = alike.unionByName(whole).unionByName(single).distinct()
     cuts = maximal_runs(every, ("row_key",)).groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts"))  # a group is one text
     cuts = stored(spark, cuts)
-    for done in (raw, shared, several, kinds, asked, segments):
-        drop_stored(spark, done)
+    drop_stored(spark, raw, shared, several, kinds, asked, segments)
     return cuts
 
 

@@ -29,12 +29,16 @@ def stored(spark: SparkSession, df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(spark: SparkSession, df: DataFrame) -> None:
-    """Delete what ``stored`` wrote, once nothing reads it any more."""
+def drop_stored(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete what ``stored`` wrote, once nothing reads it any more, and the shuffles of queries that have ended.
+
+    Spark frees a shuffle's files when the driver's collector finds that nothing refers to it.
+    """
     jvm = spark.sparkContext._jvm
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    for path in {f.rsplit("/", 1)[0] for df in tables for f in df.inputFiles()}:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    jvm.System.gc()
 
 
 def shuffle_width(spark: SparkSession) -> int:

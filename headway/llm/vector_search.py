@@ -285,8 +285,7 @@ def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
         every = ints.withColumnRenamed("d", "of")
         slow = wide.withColumnRenamed("d", "of").crossJoin(asked).unionByName(every.where("wide is null").crossJoin(asked.where("q is null")))
         scored = scored.unionByName(stored(spark, slow.mapInArrow(_slow(scale, k), _OUT)))
-    for done in (chunks, floored, named):
-        drop_stored(spark, done)
+    drop_stored(spark, chunks, floored, named)
     ranked = scored.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
     return ranked.select(*keys, "rank", "vec_id", "score"), reads
 
