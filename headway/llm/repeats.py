@@ -45,7 +45,7 @@ SHORTER = 256
 GRAM = 64
 BATCH = 8192
 HOT = 8192
-BROADCAST_ROWS = 1_000_000  # of 8 bytes
+BROADCAST_ROWS = 1_000_000  # of 16 bytes
 
 
 def _slide(x: np.ndarray, n: int, best) -> np.ndarray:
