@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headway.llm import decontaminate, jaccard_join, language_id, licenses, line_runs, mixing, repeats, secret_scan, token_counts, vector_search
+from headway.llm import decontaminate, jaccard_join, language_id, licenses, line_runs, mixing, prefix_trie, repeats, secret_scan, sharding, token_counts, vector_search, whitening
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -58,8 +58,21 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_runs.report(spark, _read(spark, sf_dir, "documents"), 50)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark, _read(spark, sf_dir, "embeddings"), 32, 64, 1_000_000)
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = sharding.regular(2, 2, 4)
+    return sharding.report(spark, _read(spark, sf_dir, "documents"), tree, sharding.grown(tree, "r0", "r0k0"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.report(spark, _read(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_vector_search, op3_repeats, op4_jaccard_join, op5_mixing, op6_language_id, op7_token_counts, op8_secret_scan, op9_license_scan, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_decontamination, op2_vector_search, op3_repeats, op4_jaccard_join, op5_mixing, op6_language_id, op7_token_counts, op8_secret_scan, op9_license_scan, op10_line_dedup, op11_whitening, op12_sharding, op13_prefix_trie)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -125,7 +138,28 @@ SELECT c.doc_id, n_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(
 FROM c LEFT JOIN per USING (doc_id)
 """
 
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda r, z: xor(r >> 1, 3988292384::BIGINT * (r & 1)))), 4294967295::BIGINT)"
+
+_OP13 = rf"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS nth, coalesce(role, '') AS role, coalesce(text, '') AS text
+           FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, {_CRC} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, 0 AS part, nth, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 AND nth < h
+      UNION ALL SELECT c.conv_id, 1, nth, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND nth >= h),
+p AS (SELECT conv_id, count(*) OVER w AS depth, list(struct_pack(role := role, text := text)) OVER w AS path, text FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY part, nth)),
+n AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, min(len(regexp_extract_all(text, '[^ 	-]+'))) AS words FROM p GROUP BY path, depth
+      UNION ALL SELECT [], 0, min(conv_id), count(*), 0 FROM c HAVING count(*) > 0),
+m AS (SELECT conv_id, coalesce(max(depth), 0) AS depth, coalesce(arg_max(path, depth), []) AS path FROM c LEFT JOIN p USING (conv_id) GROUP BY conv_id),
+e AS (SELECT path, depth, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM m GROUP BY path, depth),
+k AS (SELECT path[1:depth - 1] AS path, depth - 1 AS depth, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1, 2),
+own AS (SELECT n.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * words AS saved FROM n LEFT JOIN k ON k.depth = n.depth AND k.path = n.path),
+s AS (SELECT path[1:d] AS path, d AS depth, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM own, unnest(generate_series(0, depth)) AS u(d) GROUP BY 1, 2)
+SELECT own.conv_id, own.depth, up.conv_id AS parent_conv_id, own.n_convs, own.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM own JOIN s ON s.depth = own.depth AND s.path = own.path LEFT JOIN n up ON up.depth = own.depth - 1 AND up.path = own.path[1:own.depth - 1]
+LEFT JOIN e ON e.depth = own.depth AND e.path = own.path
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """The others are tested against brute force, the library or held-out labels."""
-    return {"op1_decontamination": _OP1, "op2_vector_search": _OP2, "op4_jaccard_join": _OP4, "op10_line_dedup": _OP10}
+    return {"op1_decontamination": _OP1, "op2_vector_search": _OP2, "op4_jaccard_join": _OP4, "op10_line_dedup": _OP10, "op13_prefix_trie": _OP13}
