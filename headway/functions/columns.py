@@ -80,3 +80,25 @@ def cumulative_histogram(x: Column, bounds: list[float]) -> Column:
     """Aggregate: array of (le, n), counts cumulative, the last bound infinite."""
     each = [F.struct(F.lit(float(b)).alias("le"), F.count_if(x <= b).alias("n")) for b in bounds]
     return F.array(*each, F.struct(F.lit(float("inf")).alias("le"), F.count(x).alias("n")))
+
+
+def let(first: dict[str, Column], *steps) -> Column:
+    """A struct of the first fields and what each step, from the struct so far, adds.
+
+    Every field is computed once, whatever uses it: a step is bound by a lambda, where projections would be merged into the
+    filters above them, once for each use.
+    """
+
+    def applied(step):
+        def add(s: Column) -> Column:
+            out = s
+            for name, value in step(s).items():
+                out = out.withField(name, value)
+            return out
+
+        return add
+
+    one = F.array(F.struct(*[c.alias(n) for n, c in first.items()]))
+    for step in steps:
+        one = F.transform(one, applied(step))
+    return F.element_at(one, 1)

@@ -33,14 +33,19 @@ def _touched(df: DataFrame) -> list:
     return [r.date for r in df.select("date").distinct().collect()]  # dates of one batch
 
 
-def insert_only_merge(spark: SparkSession, df: DataFrame, path: str, keys: list[str]) -> None:
-    """Appends the rows whose key is new; within the batch the highest offset wins; null keys go."""
+def newest(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The row of highest offset of each key; null keys go."""
     for k in keys:
         df = df.where(F.col(k).isNotNull())
-    if "kafka_offset" in df.columns:
-        rest = [c for c in df.columns if c not in keys and c != "kafka_offset"]
-        df = df.groupBy(*keys).agg(F.max_by(F.struct(*rest, "kafka_offset"), "kafka_offset").alias("r")).select(*keys, "r.*")
-    table = read(spark, path)
+    if "kafka_offset" not in df.columns:
+        return df
+    rest = [c for c in df.columns if c not in keys and c != "kafka_offset"]
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest, "kafka_offset"), "kafka_offset").alias("r")).select(*keys, "r.*")
+
+
+def insert_only_merge(spark: SparkSession, df: DataFrame, path: str, keys: list[str]) -> None:
+    """Appends the rows whose key is new; within the batch the highest offset wins; null keys go."""
+    df, table = newest(df, keys), read(spark, path)
     if table is not None:
         df = df.join(table.where(F.col("date").isin(_touched(df))).select(*keys), keys, "left_anti")
     append(df, path)
@@ -85,6 +90,11 @@ def drop(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _file_system(spark, path)
+    return fs.exists(p)
+
+
 def folders(spark: SparkSession, path: str) -> list[str]:
     """Names of the folders in a folder."""
     p, fs = _file_system(spark, path)

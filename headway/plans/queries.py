@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headway.functions.columns import delay_category_gold, delay_category_mart, delay_category_signed, haversine_m, in_geofence, in_helsinki_area, surrogate_key
-from headway.operators import enrich, features, lakehouse, ml, monitor, tables, validate, warehouse
+from headway.operators import batches, enrich, features, lakehouse, ml, monitor, tables, validate, warehouse
 from headway.session import scratch
 from headway.sources import adapters as src
+from headway.sources import connectors
+from headway.streaming import ingest_stream as ingest_streams
 from headway.streaming.enrich_stream import active_vehicles
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,9 +56,12 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
       SELECT next_stop_id, 'Stop ' || next_stop_id, avg(latitude), avg(longitude), 'Unmapped', next_stop_id, TIMESTAMP '1970-01-01' FROM stg WHERE next_stop_id IS NOT NULL AND next_stop_id NOT IN (SELECT stop_id FROM stops) GROUP BY next_stop_id""", ("stops", "stg")),
     "predictions": ("SELECT o_orderkey AS request_id, CAST(o_custkey AS VARCHAR) AS vehicle_id, CAST(o_orderkey % 600 AS DOUBLE) AS prod, CAST(o_orderkey % 600 + o_custkey % 150 AS DOUBLE) AS shadow, CAST((o_orderkey * 7) % 650 AS DOUBLE) AS actual, CAST(o_custkey % 97 AS DOUBLE) AS latency_ms FROM orders", ()),
     "large": ("SELECT CAST(l_suppkey AS VARCHAR) AS line_id, CAST(l_partkey % 500 AS VARCHAR) AS stop_id, CAST(l_shipdate AS DATE) AS date, CAST(date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS INT) * 10 AS delay_seconds, CAST(l_quantity AS DOUBLE) AS speed_ms, l_orderkey * 10 + l_linenumber AS kafka_offset FROM lineitem JOIN orders ON l_orderkey = o_orderkey", ()),
-    "raw": ("""SELECT * EXCLUDE (value), CASE WHEN k = 1 THEN '{broken' WHEN k = 2 THEN '{"XX":1}' ELSE '{"VP":{"veh":' || CASE WHEN k = 6 THEN '"abc"' ELSE CAST(user_id AS VARCHAR) END || ',"tst":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z","tsi":1,"desi":"' || event_type || '","dir":"' || CASE WHEN k = 4 THEN 'x' ELSE CAST(user_id % 2 + 1 AS VARCHAR) END
-      || '","lat":' || CASE WHEN k = 3 THEN 'null' ELSE '60.' || lpad(CAST(k AS VARCHAR), 2, '0') END || ',"long":24.9,"spd":' || CASE WHEN k = 5 THEN '100' WHEN k = 7 THEN 'null' ELSE CAST(k % 40 AS VARCHAR) END || '}}' END AS value,
-      CASE WHEN k = 1 THEN 'corrupt_json' WHEN k = 2 THEN 'missing_vp_wrapper' WHEN k = 6 THEN 'contract_violation' WHEN k = 3 THEN 'gps_dropout' WHEN k = 4 THEN 'runtime_error' WHEN k = 5 THEN 'contract_violation' ELSE 'valid' END AS reason
+    "raw": ("""SELECT * EXCLUDE (value), CASE WHEN k = 1 THEN '{broken' WHEN k = 2 THEN '{"XX":1}' WHEN k = 15 THEN '{"VP":[]}' WHEN k = 25 THEN '[1]' WHEN k = 26 THEN '{"VP":"text"}' ELSE '{"VP":{"veh":' || CASE WHEN k = 6 THEN '"abc"' WHEN k = 8 THEN '" ' || CAST(user_id AS VARCHAR) || '"' WHEN k = 9 THEN CAST(user_id AS VARCHAR) || '.0' ELSE CAST(user_id AS VARCHAR) END
+      || ',"tst":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z","tsi":' || CASE WHEN k = 17 THEN 'null' ELSE '1' END || ',"desi":' || CASE WHEN k = 14 THEN '7' ELSE '"' || event_type || '"' END || ',"dir":' || CASE k WHEN 4 THEN '"x"' WHEN 11 THEN '"0"' WHEN 12 THEN '"-1"' WHEN 20 THEN '" 2 "' WHEN 21 THEN '""' WHEN 22 THEN '2' ELSE '"' || CAST(user_id % 2 + 1 AS VARCHAR) || '"' END
+      || ',"lat":' || CASE WHEN k = 3 THEN 'null' WHEN k = 13 THEN '"60.13"' ELSE '60.' || lpad(CAST(k AS VARCHAR), 2, '0') END || ',"long":24.9,"spd":' || CASE WHEN k = 5 THEN '100' WHEN k = 7 THEN 'null' WHEN k = 19 THEN '"fast"' ELSE CAST(k % 40 AS VARCHAR) END
+      || CASE k WHEN 10 THEN ',"dl":5.5' WHEN 16 THEN ',"drst":true' WHEN 18 THEN ',"dl":"12"' WHEN 23 THEN ',"dl":1e2' WHEN 24 THEN ',"dl":"1e2"' ELSE '' END || '}}' END AS value,
+      CASE WHEN k = 1 THEN 'corrupt_json' WHEN k IN (2, 15) THEN 'missing_vp_wrapper' WHEN k = 3 THEN 'gps_dropout' WHEN k IN (4, 25) THEN 'runtime_error' WHEN k IN (5, 6, 10, 11, 12, 14, 17, 19, 22, 24, 26) THEN 'contract_violation' ELSE 'valid' END AS reason,
+      CASE k WHEN 5 THEN 'speed_ms' WHEN 6 THEN 'veh' WHEN 10 THEN 'dl' WHEN 11 THEN 'direction_id' WHEN 12 THEN 'direction_id' WHEN 14 THEN 'desi' WHEN 17 THEN 'tsi' WHEN 19 THEN 'spd' WHEN 22 THEN 'dir' WHEN 24 THEN 'dl' WHEN 26 THEN 'veh' END AS field
       FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)""", ()),
     "online": ("SELECT vehicle_id, arg_max(struct_pack(l := line_id, d := delay_seconds, dt := delay_trend, s := speed_ms, st := speed_trend, z := is_stopped, sd := stopped_duration_ms, la := latitude, lo := longitude, n := trim(next_stop_id), u := event_time_ms), kafka_offset) AS f FROM enriched GROUP BY 1", ("enriched",)),
     "requests": ("SELECT o_orderkey AS request_id, CAST(o_custkey % 50 AS VARCHAR) AS vehicle_id, CASE WHEN o_orderkey % 11 > 0 THEN 'S' || CAST(o_orderkey % 6 AS VARCHAR) END AS stop_id, CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 3 = 1 THEN 'view' ELSE 'error' END AS line_id, CASE WHEN o_orderkey % 13 > 0 THEN CAST(o_orderkey % 24 AS INT) END AS hour_of_day, CASE WHEN o_orderkey % 17 > 0 THEN CAST(o_orderkey % 7 AS INT) END AS day_of_week, CAST(o_orderdate AS TIMESTAMP) AS request_time FROM orders", ()),
@@ -287,6 +292,20 @@ def insert_only_merge(s, d):
     return tables.read(s, path).select("vehicle_id", "event_time_ms", "kafka_offset", F.col("date").cast("date").alias("date"))
 
 
+_NEWEST = "QUALIFY row_number() OVER (PARTITION BY vehicle_id, date, event_time_ms ORDER BY kafka_offset DESC) = 1"
+
+
+@query(f"SELECT vehicle_id, event_time_ms, kafka_offset, date FROM (SELECT *, 0 AS b FROM telemetry WHERE kafka_offset % 3 = 0 {_NEWEST} UNION ALL SELECT *, 1 FROM replayed {_NEWEST}) QUALIFY row_number() OVER (PARTITION BY vehicle_id, date, event_time_ms ORDER BY b) = 1", "telemetry", "replayed")
+def batch_merge(s, d):
+    """Two batches, the second one again as after a failure; keys of the first stay as they came."""
+    path, keys, rows = scratch(s), ["vehicle_id", "date", "event_time_ms"], src.telemetry(s, d)
+    day = 24 * batches.HOUR_MS
+    batches.merge_batch(s, rows.where("kafka_offset % 3 = 0"), path, keys, 0, slot_ms=day)
+    for _ in range(2):
+        batches.merge_batch(s, src.with_replays(rows), path, keys, 1, slot_ms=day)
+    return tables.read(s, path).select("vehicle_id", "event_time_ms", "kafka_offset", F.col("date").cast("date").alias("date"))
+
+
 @query("""WITH m AS (SELECT o_orderpriority AS line_id, CAST(o_orderdate AS DATE) AS date, count(*) AS n FROM orders GROUP BY 1, 2) SELECT line_id, date, CASE WHEN day(date) % 2 = 0 THEN n * 2 ELSE n END AS n FROM m""")
 def upsert_merge(s, d):
     path = scratch(s)
@@ -316,26 +335,40 @@ def ingest_reasons(s, d):
     return validate.counters(validate.classify(src.raw_messages(s, d)))
 
 
-@query("SELECT md5(value) AS payload_md5, reason AS error_message, CASE k WHEN 6 THEN 'veh' WHEN 5 THEN 'speed_ms' END AS error_field, 'raw' AS topic, count(*) AS n FROM raw WHERE reason NOT IN ('valid', 'missing_vp_wrapper') GROUP BY 1, 2, 3, 4", "raw")
+@query("SELECT reason, count(*) AS count, CAST(CASE WHEN reason = 'valid' THEN count(*) ELSE 0 END AS BIGINT) AS telemetry, CAST(CASE WHEN reason IN ('valid', 'missing_vp_wrapper') THEN 0 ELSE count(*) END AS BIGINT) AS letters FROM raw GROUP BY 1", "raw")
+def ingest_stream(s, d):
+    """The same through the stream: its counters, and the rows of its tables by reason."""
+    landing, root = scratch(s), scratch(s)
+    src.raw_messages(s, d).select("value", "topic", F.lit(0).alias("partition"), F.col("event_id").alias("offset"), F.col("ts").alias("timestamp")).write.parquet(landing)
+    rows = connectors.file_stream(s, landing, "value string, topic string, partition int, offset long, timestamp timestamp")
+    ingest_streams.ingest(rows, root, scratch(s)).awaitTermination()
+    kept = tables.read(s, f"{root}/telemetry").select(F.lit("valid").alias("reason"), F.lit(1).alias("t"), F.lit(0).alias("l"))
+    letters = tables.read(s, f"{root}/dead_letters").select(F.col("error_message").alias("reason"), F.lit(0).alias("t"), F.lit(1).alias("l"))
+    sums = kept.unionByName(letters).groupBy("reason").agg(F.sum("t").alias("telemetry"), F.sum("l").alias("letters"))
+    counts = tables.read(s, f"{root}/counters").groupBy("reason").agg(F.sum("count").alias("count"))
+    return counts.join(sums, "reason", "left").fillna(0)
+
+
+@query("SELECT md5(value) AS payload_md5, reason AS error_message, field AS error_field, 'raw' AS topic, count(*) AS n FROM raw WHERE reason NOT IN ('valid', 'missing_vp_wrapper') GROUP BY 1, 2, 3, 4", "raw")
 def dead_letters(s, d):
     letters = validate.split(validate.classify(src.raw_messages(s, d)))[1]
     return letters.groupBy(F.md5("raw_payload").alias("payload_md5"), "error_message", "error_field", "topic").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT CAST(user_id AS VARCHAR) AS vehicle_id, epoch_us(ts) // 1000 AS timestamp_ms, round(60 + k / 100.0::DOUBLE, 6) AS latitude, 24.9::DOUBLE AS longitude, CASE WHEN k = 7 THEN NULL ELSE CAST(k % 40 AS DOUBLE) END AS speed_ms, CAST(NULL AS INT) AS heading, CAST(NULL AS INT) AS delay_seconds, CAST(NULL AS INT) AS door_status, CAST(NULL AS BIGINT) AS odometer,
-  CAST(NULL AS VARCHAR) AS next_stop_id, CAST(NULL AS VARCHAR) AS route_id, event_type AS line_id, CAST(user_id % 2 + 1 AS INT) AS direction_id, 0 AS operator_id, CAST(NULL AS VARCHAR) AS journey_start, epoch_us(ts) // 1000 AS event_time_ms FROM raw WHERE reason = 'valid'""", "raw")
+@query("""SELECT CAST(user_id AS VARCHAR) AS vehicle_id, epoch_us(ts) // 1000 AS timestamp_ms, round(60 + k / 100.0::DOUBLE, 6) AS latitude, 24.9::DOUBLE AS longitude, CASE WHEN k = 7 THEN NULL ELSE CAST(k % 40 AS DOUBLE) END AS speed_ms, CAST(NULL AS INT) AS heading, CASE k WHEN 18 THEN 12 WHEN 23 THEN 100 END AS delay_seconds, CASE k WHEN 16 THEN 1 END AS door_status, CAST(NULL AS BIGINT) AS odometer,
+  CAST(NULL AS VARCHAR) AS next_stop_id, CAST(NULL AS VARCHAR) AS route_id, event_type AS line_id, CASE k WHEN 20 THEN 2 WHEN 21 THEN 1 ELSE CAST(user_id % 2 + 1 AS INT) END AS direction_id, 0 AS operator_id, CAST(NULL AS VARCHAR) AS journey_start, epoch_us(ts) // 1000 AS event_time_ms FROM raw WHERE reason = 'valid'""", "raw")
 def ingest_valid(s, d):
     good = validate.split(validate.classify(src.raw_messages(s, d)))[0]
     return r6(good.withColumn("timestamp_ms", F.unix_millis("timestamp")).drop("timestamp"), "latitude")
 
 
-@query("SELECT reason, count(*) AS count FROM (SELECT CASE WHEN k IN (1, 2) THEN reason WHEN event_type <> 'click' THEN 'filtered' ELSE reason END AS reason FROM raw) GROUP BY 1", "raw")
+@query("SELECT reason, count(*) AS count FROM (SELECT CASE WHEN k IN (1, 2, 15, 25) THEN reason WHEN k = 26 THEN 'runtime_error' WHEN k = 14 OR event_type <> 'click' THEN 'filtered' ELSE reason END AS reason FROM raw) GROUP BY 1", "raw")
 def ingest_one_line(s, d):
     """Ingest that follows one line: messages of other lines are counted, not kept."""
     return validate.counters(validate.classify(src.raw_messages(s, d), line="click"))
 
 
-@query("SELECT event_id, k NOT IN (1, 2, 6) AS valid, CASE WHEN k = 6 THEN 'veh' END AS error_field FROM raw", "raw")
+@query("SELECT event_id, k NOT IN (1, 2, 6, 15, 19, 25, 26) AS valid, CASE WHEN k IN (6, 15) THEN 'veh' WHEN k = 19 THEN 'spd' END AS error_field FROM raw", "raw")
 def schema_conformance(s, d):
     """The inner part of messages against a declared schema: valid, and the first field in error."""
     inner = src.raw_messages(s, d).withColumn("value", F.get_json_object("value", "$.VP"))

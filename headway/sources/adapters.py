@@ -54,11 +54,13 @@ def lines(spark: SparkSession) -> DataFrame:
 
 
 def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON messages with planted faults, by k."""
-    vp = """concat('{"VP":{"veh":', case when k = 6 then '"abc"' else cast(user_id as string) end,
-        ',"tst":"', date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), '","tsi":1,"desi":"', event_type, '","dir":"', case when k = 4 then 'x' else cast(user_id % 2 + 1 as string) end,
-        '","lat":', case when k = 3 then 'null' else concat('60.', lpad(cast(k as string), 2, '0')) end, ',"long":24.9,"spd":', case when k = 5 then '100' when k = 7 then 'null' else cast(k % 40 as string) end, '}}')"""
-    return _events(spark, sf_dir).selectExpr("event_id", "ts", "k", f"""case when k = 1 then '{{broken' when k = 2 then '{{"XX":1}}' else {vp} end as value""", "'raw' as topic")
+    """JSON messages with planted faults, and with other spellings that are no faults, by k."""
+    vp = """concat('{"VP":{"veh":', case when k = 6 then '"abc"' when k = 8 then concat('" ', cast(user_id as string), '"') when k = 9 then concat(cast(user_id as string), '.0') else cast(user_id as string) end,
+        ',"tst":"', date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), '","tsi":', case when k = 17 then 'null' else '1' end, ',"desi":', case when k = 14 then '7' else concat('"', event_type, '"') end,
+        ',"dir":', case when k = 4 then '"x"' when k = 11 then '"0"' when k = 12 then '"-1"' when k = 20 then '" 2 "' when k = 21 then '""' when k = 22 then '2' else concat('"', cast(user_id % 2 + 1 as string), '"') end,
+        ',"lat":', case when k = 3 then 'null' when k = 13 then '"60.13"' else concat('60.', lpad(cast(k as string), 2, '0')) end, ',"long":24.9,"spd":', case when k = 5 then '100' when k = 7 then 'null' when k = 19 then '"fast"' else cast(k % 40 as string) end,
+        case when k = 10 then ',"dl":5.5' when k = 16 then ',"drst":true' when k = 18 then ',"dl":"12"' when k = 23 then ',"dl":1e2' when k = 24 then ',"dl":"1e2"' else '' end, '}}')"""
+    return _events(spark, sf_dir).selectExpr("event_id", "ts", "k", f"""case when k = 1 then '{{broken' when k = 2 then '{{"XX":1}}' when k = 15 then '{{"VP":[]}}' when k = 25 then '[1]' when k = 26 then '{{"VP":"text"}}' else {vp} end as value""", "'raw' as topic")
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,13 +11,15 @@ class MissingSource(Exception):
     """A table that a job needs isn't there or has no rows."""
 
 
-def kafka_options(servers: str, topic: str) -> dict[str, str]:
-    return {"kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": "earliest", "failOnDataLoss": "false"}
+def kafka_options(servers: str, topic: str, group: str | None = None) -> dict[str, str]:
+    """``group`` names the consumers; where they are is kept in the stream's checkpoint."""
+    own = {"kafka.group.id": group} if group else {}
+    return {"kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": "earliest", "failOnDataLoss": "false", **own}
 
 
-def kafka_stream(spark: SparkSession, servers: str, topic: str) -> DataFrame:
-    """value, partition, offset, timestamp of a topic (needs Spark's Kafka connector on the class path)."""
-    return spark.readStream.format("kafka").options(**kafka_options(servers, topic)).load()
+def kafka_stream(spark: SparkSession, servers: str, topic: str, group: str | None = None) -> DataFrame:
+    """value, topic, partition, offset, timestamp of a topic (needs Spark's Kafka connector on the class path)."""
+    return spark.readStream.format("kafka").options(**kafka_options(servers, topic, group)).load()
 
 
 def file_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 100) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time as clocks
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,8 +15,8 @@ from pyspark.sql.streaming.query import StreamingQuery
 from headway.config import DEFAULT, Config
 from headway.functions.columns import EARTH_M
 from headway.operators.enrich import arrivals
-from headway.operators.features import alive, online_latest
-from headway.operators.tables import drop, folders, insert_only_merge, overwrite, read
+from headway.operators.batches import merge_batch, put_online
+from headway.operators.features import online_latest
 
 _ROW = "vehicle_id string, event_time_ms long, latitude double, longitude double, speed_ms double, heading int, delay_seconds int, door_status int, line_id string, direction_id int, operator_id int, next_stop_id string, kafka_partition int, kafka_offset long, kafka_timestamp timestamp, ingestion_time timestamp, date date"
 OUTPUT = f"{_ROW}, delay_trend double, speed_trend double, distance_since_last_m double, time_since_last_ms long, is_stopped boolean, is_arrival boolean, stopped_duration_ms long, door_open_duration_ms long, processing_time timestamp"
@@ -54,11 +55,15 @@ def _since(begins: np.ndarray, ends: np.ndarray, at: np.ndarray, carried) -> tup
     return np.where(known[:-1], at - start[:-1], 0).astype(np.int64), int(start[-1]) if known[-1] else None
 
 
+def wall_ms() -> int:
+    return int(clocks.time() * 1000)
+
+
 class VehicleState(StatefulProcessor):
     """Trends, distance, stop duration and stop arrivals of a vehicle, in order of arrival."""
 
-    def __init__(self, c: Config = DEFAULT) -> None:
-        self.c = c
+    def __init__(self, c: Config = DEFAULT, clock: Callable[[], int] = wall_ms) -> None:
+        self.c, self.clock = c, clock
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("vehicle", _STATE, ttlDurationMs=self.c.state_ttl_ms)
@@ -90,60 +95,47 @@ class VehicleState(StatefulProcessor):
         }
         self.state.update(([int(d) for d in delays[-self.c.history :]], int(at[-1]), _none(float(y[-1])), _none(float(x[-1])), float(v[-1]), nxt.iloc[-1], since, opened))
         zero = {c: df[c].fillna(0) for c in ("speed_ms", "delay_seconds", "door_status", "heading")}
-        yield df.assign(**zero, **out, processing_time=pd.Timestamp.now("UTC").tz_localize(None))
+        yield df.assign(**zero, **out, processing_time=pd.Timestamp(self.clock(), unit="ms"))
 
     def close(self) -> None:
         pass
 
 
-def enrich_stream(rows: DataFrame, c: Config = DEFAULT) -> DataFrame:
+def enrich_stream(rows: DataFrame, c: Config = DEFAULT, clock: Callable[[], int] = wall_ms) -> DataFrame:
     """A stream of telemetry with its features; late rows are kept, malformed ones (no vehicle or time) go."""
     clean = rows.where("vehicle_id is not null and event_time_ms is not null")
-    return clean.groupBy("vehicle_id").transformWithStateInPandas(VehicleState(c), outputStructType=OUTPUT, outputMode="Append", timeMode="ProcessingTime")
+    return clean.groupBy("vehicle_id").transformWithStateInPandas(VehicleState(c, clock), outputStructType=OUTPUT, outputMode="Append", timeMode="ProcessingTime")
 
 
-def _sinks(root: str):
+def _sinks(root: str, clock: Callable[[], int], c: Config):
     def write(batch: DataFrame, batch_id: int) -> None:
         spark: SparkSession = batch.sparkSession
         batch.persist()
         try:
-            insert_only_merge(spark, batch, f"{root}/enriched", ["vehicle_id", "date", "event_time_ms"])
-            insert_only_merge(spark, arrivals(batch), f"{root}/stop_events", ["vehicle_id", "date", "arrival_time"])
-            merge_online(spark, batch, f"{root}/online", batch_id)
+            merge_batch(spark, batch, f"{root}/enriched", ["vehicle_id", "date", "event_time_ms"], batch_id)
+            merge_batch(spark, arrivals(batch), f"{root}/stop_events", ["vehicle_id", "date", "arrival_time"], batch_id, "arrival_time")
+            put_online(spark, online_latest(batch), f"{root}/online", batch_id, clock(), c)
         finally:
             batch.unpersist()
 
     return write
 
 
-def merge_online(spark: SparkSession, batch: DataFrame, path: str, batch_id: int) -> None:
-    """The latest row of each vehicle; written beside the old table, under the batch's number.
+def run(rows: DataFrame, root: str, checkpoint: str, once: bool = True, c: Config = DEFAULT, clock: Callable[[], int] = wall_ms) -> StreamingQuery:
+    """Enriched rows, stop arrivals and online features from one stream; each sink can repeat a batch.
 
-    The last two versions stay: a repeated batch starts from the one before it, and readers may still hold that.
+    ``clock`` gives the milliseconds now: the time of processing, and what online features expire by.
     """
-    latest = online_latest(batch)
-    old = read(spark, f"{path}/{batch_id - 1}") if batch_id else None
-    if old is not None:
-        latest = old.join(latest.select("vehicle_id"), "vehicle_id", "left_anti").unionByName(latest)
-    overwrite(latest, f"{path}/{batch_id}", partitioned=False)
-    drop(spark, f"{path}/{batch_id - 2}")
-
-
-def online(spark: SparkSession, path: str, now_ms: int, c: Config = DEFAULT) -> DataFrame | None:
-    """The unexpired rows of the newest version, with their age."""
-    versions = [int(v) for v in folders(spark, path) if v.isdigit()]
-    return alive(spark.read.parquet(f"{path}/{max(versions)}"), now_ms, c) if versions else None
-
-
-def run(rows: DataFrame, root: str, checkpoint: str, once: bool = True, c: Config = DEFAULT) -> StreamingQuery:
-    """Enriched rows, stop arrivals and online features from one stream; each sink can repeat a batch."""
-    writer = enrich_stream(rows, c).writeStream.foreachBatch(_sinks(root)).option("checkpointLocation", checkpoint)
+    writer = enrich_stream(rows, c, clock).writeStream.foreachBatch(_sinks(root, clock, c)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()
 
 
 def bronze_stream(rows: DataFrame, path: str, checkpoint: str, keys: list[str], once: bool = True) -> StreamingQuery:
-    """Decoded rows merged into a bronze table; null keys go."""
-    write = lambda batch, _: None if batch.isEmpty() else insert_only_merge(batch.sparkSession, batch, path, keys)
+    """Decoded rows merged into a bronze table; null keys go.  One key is the event's time in milliseconds."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        merge_batch(batch.sparkSession, batch, path, keys, batch_id, next(k for k in keys if k.endswith(("_ms", "_time"))))
+
     writer = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()
 
@@ -163,8 +155,6 @@ def write_topic(rows: DataFrame, key: str, target: dict[str, str], checkpoint: s
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()
 
 
-def active_vehicles(rows: DataFrame, exact: bool = True) -> DataFrame:
-    """Distinct vehicles of the last 60 seconds, every 10 seconds; streams count approximately."""
-    n = F.count_distinct("vehicle_id") if exact else F.approx_count_distinct("vehicle_id")
-    src = rows if exact else rows.withWatermark("kafka_timestamp", "10 seconds")
-    return src.groupBy(F.window("kafka_timestamp", "60 seconds", "10 seconds").alias("w")).agg(n.alias("active_vehicles")).select(F.col("w.start").alias("window_start"), "active_vehicles")
+def active_vehicles(rows: DataFrame) -> DataFrame:
+    """Distinct vehicles of the last 60 seconds, every 10 seconds; ``event_time`` has the same for streams."""
+    return rows.groupBy(F.window("kafka_timestamp", "60 seconds", "10 seconds").alias("w")).agg(F.count_distinct("vehicle_id").alias("active_vehicles")).select(F.col("w.start").alias("window_start"), "active_vehicles")

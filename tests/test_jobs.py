@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from headway.functions import columns as fn
-from headway.operators import enrich, features, lakehouse, ml, monitor, tables, validate, warehouse
+from headway.operators import batches, enrich, features, lakehouse, ml, monitor, tables, validate, warehouse
 from headway.plans import daily
 from headway.session import scratch
 from headway.sources import adapters as src
@@ -114,9 +114,9 @@ def test_state_lives_over_a_restart_and_expires(spark):
 
     landing, root, checkpoint = scratch(spark), scratch(spark), scratch(spark)
 
-    def drain(ttl=600_000):
+    def drain(ttl=600_000, now=4000):
         stream = connectors.file_stream(spark, landing, enrich_stream._ROW)
-        assert enrich_stream.run(stream, root, checkpoint, c=Config(state_ttl_ms=ttl)).awaitTermination(120)
+        assert enrich_stream.run(stream, root, checkpoint, c=Config(state_ttl_ms=ttl), clock=lambda: now).awaitTermination(120)
         return {r.kafka_offset: r.delay_trend for r in tables.read(spark, f"{root}/enriched").collect()}
 
     stream_rows(spark, landing, [(1, 1000, 10)])
@@ -125,10 +125,14 @@ def test_state_lives_over_a_restart_and_expires(spark):
     assert drain(ttl=1)[2] == 20.0  # the state came back from the checkpoint; what it leaves lives for a millisecond
     stream_rows(spark, landing, [(3, 3000, 50)])
     assert drain()[3] == 50.0  # and is gone after its time to live
-    assert sorted(tables.folders(spark, f"{root}/online")) == ["1", "2"]  # two versions stay
-    now = enrich_stream.online(spark, f"{root}/online", 4000)
+    assert sorted(tables.folders(spark, f"{root}/online")) == ["batch=0", "batch=1", "batch=2"]
+    now = batches.online(spark, f"{root}/online", 4000)
     assert [(r.vehicle_id, r.current_delay, r.feature_age_ms) for r in now.collect()] == [("v", 50, 1000)]
-    assert enrich_stream.online(spark, f"{root}/online", 4000 + 10**6).isEmpty()
+    assert batches.online(spark, f"{root}/online", 4000 + 10**6).isEmpty()
+    assert {r.processing_time for r in tables.read(spark, f"{root}/enriched").collect()} == {datetime.datetime(1970, 1, 1, 0, 0, 4)}  # the clock that was given
+    stream_rows(spark, landing, [(4, 10**6, 70)])
+    drain(now=10**6)
+    assert tables.folders(spark, f"{root}/online") == ["batch=3"]  # what has expired has left
 
 
 def test_topic_rows(spark):
