@@ -44,6 +44,17 @@ def valid_requests(requests: DataFrame, last_day: int = 7) -> tuple[DataFrame, D
     return requests.where(ok), requests.where(~ok)
 
 
+#: What a lookup reads of the stop mart, beside the keys.
+HISTORY = ("historical_avg_delay", "historical_stddev_delay", "avg_dwell_time_ms", "historical_arrival_count")
+
+
+def history(mart: DataFrame) -> DataFrame:
+    """One row of the stop mart for each stop, line, hour and day of week (UTC hour, Sunday 0): that of its last event."""
+    figures = F.struct(*HISTORY, F.col("stop_lat").alias("latitude"), F.col("stop_lon").alias("longitude"))
+    last = F.max_by(figures, F.struct("event_date", "kafka_partition", "kafka_offset"))
+    return mart.groupBy("stop_id", "line_id", "hour_of_day", "day_of_week").agg(last.alias("h")).select("stop_id", "line_id", "hour_of_day", "day_of_week", "h.*")
+
+
 def best_match(requests: DataFrame, history: DataFrame) -> DataFrame:
     """For each request the history of its stop (and line, if it names one) nearest to its hour and day.
 
@@ -75,7 +86,7 @@ def combined(requests: DataFrame, online: DataFrame, history: DataFrame, both_kn
     """Online and offline features of a batch of requests (request_id, vehicle_id, stop_id?, line_id?, hour_of_day?, day_of_week?, request_time?).
 
     Stop and line default to the vehicle's, hour and day (Sunday 0) to the request's time.  ``both_known``:
-    history only where both stop and line are known.
+    history only where both stop and line are known.  ``history`` has the hour and day of the stop mart.
     """
     o = online.withColumnsRenamed({"line_id": "o_line", "next_stop_id": "o_stop"}).withColumn("online_available", F.lit(True))
     rows = requests.join(o, "vehicle_id", "left").withColumns({"stop_id": F.coalesce("stop_id", "o_stop"), "line_id": F.coalesce("line_id", "o_line"), "hour_of_day": F.coalesce("hour_of_day", F.hour("request_time")), "day_of_week": F.coalesce("day_of_week", F.dayofweek("request_time") - 1)})

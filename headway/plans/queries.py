@@ -52,6 +52,7 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
     "perf": ("""SELECT s.* EXCLUDE (next_stop_id), s.next_stop_id AS stop_id, hour(event_time) AS hour_of_day, dayofweek(event_time) AS day_of_week, CAST(event_time AS DATE) AS event_date, CASE WHEN delay_seconds <= 60 THEN 'ON_TIME' WHEN delay_seconds <= 300 THEN 'LATE' ELSE 'VERY_LATE' END AS delay_category,
       CAST(coalesce(past_count, count(*) OVER (PARTITION BY s.next_stop_id, s.line_id, CAST(event_time AS DATE))) AS BIGINT) AS historical_arrival_count, coalesce(past_delay, avg(delay_seconds) OVER h) AS historical_avg_delay, stddev_pop(delay_seconds) OVER h AS historical_stddev_delay, sum(CASE WHEN delay_seconds <= 60 THEN 1 ELSE 0 END) OVER h * 100.0 / count(*) OVER h AS historical_on_time_pct, coalesce(past_dwell, 0.0) AS avg_dwell_time_ms
       FROM stg s LEFT JOIN past p ON s.next_stop_id = p.stop_id AND s.line_id = p.line_id AND hour(event_time) = p.hour_of_day WHERE is_stopped AND s.next_stop_id IS NOT NULL WINDOW h AS (PARTITION BY s.next_stop_id, s.line_id, hour(event_time))""", ("stg", "past")),
+    "history": ("SELECT p.stop_id, p.line_id, p.hour_of_day, p.day_of_week, historical_arrival_count, historical_avg_delay, historical_stddev_delay, avg_dwell_time_ms, s.stop_lat, s.stop_lon FROM perf p JOIN dim_stops s ON p.stop_id = s.stop_id QUALIFY row_number() OVER (PARTITION BY p.stop_id, p.line_id, hour_of_day, day_of_week ORDER BY event_date DESC, kafka_partition DESC, kafka_offset DESC) = 1", ("perf", "dim_stops")),
     "dim_stops": ("""SELECT stop_id, stop_name, stop_lat, stop_lon, zone_id, stop_code, TIMESTAMP '2026-01-01' AS valid_from FROM stops UNION ALL
       SELECT next_stop_id, 'Stop ' || next_stop_id, avg(latitude), avg(longitude), 'Unmapped', next_stop_id, TIMESTAMP '1970-01-01' FROM stg WHERE next_stop_id IS NOT NULL AND next_stop_id NOT IN (SELECT stop_id FROM stops) GROUP BY next_stop_id""", ("stops", "stg")),
     "predictions": ("SELECT o_orderkey AS request_id, CAST(o_custkey AS VARCHAR) AS vehicle_id, CAST(o_orderkey % 600 AS DOUBLE) AS prod, CAST(o_orderkey % 600 + o_custkey % 150 AS DOUBLE) AS shadow, CAST((o_orderkey * 7) % 650 AS DOUBLE) AS actual, CAST(o_custkey % 97 AS DOUBLE) AS latency_ms FROM orders", ()),
@@ -118,8 +119,27 @@ def _metrics(s, d):
     return lakehouse.stop_performance(_stop_events(s, d), src.stops(s, d))
 
 
-def _perf(s, d):
-    return warehouse.stop_performance(_stg(s, d), _metrics(s, d))
+def _kept(s, d):
+    """Enriched rows, computed once and read by all that stands on them, as the jobs read their bronze table."""
+    path = scratch(s)
+    _enriched(s, d).write.parquet(path)
+    return s.read.parquet(path)
+
+
+def _perf(s, d, rows=None):
+    rows = _kept(s, d) if rows is None else rows
+    return warehouse.stop_performance(warehouse.stg_enriched(rows), lakehouse.stop_performance(lakehouse.silver_stop_events(enrich.arrivals(rows)), src.stops(s, d)))
+
+
+def _mart(s, d, rows=None):
+    rows = _kept(s, d) if rows is None else rows
+    return warehouse.mart_stop_arrivals(_perf(s, d, rows), warehouse.dim_stops(_stops_snapshot(s, d), warehouse.stg_enriched(rows)), _dim_lines(s, d))
+
+
+def _live(s, d):
+    """(online features, history of the stop mart), from the same rows."""
+    rows = _kept(s, d)
+    return features.online_latest(rows), features.history(_mart(s, d, rows))
 
 
 def _stops_snapshot(s, d):
@@ -279,7 +299,7 @@ def mart_daily_performance(s, d):
   round(stop_lat, 6) AS stop_lat, round(stop_lon, 6) AS stop_lon, stop_name, zone_id, stop_code, coalesce(line_name, 'Line: ' || p.line_id) AS line_name, coalesce(line_type, 'Unknown') AS line_type, epoch_us(ingestion_time) // 1000 AS ingestion_ms, kafka_partition, kafka_offset
   FROM perf p JOIN dim_stops s ON p.stop_id = s.stop_id LEFT JOIN lines l ON p.line_id = l.line_id""", "perf", "dim_stops", "lines")
 def mart_stop_arrivals(s, d):
-    m = warehouse.mart_stop_arrivals(_perf(s, d), _dim_stops(s, d), _dim_lines(s, d))
+    m = _mart(s, d)
     return r6(m.withColumn("ingestion_ms", F.unix_millis("ingestion_time")).drop("ingestion_time"), "historical_avg_delay", "historical_stddev_delay", "historical_on_time_pct", "avg_dwell_time_ms", "stop_lat", "stop_lon")
 
 
@@ -408,40 +428,40 @@ def _requests(s, d):
 
 
 def _match(requests: str) -> str:
-    return f"""SELECT r.*, m.line_id AS h_line, m.hour_of_day AS h_hour, m.day_of_week AS h_dow, historical_arrival_count, historical_avg_delay, avg_dwell_time_ms, s.stop_lat, s.stop_lon, m.stop_id IS NOT NULL AS offline_available FROM {requests} r LEFT JOIN stop_metrics m ON r.stop_id = m.stop_id AND (r.line_id IS NULL OR r.line_id = m.line_id) LEFT JOIN stops s ON m.stop_id = s.stop_id
+    return f"""SELECT r.*, m.line_id AS h_line, m.hour_of_day AS h_hour, m.day_of_week AS h_dow, historical_arrival_count, historical_avg_delay, historical_stddev_delay, avg_dwell_time_ms, m.stop_lat, m.stop_lon, m.stop_id IS NOT NULL AS offline_available FROM {requests} r LEFT JOIN history m ON r.stop_id = m.stop_id AND (r.line_id IS NULL OR r.line_id = m.line_id)
   QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY coalesce(m.hour_of_day = r.hour_of_day AND m.day_of_week = r.day_of_week, false) DESC, abs(m.hour_of_day - r.hour_of_day) NULLS LAST, m.line_id NULLS FIRST, m.day_of_week NULLS FIRST, m.hour_of_day NULLS FIRST) = 1"""
 
 
-@query(f"SELECT request_id, h_line, CAST(h_hour AS INT) AS h_hour, CAST(h_dow AS INT) AS h_dow, historical_arrival_count, round(historical_avg_delay, 6) AS historical_avg_delay FROM ({_match('requests')})", "requests", "stop_metrics", "stops")
+@query(f"SELECT request_id, h_line, CAST(h_hour AS INT) AS h_hour, CAST(h_dow AS INT) AS h_dow, historical_arrival_count, round(historical_avg_delay, 6) AS historical_avg_delay, round(historical_stddev_delay, 6) AS historical_stddev_delay FROM ({_match('requests')})", "requests", "history")
 def offline_best_match(s, d):
-    return r6(features.best_match(_requests(s, d), _metrics(s, d)).select("request_id", "h_line", "h_hour", "h_dow", "historical_arrival_count", "historical_avg_delay"), "historical_avg_delay")
+    found = features.best_match(_requests(s, d), features.history(_mart(s, d)))
+    return r6(found.select("request_id", "h_line", "h_hour", "h_dow", "historical_arrival_count", "historical_avg_delay", "historical_stddev_delay"), "historical_avg_delay", "historical_stddev_delay")
 
 
 _VECTOR_SQL = """SELECT request_id, vehicle_id, coalesce(f.d, 0) AS current_delay, coalesce(CAST(printf('%.4f', f.dt) AS DOUBLE), 0.0) AS delay_trend, coalesce(f.s, 0.0) AS current_speed, coalesce(CAST(printf('%.4f', f.st) AS DOUBLE), 0.0) AS speed_trend, CAST(coalesce(f.z, false) AS INT) AS is_stopped, coalesce(f.sd, 0) AS stopped_duration_ms,
   round(CASE WHEN coalesce(f.la, 0.0) = 0.0 THEN coalesce(stop_lat, 0.0) ELSE f.la END, 6) AS latitude, round(CASE WHEN coalesce(f.la, 0.0) = 0.0 THEN coalesce(stop_lon, 0.0) ELSE coalesce(f.lo, 0.0) END, 6) AS longitude,
-  round(coalesce(historical_avg_delay, 0.0), 6) AS historical_avg_delay, 0.0::DOUBLE AS historical_stddev_delay, coalesce(avg_dwell_time_ms, 0.0) AS avg_dwell_time_ms, coalesce(historical_arrival_count, 0) AS historical_arrival_count, -1 AS feature_age_ms FROM ({})"""
+  round(coalesce(historical_avg_delay, 0.0), 6) AS historical_avg_delay, round(coalesce(historical_stddev_delay, 0.0), 6) AS historical_stddev_delay, coalesce(avg_dwell_time_ms, 0.0) AS avg_dwell_time_ms, coalesce(historical_arrival_count, 0) AS historical_arrival_count, -1 AS feature_age_ms FROM ({})"""
 
 
 def _vector(rows):
     return r6(features.vector(rows), "current_speed", "latitude", "longitude", "historical_avg_delay", "historical_stddev_delay", "avg_dwell_time_ms")
 
 
-@query(_VECTOR_SQL.format(_match("live")), "live", "stop_metrics", "stops")
+@query(_VECTOR_SQL.format(_match("live")), "live", "history")
 def feature_vector(s, d):
     """All keys; stop, line, hour and day of a request default to the vehicle's and the request's."""
-    return _vector(features.combined(_requests(s, d), features.online_latest(_enriched(s, d)), _metrics(s, d)))
+    return _vector(features.combined(_requests(s, d), *_live(s, d)))
 
 
-@query(_VECTOR_SQL.format(_match("(SELECT * REPLACE (CASE WHEN line_id IS NOT NULL THEN stop_id END AS stop_id) FROM live)")), "live", "stop_metrics", "stops")
+@query(_VECTOR_SQL.format(_match("(SELECT * REPLACE (CASE WHEN line_id IS NOT NULL THEN stop_id END AS stop_id) FROM live)")), "live", "history")
 def feature_vector_serving(s, d):
     """The serving variant: history only where stop and line are known."""
-    online = features.online_latest(_enriched(s, d))
-    return _vector(features.combined(_requests(s, d), online, _metrics(s, d), both_known=True))
+    return _vector(features.combined(_requests(s, d), *_live(s, d), both_known=True))
 
 
-@query("SELECT count(*) AS requests, round(avg(CAST(online_available AS INT)), 6) AS online_hit_rate, round(avg(CAST(offline_available AS INT)), 6) AS offline_hit_rate FROM (" + _match("live") + ")", "live", "stop_metrics", "stops")
+@query("SELECT count(*) AS requests, round(avg(CAST(online_available AS INT)), 6) AS online_hit_rate, round(avg(CAST(offline_available AS INT)), 6) AS offline_hit_rate FROM (" + _match("live") + ")", "live", "history")
 def feature_hit_rates(s, d):
-    both = features.combined(_requests(s, d), features.online_latest(_enriched(s, d)), _metrics(s, d))
+    both = features.combined(_requests(s, d), *_live(s, d))
     return r6(features.hit_rates(both), "online_hit_rate", "offline_hit_rate")
 
 
@@ -548,7 +568,7 @@ def prediction_latency(s, d):
 @query("SELECT stop_id, line_id, CAST(hour_of_day AS INT) AS hour_of_day, CAST(day_of_week AS INT) AS day_of_week, historical_arrival_count, round(historical_avg_delay, 6) AS historical_avg_delay, round(avg_dwell_time_ms, 6) AS avg_dwell_time_ms FROM perf JOIN (SELECT stop_id FROM dim_stops) USING (stop_id)", "perf", "dim_stops")
 def training_set(s, d):
     """The columns of the stop mart that a model is trained on."""
-    mart = warehouse.mart_stop_arrivals(_perf(s, d), _dim_stops(s, d), _dim_lines(s, d))
+    mart = _mart(s, d)
     return r6(ml.training_set(mart), "historical_avg_delay", "avg_dwell_time_ms")
 
 

@@ -33,3 +33,20 @@ def test_delay_model_is_the_whole_model(spark, monkeypatch):
     gbt = model.stages[-1]
     assert (gbt.getNumTrees, gbt.getMaxDepth(), gbt.getStepSize()) == (100, 6, 0.1)
     assert used == list(ml.FEATURES) and gbt.numFeatures == len(ml.FEATURES)
+
+
+def test_history_is_the_stop_marts(spark):
+    """Hour and day of requests are the mart's; the gold table's (local hour, Sunday 1) would shift both."""
+    mart = q._mart(spark, SF)
+    rows = {(r.stop_id, r.line_id, r.hour_of_day, r.day_of_week): r for r in features.history(mart).collect()}
+    assert len(rows) == mart.select("stop_id", "line_id", "hour_of_day", "day_of_week").distinct().count() and {k[3] for k in rows} <= set(range(7))
+    last = {}
+    for r in mart.collect():
+        k = (r.stop_id, r.line_id, r.hour_of_day, r.day_of_week)
+        last[k] = max(last.get(k, ()), (r.event_date, r.kafka_partition, r.kafka_offset, r.historical_arrival_count))
+    assert all(rows[k].historical_arrival_count == v[3] for k, v in last.items())
+    found = q.offline_best_match(spark, SF)
+    assert found.where("historical_stddev_delay > 0").count() > 100
+    exact = found.where("h_hour is not null").join(q._requests(spark, SF), "request_id").where("stop_id is not null and line_id is not null and hour_of_day is not null and day_of_week is not null").collect()
+    assert all((r.h_hour, r.h_dow) == (r.hour_of_day, r.day_of_week) for r in exact if (r.stop_id, r.line_id, r.hour_of_day, r.day_of_week) in rows)
+    assert q.feature_vector(spark, SF).where("historical_stddev_delay > 0").count() > 100
