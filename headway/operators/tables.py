@@ -101,6 +101,26 @@ def folders(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()] if fs.exists(p) else []
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the versions that were written to the end."""
+    return sorted(int(v.removeprefix("v=")) for v in folders(spark, path) if v.startswith("v=") and exists(spark, f"{path}/{v}/_SUCCESS"))
+
+
+def current(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest whole version of a table that is replaced as a whole."""
+    done = _versions(spark, path)
+    return spark.read.parquet(f"{path}/v={done[-1]}") if done else None
+
+
+def replace(spark: SparkSession, df: DataFrame, path: str, keep: int = 2) -> None:
+    """df, which may be made from the current version, as the next one; a crash leaves the current version what it was."""
+    done = _versions(spark, path)
+    now = done[-1] + 1 if done else 0
+    overwrite(df, f"{path}/v={now}", partitioned=False)
+    for v in done[: -keep + 1 or None]:
+        drop(spark, f"{path}/v={v}")
+
+
 def apply_retention(spark: SparkSession, path: str, days: int, base_date: str) -> list[str]:
     """Drops the expired partitions' folders; returns their dates."""
     table = read(spark, path)

@@ -12,23 +12,63 @@ LAYERS = {"bronze": ["enriched", "stop_events"], "silver": ["enriched", "stop_ev
 DRIFT = ["delay_seconds", "speed_ms", "distance_since_last_m"]
 
 
+def _upto(df: DataFrame, date: str) -> DataFrame:
+    return df.where(F.col("date") <= F.lit(date).cast("date"))
+
+
+def update_journeys(spark: SparkSession, root: str, stg: DataFrame, date: str) -> list[str]:
+    """Adds a date's rows to the journeys, and rewrites the days that they touch in journeys and daily mart; returns these days.
+
+    A date's sums are kept; a journey whose rows lie in several dates is the sum of theirs.
+    """
+    day, path = F.lit(date).cast("date"), f"{root}/marts/journey_states"
+    tables.overwrite(warehouse.journey_states(stg).withColumn("date", day), path)
+    states = table_on(spark, path)
+    own = states.where(F.col("date") == day)
+    span = own.agg(F.min("ingestion_time").alias("a"), F.max("ingestion_time").alias("b")).first()
+    keys = ["vehicle_id", "ingestion_time", "line_id", "operator_id"]
+    near = states.where((F.col("date") != day) & F.col("ingestion_time").between(F.lit(span.a), F.lit(span.b)))
+    same = own.select(*keys, F.lit(True).alias("_own"))
+    others = near.join(same, [near[k].eqNullSafe(same[k]) for k in keys], "left_semi")
+    new = warehouse.journeys_of(warehouse.added_journeys(own.unionByName(others).drop("date"))).withColumn("date", F.col("journey_date"))
+    days = sorted(str(r.d) for r in new.select(F.col("date").alias("d")).union(others.select(F.to_date("start_time"))).distinct().collect())  # days of one date's journeys
+    old = tables.read(spark, f"{root}/marts/journeys")
+    if old is not None:
+        kept = old.where(F.col("date").isin(*[F.lit(d).cast("date") for d in days])).join(new.select("journey_id"), "journey_id", "left_anti")
+        new = new.unionByName(kept)
+    tables.overwrite(new, f"{root}/marts/journeys")
+    changed = table_on(spark, f"{root}/marts/journeys").where(F.col("date").isin(*[F.lit(d).cast("date") for d in days]))
+    tables.overwrite(lakehouse.for_gold(warehouse.mart_daily_performance(changed)).withColumn("date", F.col("metric_date")), f"{root}/marts/daily_performance")
+    return days
+
+
+def update_stops(spark: SparkSession, root: str, stg: DataFrame, date: str) -> None:
+    """A date's stop performance and arrivals, with history up to that date; only the date's events are read.
+
+    History is kept as sums by stop, line, event date and hour, and by stop for the places of stops that nobody has mapped.
+    """
+    day, stopped = F.lit(date).cast("date"), warehouse.stopped_events(stg)
+    tables.overwrite(warehouse.stop_states(stopped).withColumn("date", day), f"{root}/marts/stop_states")
+    tables.overwrite(warehouse.place_states(stg).withColumn("date", day), f"{root}/marts/stop_places")
+    kept = lambda name: _upto(table_on(spark, f"{root}/{name}"), date)
+    perf = warehouse.with_history(stopped, kept("marts/stop_states"), warehouse.stg_stop_metrics(kept("gold/stop_performance")))
+    tables.overwrite(perf.withColumn("date", day), f"{root}/marts/stop_performance")
+    snapshot = lambda name: tables.current(spark, f"{root}/snapshots/{name}")
+    dims = warehouse.dim_stops(snapshot("stops"), kept("marts/stop_places")), warehouse.dim_lines(snapshot("lines"))
+    mart = warehouse.mart_stop_arrivals(table_on(spark, f"{root}/marts/stop_performance", date), *dims)
+    tables.overwrite(mart.withColumn("date", day), f"{root}/marts/stop_arrivals")
+
+
 def _marts(spark: SparkSession, root: str, date: str, stops: DataFrame, lines: DataFrame) -> None:
-    """Snapshots of the dimensions, and both marts; the stop mart's key has to be unique."""
+    """Snapshots of the dimensions, and both marts' partitions of a date; the stop mart's key has to be unique."""
     for name, rows, key, checked in (("stops", stops, "stop_id", ["stop_name", "stop_lat", "stop_lon", "zone_id", "stop_code"]), ("lines", lines, "line_id", ["line_name", "line_type", "operator_name"])):
         path = f"{root}/snapshots/{name}"
-        versions = warehouse.snapshot(tables.read(spark, f"{path}/now"), rows, key, checked, date)
-        tables.overwrite(versions, f"{path}/next", partitioned=False)  # a table can't be read and overwritten at once
-        tables.overwrite(spark.read.parquet(f"{path}/next"), f"{path}/now", partitioned=False)
-    stg = warehouse.stg_enriched(table_on(spark, f"{root}/warehouse/enriched"))
-    tables.overwrite(stg, f"{root}/staging/enriched")
-    stg = table_on(spark, f"{root}/staging/enriched")
-    tables.overwrite(lakehouse.for_gold(warehouse.mart_daily_performance(warehouse.journeys(stg))), f"{root}/marts/daily_performance", partitioned=False)
-    perf = warehouse.stop_performance(stg, warehouse.stg_stop_metrics(table_on(spark, f"{root}/gold/stop_performance")))
-    tables.overwrite(perf.drop("date"), f"{root}/marts/stop_performance", partitioned=False)
-    snapshot = lambda name: spark.read.parquet(f"{root}/snapshots/{name}/now")
-    mart = warehouse.mart_stop_arrivals(spark.read.parquet(f"{root}/marts/stop_performance"), warehouse.dim_stops(snapshot("stops"), stg), warehouse.dim_lines(snapshot("lines")))
-    tables.overwrite(mart, f"{root}/marts/stop_arrivals", partitioned=False)
-    monitor.enforce(monitor.duplicates(spark.read.parquet(f"{root}/marts/stop_arrivals"), ["feature_id"]), "stop_arrivals_key", store=f"{root}/checks")
+        tables.replace(spark, warehouse.snapshot(tables.current(spark, path), rows, key, checked, date), path)
+    tables.overwrite(warehouse.stg_enriched(table_on(spark, f"{root}/warehouse/enriched", date)), f"{root}/staging/enriched")
+    stg = table_on(spark, f"{root}/staging/enriched", date)
+    update_journeys(spark, root, stg, date)
+    update_stops(spark, root, stg, date)
+    monitor.enforce(monitor.duplicates(table_on(spark, f"{root}/marts/stop_arrivals", date), ["feature_id"]), "stop_arrivals_key", store=f"{root}/checks")
 
 
 def run(spark: SparkSession, root: str, date: str, stops: DataFrame, lines: DataFrame, trees: int = 100, dry_run: bool = True) -> DataFrame:

@@ -31,12 +31,13 @@ def test_daily_run_twice(spark):
     enriched = enrich.enrich(src.telemetry(spark, SF)).withColumn("timestamp", F.lit(None).cast("string"))
     tables.append(enriched, f"{root}/bronze/enriched")
     tables.append(enrich.arrivals(enriched), f"{root}/bronze/stop_events")
-    names = ["silver/enriched", "silver/stop_events", "gold/daily_metrics", "gold/hourly_metrics", "gold/stop_performance", "gold/stops", "gold/lines", "marts/daily_performance", "marts/stop_arrivals", "warehouse/enriched", "snapshots/stops/now"]
+    names = ["silver/enriched", "silver/stop_events", "gold/daily_metrics", "gold/hourly_metrics", "gold/stop_performance", "gold/stops", "gold/lines", "marts/daily_performance", "marts/stop_arrivals", "warehouse/enriched", "marts/journeys", "marts/stop_performance"]
     seen = []
     for _ in range(2):
         decision = daily.run(spark, root, date, src.stops(spark, SF), src.lines(spark)).first()
         assert decision.action in ("skip", "log only")
         seen.append({n: rows_of(spark.read.parquet(f"{root}/{n}")) for n in names})
+        seen[-1]["stops"] = rows_of(tables.current(spark, f"{root}/snapshots/stops"))
     assert seen[0] == seen[1] and all(seen[0].values())
     assert spark.read.parquet(f"{root}/audit/reconciliation").where(F.col("date") == date).count() == 2
     assert len(list(local(f"{root}/silver/enriched/date={date}").glob("*.parquet"))) == 1  # compacted
@@ -255,3 +256,80 @@ def test_drift_falls_back_to_a_sample(spark):
 def test_training_set_needs_rows(spark):
     with pytest.raises(ml.BadTrainingData):
         ml.training_set(spark.createDataFrame([], ", ".join(f"{c} string" for c in ml.TRAINING)))
+
+
+def bronze(spark, root, rows):
+    tables.append(rows.withColumn("timestamp", F.lit(None).cast("string")), f"{root}/bronze/enriched")
+    tables.append(enrich.arrivals(rows), f"{root}/bronze/stop_events")
+
+
+def test_marts_by_day_are_the_full_runs(spark):
+    """Three days one by one, the second again: the rows of a full run up to each date, from that date's events alone."""
+    root, days = scratch(spark), ["2024-01-02", "2024-01-03", "2024-01-04"]
+    rows = enrich.enrich(src.telemetry(spark, SF)).where(F.col("date").isin(days))
+    # journeys that start before midnight and go on after it
+    rows = rows.withColumns({"ingestion_time": F.when(F.hour("kafka_timestamp").isin(22, 23), F.date_trunc("day", "kafka_timestamp")).when(F.hour("kafka_timestamp") < 2, F.date_trunc("day", F.date_sub(F.to_date("kafka_timestamp"), 1).cast("timestamp"))).otherwise(F.col("ingestion_time")), "vehicle_id": F.concat(F.lit("v"), (F.col("kafka_offset") % 3).cast("string")), "line_id": F.lit("view"), "operator_id": F.lit(1), "latitude": F.lit(60.1), "longitude": F.lit(24.9)})
+    bronze(spark, root, rows)
+    stops, lines = src.stops(spark, SF), src.lines(spark)
+    for date in (*days, days[1]):
+        daily.run(spark, root, date, stops, lines)
+    stg = spark.read.parquet(f"{root}/staging/enriched")
+    at = lambda df, d: df.where(F.col("date") == F.lit(d).cast("date"))
+    places = lambda df: rows_of(df.select(*[F.round(c, 6).alias(c) if t in ("double", "float") else c for c, t in sorted(df.dtypes)]))
+    assert stg.count() > 30
+    full = warehouse.journeys(stg)
+    assert places(lakehouse.for_gold(warehouse.mart_daily_performance(full))) == places(spark.read.parquet(f"{root}/marts/daily_performance").drop("date"))
+    both = full.where(F.to_date("start_time") != F.to_date("end_time")).count()
+    assert both > 0 and full.count() == spark.read.parquet(f"{root}/marts/journeys").count()
+    for d in days:
+        until = stg.where(F.col("date") <= F.lit(d).cast("date"))
+        metrics = warehouse.stg_stop_metrics(spark.read.parquet(f"{root}/gold/stop_performance").where(F.col("date") <= F.lit(d).cast("date")))
+        want = at(warehouse.stop_performance(until, metrics), d)
+        got = at(spark.read.parquet(f"{root}/marts/stop_performance"), d)
+        assert places(want.drop("loaded_at")) == places(got) and got.count() > 0
+        dims = warehouse.dim_stops(tables.current(spark, f"{root}/snapshots/stops"), until), warehouse.dim_lines(tables.current(spark, f"{root}/snapshots/lines"))
+        assert places(warehouse.mart_stop_arrivals(want, *dims)) == places(at(spark.read.parquet(f"{root}/marts/stop_arrivals"), d).drop("date"))
+
+
+def test_a_days_marts_read_one_date_of_events(spark, monkeypatch):
+    root, days = scratch(spark), ["2024-01-02", "2024-01-03"]
+    bronze(spark, root, enrich.enrich(src.telemetry(spark, SF)).where(F.col("date").isin(days)))
+    scans, overwrite = [], tables.overwrite
+    events = ("warehouse/enriched", "staging/enriched", "bronze/enriched", "silver/enriched", "marts/stop_performance")
+
+    def seen(df, path, partitioned=True):
+        plan = df._jdf.queryExecution().explainString(df._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        parts = [p for p in plan.split("\n\n") if "Location:" in p]
+        scans.extend((path.removeprefix(root), p) for p in parts if any(f"{root.removeprefix('file:')}/{t}" in p.replace("file:", "") for t in events))
+        overwrite(df, path, partitioned)
+
+    monkeypatch.setattr(tables, "overwrite", seen)
+    for date in days:
+        scans.clear()
+        daily.run(spark, root, date, src.stops(spark, SF), src.lines(spark))
+    assert {"/marts/stop_performance", "/marts/stop_arrivals", "/marts/journey_states"} <= {p for p, _ in scans}
+    assert all(f"= {days[1]})" in next(line for line in scan.split("\n") if line.startswith("PartitionFilters")) for _, scan in scans)
+
+
+def test_a_crash_leaves_the_snapshot(spark, monkeypatch):
+    path, overwrite = scratch(spark), tables.overwrite
+    step = lambda names, now: tables.replace(spark, warehouse.snapshot(tables.current(spark, path), spark.createDataFrame(list(names.items()), "id string, name string"), "id", ["name"], now), path)
+    step({"a": "x", "b": "y"}, "2026-01-01")
+    before = rows_of(tables.current(spark, path))
+
+    def breaks(df, path, partitioned=True):
+        overwrite(df.limit(1), path, partitioned)
+        tables.drop(spark, f"{path}/_SUCCESS")  # lost in the middle of the write
+        raise OSError("lost")
+
+    monkeypatch.setattr(tables, "overwrite", breaks)
+    with pytest.raises(OSError, match="lost"):
+        step({"a": "z"}, "2026-01-02")
+    monkeypatch.setattr(tables, "overwrite", overwrite)
+    assert rows_of(tables.current(spark, path)) == before
+    step({"a": "z"}, "2026-01-02")
+    now = tables.current(spark, path)
+    assert now.count() == 3 and now.where("valid_to is null").collect()[0].name == "z" and now.where("id = 'b'").first().valid_to
+    for day in range(3, 7):
+        step({"a": "z"}, f"2026-01-0{day}")
+    assert tables.current(spark, path).count() == 3 and len(tables.folders(spark, path)) == 2
