@@ -70,6 +70,7 @@ def test_maintenance_matrix(spark):
     assert done["warehouse/t"] == {"retention": []} and done["gold/none"] == {"retention": [], "compaction": []}
     assert tables.maintain(spark, root, "2026-01-27", layers, only=("compaction",))["warehouse/t"] == {}
     assert len(list(local(f"{root}/gold/t/date=2026-01-27").glob("*.parquet"))) == 1
+    assert tables.maintain(spark, root, "2026-01-27", layers)["gold/t"] == {"retention": [], "compaction": []}  # nothing is left to do
     assert spark.read.parquet(f"{root}/bronze/t").count() == 8
 
 
