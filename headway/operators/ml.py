@@ -6,12 +6,14 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.pipeline import Pipeline
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from headway.config import DEFAULT, Config
+from headway.operators.tables import exists
 
+#: Our own choice of what the delay model sees.
 FEATURES = ("latitude", "longitude", "hour_of_day", "day_of_week", "historical_avg_delay", "avg_dwell_time_ms", "historical_arrival_count", "delay_trend", "speed_ms")
 
 
@@ -90,6 +92,45 @@ def score(model: PipelineModel | float | None, rows: DataFrame, features: list[s
     return model.transform(full).withColumn("prediction", F.round("prediction", 1)).drop("features")
 
 
+def save(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load(spark: SparkSession, path: str) -> PipelineModel | None:
+    """A saved pipeline; None if there is none, as before the first training."""
+    return PipelineModel.load(path) if exists(spark, f"{path}/metadata") else None
+
+
+def _predicting(model: PipelineModel | None, rows: DataFrame, name: str) -> DataFrame:
+    """rows with a model's prediction, to one decimal; columns that the pipeline makes inside go again.
+
+    Missing features are 0; a row that the model can't predict (a feature that is no finite number, or no model at all) has 0.0.
+    """
+    if model is None:
+        return rows.withColumn(name, F.lit(0.0))
+    features, made = model.stages[0].getInputCols(), model.stages[-1].getPredictionCol()
+    value = {f: F.coalesce(F.col(f"_row.{f}").cast("double") if f in rows.columns else F.lit(None).cast("double"), F.lit(0.0)) for f in features}
+    finite = lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))
+    fine = F.forall(F.array(*value.values()), finite)
+    held = rows.select(F.struct("*").alias("_row")).select("_row", fine.alias("_fine"), *[F.when(finite(x), x).otherwise(F.lit(0.0)).alias(f) for f, x in value.items()])
+    found = F.when(F.col("_fine") & finite(F.col(made)), F.round(made, 1)).otherwise(F.lit(0.0))
+    return model.transform(held).select("_row.*", F.coalesce(found, F.lit(0.0)).alias(name))
+
+
+def score_two(rows: DataFrame, production: PipelineModel | None, candidate: PipelineModel | None, c: Config = DEFAULT) -> DataFrame:
+    """Both models' predictions (``prod``, ``shadow``) of every row in one pass, and how far they agree."""
+    return shadow(_predicting(candidate, _predicting(production, rows, "prod"), "shadow"), c=c)
+
+
+def compared(scored: DataFrame, predictions: dict[str, Column], label: str = "label") -> DataFrame:
+    """(model, mae, rmse, r2, passed) of several predictions of the same rows against the gate, in one pass."""
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), p.cast("double").alias("prediction")) for n, p in predictions.items()]))
+    rows = scored.select(F.col(label).alias("_y"), each.alias("m")).select("_y", "m.*")
+    y, p = F.col("_y"), F.col("prediction")
+    sse, sst = F.sum((y - p) * (y - p)), F.sum(y * y) - F.sum(y) * F.sum(y) / F.count(y)
+    return gate(rows.groupBy("model").agg(F.avg(F.abs(y - p)).alias("mae"), F.sqrt(F.avg((y - p) * (y - p))).alias("rmse"), (1 - F.try_divide(sse, sst)).alias("r2")))
+
+
 def shadow(rows: DataFrame, prod: str = "prod", other: str = "shadow", c: Config = DEFAULT) -> DataFrame:
     """Differences of two models' predictions; a failed one counts as 0."""
     diff = F.abs(F.coalesce(prod, F.lit(0.0)) - F.coalesce(other, F.lit(0.0)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +25,29 @@ def reconcile(stream: DataFrame, batch: DataFrame, name: str, date: str, c: Conf
     return counts.select(F.lit(date).cast("date").alias("date"), F.lit(name).alias("table_name"), "stream_count", "batch_count", diff.alias("difference"), pct.alias("diff_percentage"), (pct <= c.reconcile_pct).alias("passed"), F.lit(c.reconcile_pct).alias("threshold_pct"))
 
 
+def reconcile_hours(stream: DataFrame, batch: DataFrame, c: Config = DEFAULT) -> DataFrame:
+    """Mean delays of two tables by date, line and UTC hour, their difference in per cent of the stream's, and the verdict.
+
+    ``stream`` has event_time_ms, ``batch`` timestamp; an hour that only one of them has differs by 100 %.
+    """
+    keys = ["check_date", "line_id", "hour_of_day"]
+
+    def means(df: DataFrame, ts: Column, name: str) -> DataFrame:
+        return df.groupBy(F.to_date(ts).alias("check_date"), "line_id", F.hour(ts).alias("hour_of_day")).agg(F.avg("delay_seconds").alias(name))
+
+    a, b = means(stream, F.timestamp_millis("event_time_ms"), "stream_avg_delay"), means(batch, F.col("timestamp"), "batch_avg_delay")
+    s, t = F.col("stream_avg_delay"), F.col("batch_avg_delay")
+    pct = F.when(s == t, 0.0).otherwise(F.coalesce(F.try_divide(F.abs(s - t) * 100.0, F.abs(s)), F.lit(100.0)))
+    return a.join(b, keys, "full").withColumn("difference_pct", pct).withColumn("passed", F.round("difference_pct", 9) <= c.reconcile_pct)
+
+
+def fleet_metrics(rows: DataFrame, ts: str = "kafka_timestamp", width: str = "1 hour", c: Config = DEFAULT) -> DataFrame:
+    """Vehicles and delays of each line and window."""
+    x = F.col("delay_seconds")
+    sums = rows.groupBy(F.window(ts, width).alias("w"), "line_id").agg(F.count_distinct("vehicle_id").alias("active_vehicles"), F.avg(x).alias("avg_delay"), F.max(x).alias("max_delay"), F.count_if(x <= c.on_time_seconds).alias("on_time_count"), F.count_if(x > c.on_time_seconds).alias("delayed_count"))
+    return sums.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "*").drop("w")
+
+
 def audit(df: DataFrame, path: str) -> None:
     df.withColumn("checked_at", F.current_timestamp()).write.mode("append").parquet(path)
 
@@ -141,6 +165,54 @@ def latency_windows(rows: DataFrame, ts: str, column: str, width: str = "1 minut
     return q.select(F.col("w.start").alias("window_start"), F.col("q")[0].alias("p50"), F.col("q")[1].alias("p99"), "n", (F.col("n") * 1e6 / seconds).alias("per_second"))
 
 
+def bucket_states(rows: DataFrame, column: str, bounds: list[float], *by) -> DataFrame:
+    """Counts of a column's values between bounds, and their number, of each group: states of fixed size that can be added up.
+
+    ``by`` are columns or windows; works on streams.  NaN and null aren't counted.
+    """
+    x = F.col(column).cast("double")
+    edges = [float("-inf"), *sorted(float(b) for b in bounds), float("inf")]
+    known = x.isNotNull() & ~F.isnan(x)
+    counts = [F.count_if(known & (x > lo) & (x <= hi)) if hi < float("inf") else F.count_if(known & (x > lo)) for lo, hi in zip(edges, edges[1:])]
+    counts[0] = F.count_if(known & (x <= edges[1]))
+    return rows.groupBy(*by).agg(F.array(*counts).alias("counts"), F.count_if(known).alias("n"))
+
+
+def added_states(states: DataFrame, *by) -> DataFrame:
+    """Sums of states, so that minutes make hours."""
+    parts = states.select(*by, "n", F.posexplode("counts").alias("i", "c")).groupBy(*by, "i").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+    return parts.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda p: p["c"]).alias("counts"), F.first("n").alias("n"))  # one entry a bucket
+
+
+def state_quantiles(states: DataFrame, bounds: list[float], shares: dict[str, float]) -> DataFrame:
+    """Quantiles of states by linear interpolation inside the bucket that holds the rank share * n.
+
+    The lowest bucket begins at 0 (or, if its bound isn't positive, is taken as its bound); in the highest one the largest bound stands for all.
+    Null without values.  The error is at most the width of the bucket.
+    """
+    edges = sorted(float(b) for b in bounds)
+    lows = F.array(*[F.lit(x) for x in (min(0.0, edges[0]), *edges)])
+    highs = F.array(*[F.lit(x) for x in (*edges, edges[-1])])
+    upto = F.transform(F.col("counts"), lambda _, i: F.aggregate(F.slice(F.col("counts"), 1, i + 1), F.lit(0).cast("long"), lambda a, c: a + c))
+    rows = states.withColumn("_upto", upto)
+
+    def value(share: float) -> Column:
+        rank = F.col("n") * F.lit(float(share))
+        i = F.size(F.filter("_upto", lambda u: u < rank))
+        i = F.least(i, F.size("_upto") - 1)
+        low, high, count = F.get(lows, i), F.get(highs, i), F.get(F.col("counts"), i)
+        inside = F.coalesce(F.try_divide(rank - (F.get(F.col("_upto"), i) - count), count), F.lit(0.0))
+        return F.when(F.col("n") > 0, low + (high - low) * inside)
+
+    return rows.withColumns({name: value(s) for name, s in shares.items()}).drop("_upto")
+
+
+def quantile_stream(rows: DataFrame, ts: str, column: str, bounds: list[float], width: str = "1 minute", delay: str = "10 seconds") -> DataFrame:
+    """Bucket states of each window of a stream, out when the watermark has passed it: state is one row of counts a window."""
+    states = bucket_states(rows.withWatermark(ts, delay), column, bounds, F.window(ts, width).alias("w"))
+    return states.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "counts", "n")
+
+
 def windowed(rows: DataFrame, ts: str, width: str, *aggs, slide: str | None = None) -> DataFrame:
     """Aggregates by tumbling or sliding window; works on streams too."""
     w = F.window(ts, width, slide) if slide else F.window(ts, width)
@@ -197,6 +269,89 @@ def contract_errors(df: DataFrame, contract: dict[str, str]) -> list[str]:
     return sorted(f"{c}: {have.get(c)} is not {t}" for c, t in contract.items() if have.get(c) != t) + sorted(f"{c}: not in the contract" for c in have.keys() - contract.keys())
 
 
+@dataclass(frozen=True)
+class Check:
+    """A declared check of a table: ``kind`` with its columns, and whether it only warns.
+
+    Kinds: ``not_null``, ``accepted`` (``values``), ``between`` (``values`` low and high), ``unique`` (one column or several),
+    ``related`` (``values``: the name of the other table and its key).  Except for ``not_null`` null passes.
+    """
+
+    name: str
+    kind: str
+    columns: tuple[str, ...]
+    values: tuple = ()
+    level: str = "error"
+
+
+def _failing(check: Check) -> Column:
+    """Whether a row fails a check that looks at the row alone."""
+    x = F.col(check.columns[0])
+    if check.kind == "not_null":
+        return x.isNull()
+    inside = x.isin(*check.values) if check.kind == "accepted" else x.between(*check.values)
+    return F.coalesce(~inside, F.lit(False))
+
+
+def quality(df: DataFrame, checks: list[Check], parents: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(name, level, failures) of all checks of a table.
+
+    All checks of rows are one aggregation over one scan; each key that has to be unique and each related table is one
+    more, grouped by key first, so that a frequent key doesn't matter.  ``related`` failures are counted in rows of df.
+    """
+    alone = [c for c in checks if c.kind in ("not_null", "accepted", "between")]
+    parts = []
+    if alone:
+        counts = df.agg(*[F.count_if(_failing(c)).alias(f"c{i}") for i, c in enumerate(alone)])
+        parts.append(counts.select(F.explode(F.array(*[F.struct(F.lit(c.name).alias("name"), F.lit(c.level).alias("level"), F.col(f"c{i}").alias("failures")) for i, c in enumerate(alone)])).alias("r")).select("r.*"))
+    for c in checks:
+        if c.kind == "unique":
+            failures = duplicates(df.dropna(subset=list(c.columns)), list(c.columns)).agg(F.count("*").alias("failures"))
+        elif c.kind == "related":
+            held = parents[c.values[0]].select(F.col(c.values[1]).alias(c.columns[0])).distinct()
+            keys = df.where(F.col(c.columns[0]).isNotNull()).groupBy(c.columns[0]).agg(F.count("*").alias("n"))
+            failures = keys.join(held, c.columns[0], "left_anti").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("failures"))
+        else:
+            continue
+        parts.append(failures.select(F.lit(c.name).alias("name"), F.lit(c.level).alias("level"), "failures"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def failing_rows(df: DataFrame, checks: list[Check], parents: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The rows that fail, once for each check that they fail, with its name and level; rows of a repeated key all fail.
+
+    Checks of rows are one scan: a row is listed with all that it fails.
+    """
+    alone = [c for c in checks if c.kind in ("not_null", "accepted", "between")]
+    own = [F.col(c) for c in df.columns]
+    parts = []
+    if alone:
+        failed = F.filter(F.array(*[F.when(_failing(c), F.struct(F.lit(c.name).alias("check"), F.lit(c.level).alias("level"))) for c in alone]), lambda r: r.isNotNull())
+        parts.append(df.select(F.explode(failed).alias("_r"), *own).select("_r.check", "_r.level", *own))
+    for c in checks:
+        if c.kind == "unique":
+            rows = df.join(duplicates(df.dropna(subset=list(c.columns)), list(c.columns)).drop("count"), list(c.columns), "left_semi")
+        elif c.kind == "related":
+            rows = df.where(F.col(c.columns[0]).isNotNull()).join(parents[c.values[0]].select(F.col(c.values[1]).alias(c.columns[0])), c.columns[0], "left_anti")
+        else:
+            continue
+        parts.append(rows.select(F.lit(c.name).alias("check"), F.lit(c.level).alias("level"), *own))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def enforce_all(df: DataFrame, checks: list[Check], store: str, parents: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Counts all checks, keeps the failing rows of those that failed by check and level at ``store``, and raises if one of them is an error."""
+    counts = quality(df, checks, parents)
+    found = {r.name: r for r in counts.collect() if r.failures}  # one row a check
+    failed = [c for c in checks if c.name in found]
+    if failed:
+        failing_rows(df, failed, parents).write.mode("overwrite").partitionBy("level", "check").parquet(store)
+    errors = [f"{c.name}: {found[c.name].failures} rows" for c in failed if c.level == "error"]
+    if errors:
+        raise CheckFailed("; ".join(errors))
+    return counts
+
+
 class CheckFailed(Exception):
     """A data-quality check of severity error found rows."""
 

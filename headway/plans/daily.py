@@ -103,14 +103,20 @@ def run(spark: SparkSession, root: str, date: str, stops: DataFrame, lines: Data
 
 
 def retrain(spark: SparkSession, root: str, trees: int = 100) -> DataFrame | None:
-    """Trains on four fifths of the stop mart's events, keeps model and gated metrics; None with too few arrivals."""
+    """Trains on four fifths of the stop mart's events and keeps the model if it passes the gate; None with too few arrivals.
+
+    The model that is in use scores the same held-out rows in the same pass; both stand beside the training rows' mean.
+    """
     rows, used = ml.prepare(spark.read.parquet(f"{root}/marts/stop_performance").withColumn("target", F.col("delay_seconds")), "target")
     if not ml.mature(rows):
         return None
     fit, test = ml.split(rows)
     model = ml.train(fit, used, trees)
-    model.write().overwrite().save(f"{root}/models/delay")
+    ml.save(model, f"{root}/models/candidate")
     ml.importances(spark, model, used).write.mode("overwrite").json(f"{root}/models/importances")
-    found = ml.gate(ml.metrics(ml.score(model, test, used)))
+    scored = ml.score_two(test, ml.load(spark, f"{root}/models/delay"), ml.load(spark, f"{root}/models/candidate"))
+    found = ml.compared(scored, {"production": F.col("prod"), "candidate": F.col("shadow"), "mean": F.lit(ml.mean_predictor(fit))})
     found.write.mode("overwrite").json(f"{root}/models/metrics")
+    if found.where("model = 'candidate' and passed").count():
+        ml.save(model, f"{root}/models/delay")
     return found

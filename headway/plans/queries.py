@@ -584,11 +584,28 @@ def regression_metrics(s, d):
 
 @query()
 def delay_model(s, d):
-    """Train on four fifths of the stop mart, score the rest; no SQL form."""
-    perf = _perf(s, d).withColumn("label_delay", F.col("delay_seconds"))
-    rows, used = ml.prepare(perf, "label_delay")
-    fit, test = ml.split(rows)
-    return ml.gate(ml.metrics(ml.score(ml.train(fit, used), test, used)))
+    """Train on four fifths of the stop mart, score the rest beside the mean of the training rows; no SQL form."""
+    fit, test, used = _delays(s, d)
+    scored = ml.score(ml.train(fit, used), test, used)
+    return ml.compared(scored, {"delay_model": F.col("prediction"), "mean": F.lit(ml.mean_predictor(fit))})
+
+
+def _delays(s, d):
+    path = scratch(s)
+    rows, used = ml.prepare(_perf(s, d).withColumn("label_delay", F.col("delay_seconds")), "label_delay")
+    rows.write.parquet(path)
+    return *ml.split(s.read.parquet(path)), used
+
+
+@query()
+def two_models(s, d):
+    """A saved model in use and a saved candidate score the held-out rows in one pass, beside the mean; no SQL form."""
+    (fit, test, used), root = _delays(s, d), scratch(s)
+    ml.save(ml.train(fit, used, trees=5, depth=3), f"{root}/production")
+    ml.save(ml.train(fit, used, trees=20, depth=5), f"{root}/candidate")
+    scored = ml.score_two(test, ml.load(s, f"{root}/production"), ml.load(s, f"{root}/candidate"))
+    agreed = scored.agg(F.avg(F.col("agreed").cast("double")).alias("agreement_rate"), F.count_if("divergent").alias("divergent"))
+    return ml.compared(scored, {"production": F.col("prod"), "candidate": F.col("shadow"), "mean": F.lit(ml.mean_predictor(fit))}).join(agreed, F.lit(True))  # one row
 
 
 @query("SELECT 'latitude' AS column, count(*) FILTER (latitude IS NULL) AS failures FROM telemetry UNION ALL SELECT 'next_stop_id', count(*) FILTER (next_stop_id IS NULL) FROM telemetry UNION ALL SELECT 'vehicle_id', count(*) FILTER (vehicle_id IS NULL) FROM telemetry", "telemetry")
@@ -606,6 +623,26 @@ def dq_accepted_values(s, d):
     return monitor.not_accepted(src.telemetry(s, d), "line_id", ["click", "view"]).groupBy("line_id").agg(F.count("*").alias("n"))
 
 
+_CHECKS = [
+    monitor.Check("position", "not_null", ("latitude",)), monitor.Check("stop", "not_null", ("next_stop_id",), level="warn"), monitor.Check("known_line", "accepted", ("line_id",), ("click", "view")),
+    monitor.Check("speed", "between", ("speed_ms",), (0, 15)), monitor.Check("event", "unique", ("vehicle_id", "event_time_ms")), monitor.Check("mapped_stop", "related", ("next_stop_id",), ("stops", "stop_id"), "warn"),
+]
+_FAILS = """SELECT kafka_offset, 'position' AS name, 'error' AS level FROM replayed WHERE latitude IS NULL UNION ALL SELECT kafka_offset, 'stop', 'warn' FROM replayed WHERE next_stop_id IS NULL UNION ALL SELECT kafka_offset, 'known_line', 'error' FROM replayed WHERE line_id NOT IN ('click', 'view')
+  UNION ALL SELECT kafka_offset, 'speed', 'error' FROM replayed WHERE speed_ms NOT BETWEEN 0 AND 15 UNION ALL SELECT kafka_offset, 'mapped_stop', 'warn' FROM replayed WHERE next_stop_id NOT IN (SELECT stop_id FROM stops)"""
+
+
+@query(f"SELECT n.name, n.level, coalesce(f.failures, 0) AS failures FROM (VALUES ('position', 'error'), ('stop', 'warn'), ('known_line', 'error'), ('speed', 'error'), ('event', 'error'), ('mapped_stop', 'warn')) AS n(name, level) LEFT JOIN (SELECT name, count(*) AS failures FROM ({_FAILS}) GROUP BY 1 UNION ALL SELECT 'event', count(*) FROM (SELECT 1 FROM replayed GROUP BY vehicle_id, event_time_ms HAVING count(*) > 1)) f ON f.name = n.name", "replayed", "stops")
+def dq_all_checks(s, d):
+    """A declared set of checks: those of rows in one scan."""
+    return monitor.quality(src.with_replays(src.telemetry(s, d)), _CHECKS, {"stops": src.stops(s, d)})
+
+
+@query(f"{_FAILS} UNION ALL SELECT kafka_offset, 'event', 'error' FROM replayed WHERE (vehicle_id, event_time_ms) IN (SELECT (vehicle_id, event_time_ms) FROM replayed GROUP BY vehicle_id, event_time_ms HAVING count(*) > 1)", "replayed", "stops")
+def dq_failing_rows(s, d):
+    rows = monitor.failing_rows(src.with_replays(src.telemetry(s, d)), _CHECKS, {"stops": src.stops(s, d)})
+    return rows.select("kafka_offset", F.col("check").alias("name"), "level")
+
+
 @query("SELECT next_stop_id AS stop_id, count(*) AS n FROM stg WHERE next_stop_id IS NOT NULL AND next_stop_id NOT IN (SELECT stop_id FROM stops) GROUP BY 1", "stg", "stops")
 def dq_relationships(s, d):
     child = _stg(s, d).withColumnRenamed("next_stop_id", "stop_id")
@@ -628,6 +665,22 @@ def latency_by_minute(s, d):
     return r6(monitor.latency_windows(rows, "ts", "latency_ms"), "p99", "per_second").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+_LATENCY = [5, 10, 25, 50, 100, 250]
+
+
+@query("""SELECT window_start, n, CASE WHEN n > 0 THEN round(low50 + (high50 - low50) * (r50 - b50) / c50, 6) END AS p50, CASE WHEN n > 0 THEN round(low99 + (high99 - low99) * (r99 - b99) / c99, 6) END AS p99 FROM (
+  SELECT window_start, n, r50, r99, arg_min(lo, i) FILTER (upto >= r50) AS low50, arg_min(hi, i) FILTER (upto >= r50) AS high50, arg_min(upto - c, i) FILTER (upto >= r50) AS b50, arg_min(c, i) FILTER (upto >= r50) AS c50, arg_min(lo, i) FILTER (upto >= r99) AS low99, arg_min(hi, i) FILTER (upto >= r99) AS high99, arg_min(upto - c, i) FILTER (upto >= r99) AS b99, arg_min(c, i) FILTER (upto >= r99) AS c99
+  FROM (SELECT window_start, i, lo, hi, c, sum(c) OVER (PARTITION BY window_start ORDER BY i) AS upto, n, n * 0.5::DOUBLE AS r50, n * 0.99::DOUBLE AS r99 FROM (
+    SELECT window_start, i, any_value(b.lo) AS lo, any_value(b.hi) AS hi, count(*) FILTER (value > CASE WHEN i = 0 THEN -1e300 ELSE b.lo END AND value <= CASE WHEN i = 6 THEN 1e300 ELSE b.hi END) AS c, count(*) AS n
+    FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, value FROM events) e, (VALUES (0, 0.0::DOUBLE, 5.0::DOUBLE), (1, 5, 10), (2, 10, 25), (3, 25, 50), (4, 50, 100), (5, 100, 250), (6, 250, 250)) AS b(i, lo, hi) GROUP BY 1, 2)) GROUP BY 1, 2, 3, 4)""")
+def latency_quantiles(s, d):
+    """Quantiles of hours from the bucket counts of their minutes."""
+    rows = src.table(s, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("latency_ms"))
+    minutes = monitor.bucket_states(rows, "latency_ms", _LATENCY, F.window("ts", "1 minute").alias("w"))
+    hours = monitor.added_states(minutes.withColumn("window_start", F.date_trunc("hour", F.col("w.start"))), "window_start")
+    return r6(monitor.state_quantiles(hours, _LATENCY, {"p50": 0.5, "p99": 0.99}).drop("counts"), "p50", "p99").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
 @query("SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, round(avg(abs(value - user_id % 150)), 6) AS mean_divergence FROM events GROUP BY 1")
 def shadow_divergence(s, d):
     """Mean difference of two models' predictions in each window of five minutes."""
@@ -674,17 +727,16 @@ def partition_presence(s, d):
     return monitor.presence({"silver": _silver(s, d), "stop_events": _stop_events(s, d)}, "2024-01-03")
 
 
-@query("""SELECT window_start, line_id, count(DISTINCT vehicle_id) AS active_vehicles, round(avg(delay_seconds), 6) AS avg_delay, max(delay_seconds) AS max_delay, count(*) FILTER (delay_seconds <= 60) AS on_time_count, count(*) FILTER (delay_seconds > 60) AS delayed_count FROM (SELECT *, time_bucket(INTERVAL 1 HOUR, kafka_timestamp) AS window_start FROM telemetry) GROUP BY 1, 2""", "telemetry")
+@query("""SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, line_id, count(DISTINCT vehicle_id) AS active_vehicles, round(avg(delay_seconds), 6) AS avg_delay, max(delay_seconds) AS max_delay, count(*) FILTER (delay_seconds <= 60) AS on_time_count, count(*) FILTER (delay_seconds > 60) AS delayed_count FROM (SELECT *, time_bucket(INTERVAL 1 HOUR, kafka_timestamp) AS window_start FROM telemetry) GROUP BY 1, 2, 3""", "telemetry")
 def fleet_metrics(s, d):
-    x = F.col("delay_seconds")
-    agg = src.telemetry(s, d).groupBy(F.window("kafka_timestamp", "1 hour").alias("w"), "line_id").agg(F.count_distinct("vehicle_id").alias("active_vehicles"), F.round(F.avg(x), 6).alias("avg_delay"), F.max(x).alias("max_delay"), F.count_if(x <= 60).alias("on_time_count"), F.count_if(x > 60).alias("delayed_count"))
-    return agg.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "*").drop("w")
+    out = r6(monitor.fleet_metrics(src.telemetry(s, d)), "avg_delay")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
 
 
-@query("""SELECT coalesce(a.line_id, b.line_id) AS line_id, CAST(coalesce(a.h, b.h) AS INT) AS hour, round(a.x, 6) AS stream_delay, round(b.x, 6) AS batch_delay FROM (SELECT line_id, hour(make_timestamp(event_time_ms * 1000)) AS h, avg(delay_seconds) AS x FROM replayed GROUP BY 1, 2) a FULL JOIN (SELECT line_id, hour(timestamp) AS h, avg(delay_seconds) AS x FROM silver GROUP BY 1, 2) b ON a.line_id = b.line_id AND a.h = b.h""", "replayed", "silver")
+@query("""SELECT check_date, line_id, CAST(hour_of_day AS INT) AS hour_of_day, round(a, 6) AS stream_avg_delay, round(b, 6) AS batch_avg_delay, round(pct, 6) AS difference_pct, round(pct, 9) <= 20 AS passed FROM (SELECT *, CASE WHEN a = b THEN 0.0::DOUBLE WHEN a IS NULL OR b IS NULL OR a = 0 THEN 100.0::DOUBLE ELSE abs(a - b) * 100.0 / abs(a) END AS pct FROM
+  (SELECT CAST(t AS DATE) AS check_date, line_id, hour(t) AS hour_of_day, avg(delay_seconds) AS a FROM (SELECT *, make_timestamp(event_time_ms * 1000) AS t FROM replayed) GROUP BY 1, 2, 3) x FULL JOIN (SELECT CAST(timestamp AS DATE) AS check_date, line_id, hour(timestamp) AS hour_of_day, avg(delay_seconds) AS b FROM silver GROUP BY 1, 2, 3) y USING (check_date, line_id, hour_of_day))""", "replayed", "silver")
 def hourly_reconciliation(s, d):
-    of = lambda df, ts, name: df.groupBy("line_id", F.hour(ts).alias("hour")).agg(F.round(F.avg("delay_seconds"), 6).alias(name))
-    return of(src.with_replays(src.telemetry(s, d)), F.timestamp_millis("event_time_ms"), "stream_delay").join(of(_silver(s, d), F.col("timestamp"), "batch_delay"), ["line_id", "hour"], "full")
+    return r6(monitor.reconcile_hours(src.with_replays(src.telemetry(s, d)), _silver(s, d)), "stream_avg_delay", "batch_avg_delay", "difference_pct")
 
 
 @query("SELECT line_id, date, count(*) AS n, round(avg(delay_seconds), 6) AS avg_delay, count(*) FILTER (delay_seconds <= 300) AS on_time FROM large GROUP BY 1, 2", "large")
