@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from headway.config import DEFAULT, Config
 from headway.functions.columns import cumulative_histogram
+from headway.session import scratch
 
 #: Name, metric, target, operator.
 SLOS = (("inference_latency", "p99_latency_ms", 50.0, "lt"), ("feature_freshness", "feature_age_s", 60.0, "lt"), ("shadow_agreement", "agreement_rate", 0.90, "gt"), ("drift", "max_psi", 0.2, "lt"))
@@ -90,22 +91,51 @@ def quantiles(rows: DataFrame, shares: list[float]) -> DataFrame:
     return sums.join(by_rank, "feature").select("feature", F.array(*[value(p) for p in shares]).alias("q"), F.col("total").alias("n"), "lo", "hi")
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again, so that what it stands on is read once."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def psi(baseline: DataFrame, current: DataFrame, bins: int = 10, eps: float = 1e-4) -> DataFrame:
-    """Population stability index of each feature of two long-form samples; 0 where one is empty."""
-    base = quantiles(baseline, [i / bins for i in range(bins + 1)]).select("feature", F.col("q").alias("edges"), F.col("n").alias("n_base"), F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"))
-    now = current.groupBy("feature").agg(F.count("*").alias("n_cur"), F.min("x").alias("c_lo"), F.max("x").alias("c_hi"))
-    edges = base.join(now, "feature", "full").withColumn("inner", F.slice("edges", 2, bins - 1))
-    tagged = baseline.withColumn("base", F.lit(1)).unionByName(current.withColumn("base", F.lit(0)))
-    bucket = F.size(F.filter("inner", lambda e: e <= F.col("x")))
-    cells = tagged.join(edges.select("feature", "inner"), "feature").groupBy("feature", bucket.alias("bucket")).agg(F.sum("base").alias("b"), F.sum(1 - F.col("base")).alias("c"))
-    grid = edges.select("feature", "n_base", "n_cur", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bucket"))
+    """Population stability index of each feature of two long-form samples; 0 where one is empty.
+
+    The samples are read twice: once for counts by steps of x, once for the distinct values in the steps where an edge of
+    a bucket lies.  All other steps lie in one bucket as a whole.
+    """
+    rows = baseline.withColumn("base", F.lit(1)).unionByName(current.withColumn("base", F.lit(0))).withColumn("step", _steps(F.col("x")))
+    of_base = F.when(F.col("base") == 1, F.col("x"))
+    of_now = F.when(F.col("base") == 0, F.col("x"))
+    steps = _kept(rows.groupBy("feature", "step").agg(F.sum("base").alias("b"), F.sum(1 - F.col("base")).alias("c"), F.min(of_base).alias("b_lo"), F.max(of_base).alias("b_hi"), F.min(of_now).alias("c_lo"), F.max(of_now).alias("c_hi")))
+    totals = steps.groupBy("feature").agg(F.sum("b").alias("n_base"), F.sum("c").alias("n_cur"), F.min("b_lo").alias("b_lo"), F.max("b_hi").alias("b_hi"), F.min("c_lo").alias("c_lo"), F.max("c_hi").alias("c_hi"))
+    upto = F.sum("b").over(Window.partitionBy("feature").orderBy("step"))  # a feature's steps
+    counted = steps.select("feature", "step", "b", "c", upto.alias("upto")).join(totals.select("feature", "n_base"), "feature")
+    spots = [((F.col("n_base") - 1) * F.lit(i / bins)) for i in range(1, bins)]
+    ranks = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.floor(p).alias("low"), F.ceil(p).alias("high")) for i, p in enumerate(spots)])).alias("r")
+    holds = lambda rank: (F.col("b") > 0) & (rank < F.col("upto")) & (rank >= F.col("upto") - F.col("b"))
+    spans = counted.select("feature", "step", "b", "upto", ranks).groupBy("feature", "r.i").agg(F.min(F.when(holds(F.col("r.low")), F.col("step"))).alias("from"), F.min(F.when(holds(F.col("r.high")), F.col("step"))).alias("to"))
+    spans = spans.groupBy("feature").agg(F.collect_list(F.struct("from", "to")).alias("spans"))  # one a bucket
+    near = F.exists("spans", lambda p: F.col("step").between(p["from"], p["to"]))
+    marked = counted.join(spans, "feature", "left").withColumn("refined", F.coalesce(near, F.lit(False)))
+    refined = marked.where("refined").select("feature", "step", (F.col("upto") - F.col("b")).alias("before"))
+    values = _kept(rows.join(refined, ["feature", "step"]).groupBy("feature", "step", "x").agg(F.sum("base").alias("b"), F.sum(1 - F.col("base")).alias("c"), F.first("before").alias("before")))
+    ordered = values.withColumn("upto", F.col("before") + F.sum("b").over(Window.partitionBy("feature", "step").orderBy("x")))  # the distinct values of one step
+    found = ordered.join(totals.select("feature", "n_base"), "feature").select("feature", "x", "b", "upto", ranks)
+    edge = found.groupBy("feature", "r.i").agg(F.min(F.when(holds(F.col("r.low")), F.col("x"))).alias("low"), F.min(F.when(holds(F.col("r.high")), F.col("x"))).alias("high"))
+    edge = edge.join(totals.select("feature", "n_base"), "feature").withColumn("spot", (F.col("n_base") - 1) * (F.col("i") + 1) / F.lit(float(bins)))
+    edges = edge.groupBy("feature").agg(F.collect_list(F.col("low") + (F.col("high") - F.col("low")) * (F.col("spot") - F.floor("spot"))).alias("inner"))
+    fine = values.join(edges, "feature").select("feature", F.size(F.filter("inner", lambda e: e <= F.col("x"))).alias("bucket"), "b", "c")
+    coarse = marked.where("not refined").join(edges, "feature").select("feature", F.size(F.filter("inner", lambda e: _steps(e) < F.col("step"))).alias("bucket"), "b", "c")
+    cells = fine.unionByName(coarse).groupBy("feature", "bucket").agg(F.sum("b").alias("b"), F.sum("c").alias("c"))
+    grid = totals.where("n_base > 0 and n_cur > 0").select("feature", "n_base", "n_cur", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bucket"))
     share = lambda n, total: F.greatest(F.coalesce(F.col(n), F.lit(0)) / F.col(total), F.lit(eps))
     e, a = share("b", "n_base"), share("c", "n_cur")
     sums = grid.join(cells, ["feature", "bucket"], "left").groupBy("feature").agg(F.sum((a - e) * F.ln(a / e)).alias("psi"))
     constant = F.col("b_lo") == F.col("b_hi")
     same = (F.col("c_lo") == F.col("c_hi")) & (F.col("b_lo") == F.col("c_lo"))
-    value = F.when(F.col("n_base").isNull() | F.col("n_cur").isNull(), 0.0).when(constant, F.when(same, 0.0).otherwise(float("inf"))).otherwise(F.col("psi"))
-    return edges.join(sums, "feature", "left").select("feature", value.alias("psi"))
+    value = F.when((F.col("n_base") == 0) | (F.col("n_cur") == 0), 0.0).when(constant, F.when(same, 0.0).otherwise(float("inf"))).otherwise(F.col("psi"))
+    return totals.join(sums, "feature", "left").select("feature", value.alias("psi"))
 
 
 def severity(drift: DataFrame) -> DataFrame:

@@ -62,6 +62,36 @@ def test_enforced_checks_keep_rows_and_raise(spark):
     assert not pathlib.Path(fine.removeprefix("file://")).exists()
 
 
+# ---- drift ----
+
+
+@pytest.mark.parametrize("kind", ["normal", "few values", "ties", "wide", "small"])
+def test_psi_is_numpys(spark, kind):
+    rng = np.random.default_rng(6)
+    make = {"normal": lambda n, s: rng.normal(s, 3, n), "few values": lambda n, s: rng.integers(0, 4 + s, n), "ties": lambda n, s: np.r_[rng.normal(s, 1, n), [0.5] * (n // 2)], "wide": lambda n, s: np.sign(rng.normal(size=n)) * 10.0 ** rng.uniform(-9, 9 + s, n), "small": lambda n, s: rng.normal(s, 1, 7)}[kind]
+    base, now = make(3000, 0).astype(float), make(2000, 1).astype(float)
+    inner = np.quantile(base, [i / 10 for i in range(1, 10)])
+    share = lambda v: np.maximum(np.bincount((v[:, None] >= inner[None, :]).sum(1), minlength=10) / len(v), 1e-4)
+    e, a = share(base), share(now)
+    long = lambda v: spark.createDataFrame([("f", float(x)) for x in v] + [("only", 1.0)] * 3, "feature string, x double")
+    got = {r.feature: r.psi for r in monitor.psi(long(base), long(now).where("feature = 'f'")).collect()}
+    assert got["f"] == pytest.approx(float(((a - e) * np.log(a / e)).sum()), rel=1e-9) and got["only"] == 0.0
+
+
+def test_psi_reads_its_samples_twice(spark, monkeypatch):
+    paths, scans = [scratch(spark), scratch(spark)], []
+    for p, shift in zip(paths, (0, 10)):
+        spark.range(500).select(F.lit("f").alias("feature"), (F.col("id") % 50 + shift).cast("double").alias("x")).write.parquet(p)
+    kept = monitor._kept
+    count = lambda df: sum(df._jdf.queryExecution().executedPlan().toString().count(p.removeprefix("file://")) for p in paths)
+    monkeypatch.setattr(monitor, "_kept", lambda df: (scans.append(count(df)), kept(df))[1])
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    out = monitor.psi(*[spark.read.parquet(p) for p in paths])
+    last = count(out)
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert (scans, last) == ([2, 2], 0) and out.first().psi > 0.2
+
+
 # ---- quantiles from states ----
 
 BOUNDS = [1, 2, 5, 10, 50]
