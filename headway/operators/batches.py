@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from headway.config import DEFAULT, Config
 from headway.operators.features import alive
-from headway.operators.tables import drop, exists, expired, folders, newest
+from headway.operators.tables import TARGET_BYTES, drop, exists, expired, folders, move, newest, size_of
 
 HOUR_MS = 3_600_000
 
@@ -54,6 +54,50 @@ def merge_batch(spark: SparkSession, df: DataFrame, path: str, keys: list[str],
     return held
 
 
+_FOLD = "_folding"
+
+
+def _finish_fold(spark: SparkSession, folder: str) -> None:
+    """Second half of a fold: the batches that were read go, the folded one comes. Can be repeated until it is through."""
+    if exists(spark, f"{folder}/{_FOLD}/read/_SUCCESS"):  # without it nothing has been changed yet
+        for r in spark.read.schema("batch string, target string").json(f"{folder}/{_FOLD}/read").collect():  # a row a batch
+            drop(spark, f"{folder}/{r.batch}")
+            if exists(spark, f"{folder}/{_FOLD}/made"):
+                move(spark, f"{folder}/{_FOLD}/made", f"{folder}/{r.target}")
+    drop(spark, f"{folder}/{_FOLD}")
+
+
+def fold(spark: SparkSession, path: str, date: str, below: int, target: int = TARGET_BYTES, order: tuple[str, ...] = ("vehicle_id", "event_time_ms")) -> int:
+    """Folds a date's batches below a number into one of about ``target`` bytes a file, sorted; returns how many there were.
+
+    ``below`` is a batch that can't be repeated any more, or the next one.  The folded batch has a negative number, so that no stream's batch is
+    ever taken for it.  The keys get its number before the rows move and lose the old ones after, so that a merge finds
+    every key at any moment; a run that finds an unfinished fold ends it first.
+    """
+    folder, keys = f"{path}/date={date}", f"{path}_keys/date={date}"
+    if exists(spark, f"{folder}/{_FOLD}"):
+        _finish_fold(spark, folder)
+    numbers = sorted(int(b.removeprefix("batch=")) for b in folders(spark, folder) if b.startswith("batch="))
+    numbers = [b for b in numbers if b < below]
+    if len(numbers) > 1:
+        new, names = -max(abs(b) for b in numbers) - 1, [f"batch={b}" for b in numbers]
+        if exists(spark, keys):
+            index = spark.read.option("basePath", f"{path}_keys").schema("hash long, date date, slot long, batch long").parquet(keys)
+            write_batch(index.where(F.col("batch").isin(numbers)).drop("batch"), f"{path}_keys", new, ("date", "slot"))
+        sizes = sum(size_of(spark, f"{folder}/{n}") for n in names)
+        rows = spark.read.option("basePath", path).parquet(*[f"{folder}/{n}" for n in names]).drop("date", "batch")
+        own = [c for c in order if c in rows.columns]
+        rows.repartitionByRange(max(1, -(-sizes // target)), *own).sortWithinPartitions(*own).write.parquet(f"{folder}/{_FOLD}/made")
+        spark.createDataFrame([(n, f"batch={new}") for n in names], "batch string, target string").coalesce(1).write.json(f"{folder}/{_FOLD}/read")
+        _finish_fold(spark, folder)
+    there = set(folders(spark, folder))
+    for slot in folders(spark, keys):  # keys of batches that are folded
+        for b in folders(spark, f"{keys}/{slot}"):
+            if b.startswith("batch=") and int(b.removeprefix("batch=")) < below and b not in there:
+                drop(spark, f"{keys}/{slot}/{b}")
+    return len(numbers) if len(numbers) > 1 else 0
+
+
 def retain(spark: SparkSession, path: str, days: int, base_date: str) -> list[str]:
     """Drops expired dates of a merged table and of its keys; the folders' names decide, no file is opened."""
     dates = [d.removeprefix("date=") for d in folders(spark, path) if d.startswith("date=")]

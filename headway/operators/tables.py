@@ -135,6 +135,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def move(spark: SparkSession, path: str, target: str) -> None:
+    p, fs = _file_system(spark, path)
+    if not fs.rename(p, _file_system(spark, target)[0]):
+        raise OSError(f"{path} can't become {target}")
+
+
+def size_of(spark: SparkSession, path: str) -> int:
+    p, fs = _file_system(spark, path)
+    return fs.getContentSummary(p).getLength()
+
+
 def folders(spark: SparkSession, path: str) -> list[str]:
     """Names of the folders in a folder."""
     p, fs = _file_system(spark, path)
@@ -204,8 +215,7 @@ def _finish(spark: SparkSession, folder: str) -> None:
         for r in spark.read.schema("file string").json(plan).toLocalIterator():
             drop(spark, f"{folder}/{r.file}")
         for name in _files(spark, made):
-            p, fs = _file_system(spark, f"{made}/{name}")
-            fs.rename(p, _file_system(spark, f"{folder}/{name}")[0])
+            move(spark, f"{made}/{name}", f"{folder}/{name}")
     drop(spark, f"{folder}/{_PLAN}")
 
 

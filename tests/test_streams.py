@@ -131,6 +131,43 @@ def test_merge_matches_the_merge_that_reads_a_day(spark):
     assert a == b and len({x[:2] for x in a}) == len(a)
 
 
+@pytest.mark.parametrize("lost", [None, "before the list", "half way", "keys"])
+def test_batches_are_folded(spark, monkeypatch, lost):
+    path, keys, day = scratch(spark), ["vehicle_id", "date", "event_time_ms"], "2026-01-01"
+    merge = lambda rows, batch: batches.merge_batch(spark, keyed(spark, rows), path, keys, batch)
+    for b in range(5):
+        merge([(f"v{i}", b * 1000 + i, b * 100 + i) for i in range(20)], b)
+    rows = lambda: sorted((r.vehicle_id, r.event_time_ms, r.kafka_offset) for r in tables.read(spark, path).collect())
+    before, finish, drop = rows(), batches._finish_fold, batches.drop
+    if lost:
+
+        def breaks(spark, folder):
+            if lost == "before the list":
+                drop(spark, f"{folder}/_folding/read")
+            elif lost == "half way":
+                drop(spark, f"{folder}/batch=0")
+                tables.move(spark, f"{folder}/_folding/made", f"{folder}/batch=-4")
+            else:
+                finish(spark, folder)
+            raise OSError("lost")
+
+        monkeypatch.setattr(batches, "_finish_fold", breaks)
+        with pytest.raises(OSError, match="lost"):
+            batches.fold(spark, path, day, 4)
+        monkeypatch.setattr(batches, "_finish_fold", finish)
+        if lost == "before the list":
+            assert merge([("v1", 1, 999)], 4) == [f"{path}/date={day}/batch=0"]  # the keys still lead to the batch that is there
+            merge([(f"v{i}", 4000 + i, 400 + i) for i in range(20)], 4)
+    assert batches.fold(spark, path, day, 4) == (4 if lost in (None, "before the list") else 0)
+    assert rows() == before and sorted(tables.folders(spark, f"{path}/date={day}")) == ["batch=-4", "batch=4"]
+    assert {b for s in tables.folders(spark, f"{path}_keys/date={day}") for b in tables.folders(spark, f"{path}_keys/date={day}/{s}")} == {"batch=-4", "batch=4"}
+    assert batches.fold(spark, path, day, 4) == 0  # nothing is left to do
+    assert merge([("v3", 2003, 999), ("new", 2003, 1000)], 5) == [f"{path}/date={day}/batch=-4"] and len(rows()) == len(before) + 1
+    assert batches.fold(spark, path, day, 6) == 3 and len(rows()) == len(before) + 1 and tables.folders(spark, f"{path}/date={day}") == ["batch=-6"]
+    assert merge([("v3", 2003, 999), ("new", 2003, 1000)], 6) == [f"{path}/date={day}/batch=-6"]
+    assert batches.fold(spark, path, "2030-01-01", 9) == 0
+
+
 def size(path):
     import pathlib
 
