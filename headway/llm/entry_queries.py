@@ -31,7 +31,7 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.report(mixing.plan(spark, _read(spark, sf_dir, "documents"), (5, 2, 1), 3))
+    return mixing.report(mixing.plan(spark, _read(spark, sf_dir, "documents"), (5, 2, 1), 3, shards=64))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +147,8 @@ c AS (SELECT conv_id, {_CRC} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),
 r AS (SELECT c.conv_id, 0 AS part, nth, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 AND nth < h
       UNION ALL SELECT c.conv_id, 1, nth, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND nth >= h),
 p AS (SELECT conv_id, count(*) OVER w AS depth, list(struct_pack(role := role, text := text)) OVER w AS path, text FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY part, nth)),
-n AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, min(len(regexp_extract_all(text, '[^ 	-]+'))) AS words FROM p GROUP BY path, depth
+n AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, min(len(regexp_extract_all(text, '[^ 	-
+]+'))) AS words FROM p GROUP BY path, depth
       UNION ALL SELECT [], 0, min(conv_id), count(*), 0 FROM c HAVING count(*) > 0),
 m AS (SELECT conv_id, coalesce(max(depth), 0) AS depth, coalesce(arg_max(path, depth), []) AS path FROM c LEFT JOIN p USING (conv_id) GROUP BY conv_id),
 e AS (SELECT path, depth, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM m GROUP BY path, depth),

@@ -17,8 +17,8 @@
 4. In a shard, documents are ordered by a seeded hash of pass and document.
 
 Edge cases: null text has size 0, is never drawn and has taken 0; a source of size 0 has target 0; a null
-source is a source of its own; rows with equal ids are separate documents, drawn alike within a source;
-an empty table gives an empty mix; all other columns stay, under any names.  Reruns agree: every random
+source is a source of its own; null and repeated ids are documents of their own where their texts differ, rows of equal
+id and text are drawn alike within a source; an empty table gives an empty mix; all other columns stay, under any names.  Reruns agree: every random
 choice hangs on ``seed`` and the document alone.
 """
 
@@ -114,7 +114,8 @@ def plan(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, repeats: int = R
     ``keep`` adds the input's row as struct ``row``.
     """
     own = F.col(f"`{id_col}`")
-    columns = [own.alias("doc_id"), _size(text_col).alias("size"), _key(source_col).alias("key"), F.xxhash64(F.lit(seed), own.cast("string")).alias("place")]
+    place = F.xxhash64(F.lit(seed), own.cast("string"), F.col(f"`{text_col}`").cast("string"))
+    columns = [own.alias("doc_id"), _size(text_col).alias("size"), _key(source_col).alias("key"), place.alias("place")]
     sized = stored(spark, docs.select(*columns))
     goal = stored(spark, targets(spark, sized, weights, repeats).withColumns({
         "n_blocks": F.greatest(F.lit(1), F.least(F.ceil(F.sqrt("docs")), F.floor(F.col("docs") / 16))),
