@@ -2,9 +2,12 @@
 
 1. A document becomes the set of its distinct word shingles (64-bit codes).  Equal sets are one class from
    here on, so copies are never compared.
-2. Codes have a common order, long words first.  Two sets that reach the threshold must share one of
-   their first n - ceil(t * n) + 1 codes; codes that only one class has there are dropped, and the others
-   are split by size: as linked sets differ in size by the threshold at most, each two neighbouring steps of a
+2. Codes have a common order: rare ones first, so that passages which many documents share come last, then long
+   words first.  How often a code occurs is counted over all documents in ``2 ** ORDER_BITS`` counters, a
+   bound that doesn't grow; codes of one counter count as one, which only concerns the order.  Two sets that reach
+   the threshold must share one of their first n - ceil(t * n) + 1 codes.  These meet in one exchange, as packed arrays
+   by parts of the code space, which drops codes that only one class has there; a code that a batch has often is
+   known to be shared, and its rows don't go to its part.  The others are split by size: as linked sets differ in size by the threshold at most, each two neighbouring steps of a
    scale of sizes are a cell of the join.  Of cells with the same classes one stays.
 3. In a cell a signature tree is built over the classes in the order of size and bitmap: its nodes hold the OR
    and the AND of their members' bitmaps and their range of sizes.  A dual traversal descends from the
@@ -53,16 +56,20 @@ BLOCK = 2000
 BLOCK_CODES = 4_000_000
 MIXES = 2
 BROADCAST_IDS = 1_000_000  # rows of 24 bytes
+ORDER_BITS = 20  # counters of the common order
+SLICE_BITS = 12  # counters that travel as one row
+PART_CODES = 2_000_000  # first codes in a part of the exchange
+OFTEN = 8  # rows of a code in a batch that go to its part
 
 
 def _sets(part: pa.RecordBatch, n: int) -> list[np.ndarray]:
-    """Sorted codes of each row's set: 7 bits for the length of the words, long first, then 56 bits of hash."""
+    """Sorted codes of each row's set: 4 bits for the length of the words, long first, then 56 bits of hash."""
     w = Words(part.column("text"), NONSPACE)
     at, h = w.windows(n)
     counts, out = w.counts(), []
     size = (w.end - w.start).astype(np.int64)
     total = np.concatenate(([0], np.cumsum(size)))
-    code = (h >> np.uint64(8)) | ((127 - np.minimum(total[at + n] - total[at], 127)).astype(np.uint64) << np.uint64(56))
+    code = (h >> np.uint64(8)) | _long_first(total[at + n] - total[at])
     bounds = np.searchsorted(at, w.first)
     for r, c in enumerate(counts):
         if c >= n:
@@ -71,13 +78,55 @@ def _sets(part: pa.RecordBatch, n: int) -> list[np.ndarray]:
             whole = np.uint64(c)
             for x in w.hash[w.first[r] : w.first[r + 1]]:
                 whole = mix64(np.array([whole]) * np.uint64(31) + x)[0]
-            length = min(127, int(total[w.first[r + 1]] - total[w.first[r]]))
-            out.append(np.array([(whole >> np.uint64(8)) | (np.uint64(127 - length) << np.uint64(56))], dtype=np.uint64))
+            out.append((whole >> np.uint64(8)) | _long_first(total[w.first[r + 1] : w.first[r + 1] + 1] - total[w.first[r]]))
         else:
             out.append(np.zeros(0, dtype=np.uint64))
     return out
 
 
+def _long_first(length: np.ndarray) -> np.ndarray:
+    return (15 - np.minimum(length >> 2, 15)).astype(np.uint64) << np.uint64(56)
+
+
+def _counter(codes: np.ndarray) -> np.ndarray:
+    return (mix64(codes) >> np.uint64(64 - ORDER_BITS)).astype(np.int64)
+
+
+def _often(n: int):
+    """A task's counters of codes, by slices of those that are not all zero."""
+
+    def run(batches):
+        seen, width = np.zeros(1 << ORDER_BITS, dtype=np.int64), 1 << SLICE_BITS
+        for batch in batches:
+            for part in chunks(batch):
+                at, c = np.unique(_counter(np.concatenate(_sets(part, n))), return_counts=True)
+                seen[at] += c
+        for k in range(0, len(seen), width):
+            if seen[k : k + width].any():
+                yield pa.RecordBatch.from_arrays([pa.array([k // width], pa.int32()), pa.array([seen[k : k + width].tobytes()], pa.binary())], ["slice", "counts"])
+
+    return run
+
+
+def _summed(batches):
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, counts in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            total[k] = np.frombuffer(counts, dtype=np.int64) + total.get(k, 0)
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["slice", "counts"])
+
+
+def frequency_levels(rows: DataFrame, n: int) -> np.ndarray:
+    """0 to 7 for each counter: 0 up to four times the mean of all counters, each further level four times as much."""
+    counts, width = np.zeros(1 << ORDER_BITS, dtype=np.int64), 1 << SLICE_BITS
+    kinds = "slice int, counts binary"
+    # 2 ** ORDER_BITS numbers
+    for r in rows.mapInArrow(_often(n), kinds).repartition("slice").mapInArrow(_summed, kinds).collect():
+        counts[r.slice * width : (r.slice + 1) * width] = np.frombuffer(r.counts, dtype=np.int64)
+    return np.clip(np.floor(np.log2(np.maximum(counts / max(1.0, counts.mean()), 1)) / 2), 0, 7).astype(np.uint8)
+
+
 def _bitmap(codes: np.ndarray, n: int) -> bytes:
     """Bits of some codes: at least ``BITS``, and at least n, a power of two."""
     bits = np.zeros(max(BITS, 1 << int(n - 1).bit_length()), dtype=bool)
@@ -105,14 +154,21 @@ def _fingerprint(codes: np.ndarray) -> int:
     return int(mix64(both[:1] * np.uint64(3) + mix64(both[1:])).view(np.int64)[0])
 
 
-def _digest(n: int, num: int, den: int):
+def _digest(n: int, num: int, den: int, levels):
+    """levels: broadcast of ``frequency_levels``."""
+
+    def first(s: np.ndarray) -> np.ndarray:
+        ranked = s | (levels.value[_counter(s)].astype(np.uint64) << np.uint64(60))
+        size = len(s) - -(-len(s) * num // den) + 1
+        return _signed(np.sort(np.partition(ranked, size - 1)[:size]))
+
     def run(batches):
         for batch in batches:
             for part in chunks(batch):
                 sets = _sets(part, n)
                 size = [len(s) for s in sets]
                 fp = [_fingerprint(s) for s in sets]
-                prefix = [_signed(s[: len(s) - -(-len(s) * num // den) + 1]) if len(s) else np.zeros(0, np.int64) for s in sets]
+                prefix = [first(s) if len(s) else np.zeros(0, np.int64) for s in sets]
                 both = [_bitmaps(s) if len(s) else (None, None) for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size, pa.int64()), pa.array(fp, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), *(pa.array([x[k] for x in both], pa.binary()) for k in (0, 1))], ["doc_id", "n", "fp", "prefix", "part_bm", "bm"])
 
@@ -129,6 +185,70 @@ def _codes(n: int):
     return run
 
 
+def _packed(parts: int, scale: float):
+    """First codes of classes, packed by part of the code space; ``sure``: codes that are shared, in any part."""
+
+    def run(batches):
+        for batch in batches:
+            prefix, fp = batch.column("prefix"), batch.column("fp").to_numpy()
+            offsets = prefix.offsets.to_numpy()
+            code = prefix.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+            row = np.repeat(np.arange(len(fp)), np.diff(offsets))
+            step = np.floor(np.log(batch.column("n").to_numpy()) / scale).astype(np.int32)
+            part = (mix64(code.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            order = np.lexsort((code, part))
+            code, row, part = code[order], row[order], part[order]
+            first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))[: len(code)]
+            sure = np.arange(len(code)) - np.repeat(first, np.diff(np.append(first, len(code)))) >= OFTEN
+            part[sure] = (mix64(fp[row[sure]].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            order = np.lexsort((row, sure, part))
+            code, row, part, sure = code[order], row[order], part[order], sure[order]
+            begin = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (sure[1:] != sure[:-1]))))[: len(code)]
+            end = np.append(begin[1:], len(code))
+            packed = [[x[s:e].tobytes() for s, e in zip(begin, end, strict=True)] for x in (code, fp[row], step[row])]
+            yield pa.RecordBatch.from_arrays([pa.array(part[begin], pa.int32()), pa.array(sure[begin]), *(pa.array(x, pa.binary()) for x in packed)], ["part", "sure", "code", "fp", "step"])
+
+    return run
+
+
+def _shared(batches):
+    """(fp, step, code) of the codes that several classes have, from packed rows in the order of their parts.
+
+    A part's codes are held once each, however often they occur.
+    """
+    held: list = []
+
+    def rows(code, fp, step):
+        for go in range(0, len(code), 100_000):
+            at = slice(go, go + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(fp[at]), pa.array(step[at]), pa.array(code[at])], ["fp", "step", "code"])
+
+    def fold():
+        code, fp, step, known = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((~known, code))  # what is known comes first
+        code, fp, step, known = code[order], fp[order], step[order], known[order]
+        first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+        size = np.diff(np.append(first, len(code)))
+        new = np.repeat(size > 1, size) & ~known
+        held[:] = [(code[first], fp[first], step[first], known[first] | (size > 1))]
+        yield from rows(code[new], fp[new], step[new])
+
+    now, waiting = None, 0
+    for batch in batches:
+        for part, sure, code, fp, step in zip(*(batch.column(c).to_pylist() for c in ("part", "sure", "code", "fp", "step")), strict=True):
+            code, fp, step = np.frombuffer(code, np.int64), np.frombuffer(fp, np.int64), np.frombuffer(step, np.int32)
+            if sure:
+                yield from rows(code, fp, step)
+                continue
+            if held and (part != now or waiting > PART_CODES):
+                yield from fold()
+                held, waiting = [] if part != now else held, 0
+            now, waiting = part, waiting + len(code)
+            held.append((code, fp, step, np.zeros(len(code), dtype=bool)))
+    if held:
+        yield from fold()
+
+
 def _bits(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).sum(axis=-1, dtype=np.int64)
 
@@ -404,6 +524,14 @@ def _links(num: int, den: int):
     return run
 
 
+def shared_codes(spark: SparkSession, classes: DataFrame, scale: float) -> DataFrame:
+    """(fp, step, code), stored, of the first codes that several of the classes (fp, n, prefix) have; ``step``: the class's step on the scale of sizes."""
+    first_codes = classes.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0)).alias("n")).first().n
+    width = shuffle_width(spark)
+    packed = classes.select("fp", "n", "prefix").mapInArrow(_packed(max(width, math.ceil(first_codes / PART_CODES)), scale), "part int, sure boolean, code binary, fp binary, step binary")
+    return stored(spark, packed.repartition(width, "part").sortWithinPartitions("part").mapInArrow(_shared, "fp long, step int, code long"))
+
+
 def groups(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, *, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """doc_id, row_key (hash of the text), n_shingles, component_id, group_key of every document, at a similarity of num / den or more.
 
@@ -412,18 +540,15 @@ def groups(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den:
     rows = text_rows(docs, id_col, text_col).withColumn("row_key", F.xxhash64("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     width = shuffle_width(spark)
-    digests = stored(spark, rows.mapInArrow(_with_key(_digest(n, num, den)), f"doc_id {kind}, row_key long, n long, fp long, prefix array<long>, part_bm binary, bm binary"))
+    levels = spark.sparkContext.broadcast(frequency_levels(rows, n))
+    digests = stored(spark, rows.mapInArrow(_with_key(_digest(n, num, den, levels)), f"doc_id {kind}, row_key long, n long, fp long, prefix array<long>, part_bm binary, bm binary"))
     place = F.struct("row_key", F.xxhash64("doc_id").alias("id_hash"), "prefix", "part_bm", "bm")
     classes = digests.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min(place).alias("own"))
     classes = stored(spark, classes.select("fp", "rep", "n", "own.*"))
     ids = stored(spark, digests.select("doc_id", "row_key", "n", "fp"))
     drop_stored(spark, digests)
     scale = 1.001 * max(0.01, math.log(den / num))  # sets whose sizes allow a link are at most one step apart
-    cells = classes.select("fp", F.floor(F.log("n") / scale).cast("int").alias("step"), F.explode_outer("prefix").alias("code"))
-    shared = stored(spark, cells.groupBy("code").agg(F.count("*").alias("size")).where("size > 1").select("code"))
-    drop_stored(spark)
-    cells = stored(spark, cells.join(shared, "code"))
-    drop_stored(spark, shared)
+    cells = shared_codes(spark, classes, scale)
     sized = cells.select("fp", "code", F.explode(F.array(F.struct("step", F.lit(True).alias("home")), F.struct((F.col("step") - 1).alias("step"), F.lit(False).alias("home")))).alias("s")).select("fp", "code", "s.*")
     # of cells with the same classes, by count and two hashes of them, the first stays
     stamps = sized.groupBy("code", "step").agg(F.count("*").alias("size"), F.max("home").alias("home"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.sum(F.xxhash64("fp", F.lit(1)).bitwiseAND((1 << 32) - 1)).alias("y")).where("size > 1 and home")
