@@ -1,11 +1,12 @@
 """Benchmark decontamination: a broadcast hash set of the benchmark's normalised word n-grams.
 
 The benchmark side is hashed by Spark into windows of ``n`` words (an item of fewer words is one
-window of its own length).  Windows are taken in blocks of about ``BLOCK_WINDOWS`` windows and ``BLOCK_BYTES`` bytes
-at most, counted before anything is collected, so that what is broadcast has a proven bound; a larger benchmark
-takes more passes.  Each pass scans the documents'
+window of its own length).  Each distinct window is broadcast once, in blocks of ``BLOCK_WINDOWS`` windows and
+``BLOCK_BYTES`` bytes at most (or one window), counted block by block before anything is collected, so that what is broadcast
+has a proven bound; a larger benchmark takes more passes.  Each pass scans the documents'
 words once, tests window hashes in the set, verifies every hit word by word, and marks the words of
-all occurrences.
+all occurrences.  The items of a window, of which there may be any number, stay a table: it is joined after the scan to the
+distinct sets of windows that documents hold.
 
 Nulls and edge cases: null or empty text has no words and no hits; a null item is ignored; an item
 without words has no window; a null item_id is reported as ``null``'s absence (it marks words, but is
@@ -22,12 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headway.llm.shared import maximal_runs, stored, text_rows
+from headway.llm.spread import spread_join
 from headway.llm.textvec import Sieve, Words, chunks, runs
 
 BLOCK_WINDOWS = 200_000
 BLOCK_BYTES = 32_000_000
 _WINDOW = "item string, n int, hash long, words binary"
-_HITS = "n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
+_HITS = "n_words long, n_hit long, windows array<binary>, spans array<struct<start:int,end:int>>"
 
 
 def _bench_windows(n: int):
@@ -59,26 +61,26 @@ def benchmark_windows(bench: DataFrame, n: int = 10, id_col: str = "item_id", te
 
 
 def _scan(table):
-    """table: broadcast of {n: (sorted hashes, words of each, items of each)}."""
+    """table: broadcast of {n: (sorted hashes, words of each, names of each)}."""
 
     def run(batches):
-        sieves = {n: (Sieve(h), words, items) for n, (h, words, items) in table.value.items()}
+        sieves = {n: (Sieve(h), words, names) for n, (h, words, names) in table.value.items()}
         for batch in batches:
             for part in chunks(batch):
                 w = Words(part.column("text"))
                 hit, found = np.zeros(len(w.start) + 1, dtype=np.int64), [set() for _ in range(part.num_rows)]
                 row = None
-                for n, (sieve, words, items) in sieves.items():
+                for n, (sieve, words, names) in sieves.items():
                     at, h = w.windows(n)
                     where, which = sieve.find(h)
                     for i, k in zip(at[where], which, strict=True):
                         text = w.text(int(i), n)
-                        for known, ids in zip(words[k], items[k], strict=True):
+                        for known, name in zip(words[k], names[k], strict=True):
                             if known == text:
                                 hit[i] += 1
                                 hit[i + n] -= 1
                                 row = w.row() if row is None else row
-                                found[row[i]].update(x for x in ids if x is not None)
+                                found[row[i]].add(name)
                 mask = np.cumsum(hit[:-1]) > 0
                 total = np.concatenate(([0], np.cumsum(mask)))
                 spans = [[] for _ in range(part.num_rows)]
@@ -88,8 +90,8 @@ def _scan(table):
                         spans[r].append({"start": int(s - w.first[r]), "end": int(e - w.first[r])})
                 yield pa.RecordBatch.from_arrays(
                     [part.column(c) for c in part.schema.names if c != "text"]
-                    + [pa.array(w.counts(), pa.int64()), pa.array(total[w.first[1:]] - total[w.first[:-1]], pa.int64()), pa.array([sorted(x) for x in found], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
-                    [c for c in part.schema.names if c != "text"] + ["n_words", "n_hit", "items", "spans"],
+                    + [pa.array(w.counts(), pa.int64()), pa.array(total[w.first[1:]] - total[w.first[:-1]], pa.int64()), pa.array([sorted(x) for x in found], pa.list_(pa.binary())), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
+                    [c for c in part.schema.names if c != "text"] + ["n_words", "n_hit", "windows", "spans"],
                 )
 
     return run
@@ -98,7 +100,7 @@ def _scan(table):
 def _table(rows) -> dict:
     by: dict = {}
     for r in rows:
-        by.setdefault(r.n, {}).setdefault(r.hash & ((1 << 64) - 1), {}).setdefault(bytes(r.words), []).append(r.item)
+        by.setdefault(r.n, {}).setdefault(r.hash & ((1 << 64) - 1), {})[bytes(r.words)] = bytes(r.window)
     out = {}
     for n, known in by.items():
         h = np.array(sorted(known), dtype=np.uint64)
@@ -106,36 +108,56 @@ def _table(rows) -> dict:
     return out
 
 
-def _blocks(spark: SparkSession, bench: DataFrame, n: int, block_windows: int) -> tuple[DataFrame, int]:
-    """(stored windows, number of blocks): by count and by bytes of words and items."""
-    windows = stored(spark, benchmark_windows(bench, n))
-    size = windows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("words") + F.coalesce(F.octet_length("item"), F.lit(0))), F.lit(0)).alias("bytes")).first()
-    return windows, 1 if size.n <= block_windows and size.bytes <= BLOCK_BYTES else 2 * max(size.n // block_windows, size.bytes // BLOCK_BYTES) + 1
+def _blocks(spark: SparkSession, bench: DataFrame, n: int, block_windows: int) -> tuple[DataFrame, DataFrame, int]:
+    """(window, item) of all items; (window, n, hash, words, block) of each distinct window; number of blocks.
+
+    A window is named by 128 bits of its words.  Blocks double until the largest is within its bounds.
+    """
+    name = F.unhex(F.md5(F.concat(F.col("n").cast("string").cast("binary"), F.lit(b" "), "words")))
+    held = stored(spark, benchmark_windows(bench, n).withColumn("window", name))
+    windows = stored(spark, held.select("window", "n", "hash", "words").distinct())
+    blocks = 1
+    while True:
+        block = F.pmod(F.xxhash64("window"), F.lit(blocks))
+        size = windows.groupBy(block.alias("block")).agg(F.count("*").alias("n"), F.sum(F.length("words")).alias("bytes"))
+        if size.where((F.col("n") > 1) & ((F.col("n") > block_windows) | (F.col("bytes") > BLOCK_BYTES))).isEmpty():
+            return held.where("item is not null").select("window", "item"), windows.withColumn("block", block), blocks
+        blocks *= 2
+
+
+def _items(spark: SparkSession, found: DataFrame, held: DataFrame) -> DataFrame:
+    """found with the sorted items of its windows instead of them; each distinct set of windows meets the items once."""
+    found = stored(spark, found.withColumn("set_key", F.when(F.size("windows") > 0, F.md5(F.array_join(F.transform("windows", F.hex), "")))))
+    sets = found.where("set_key is not null").groupBy("set_key").agg(F.first("windows").alias("windows"))
+    listed = sets.select("set_key", F.explode("windows").alias("window")).join(held, "window").groupBy("set_key").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    hit = spread_join(found.where("set_key is not null"), listed, "set_key")
+    out = found.where("set_key is null").withColumn("items", F.lit(None).cast("array<string>")).unionByName(hit)
+    return out.select("doc_id", "n_words", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans")
 
 
 def scan(spark: SparkSession, docs: DataFrame, bench: DataFrame, n: int = 10, *, id_col: str = "doc_id", text_col: str = "text", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted), spans (word positions) of every document."""
     rows = text_rows(docs, id_col, text_col)
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {_HITS}"
-    windows, blocks = _blocks(spark, bench, n, block_windows)
+    held, windows, blocks = _blocks(spark, bench, n, block_windows)
     if blocks == 1:
-        return rows.mapInArrow(_scan(spark.sparkContext.broadcast(_table(windows.collect()))), schema)  # one block
+        return _items(spark, rows.mapInArrow(_scan(spark.sparkContext.broadcast(_table(windows.collect()))), schema), held)  # one block
     rows = rows.withColumn("row_key", F.xxhash64("doc_id", "text"))
     found = None
     for b in range(blocks):
-        part = windows.where(F.pmod(F.xxhash64("hash", "words"), F.lit(blocks)) == b).collect()
+        part = windows.where(F.col("block") == b).collect()
         one = rows.mapInArrow(_scan(spark.sparkContext.broadcast(_table(part))), schema.replace("n_words", "row_key long, n_words"))
         found = one if found is None else found.unionByName(one)
     copies = rows.groupBy("doc_id", "row_key").agg(F.count("*").alias("copies"))
     found, keys = stored(spark, found), ("doc_id", "row_key")
-    sets = found.groupBy(*keys).agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    sets = found.groupBy(*keys).agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("windows")))).alias("windows"))
     runs_ = maximal_runs(found.select(*keys, F.explode("spans").alias("s")).select(*keys, "s.*"), keys)
     cuts = runs_.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"), F.sum(F.col("end") - F.col("start")).cast("long").alias("n_hit"))  # a group is one text
     same = F.col("s.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("s.row_key") == F.col("t.row_key"))
     merged = sets.alias("s").join(cuts.alias("t"), same, "left").select("s.*", F.coalesce("t.n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("t.spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"))
     key = F.col("c.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("c.row_key") == F.col("m.row_key"))
     both = copies.alias("c").join(merged.alias("m"), key).select("m.*", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy"))
-    return both.select("doc_id", "n_words", "n_hit", "items", "spans")
+    return _items(spark, both.select("doc_id", "n_words", "n_hit", "windows", "spans"), held)
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -173,10 +195,10 @@ def remove(spark: SparkSession, docs: DataFrame, bench: DataFrame, n: int = 10,
     """docs without contaminated documents, or (``drop_documents=False``) without the hit spans."""
     columns = docs.columns
     docs, text_col = docs.toDF(*[f"c{i}" for i in range(len(columns))]), f"c{columns.index(text_col)}"  # any names will do
-    windows, blocks = _blocks(spark, bench, n, block_windows)
+    _, windows, blocks = _blocks(spark, bench, n, block_windows)
     out = docs.withColumn("_any", F.lit(False))
     for b in range(blocks):
-        part = windows.where(F.pmod(F.xxhash64("hash", "words"), F.lit(blocks)) == b).collect()
+        part = windows.where(F.col("block") == b).collect()
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema) + ", _hit boolean"
         out = out.mapInArrow(_cut(spark.sparkContext.broadcast(_table(part)), text_col), kinds).withColumn("_any", F.col("_any") | F.col("_hit")).drop("_hit")
         if drop_documents:
