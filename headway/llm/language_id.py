@@ -3,11 +3,12 @@
 * Features: the code point n-grams (n in ``ORDERS``) of the lower-cased text between two blanks, hashed
   to 2**``BITS`` buckets; weight: share of the text's n-grams times inverse document frequency, which
   is counted over every training document.
-* Languages: the ``MAX_LANGS`` most frequent ones over all training documents (ties by name).
+* Languages: all of the training documents.  A state takes 2**``BITS`` * 16 bytes for each language in a training task and in
+  the driver, which sees only the averaged one.
 * Training: at most about ``max_train`` labelled documents, an equal share for each language (``LEAST_ROWS`` at
   least, all of a rarer one), chosen by a hash of their id; follow the regularised leader with elastic-net
   penalties, ``EPOCHS`` rounds.  In a round each of ``WORKERS`` tasks goes over its own share from the common
-  state, in an order that hangs on the id; the states are averaged.
+  state, in an order that hangs on the id; the states are averaged in tasks, by ``SLICE`` buckets.
 * Calibration: one temperature for all classes, which minimises the log loss of a fifth of the sample
   that training did not see.
 * Acceptance: a document is rejected if its score lies nearer to chance (one over the number of languages) than to the
@@ -38,7 +39,7 @@ WORKERS = 6
 LEAST_ROWS = 50
 EPOCHS = 3
 MAX_TRAIN = 12_000
-MAX_LANGS = 300
+SLICE = 1024
 SCALE = 12.0
 _CHUNK = 500_000
 
@@ -110,23 +111,37 @@ class _State:
 def _train(idf, langs, state, epoch: int):
     def run(batches):
         z, n = state.value
-        s, seen, index = _State(z.copy(), n.copy()), 0, {x: i for i, x in enumerate(langs)}
+        s, seen, index, first = _State(z.copy(), n.copy()), 0, {x: i for i, x in enumerate(langs)}, None
         for batch in batches:
             for part in chunks(batch, limit=_CHUNK):
                 grams, bounds = _grams(part.column("text").to_pylist())
                 ys = [index[x] for x in part.column("lang").to_pylist()]
+                first = part.column("doc_id")[0].as_py() if first is None else first  # names the task's share
                 for r in np.random.default_rng(epoch).permutation(part.num_rows):
                     buckets = _rows(grams, bounds, r)
                     count = np.bincount(buckets, minlength=1 << BITS)
                     at = np.flatnonzero(count)
                     s.learn(at, count[at] * idf.value[at] * (SCALE / len(buckets)), ys[r])
                     seen += 1
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([s.z.tobytes()], pa.binary()), pa.array([s.n.tobytes()], pa.binary())], ["seen", "z", "n"])
+        for k in range(0, 1 << BITS, SLICE) if seen else ():
+            z, n = (pa.array([x[k : k + SLICE].tobytes()], pa.binary()) for x in (s.z, s.n))
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([first], pa.string()), pa.array([seen], pa.int64()), z, n], ["first", "worker", "seen", "z", "n"])
 
     return run
 
 
+def _average(batches):
+    """The mean of the tasks' states, weighted by the rows that each has seen, slice by slice, from rows in their order."""
+    total: dict[int, list] = {}
+    for batch in batches:
+        for r in batch.to_pylist():
+            z, n = (np.frombuffer(r[c]) * r["seen"] for c in ("z", "n"))
+            old = total.get(r["first"])
+            total[r["first"]] = [old[0] + r["seen"], old[1] + z, old[2] + n] if old else [r["seen"], z, n]
+    for k, (seen, z, n) in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([(x / seen).tobytes()], pa.binary()) for x in (z, n))], ["first", "z", "n"])
+
+
 def _logits(model):
     """model: broadcast of (idf-scaled weights, languages, temperature)."""
 
@@ -157,8 +172,7 @@ def _predict(model):
             for part in chunks(batch, limit=_CHUNK):
                 texts = part.column("text").to_pylist()
                 s = _logits(model)([t or "" for t in texts]) / temperature
-                p = np.exp(s - s.max(axis=1, keepdims=True))
-                p /= p.sum(axis=1, keepdims=True)
+                p = _softmax(s)
                 best = p.argmax(axis=1)
                 ok = [has_letter(t) for t in texts]
                 lang = [langs[b] if k else "und" for b, k in zip(best, ok, strict=True)]
@@ -169,38 +183,50 @@ def _predict(model):
     return run
 
 
-def _calibration(model):
+_GRID = np.geomspace(0.05, 20, 121)
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    p = np.exp(x - x.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def _losses(model):
+    """A chunk's log loss at each temperature of the grid; ``first`` names the chunk."""
+
     def run(batches):
         index = {x: i for i, x in enumerate(model.value[1])}
         for batch in batches:
             for part in chunks(batch, limit=_CHUNK):
                 s = _logits(model)(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array([index[x] for x in part.column("lang").to_pylist()], pa.int32()), pa.array(s.tolist(), pa.list_(pa.float64()))], ["y", "s"])
+                own = s[np.arange(len(s)), [index[x] for x in part.column("lang").to_pylist()]]
+                top = s.max(axis=1)
+                loss = [float((np.log(np.exp((s - top[:, None]) / t).sum(axis=1)) - (own - top) / t).sum()) for t in _GRID]
+                yield pa.RecordBatch.from_arrays([pa.array([part.column("doc_id")[0].as_py()], pa.string()), pa.array([loss], pa.list_(pa.float64()))], ["first", "loss"])
 
     return run
 
 
-def _floor(rows, temperature: float, missed: float = 0.001) -> float:
-    """Half way from chance to the score that all but ``missed`` of the rows reach."""
-    if not rows:
-        return 0.0
-    x = np.array([r.s for r in rows]) / temperature
-    p = np.exp(x - x.max(axis=1, keepdims=True))
-    return (1 / p.shape[1] + float(np.quantile((p / p.sum(axis=1, keepdims=True)).max(axis=1), missed))) / 2
+def _temperature(rows) -> float:
+    """rows: losses of chunks."""
+    return float(_GRID[np.argmin(sum(np.array(r.loss) for r in sorted(rows, key=lambda r: r.first)))]) if rows else 1.0
 
 
-def _temperature(rows) -> float:
-    if not rows:
-        return 1.0
-    y, s = np.array([r.y for r in rows]), np.array([r.s for r in rows])
+def _surest(model):
+    """The highest probability of each row."""
 
-    def loss(t: float) -> float:
-        x = s / t
-        x = x - x.max(axis=1, keepdims=True)
-        return float((np.log(np.exp(x).sum(axis=1)) - x[np.arange(len(y)), y]).mean())
+    def run(batches):
+        for batch in batches:
+            for part in chunks(batch, limit=_CHUNK):
+                p = _softmax(_logits(model)(part.column("text").to_pylist()) / model.value[2]).max(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(p)], ["p"])
+
+    return run
 
-    grid = np.geomspace(0.05, 20, 121)
-    return float(min(grid, key=loss))
+
+def _floor(reached: float | None, langs: int) -> float:
+    """Half way from chance to the score that nearly all rows reach."""
+    return 0.0 if reached is None else (1 / langs + reached) / 2
 
 
 class Model:
@@ -221,34 +247,35 @@ def fit(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_co
     for r in counts:
         df[r.bucket] = r.n if r.bucket >= 0 else df[r.bucket]
     idf = np.log((1 + n_docs) / (1 + df)) + 1
-    common = labelled.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MAX_LANGS).collect()
+    common = labelled.groupBy("lang").count().collect()  # one row a language
     langs = sorted(r.lang for r in common)
     share = max(LEAST_ROWS, max_train // max(1, len(langs)))
     drawn = spark.createDataFrame([(r.lang, int(min(1.0, share / r["count"]) * (1 << 30))) for r in common], "lang string, most long")
-    sample = labelled.join(F.broadcast(drawn), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < F.col("most"))  # MAX_LANGS rows
+    sample = labelled.join(F.broadcast(drawn), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < F.col("most"))  # one row a language
     sample = stored(spark, sample.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5 * WORKERS)).cast("int")))
     if not langs:
         return Model(np.zeros((0, 1 << BITS), np.float32), [], 1.0)
     z, n = np.zeros((1 << BITS, len(langs))), np.zeros((1 << BITS, len(langs)))
     sent = spark.sparkContext.broadcast(idf)
     for epoch in range(EPOCHS):
-        shares = sample.where(F.col("part") % 5 != 0).repartition(WORKERS, F.floor(F.col("part") / 5)).sortWithinPartitions(F.xxhash64("doc_id", F.lit("order")), "doc_id", "text", "lang").select("text", "lang")
+        shares = sample.where(F.col("part") % 5 != 0).repartition(WORKERS, F.floor(F.col("part") / 5)).sortWithinPartitions(F.xxhash64("doc_id", F.lit("order")), "doc_id", "text", "lang").select("doc_id", "text", "lang")
         state = spark.sparkContext.broadcast((z, n))
-        out = shares.mapInArrow(_train(sent, langs, state, epoch), "seen long, z binary, n binary").collect()  # at most WORKERS states
+        states = shares.mapInArrow(_train(sent, langs, state, epoch), "first int, worker string, seen long, z binary, n binary")
+        mean = states.repartition("first").sortWithinPartitions("first", "worker").mapInArrow(_average, "first int, z binary, n binary").collect()  # one state
         state.destroy()
-        seen = sum(r.seen for r in out)
-        if not seen:
-            break
-        z = sum(np.frombuffer(r.z).reshape(z.shape) * (r.seen / seen) for r in out)
-        n = sum(np.frombuffer(r.n).reshape(n.shape) * (r.seen / seen) for r in out)
+        for r in mean:
+            for x, got in ((z, r.z), (n, r.n)):
+                x[r.first : r.first + SLICE] = np.frombuffer(got).reshape(-1, len(langs))
     weights = (_State(z, n).weights() * idf[:, None]).T.astype(np.float32).copy()
     raw = spark.sparkContext.broadcast((weights, langs, 1.0))
-    scored = sample.where(F.col("part") % 5 == 0).select("text", "lang").mapInArrow(_calibration(raw), "y int, s array<double>").collect()  # a part of the bounded sample
-    sent.destroy()
-    raw.destroy()
-    temperature = _temperature(scored)
+    unseen = sample.where(F.col("part") % 5 == 0).select("doc_id", "text", "lang")
+    temperature = _temperature(unseen.mapInArrow(_losses(raw), "first string, loss array<double>").collect())  # a row for some hundred of the bounded sample's
+    cooled = spark.sparkContext.broadcast((weights, langs, temperature))
+    reached = unseen.mapInArrow(_surest(cooled), "p double").agg(F.percentile("p", 0.001).alias("p")).first().p  # all but a thousandth of the sample's rows
+    for x in (sent, raw, cooled):
+        x.destroy()
     drop_stored(spark, sample)
-    return Model(weights, langs, temperature, _floor(scored, temperature))
+    return Model(weights, langs, temperature, _floor(reached, len(langs)))
 
 
 def predict(spark: SparkSession, docs: DataFrame, model: Model, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
