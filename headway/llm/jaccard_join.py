@@ -102,8 +102,10 @@ def _often(n: int):
                 at, c = np.unique(_counter(np.concatenate(_sets(part, n))), return_counts=True)
                 seen[at] += c
         for k in range(0, len(seen), width):
-            if seen[k : k + width].any():
-                yield pa.RecordBatch.from_arrays([pa.array([k // width], pa.int32()), pa.array([seen[k : k + width].tobytes()], pa.binary())], ["slice", "counts"])
+            own = seen[k : k + width]
+            if own.any():
+                own = own.astype(np.min_scalar_type(own.max()))  # 1, 2, 4 or 8 bytes a counter
+                yield pa.RecordBatch.from_arrays([pa.array([k // width], pa.int32()), pa.array([own.tobytes()], pa.binary())], ["slice", "counts"])
 
     return run
 
@@ -112,7 +114,7 @@ def _summed(batches):
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, counts in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            total[k] = np.frombuffer(counts, dtype=np.int64) + total.get(k, 0)
+            total[k] = np.frombuffer(counts, dtype=f"u{len(counts) >> SLICE_BITS}").astype(np.int64) + total.get(k, 0)
     if total:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["slice", "counts"])
 
@@ -568,7 +570,8 @@ def groups(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den:
         in_cells = lambda df: df.repartition(width, "cell").sortWithinPartitions("cell", "fp")
         maybe = stored(spark, in_cells(part.join(some, "fp")).mapInArrow(_candidates(num, den, True), row))
         own = cells.join(maybe.select("fp").distinct(), "fp").groupBy("fp").agg(F.array_sort(F.collect_list("code")).alias("codes"))  # a class's first codes
-        likely = in_cells(maybe.join(whole.join(own, "fp"), "fp")).mapInArrow(_candidates(num, den, False), row)
+        before = F.filter("codes", lambda c: c < F.col("code")).alias("codes")  # all that tells whether a pair belongs to an earlier cell
+        likely = in_cells(maybe.join(whole.join(own, "fp"), "fp").select(*_ROW, "n", "bm", before)).mapInArrow(_candidates(num, den, False), row)
         likely = stored(spark, likely.select("cell", "fp", "comp"))
         asked = stored(spark, classes.join(likely.select("fp").distinct(), "fp").select("fp", F.col("row_key").alias("own_key"), F.col("id_hash")))
         known = F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked
