@@ -7,10 +7,14 @@ cell numbers in a column of their own, so that a scan of cells reads no exact ve
 1. Cells of ``CHUNK`` vectors are one row, and so are ``BLOCK`` queries; each pair of such rows is one step of
    the search, and no side is broadcast or collected whole.  The middle of a cell gives the score's middle, the
    cell's half width its possible error: from both come a lower and an upper bound of each inner product.
-   The first scan finds for each query the k-th highest lower bound over all vectors.
-2. The second scan names the candidates: vectors whose upper bound reaches it.
-3. Exact vectors are read in the order of their bounds: first the ``AHEAD`` * k candidates of highest bounds, and
-   then only those whose bound still reaches the k-th exact score; nothing behind it can enter the result.
+   The first scan finds for each query the k-th highest lower bound over all vectors, and its id.
+2. The second scan names the candidates: vectors whose upper bound is over it, or equal with no larger id.
+3. The candidates' exact vectors are taken from the file once, and read in the order of their bounds, in rounds: the
+   ``AHEAD`` * k of highest bounds, then ``GROWTH`` times as many places each round, of those whose bound still
+   reaches the k-th exact score.  When none is left the k-th result is certain.
+
+Equal vectors tie for every query, so of each group of them only the k + 1 smallest ids (a query's own is no candidate
+of it) are scanned; the others can't enter any result.  A group is found by a 128-bit hash of the vector.
 
 Ties go to the smaller id.  Scores are exact: 64-bit arithmetic where it can't overflow, else Python integers.
 
@@ -25,6 +29,7 @@ counts as the nearest 64-bit value.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -39,6 +44,7 @@ CELLS = 64
 BLOCK = 2048
 CHUNK = 2048
 AHEAD = 2
+GROWTH = 4
 _EXACT = float(1 << 53)
 
 
@@ -82,18 +88,20 @@ def _encode(bounds):
     def run(batches):
         for batch in batches:
             cells: list = [None] * batch.num_rows
+            same: list = [None] * batch.num_rows
             for d, at in _by_length(batch):
                 m, edges = _matrix(batch.column("v").take(at), d), bounds.value[d]
                 codes = np.stack([np.clip(np.searchsorted(edges[:, j], m[:, j], side="right") - 1, 0, CELLS - 1) for j in range(d)], axis=1).astype(np.uint8)
-                for i, row in zip(at.to_pylist(), codes, strict=True):
+                for i, row, vector in zip(at.to_pylist(), codes, m, strict=True):
                     cells[i] = row.tobytes()
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("vec_id", "d", "v")), pa.array(cells, pa.binary())], ["vec_id", "d", "v", "cells"])
+                    same[i] = hashlib.blake2b(vector.tobytes(), digest_size=16).digest()
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("vec_id", "d", "v")), pa.array(cells, pa.binary()), pa.array(same, pa.binary())], ["vec_id", "d", "v", "cells", "same"])
 
     return run
 
 
 def build(spark: SparkSession, ints: DataFrame) -> tuple[DataFrame, dict[int, np.ndarray]]:
-    """The approximation file (vec_id, d, v, cells) and its cell bounds by vector length."""
+    """The approximation file (vec_id, d, v, cells, same: a hash of v) and its cell bounds by vector length."""
     narrow = ints.where("v is not null").select("vec_id", "d", "v")
     # one row for each length and component
     seen = narrow.mapInArrow(_ranges, "d int, j int, lo long, hi long").groupBy("d", "j").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()
@@ -101,7 +109,7 @@ def build(spark: SparkSession, ints: DataFrame) -> tuple[DataFrame, dict[int, np
     for d in {r.d for r in seen}:
         own = sorted((r.j, r.lo, r.hi) for r in seen if r.d == d)
         bounds[d] = np.array([np.floor(np.linspace(lo, hi + 1, CELLS + 1)) for _, lo, hi in own]).T
-    coded = narrow.mapInArrow(_encode(spark.sparkContext.broadcast(bounds)), "vec_id long, d int, v array<int>, cells binary")
+    coded = narrow.mapInArrow(_encode(spark.sparkContext.broadcast(bounds)), "vec_id long, d int, v array<int>, cells binary, same binary")
     return stored(spark, coded), bounds
 
 
@@ -149,8 +157,11 @@ def _bounds_of(row: dict, edges: np.ndarray):
     top = max(float(np.abs(q).max()), 1.0) * max(float(np.abs(middle).max()), 1.0) * d
     if 2 * top >= _EXACT:
         error += top * d * 2.0**-51  # rounding
+    low, high = score - error, score + error
+    if top >= 2.0**63:  # as the scores are cut
+        low, high = np.clip(low, -(2.0**63), 2.0**63), np.clip(high, -(2.0**63), 2.0**63)
     own = qid[:, None] == ids[None, :]
-    return qid, qkey, ids, np.where(own, -np.inf, score - error), np.where(own, -np.inf, score + error)
+    return qid, qkey, ids, np.where(own, -np.inf, low), np.where(own, -np.inf, high)
 
 
 _PAIR = ("d", "query_id", "query_key", "q", "vec_id", "cells")
@@ -164,34 +175,51 @@ def _pairs(batches, *more: str):
                 yield row
 
 
+def _highest(low: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k highest of each row of ``low``, ties to the smaller id, with their ids; all, if fewer."""
+    if low.shape[1] <= k:
+        return low, np.broadcast_to(ids, low.shape)
+    order = np.argsort(ids, kind="stable")
+    low, ids = low[:, order], ids[order]
+    kth = -np.partition(-low, k - 1, axis=1)[:, k - 1 : k]
+    over, tie = low > kth, low == kth
+    room = k - over.sum(axis=1, keepdims=True)
+    r, c = np.nonzero(over | (tie & (np.cumsum(tie, axis=1) <= room)))
+    return low[r, c].reshape(-1, k), ids[c].reshape(-1, k)
+
+
 def _floors(edges, k: int):
-    """The k highest lower bounds of each query in a task."""
+    """The k highest lower bounds of each query in a task, with their ids."""
 
     def run(batches):
-        best: dict[bytes, np.ndarray] = {}
+        best: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
         keys: dict[bytes, tuple] = {}
         for row in _pairs(batches):
-            qid, qkey, _, low, _ = _bounds_of(row, edges.value[row["d"]])
+            qid, qkey, ids, low, _ = _bounds_of(row, edges.value[row["d"]])
+            low, at = _highest(low, ids, k)
             name = row["query_id"] + row["query_key"]
             if name in best:
-                low = np.concatenate((best[name], low), axis=1)
-            best[name] = -np.partition(-low, k - 1, axis=1)[:, :k] if low.shape[1] > k else low
+                low, at = (np.concatenate((old, new), axis=1) for old, new in zip(best[name], (low, at), strict=True))
+                order = np.lexsort((at, -low), axis=-1)[:, :k]
+                low, at = np.take_along_axis(low, order, axis=1), np.take_along_axis(at, order, axis=1)
+            best[name] = low, at
             keys[name] = (qid, qkey)
-        for name, low in best.items():
+        for name, (low, at) in best.items():
             r, c = np.nonzero(low > -np.inf)
             qid, qkey = keys[name]
-            yield pa.RecordBatch.from_arrays([pa.array(qid[r]), pa.array(qkey[r]), pa.array(low[r, c])], ["query_id", "query_key", "low"])
+            yield pa.RecordBatch.from_arrays([pa.array(qid[r]), pa.array(qkey[r]), pa.array(low[r, c]), pa.array(at[r, c])], ["query_id", "query_key", "low", "vec_id"])
 
     return run
 
 
 def _named(edges):
-    """The candidates: upper bound at the query's floor or over it."""
+    """The candidates: upper bound over the query's floor, or at it with no larger id."""
 
     def run(batches):
-        for row in _pairs(batches, "floor"):
+        for row in _pairs(batches, "floor", "floor_id"):
             qid, qkey, ids, _, high = _bounds_of(row, edges.value[row["d"]])
-            r, c = np.nonzero((high >= np.frombuffer(row["floor"], dtype=np.float64)[:, None]) & (high > -np.inf))
+            floor, last = (np.frombuffer(row[c], dtype=t)[:, None] for c, t in (("floor", np.float64), ("floor_id", np.int64)))
+            r, c = np.nonzero(((high > floor) | ((high == floor) & (ids[None, :] <= last))) & (high > -np.inf))
             yield pa.RecordBatch.from_arrays([pa.array(qid[r]), pa.array(qkey[r]), pa.array(ids[c]), pa.array(high[r, c])], ["query_id", "query_key", "vec_id", "upper"])
 
     return run
@@ -252,7 +280,10 @@ def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
     narrow = asked.where("q is not null")
     blocks = max(1, math.ceil(narrow.count() / block))
     bounds = spark.sparkContext.broadcast(edges)
-    chunks = stored(spark, file.select("vec_id", "d", "cells").mapInArrow(_packed("vec_id", "cells", rows=CHUNK), "d int, vec_id binary, cells binary"))
+    # both limits are applied before the exchange too, so that a hot vector is no task's own
+    nth_row, nth_id = F.row_number().over(Window.partitionBy("d", "same", "vec_id").orderBy("vec_id")), F.dense_rank().over(Window.partitionBy("d", "same").orderBy("vec_id"))
+    few = file.select("vec_id", "d", "cells", "same").withColumn("nth", nth_row).where(F.col("nth") <= k).withColumn("nth", nth_id).where(F.col("nth") <= k + 1)
+    chunks = stored(spark, few.select("vec_id", "d", "cells").mapInArrow(_packed("vec_id", "cells", rows=CHUNK), "d int, vec_id binary, cells binary"))
 
     def paired(q: DataFrame, *more: str) -> DataFrame:
         """Every chunk of cells with every block of queries."""
@@ -261,31 +292,41 @@ def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
         return chunks.crossJoin(packed.withColumnRenamed("d", "of"))
 
     keys = ["query_id", "query_key"]
-    lows = paired(narrow).mapInArrow(_floors(bounds, k), "query_id long, query_key long, low double")
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("low").desc()))
-    floors = lows.withColumn("nth", nth).where(F.col("nth") == k).select(*keys, F.col("low").alias("floor"))
-    floored = stored(spark, narrow.join(floors, keys, "left").select(*keys, "d", "q", F.coalesce("floor", F.lit(float("-inf"))).alias("floor")))
-    named = paired(floored, "floor").mapInArrow(_named(bounds), "query_id long, query_key long, vec_id long, upper double")
-    named = stored(spark, named.groupBy(*keys, "vec_id").agg(F.max("upper").alias("upper")))  # rows of one id are read together
+    lows = paired(narrow).mapInArrow(_floors(bounds, k), "query_id long, query_key long, low double, vec_id long")
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("low").desc(), "vec_id"))
+    floors = lows.withColumn("nth", nth).where(F.col("nth") == k).select(*keys, F.col("low").alias("floor"), F.col("vec_id").alias("floor_id"))
+    floor, last = F.coalesce("floor", F.lit(float("-inf"))).alias("floor"), F.coalesce("floor_id", F.lit((1 << 63) - 1)).alias("floor_id")
+    floored = stored(spark, narrow.join(floors, keys, "left").select(*keys, "d", "q", floor, last))
+    named = paired(floored, "floor", "floor_id").mapInArrow(_named(bounds), "query_id long, query_key long, vec_id long, upper double")
+    by_bound = Window.partitionBy(*keys).orderBy(F.col("upper").desc(), "vec_id")
+    named = named.groupBy(*keys, "vec_id").agg(F.max("upper").alias("upper"))  # rows of one id are read together
+    ordered = stored(spark, named.withColumn("place", F.row_number().over(by_bound)))
+    wanted = file.select("vec_id", "d", "v", "same").join(ordered.select("vec_id").distinct(), "vec_id", "left_semi")
+    wanted = stored(spark, wanted.withColumn("nth", nth_row).where(F.col("nth") <= k).select("vec_id", F.col("d").alias("of"), "v"))
 
     def read(some: DataFrame) -> DataFrame:
-        both = some.select(*keys, "vec_id").join(file.select("vec_id", F.col("d").alias("of"), "v"), "vec_id").join(narrow.select(*keys, "d", "q"), keys).where("d = of")
+        both = some.select(*keys, "vec_id").join(wanted, "vec_id").join(narrow.select(*keys, "d", "q"), keys).where("d = of")
         return stored(spark, both.select(*keys, "vec_id", "d", "q", "v").mapInArrow(_exact, _OUT))
 
-    by_bound = Window.partitionBy(*keys).orderBy(F.col("upper").desc(), "vec_id")
-    ordered = stored(spark, named.withColumn("place", F.row_number().over(by_bound)))
-    ahead = read(ordered.where(F.col("place") <= AHEAD * k))
     by_score = Window.partitionBy(*keys).orderBy(F.col("score").desc(), "vec_id")
-    reached = ahead.withColumn("nth", F.row_number().over(by_score)).where(F.col("nth") == k).select(*keys, F.col("score").alias("reached"))
-    behind = ordered.where(F.col("place") > AHEAD * k).join(reached, keys, "left").where(F.col("reached").isNull() | (F.col("upper") >= F.col("reached")))
-    scored = ahead.unionByName(read(behind))
+    done = AHEAD * k
+    scored = read(ordered.where(F.col("place") <= done))
+    while True:
+        reached = scored.withColumn("nth", F.row_number().over(by_score)).where(F.col("nth") == k).select(*keys, F.col("score").alias("reached"), F.col("vec_id").alias("reached_id"))
+        before = (F.col("vec_id") < F.col("reached_id")) | (F.abs(F.col("reached").cast("double")) >= _EXACT)  # beyond, equal doubles say nothing
+        enters = (F.col("upper") > F.col("reached")) | ((F.col("upper") >= F.col("reached")) & before)
+        behind = ordered.where(F.col("place") > done).join(reached, keys, "left").where(F.col("reached").isNull() | enters)
+        if behind.isEmpty():
+            break
+        scored = scored.unionByName(read(behind.where(F.col("place") <= GROWTH * done)))
+        done *= GROWTH
     reads = scored.groupBy(*keys).agg(F.count("*").alias("exact_reads"))
     wide = ints.where("wide is not null")
     if not wide.isEmpty():  # a wide row takes part exactly, on either side
         every = ints.withColumnRenamed("d", "of")
         slow = wide.withColumnRenamed("d", "of").crossJoin(asked).unionByName(every.where("wide is null").crossJoin(asked.where("q is null")))
         scored = scored.unionByName(stored(spark, slow.mapInArrow(_slow(scale, k), _OUT)))
-    drop_stored(spark, chunks, floored, named)
+    drop_stored(spark, chunks, floored, ordered, wanted)
     ranked = scored.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
     return ranked.select(*keys, "rank", "vec_id", "score"), reads
 

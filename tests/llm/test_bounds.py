@@ -5,7 +5,7 @@ import collections
 import numpy as np
 from pyspark.sql import functions as F
 
-from headway.llm import decontaminate, language_id
+from headway.llm import decontaminate, language_id, vector_search
 
 
 def test_a_window_of_many_items_is_broadcast_once(spark):
@@ -32,3 +32,55 @@ def test_every_language_is_learned(spark):
     assert len(model.langs) == many
     out = language_id.predict(spark, df.where(language_id.held_out(F.col("doc_id"))), model, keep=("doc_id", "lang"))
     assert out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.95
+
+
+def exact_top(ids, ints, queries, k):
+    """(vec_id, score) of the k best of each query, scored one by one."""
+    out = {}
+    for q in queries:
+        row = ids.index(q)
+        out[q] = [(i, -s) for s, i in sorted((-int(s), i) for i, s in zip(ids, ints @ ints[row], strict=True) if i != q)[:k]]
+    return out
+
+
+def searched(spark, ids, v, k=10):
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in zip(ids, v, strict=True)], "vec_id long, embedding array<double>")
+    ranked, reads = vector_search.search(spark, df, df.where("vec_id % 100 = 0"), k)
+    got = collections.defaultdict(list)
+    for r in ranked.orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    return dict(got), reads.agg(F.max("exact_reads")).first()[0]
+
+
+def test_equal_vectors_cost_no_more_reads_than_others(spark):
+    ids, v = list(range(4000)), np.tile(np.random.default_rng(1).normal(size=8), (4000, 1))
+    got, reads = searched(spark, ids, v)
+    assert got == exact_top(ids, np.floor(v * 1024).astype(np.int64), range(0, 4000, 100), 10)
+    assert reads <= 11
+
+
+def test_ties_of_different_vectors(spark):
+    """Queries that are zero tie with everything; others tie with whole planes of vectors."""
+    rng = np.random.default_rng(2)
+    v = np.zeros((3000, 6))
+    v[:, 1:] = rng.integers(-2, 3, (3000, 5)) / 4
+    v[::100] = 0.0
+    v[500::1000, 0] = 1.0  # orthogonal to all but each other
+    ids = [int(i) for i in rng.permutation(3000)]
+    at = np.argsort(ids)
+    ids, v = [ids[i] for i in rng.permutation(3000)], v[at]
+    got, reads = searched(spark, ids, v)
+    assert got == exact_top(ids, np.floor(v * 1024).astype(np.int64), range(0, 3000, 100), 10)
+    assert reads < 300
+
+
+def test_reads_go_on_in_rounds(spark):
+    """One far component makes all cells of the rest so wide that bounds say little: many rounds, exact results."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(2000, 8))
+    v[7] = 4000.0
+    v[13] = -4000.0
+    ids = list(range(2000))
+    got, reads = searched(spark, ids, v)
+    assert got == exact_top(ids, np.floor(v * 1024).astype(np.int64), range(0, 2000, 100), 10)
+    assert reads > 80
