@@ -10,8 +10,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What messages are made of.
+_EVENT = ("event_id", "user_id", "ts", "event_type", "props")
+
+
+def _typed(events: DataFrame) -> DataFrame:
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    return _typed(table(spark, sf_dir, "events"))
+
+
+def spread(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """rows in even parts, two a core: work on them doesn't hang on how many row groups a file happens to have."""
+    return rows.repartition(2 * spark.sparkContext.defaultParallelism)
 
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +73,7 @@ def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         ',"dir":', case when k = 4 then '"x"' when k = 11 then '"0"' when k = 12 then '"-1"' when k = 20 then '" 2 "' when k = 21 then '""' when k = 22 then '2' else concat('"', cast(user_id % 2 + 1 as string), '"') end,
         ',"lat":', case when k = 3 then 'null' when k = 13 then '"60.13"' else concat('60.', lpad(cast(k as string), 2, '0')) end, ',"long":24.9,"spd":', case when k = 5 then '100' when k = 7 then 'null' when k = 19 then '"fast"' else cast(k % 40 as string) end,
         case when k = 10 then ',"dl":5.5' when k = 16 then ',"drst":true' when k = 18 then ',"dl":"12"' when k = 23 then ',"dl":1e2' when k = 24 then ',"dl":"1e2"' else '' end, '}}')"""
-    return _events(spark, sf_dir).selectExpr("event_id", "ts", "k", f"""case when k = 1 then '{{broken' when k = 2 then '{{"XX":1}}' when k = 15 then '{{"VP":[]}}' when k = 25 then '[1]' when k = 26 then '{{"VP":"text"}}' else {vp} end as value""", "'raw' as topic")
+    return spread(spark, table(spark, sf_dir, "events").select(*_EVENT)).transform(_typed).selectExpr("event_id", "ts", "k", f"""case when k = 1 then '{{broken' when k = 2 then '{{"XX":1}}' when k = 15 then '{{"VP":[]}}' when k = 25 then '[1]' when k = 26 then '{{"VP":"text"}}' else {vp} end as value""", "'raw' as topic")
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,3 +50,11 @@ def test_history_is_the_stop_marts(spark):
     assert all((r.h_hour, r.h_dow) == (r.hour_of_day, r.day_of_week) for r in exact if (r.stop_id, r.line_id, r.hour_of_day, r.day_of_week) in rows)
     vectors = q.feature_vector(spark, "/root/testdata/sf0.01")  # at the smallest size no request meets a stop with several events
     assert vectors.where("historical_stddev_delay > 0").count() > 0.5 * vectors.count()
+
+
+def test_messages_are_spread_over_the_cores(spark):
+    """A table of one row group would else be classified by one task, whatever its size."""
+    from headway.sources import adapters
+
+    parts = [n for n in adapters.raw_messages(spark, "/root/testdata/sf0.01").rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    assert len(parts) == 2 * spark.sparkContext.defaultParallelism and max(parts) < 1.2 * min(parts)
