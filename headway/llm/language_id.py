@@ -5,14 +5,14 @@
   is counted over every training document.
 * Languages: all of the training documents.  A state takes 2**``BITS`` * 16 bytes for each language in a training task and in
   the driver, which sees only the averaged one.
-* Training: at most about ``max_train`` labelled documents, an equal share for each language (``LEAST_ROWS`` at
-  least, all of a rarer one), chosen by a hash of their id; follow the regularised leader with elastic-net
-  penalties, ``EPOCHS`` rounds.  In a round each of ``WORKERS`` tasks goes over its own share from the common
-  state, in an order that hangs on the id; the states are averaged in tasks, by ``SLICE`` buckets.
-* Calibration: one temperature for all classes, which minimises the log loss of a fifth of the sample
+* Training: every labelled training document (``max_train`` draws a smaller set, equal for each language); follow the
+  regularised leader with elastic-net penalties, ``EPOCHS`` rounds.  N-grams are counted once and kept packed, in shares of about
+  ``SHARE_ROWS`` documents, ``WORKERS`` shares at least.  In a round each share is gone over from the common state, in an order
+  that hangs on the id, whatever the layout of the table; the states are averaged in tasks, by ``SLICE`` buckets.
+* Calibration: one temperature for all classes, which minimises the log loss of the fifth of all training documents
   that training did not see.
 * Acceptance: a document is rejected if its score lies nearer to chance (one over the number of languages) than to the
-  score that all but a thousandth of the calibration rows reach.
+  score that all but a thousandth of the calibration rows reach (to one part in ``STEPS``).
 
 Training rows are those whose crc32 of the id's text, modulo ``folds``, is not ``held_out``; language,
 source and id are never inputs of a prediction.
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headway.llm.shared import drop_stored, stored
+from headway.llm.shared import drop_stored, scratch
 from headway.llm.textvec import chunks
 
 BITS = 15
@@ -38,7 +38,9 @@ ORDERS = (1, 2, 3)
 WORKERS = 6
 LEAST_ROWS = 50
 EPOCHS = 3
-MAX_TRAIN = 12_000
+SHARE_ROWS = 16_000
+BLOCK = 512
+STEPS = 1 << 16
 SLICE = 1024
 SCALE = 12.0
 _CHUNK = 500_000
@@ -69,16 +71,45 @@ def _rows(grams: list[np.ndarray], bounds: np.ndarray, r: int) -> np.ndarray:
     return np.concatenate([g[bounds[r] : max(bounds[r], bounds[r + 1] - n + 1)] for n, g in zip(ORDERS, grams, strict=False)])
 
 
-def _frequencies(batches):
-    df, docs = np.zeros(1 << BITS, dtype=np.int64), 0
+def _planes(values: np.ndarray) -> bytes:
+    """Whole numbers as planes of their bytes, lowest first, as many as the largest one has."""
+    size = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return values.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :size].T.tobytes()
+
+
+def _numbers(planes: bytes, n: int) -> np.ndarray:
+    b = np.frombuffer(planes, np.uint8).reshape(-1, max(1, n))[:, :n]
+    return sum(b[i].astype(np.int64) << (8 * i) for i in range(len(b)))
+
+
+def _features(batches):
+    """The text's distinct buckets, as steps from each to the next, and how often it has each."""
     for batch in batches:
         for part in chunks(batch, limit=_CHUNK):
             grams, bounds = _grams(part.column("text").to_pylist())
+            steps, counts, sizes = [], [], []
             for r in range(part.num_rows):
-                seen = np.zeros(1 << BITS, dtype=bool)
-                seen[_rows(grams, bounds, r)] = True
-                df += seen
-                docs += 1
+                count = np.bincount(_rows(grams, bounds, r), minlength=1 << BITS)
+                at = np.flatnonzero(count)
+                sizes.append(len(at))
+                steps.append(_planes(np.diff(at, prepend=0)))
+                counts.append(_planes(count[at]))
+            keep = [c for c in part.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(sizes, pa.int32()), pa.array(steps, pa.binary()), pa.array(counts, pa.binary())], [*keep, "size", "steps", "counts"])
+
+
+def _unpacked(batches):
+    """(buckets, counts, row) of each row of ``_features``."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            yield np.cumsum(_numbers(r["steps"], r["size"])), _numbers(r["counts"], r["size"]), r
+
+
+def _frequencies(batches):
+    df, docs = np.zeros(1 << BITS, dtype=np.int64), 0
+    for at, _, _ in _unpacked(batches):
+        df[at] += 1
+        docs += 1
     if docs:
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(df[at], docs), pa.int64())], ["bucket", "n"])
@@ -109,23 +140,35 @@ class _State:
 
 
 def _train(idf, langs, state, epoch: int):
-    def run(batches):
-        z, n = state.value
-        s, seen, index, first = _State(z.copy(), n.copy()), 0, {x: i for i, x in enumerate(langs)}, None
-        for batch in batches:
-            for part in chunks(batch, limit=_CHUNK):
-                grams, bounds = _grams(part.column("text").to_pylist())
-                ys = [index[x] for x in part.column("lang").to_pylist()]
-                first = part.column("doc_id")[0].as_py() if first is None else first  # names the task's share
-                for r in np.random.default_rng(epoch).permutation(part.num_rows):
-                    buckets = _rows(grams, bounds, r)
-                    count = np.bincount(buckets, minlength=1 << BITS)
-                    at = np.flatnonzero(count)
-                    s.learn(at, count[at] * idf.value[at] * (SCALE / len(buckets)), ys[r])
-                    seen += 1
-        for k in range(0, 1 << BITS, SLICE) if seen else ():
+    """The state after each share; a share's rows follow each other in one task."""
+
+    def learned(s: _State, block: list) -> None:
+        for r in np.random.default_rng(epoch).permutation(len(block)):
+            at, count, y = block[r]
+            s.learn(at, count * idf.value[at] * (SCALE / count.sum()), y)
+
+    def result(s: _State, share: int, seen: int):
+        for k in range(0, 1 << BITS, SLICE):
             z, n = (pa.array([x[k : k + SLICE].tobytes()], pa.binary()) for x in (s.z, s.n))
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([first], pa.string()), pa.array([seen], pa.int64()), z, n], ["first", "worker", "seen", "z", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([share], pa.int32()), pa.array([seen], pa.int64()), z, n], ["first", "share", "seen", "z", "n"])
+
+    def run(batches):
+        index, s, share, seen, block = {x: i for i, x in enumerate(langs)}, None, None, 0, []
+        for at, count, r in _unpacked(batches):
+            if s is None or r["share"] != share:
+                if s is not None:
+                    learned(s, block)
+                    yield from result(s, share, seen)
+                z, n = state.value
+                s, share, seen, block = _State(z.copy(), n.copy()), r["share"], 0, []
+            block.append((at, count, index[r["lang"]]))
+            seen += 1
+            if len(block) == BLOCK:
+                learned(s, block)
+                block = []
+        if s is not None:
+            learned(s, block)
+            yield from result(s, share, seen)
 
     return run
 
@@ -139,7 +182,7 @@ def _average(batches):
             old = total.get(r["first"])
             total[r["first"]] = [old[0] + r["seen"], old[1] + z, old[2] + n] if old else [r["seen"], z, n]
     for k, (seen, z, n) in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([(x / seen).tobytes()], pa.binary()) for x in (z, n))], ["first", "z", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([seen], pa.int64()), *(pa.array([(x / seen).tobytes()], pa.binary()) for x in (z, n))], ["first", "seen", "z", "n"])
 
 
 def _logits(model):
@@ -191,91 +234,121 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return p / p.sum(axis=1, keepdims=True)
 
 
+def _labelled(model, rows):
+    """Logits of rows of ``_features``, with the place of their language."""
+    weights, langs, _ = model.value
+    index = {x: i for i, x in enumerate(langs)}
+    for at, count, r in _unpacked(rows):
+        yield (weights[:, at].astype(np.float64) @ count) * (SCALE / count.sum()), index[r["lang"]]
+
+
+_UNITS = float(1 << 24)
+
+
 def _losses(model):
-    """A chunk's log loss at each temperature of the grid; ``first`` names the chunk."""
+    """A task's log loss at each temperature of the grid; rows' losses are whole numbers of 2**-24, so that sums don't hang on their order."""
 
     def run(batches):
-        index = {x: i for i, x in enumerate(model.value[1])}
-        for batch in batches:
-            for part in chunks(batch, limit=_CHUNK):
-                s = _logits(model)(part.column("text").to_pylist())
-                own = s[np.arange(len(s)), [index[x] for x in part.column("lang").to_pylist()]]
-                top = s.max(axis=1)
-                loss = [float((np.log(np.exp((s - top[:, None]) / t).sum(axis=1)) - (own - top) / t).sum()) for t in _GRID]
-                yield pa.RecordBatch.from_arrays([pa.array([part.column("doc_id")[0].as_py()], pa.string()), pa.array([loss], pa.list_(pa.float64()))], ["first", "loss"])
+        total, n = np.zeros(len(_GRID), dtype=np.int64), 0
+        for s, y in _labelled(model, batches):
+            d = (s - s.max())[None, :] / _GRID[:, None]
+            total += np.rint((np.log(np.exp(d).sum(axis=1)) - d[:, y]) * _UNITS).astype(np.int64)
+            n += 1
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(_GRID)), pa.int32()), pa.array(total)], ["step", "loss"])
 
     return run
 
 
 def _temperature(rows) -> float:
-    """rows: losses of chunks."""
-    return float(_GRID[np.argmin(sum(np.array(r.loss) for r in sorted(rows, key=lambda r: r.first)))]) if rows else 1.0
+    """rows: the loss of each step of the grid."""
+    return float(_GRID[min(rows, key=lambda r: (r.loss, r.step)).step]) if rows else 1.0
 
 
 def _surest(model):
-    """The highest probability of each row."""
+    """How many rows have their highest probability in each step of ``STEPS``."""
 
     def run(batches):
-        for batch in batches:
-            for part in chunks(batch, limit=_CHUNK):
-                p = _softmax(_logits(model)(part.column("text").to_pylist()) / model.value[2]).max(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(p)], ["p"])
+        count = np.zeros(STEPS + 1, dtype=np.int64)
+        for s, _ in _labelled(model, batches):
+            count[int(_softmax(s[None, :] / model.value[2]).max() * STEPS)] += 1
+        at = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(count[at])], ["step", "n"])
 
     return run
 
 
+def _reached(rows) -> float | None:
+    """What all but a thousandth reach; rows: counts by step."""
+    left = sum(r.n for r in rows) // 1000
+    for r in sorted(rows, key=lambda r: r.step):
+        if r.n > left:
+            return r.step / STEPS
+        left -= r.n
+    return None
+
+
 def _floor(reached: float | None, langs: int) -> float:
     """Half way from chance to the score that nearly all rows reach."""
     return 0.0 if reached is None else (1 / langs + reached) / 2
 
 
 class Model:
-    """``floor``: the score under which a document's language counts as unknown."""
+    """``floor``: the score under which a document's language counts as unknown; ``trained``, ``calibrated``: documents that each saw."""
+
+    def __init__(self, weights, langs: list[str], temperature: float, floor: float = 0.0, trained: int = 0, calibrated: int = 0) -> None:
+        self.weights, self.langs, self.temperature, self.floor, self.trained, self.calibrated = weights, langs, temperature, floor, trained, calibrated
+
 
-    def __init__(self, weights, langs: list[str], temperature: float, floor: float = 0.0) -> None:
-        self.weights, self.langs, self.temperature, self.floor = weights, langs, temperature, floor
+def _packed(spark: SparkSession, labelled: DataFrame, shares: int) -> DataFrame:
+    """The features of labelled rows in a folder for each share, one file each, in the order of training."""
+    part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5 * shares))
+    rows = labelled.select("doc_id", "lang", "text", F.floor(part / 5).cast("int").alias("share"), (part % 5 == 0).alias("unseen"))
+    kinds = "doc_id string, lang string, share int, unseen boolean, size int, steps binary, counts binary"
+    dealt = rows.mapInArrow(_features, kinds).repartition(shares, "share").sortWithinPartitions("share", F.xxhash64("doc_id", F.lit("order")), "doc_id", "steps", "counts", "lang")
+    path = scratch(spark)
+    dealt.drop("doc_id").write.option("compression", "zstd").partitionBy("share").parquet(path)
+    return spark.read.schema("lang string, unseen boolean, size int, steps binary, counts binary, share int").parquet(path)
 
 
-def fit(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train: int = MAX_TRAIN, folds: int = 4, fold: int = 2) -> Model:
+def fit(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train: int | None = None, folds: int = 4, fold: int = 2) -> Model:
     own, text, lang = F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string"), F.col(f"`{lang_col}`").cast("string")
     labelled = docs.where(own.isNotNull() & text.isNotNull() & lang.isNotNull() & ~held_out(own, folds, fold)).select(own.cast("string").alias("doc_id"), text.alias("text"), lang.alias("lang"))
-    counts = labelled.select("text").mapInArrow(_frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # 2**BITS rows at most
-    n_docs = next((r.n for r in counts if r.bucket == -1), 0)
-    if not n_docs:
-        return Model(np.zeros((0, 1 << BITS), np.float32), [], 1.0)
-    df = np.zeros(1 << BITS)
-    for r in counts:
-        df[r.bucket] = r.n if r.bucket >= 0 else df[r.bucket]
-    idf = np.log((1 + n_docs) / (1 + df)) + 1
     common = labelled.groupBy("lang").count().collect()  # one row a language
     langs = sorted(r.lang for r in common)
-    share = max(LEAST_ROWS, max_train // max(1, len(langs)))
-    drawn = spark.createDataFrame([(r.lang, int(min(1.0, share / r["count"]) * (1 << 30))) for r in common], "lang string, most long")
-    sample = labelled.join(F.broadcast(drawn), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < F.col("most"))  # one row a language
-    sample = stored(spark, sample.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5 * WORKERS)).cast("int")))
     if not langs:
         return Model(np.zeros((0, 1 << BITS), np.float32), [], 1.0)
-    z, n = np.zeros((1 << BITS, len(langs))), np.zeros((1 << BITS, len(langs)))
+    if max_train is not None:
+        least = max(LEAST_ROWS, max_train // len(langs))
+        drawn = spark.createDataFrame([(r.lang, int(min(1.0, least / r["count"]) * (1 << 30))) for r in common], "lang string, most long")
+        labelled = labelled.join(F.broadcast(drawn), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < F.col("most"))  # one row a language
+    packed = _packed(spark, labelled, max(WORKERS, -(-sum(r["count"] for r in common) // SHARE_ROWS)))
+    counts = packed.mapInArrow(_frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # 2**BITS rows at most
+    df, n_docs = np.zeros(1 << BITS), next((r.n for r in counts if r.bucket == -1), 0)
+    for r in counts:
+        df[r.bucket] = r.n if r.bucket >= 0 else df[r.bucket]
+    idf = np.log((1 + n_docs) / (1 + df)) + 1
+    z, n, trained = np.zeros((1 << BITS, len(langs))), np.zeros((1 << BITS, len(langs))), 0
     sent = spark.sparkContext.broadcast(idf)
     for epoch in range(EPOCHS):
-        shares = sample.where(F.col("part") % 5 != 0).repartition(WORKERS, F.floor(F.col("part") / 5)).sortWithinPartitions(F.xxhash64("doc_id", F.lit("order")), "doc_id", "text", "lang").select("doc_id", "text", "lang")
         state = spark.sparkContext.broadcast((z, n))
-        states = shares.mapInArrow(_train(sent, langs, state, epoch), "first int, worker string, seen long, z binary, n binary")
-        mean = states.repartition("first").sortWithinPartitions("first", "worker").mapInArrow(_average, "first int, z binary, n binary").collect()  # one state
+        states = packed.where(~F.col("unseen")).mapInArrow(_train(sent, langs, state, epoch), "first int, share int, seen long, z binary, n binary")
+        mean = states.repartition("first").sortWithinPartitions("first", "share").mapInArrow(_average, "first int, seen long, z binary, n binary").collect()  # one state
         state.destroy()
         for r in mean:
+            trained = r.seen
             for x, got in ((z, r.z), (n, r.n)):
                 x[r.first : r.first + SLICE] = np.frombuffer(got).reshape(-1, len(langs))
     weights = (_State(z, n).weights() * idf[:, None]).T.astype(np.float32).copy()
     raw = spark.sparkContext.broadcast((weights, langs, 1.0))
-    unseen = sample.where(F.col("part") % 5 == 0).select("doc_id", "text", "lang")
-    temperature = _temperature(unseen.mapInArrow(_losses(raw), "first string, loss array<double>").collect())  # a row for some hundred of the bounded sample's
+    unseen = packed.where("unseen")
+    temperature = _temperature(unseen.mapInArrow(_losses(raw), "step int, loss long").groupBy("step").agg(F.sum("loss").alias("loss")).collect())  # a row for each step of the grid
     cooled = spark.sparkContext.broadcast((weights, langs, temperature))
-    reached = unseen.mapInArrow(_surest(cooled), "p double").agg(F.percentile("p", 0.001).alias("p")).first().p  # all but a thousandth of the sample's rows
+    surest = unseen.mapInArrow(_surest(cooled), "step int, n long").groupBy("step").agg(F.sum("n").alias("n")).collect()  # STEPS + 1 rows at most
     for x in (sent, raw, cooled):
         x.destroy()
-    drop_stored(spark, sample)
-    return Model(weights, langs, temperature, _floor(reached, len(langs)))
+    drop_stored(spark, packed)
+    return Model(weights, langs, temperature, _floor(_reached(surest), len(langs)), trained, sum(r.n for r in surest))
 
 
 def predict(spark: SparkSession, docs: DataFrame, model: Model, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -34,6 +34,18 @@ def test_every_language_is_learned(spark):
     assert out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.95
 
 
+def test_every_labelled_document_is_learned_from(spark):
+    """Each document is a letter of its own, and its language hangs on nothing else; there are more than one state is trained on."""
+    rows = [(i, f"{chr(0x3400 + i)} " * 3, "ab"[i * 7919 % 10007 % 2]) for i in range(26_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+    labelled = df.where(~language_id.held_out(F.col("doc_id")))
+    model = language_id.fit(spark, df)
+    assert model.trained + model.calibrated == labelled.count() > 19_000 and 0.15 < model.calibrated / (model.trained + model.calibrated) < 0.25
+    right = language_id.predict(spark, labelled, model, keep=("doc_id", "lang")).agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
+    fewer = language_id.predict(spark, labelled, language_id.fit(spark, df, max_train=12_000), keep=("doc_id", "lang")).agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
+    assert right > fewer + 0.05
+
+
 def exact_top(ids, ints, queries, k):
     """(vec_id, score) of the k best of each query, scored one by one."""
     out = {}
