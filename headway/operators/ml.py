@@ -54,8 +54,13 @@ def mature(rows: DataFrame, least: int = 50) -> bool:
 
 
 def train(rows: DataFrame, features: list[str], trees: int = 100, depth: int = 6, rate: float = 0.1) -> PipelineModel:
+    """Each level of each tree is one pass over all rows, so they are dealt evenly over the cores first, once."""
     gbt = GBTRegressor(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=rate, seed=42)
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), gbt]).fit(rows)
+    even = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism).persist()
+    try:
+        return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), gbt]).fit(even)
+    finally:
+        even.unpersist()
 
 
 def importances(spark: SparkSession, model: PipelineModel, features: list[str]) -> DataFrame:

@@ -206,3 +206,15 @@ def test_a_candidate_replaces_the_model_only_through_the_gate(spark, monkeypatch
 def test_two_models_over_the_mart(spark):
     found = {r.model: r for r in q.two_models(spark, SF).collect()}
     assert set(found) == {"production", "candidate", "mean"} and found["candidate"].mae < found["mean"].mae
+
+
+def test_training_rows_are_spread_over_the_cores(spark, monkeypatch):
+    """Some hundred passes over one part of a small file would else leave all other cores idle."""
+    seen = []
+
+    def fit(self, rows):
+        seen.extend(rows.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect())
+
+    monkeypatch.setattr(ml.Pipeline, "fit", fit)
+    ml.train(spark.range(8000).coalesce(1).selectExpr("id * 1.0D as a", "id * 2.0D as label"), ["a"])
+    assert len(seen) == spark.sparkContext.defaultParallelism and sum(seen) == 8000 and max(seen) < 1.2 * min(seen)
