@@ -25,7 +25,7 @@ def scratch(spark: SparkSession) -> str:
 def stored(spark: SparkSession, df: DataFrame) -> DataFrame:
     """df written as Parquet in the shared folder and read again: lost executors cost no recomputation."""
     path = scratch(spark)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
