@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headway.llm.shared import drop_stored, maximal_runs, shuffle_width, stored, text_rows
+from headway.llm.shared import among, drop_stored, maximal_runs, shuffle_width, stored, text_rows
 from headway.llm.textvec import chunks, mix64, prefix_sums, runs, span_hash, utf8
 
 LENGTH = 400
@@ -45,7 +45,6 @@ SHORTER = 256
 GRAM = 64
 BATCH = 8192
 HOT = 8192
-BROADCAST_ROWS = 1_000_000  # of 16 bytes
 
 
 def _slide(x: np.ndarray, n: int, best) -> np.ndarray:
@@ -247,15 +246,15 @@ def _split(spark: SparkSession, segments: DataFrame, length: int, gram: int, hot
 def spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, *, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, hot: int = HOT, only: DataFrame | None = None) -> DataFrame:
     """(row_key, cuts) of each distinct text with repeated strings; cuts: maximal (start, end) in bytes, ordered.
 
-    ``row_key`` is a hash of the text, in 128 bits.  ``only``: row keys of the texts that can have any.
+    ``row_key`` is a hash of the text, in 128 bits.  ``only``: row keys of the texts that can have any; few others are searched too.
     """
     gram = min(gram, length)
-    texts = text_rows(docs, id_col, text_col).where("text is not null").select(_text_key("text").alias("row_key"), "text")
-    if only is not None:
-        texts = texts.join(only, "row_key", "left_semi")
-    raw = stored(spark, texts.mapInArrow(_anchors(length, gram), _RAW))
+    texts, key = text_rows(docs, id_col, text_col).where("text is not null").select(_text_key("text").alias("row_key"), "text"), F.col("row_key")
+    searched = texts if only is None else among(spark, texts, key, only, key)[0]
+    raw = stored(spark, searched.mapInArrow(_anchors(length, gram), _RAW))
     shared = stored(spark, raw.groupBy("anchor").agg(F.count("*").alias("places"), (F.min("whole") != F.max("whole")).alias("mixed")).where("places > 1").select("anchor", "mixed"))
     several = stored(spark, raw.join(shared.hint("merge"), "anchor"))
+    drop_stored(spark, raw, shared)
     cover = F.col("start") + F.col("windows") - 1 + length
     alike = several.where("not mixed").select("row_key", "start", cover.alias("end"))
     place = F.struct("row_key", "start")
@@ -265,9 +264,9 @@ def spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, *, id_col:
     whole = several.where("mixed").join(copied, ["anchor", "whole"], "left_semi").select("row_key", "start", cover.alias("end"))
     asked = kinds.groupBy("row_key").agg(F.collect_list(F.struct("anchor", "whole", "copies", "windows", "place", "start", (F.col("windows") - 1 + length).alias("bytes"))).alias("asked"))  # a text's own stretches
     asked = stored(spark, asked)
-    if asked.count() <= BROADCAST_ROWS:
-        texts = texts.join(F.broadcast(asked.select("row_key")), "row_key", "left_semi")
-    segments = stored(spark, texts.dropDuplicates(["row_key"]).join(asked.hint("merge"), "row_key").select("text", "asked").mapInArrow(_cut, "anchor long, whole long, copies long, windows int, place int, bytes binary, start int"))
+    wanted = asked.withColumnRenamed("row_key", "own")
+    holders = among(spark, texts, key, asked, key)[0].join(wanted.hint("merge"), F.col("row_key") == F.col("own")).dropDuplicates(["own"])  # one exchange for both
+    segments = stored(spark, holders.select("text", "asked").mapInArrow(_cut, "anchor long, whole long, copies long, windows int, place int, bytes binary, start int"))
     keyed, settled = _split(spark, segments, length, gram, hot)
     dealt = keyed.repartition(shuffle_width(spark), "key").sortWithinPartitions("key")
     found = dealt.mapInArrow(_collections(length, gram), "anchor long, whole long, start int, end int")
@@ -277,7 +276,7 @@ def spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, *, id_col:
     every = alike.unionByName(whole).unionByName(single).distinct()
     cuts = maximal_runs(every, ("row_key",)).groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts"))  # a group is one text
     cuts = stored(spark, cuts)
-    drop_stored(spark, raw, shared, several, kinds, asked, segments)
+    drop_stored(spark, several, kinds, asked, segments)
     return cuts
 
 
@@ -312,5 +311,7 @@ def report(spark: SparkSession, docs: DataFrame, length: int = LENGTH, shorter:
     known = stored(spark, near.select("row_key", covered.alias("n_repeated")).join(cuts, "row_key", "left"))
     rows = text_rows(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    both = rows.withColumn("row_key", _text_key("text")).join(known.hint("merge"), "row_key", "left").select("doc_id", "text", "cuts", F.coalesce("n_repeated", F.lit(0).cast("long")).alias("n_repeated"))
+    some, none = among(spark, rows.withColumn("row_key", _text_key("text")), F.col("row_key"), known, F.col("row_key"))
+    none = none.withColumns({"cuts": F.lit(None).cast(known.schema["cuts"].dataType), "n_repeated": F.lit(None).cast("long")})
+    both = some.join(known.hint("merge"), "row_key", "left").unionByName(none).select("doc_id", "text", "cuts", F.coalesce("n_repeated", F.lit(0).cast("long")).alias("n_repeated"))
     return both.mapInArrow(_kept, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long")
