@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headway.llm.components import components
-from headway.llm.shared import drop_stored, shuffle_width, stored, text_rows
+from headway.llm.shared import among, drop_stored, shuffle_width, stored, text_rows
 from headway.llm.textvec import NONSPACE, Words, chunks, member, mix64
 
 BITS = 128
@@ -633,7 +633,8 @@ def keep_one(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, de
     again = linked.groupBy("doc_id", "row_key").count().where("count > 1").select("doc_id", "row_key")
     gone, again = stored(spark, gone.withColumnsRenamed({"doc_id": "_gone_id", "row_key": "_gone_key"})), stored(spark, again)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("row_key"))
-    kept = packed.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.col("row_key") == F.col("_gone_key")), "left_anti")
+    some, none = among(spark, packed, F.struct("doc_id", "row_key"), gone, F.struct("_gone_id", "_gone_key"))
+    kept = none.unionByName(some.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.col("row_key") == F.col("_gone_key")), "left_anti"))
     if not again.isEmpty():
         twice = again.withColumnsRenamed({"doc_id": "_id", "row_key": "_key"})
         same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_key"))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from headway.llm.shared import drop_stored, maximal_runs, stored
+from headway.llm.shared import among, drop_stored, maximal_runs, stored
 
 MIN_WORDS = 50
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -123,7 +123,9 @@ def _attach(spark: SparkSession, docs: DataFrame, min_words: int, id_col: str, t
     cuts = find(spark, docs, min_words, id_col=id_col, text_col=text_col)
     cuts = stored(spark, cuts.select(F.col("doc_id").alias("_cut_id"), F.col("text_key").alias("_cut_key"), F.col("cuts").alias("_cuts"), F.col("n_removed").alias("_gone")))
     left = docs.select(*columns, F.col(f"`{id_col}`").alias("_own_id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("_own_key"))
-    return left.join(cuts, F.col("_own_id").eqNullSafe(F.col("_cut_id")) & (F.col("_own_key") == F.col("_cut_key")), "left")
+    some, none = among(spark, left, F.struct("_own_id", "_own_key"), cuts, F.struct("_cut_id", "_cut_key"))  # texts without cuts stay where they are
+    both = some.join(cuts, F.col("_own_id").eqNullSafe(F.col("_cut_id")) & (F.col("_own_key") == F.col("_cut_key")), "left")
+    return both.unionByName(none.withColumns({c: F.lit(None).cast(cuts.schema[c].dataType) for c in cuts.columns}))
 
 
 def report(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from headway.llm import repeats
+from headway.llm import line_runs, repeats
 from headway.llm.shared import among
 
 
@@ -49,6 +49,14 @@ def test_repeats_leaves_other_texts_where_they_are(spark):
     assert moved < size  # anchors of all texts
 
 
+def test_line_dedup_leaves_other_texts_where_they_are(spark):
+    df, size = spread(spark)
+    moved, rows = measured(spark, lambda: line_runs.dedup(spark, df))
+    assert sorted(r.doc_id for r in rows if "\n" in r.text) == [2000, 2001] and len(rows) == 2002
+    assert min(len(r.text) for r in rows) < 400  # the later copy is gone
+    assert moved < size / 2
+
+
 def test_among_loses_no_key(spark):
     rows = spark.range(20_000).select(F.when(F.col("id") > 0, F.col("id")).alias("k"), F.lit("x").alias("t.t"))
     keys = spark.range(0, 20_000, 7).select(F.when(F.col("id") > 0, F.col("id")).alias("z"))
